@@ -36,7 +36,9 @@ CAPACITY = 4096
 END = 1
 SALTS = 64
 #: Distinct words whose ids a worker remembers; beyond it starts anew.
-CACHE = 400_000
+CACHE = 1_000_000
+#: ASCII signs that are neither letters, digits nor white space, without the apostrophe.
+MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 
 def tokenizer_path() -> str:
@@ -47,28 +49,53 @@ def tokenizer_path() -> str:
 
 class WordTokenizer:
     """Ids of whole texts. The tokenizer drops white space and never looks across it, so ids are
-    remembered by the stretches between blanks and line ends."""
+    remembered by the stretches between blanks and line ends. It also never joins letters with other
+    signs and knows lower case only: letters followed by ASCII marks (the apostrophe apart, which has
+    rules of its own) are put together from the letters' ids and the marks' ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tok, self.seen = Tokenizer.from_file(path), {"": b""}
+        self.tok, self.seen, self.parts = Tokenizer.from_file(path), {"": b""}, {"": b""}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet
+        self.alphabet = {c: c for c in shown} | {c: 256 + i for i, c in enumerate(c for c in range(256) if c not in set(shown))}
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+    def split(self, word: str) -> tuple[str, str] | None:
+        letters = word.rstrip(MARKS)
+        if not letters.isalpha() or "\u0130" in letters:
+            return None
+        return (letters.lower() if letters.isascii() else letters), word[len(letters) :]
+
+    def learn(self, words: list[str]) -> None:
         import numpy as np
 
-        words, seen = text.replace("\n", " ").split(" "), self.seen
-        new = [w for w in dict.fromkeys(words) if w not in seen]
+        cut = [(w, self.split(w) or (w, "")) for w in words]
+        new = list({p for _, pair in cut for p in pair}.difference(self.parts))
+        # Latin letters are in normal form and one pre-token: they go straight to the model, as bytes
+        model, alphabet, rest = self.tok.model.tokenize, self.alphabet, []
+        for p in new:
+            if p.isascii() and p.isalpha():
+                self.parts[p] = np.array([t.id for t in model(p.lower())], "<u4").tobytes()
+            elif p.isalpha() and max(p) < "\u0180" and "\u0130" not in p:
+                self.parts[p] = np.array([t.id for t in model(p.lower().encode().decode("latin-1").translate(alphabet))], "<u4").tobytes()
+            else:
+                rest.append(p)
+        for i in range(0, len(rest), 2048):
+            part = rest[i : i + 2048]
+            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.parts[w] = np.array(e.ids, "<u4").tobytes()
+        for w, (x, y) in cut:
+            self.seen[w] = self.parts[x] + self.parts[y]
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if len(self.seen) + len(self.parts) > CACHE:
+            self.seen, self.parts = {"": b""}, {"": b""}
+        words = text.replace("\n", " ").split(" ")
+        new = set(words).difference(self.seen)
         if new:
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    seen[w] = np.array(e.ids, "<u4").tobytes()
-        out = b"".join([seen[w] for w in words])
-        if len(seen) > CACHE:
-            self.seen = {"": b""}
-        return out
+            self.learn(list(new))
+        return b"".join(map(self.seen.__getitem__, words))
 
 
 def pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
