@@ -28,8 +28,13 @@ from pyspark.sql import types as T
 
 from vistrack.worker import kept
 
-CACHE = 500_000
+CACHE = 400_000
+#: Pairs of neighboring pieces whose check is remembered.
+PAIRS = 300_000
 BLANK = "▁"
+#: A stretch starts with all the blanks before it.
+STRETCH = re.compile(r" +[^ ]*|[^ ]+")
+RUNS = re.compile("( *[A-Za-zÀ-ÖØ-öø-ɏ]+| *[^ A-Za-zÀ-ÖØ-öø-ɏ]+| +)")
 
 
 def model_path() -> str:
@@ -59,20 +64,28 @@ class Vocabulary:
         self.max_piece = max(map(len, self.piece))
         assert not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.piece)
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.own: dict[str, bool] = {}
         self.inside = {p[i : i + 2] for p in self.piece for i in range(len(p) - 1)}
-        # pieces by their characters from the last to the first; "" marks a whole piece
+        self.halves: dict[str, tuple[str, str]] = {}
+        # pieces that merging can reach, by their characters from the last to the first: [piece or None, longer ones]
         self.ends: dict = {}
         for p in self.piece:
-            node = self.ends
+            if len(p) > 1:
+                parts = self.merge(p, 2)
+                if len(parts) != 2 or parts[0] + parts[1] not in self.rank:
+                    continue
+                self.halves[p] = (parts[0], parts[1])
+            node, own = self.ends, None
             for c in reversed(p):
-                node = node.setdefault(c, {})
-            node[""] = p
-
-    def merge(self, s: str) -> list[str]:
-        """The model's merging on a short string (at most two pieces long)."""
+                own = node.setdefault(c, [None, {}])
+                node = own[1]
+            own[0] = p
+        # runs of Latin letters and runs of other characters can be told apart if no piece holds both
+        self.runs = RUNS if all(len(RUNS.findall(p.replace(BLANK, " "))) == 1 for p in self.piece) else STRETCH
+
+    def merge(self, s: str, stop: int = 1) -> list[str]:
+        """The model's merging on a short string, down to ``stop`` parts at least."""
         parts, rank = list(s), self.rank
-        while len(parts) > 1:
+        while len(parts) > stop:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 r = rank.get(parts[i] + parts[i + 1])
@@ -83,18 +96,29 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def reachable(self, p: str) -> bool:
-        ok = self.own.get(p)
-        if ok is None:
-            ok = self.own[p] = len(p) == 1 or self.merge(p) == [p]
-        return ok
-
     def neighbors(self, a: str, b: str) -> bool:
-        ok = self.pairs.get((a, b))
-        if ok is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            ok = self.pairs[a, b] = self.merge(a + b) == [a, b]
+        """Whether merging the joined text of two pieces gives these two back.
+
+        It does unless some merge across the boundary comes before the merges that built the pieces:
+        both are taken apart along the boundary, the later merge first.
+        """
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        key, limit, halves, rank = (a, b), float("inf"), self.halves, self.rank
+        ok = None
+        while ok is None:
+            across = rank.get(a + b)
+            if across is not None and across < limit:
+                ok = False
+                break
+            x, y = halves.get(a), halves.get(b)
+            if x is None and y is None:
+                ok = True
+            elif y is None or x is not None and rank[a] > rank[b]:
+                limit, a = rank[a], x[1]
+            else:
+                limit, b = rank[b] + 0.5, y[0]
+        self.pairs[key] = ok
         return ok
 
     def last(self, s: str, i: int, back: list[int]) -> int:
@@ -103,11 +127,11 @@ class Vocabulary:
         pairs = self.pairs
         while j > 0:
             j -= 1
-            node = node.get(s[j])
-            if node is None:
+            found = node.get(s[j])
+            if found is None:
                 break
-            p = node.get("")
-            if p is None or back[j] < 0 or not (self.own[p] if p in self.own else self.reachable(p)):
+            p, node = found
+            if p is None or back[j] < 0:
                 continue
             if not j:
                 return i
@@ -118,6 +142,37 @@ class Vocabulary:
         # a character in no piece stands alone
         return 1 if s[i - 1] not in self.piece and (i == 1 or back[i - 1] > 0) else -1
 
+    def short(self, s: str) -> list[str]:
+        """Pieces of a string that fits into the window: last() at each boundary, written out."""
+        known, ends, pairs, neighbors = self.piece, self.ends, self.pairs, self.neighbors
+        piece: list = [None]  # the surviving piece that ends at each boundary
+        for i in range(1, len(s) + 1):
+            node, j, own = ends, i, None
+            while j:
+                j -= 1
+                found = node.get(s[j])
+                if found is None:
+                    break
+                p, node = found
+                if p is not None:
+                    if not j:
+                        own = p
+                        break
+                    a = piece[j]
+                    if a is not None:
+                        ok = pairs.get((a, p))
+                        if neighbors(a, p) if ok is None else ok:
+                            own = p
+                            break
+            if own is None and s[i - 1] not in known and (i == 1 or piece[i - 1] is not None):
+                own = s[i - 1]
+            piece.append(own)
+        i, out = len(s), []
+        while i:
+            out.append(piece[i])
+            i -= len(piece[i])
+        return out[::-1]
+
 
 class Streaming:
     """Encoder for one text given in parts of any size; ids come out as soon as they are certain."""
@@ -171,7 +226,7 @@ class Streaming:
 
 class Codec:
     def __init__(self, path: str):
-        self.v, self.seen = Vocabulary(path), {}
+        self.v, self.seen, self.short = Vocabulary(path), {}, {}
 
     def _ids(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
@@ -183,28 +238,23 @@ class Codec:
     def _word(self, word: str) -> bytes:
         """Ids of a stretch between blanks. Where no piece holds two neighboring characters all paths
         converge, so the parts between such places are encoded and remembered apart."""
+        if len(self.short) > CACHE:
+            self.short.clear()
         inside, at, out = self.v.inside, 0, []
         for i in range(1, len(word) + 1):
             if i < len(word) and word[i - 1 : i + 1] in inside:
                 continue
             part, at = word[at:i], i
-            x = self.seen.get(part)
+            x = self.short.get(part)
             if x is None:
                 if len(part) > 2 * self.v.max_piece:
                     s = Streaming(self.v)
                     found = s.feed(part) + s.end()
                 else:  # the window holds all of it
-                    back = [0]
-                    for j in range(1, len(part) + 1):
-                        back.append(self.v.last(part, j, back))
-                    j, found = len(part), []
-                    while j:
-                        found.append(part[j - back[j] : j])
-                        j -= back[j]
-                    found.reverse()
+                    found = self.v.short(part)
                 x = np.array(self._ids(found), "<u4").tobytes()
-                if len(part) < 256:
-                    self.seen[part] = x
+                if len(part) < 4:
+                    self.short[part] = x
             out.append(x)
         return b"".join(out)
 
@@ -212,18 +262,15 @@ class Codec:
         """Ids of a whole text as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        seen, out = self.seen, []
-        # each stretch starts with all the blanks before a word
-        for w in re.findall(r" +[^ ]*", " " + text.replace(BLANK, " ")):
-            x = seen.get(w)
-            if x is None:
-                if len(seen) >= CACHE:
-                    seen.clear()
-                x = self._word(w.replace(" ", BLANK))
-                if len(w) < 256:
-                    seen[w] = x
-            out.append(x)
-        return b"".join(out)
+        seen = self.seen
+        if len(seen) > CACHE:
+            seen.clear()
+        runs = self.v.runs.findall(" " + text.replace(BLANK, " "))
+        for w in set(runs).difference(seen):
+            seen[w] = self._word(w.replace(" ", BLANK))
+        out = b"".join(map(seen.__getitem__, runs))
+        self.seen = {k: x for k, x in seen.items() if len(k) < 256} if max(map(len, runs)) > 255 else seen
+        return out
 
     def decode(self, ids: bytes) -> str:
         text = self.v.text
