@@ -23,8 +23,8 @@ from vistrack.session import cut
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
-#: Rows of the sample on which cost and selectivity are estimated.
-SAMPLE_ROWS = 1000
+#: Rows of the sample on which cost and selectivity are estimated (the first that a scan meets).
+SAMPLE_ROWS = 400
 
 
 def words_of(text: Column) -> Column:
@@ -98,7 +98,10 @@ BASE = ("few_words", "repeated_words")
 
 def estimate(docs: DataFrame, text_col: str = "text", rules=RULES, rows: int = SAMPLE_ROWS) -> tuple[dict[str, float], dict[tuple, int]]:
     """Seconds a row of each rule, and the sampled rows by the set of rules that reject them."""
-    some = cut(docs.select(F.col(text_col).cast("string").alias("t")).limit(rows).withColumn("w", words_of(F.col("t"))))
+    # take() looks into as few partitions as hold the rows; limit() would send that many from each
+    taken = [(r[0],) for r in docs.select(F.col(text_col).cast("string")).take(rows)]
+    spark = docs.sparkSession
+    some = cut(spark.createDataFrame(taken, "t string").repartition(spark.sparkContext.defaultParallelism).withColumn("w", words_of(F.col("t"))))
     t, w = F.col("t"), F.col("w")
     patterns = some.select(*[r.rejects(t, w).alias(r.name) for r in rules]).groupBy(*[r.name for r in rules]).count().collect()
     n = max(1, sum(p["count"] for p in patterns))
