@@ -1,11 +1,674 @@
-"""All registered queries of the multi-view operators with their SQL."""
+"""All registered queries of the multi-view operators, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vistrack import roles
+from vistrack.functions import geometry, kernels, strings
+from vistrack.operators import guided, localize, matching, model, pairs, stats, tracks
+from vistrack.roles import CAMERAS, KEYS, OBS, OBS_XY
+from vistrack.session import table
+
+DIM, JOIN_RATIO, GRAPH_RATIO = 64, 0.95, 0.90
+SHARDS, TOP, COVER, CELL, STEP, BAND = 7, 5, 5, 64, 32, 4.0
+WIDTH, HEIGHT = 1024, 768
+FUND = [0.0, 0.0, 0.3, 0.0, 0.0, -1.0, 0.001, 1.0, 5.0]
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+# ---- covisibility and pairs ----------------------------------------------------------------------
+
+COVIS = f"""{OBS},
+covis AS (SELECT a.view AS v1, b.view AS v2, count(*)::BIGINT AS n FROM obs a JOIN obs b USING (point)
+          WHERE a.view <> b.view GROUP BY ALL)"""
+TOPN = f"""{COVIS},
+top AS (SELECT * FROM (SELECT v1, v2, n, row_number() OVER (PARTITION BY v1 ORDER BY n DESC, v2) AS rn
+                       FROM covis WHERE n >= 4) WHERE rn <= {TOP})"""
+UNIQUE = f"{TOPN}, up AS (SELECT DISTINCT least(v1, v2) AS a, greatest(v1, v2) AS b FROM top)"
+
+
+@register("covis_counts", f"WITH {COVIS} SELECT * FROM covis WHERE n >= 4")
+def covis_counts(s: SparkSession, d: str) -> DataFrame:
+    return pairs.covisibility(roles.observations(s, d), least=4)
+
+
+@register("covis_selective", f"WITH {COVIS} SELECT * FROM covis WHERE n >= 200")
+def covis_selective(s, d):
+    return pairs.covisibility(roles.observations(s, d), least=200)
+
+
+@register("covis_top_n", f"WITH {TOPN} SELECT v1, v2, n, rn FROM top")
+def covis_top_n(s, d):
+    return pairs.top_neighbors(covis_counts(s, d), TOP).select("v1", "v2", "n", F.col("rn").cast("long").alias("rn"))
+
+
+@register("candidate_views", f"""WITH {COVIS}, t AS (SELECT *, count(*) OVER (PARTITION BY v1) AS size,
+  row_number() OVER (PARTITION BY v1 ORDER BY n DESC, v2) AS rn FROM covis WHERE n >= 4)
+SELECT v1, v2, n, rn FROM t WHERE rn <= 30 AND (size >= 30 OR size >= 20)""")
+def candidate_views(s, d):
+    return pairs.candidate_views(covis_counts(s, d), 30).select("v1", "v2", "n", F.col("rn").cast("long").alias("rn"))
+
+
+@register("unique_pairs", f"WITH {UNIQUE} SELECT a, b FROM up")
+def unique_pairs(s, d):
+    return pairs.unique_pairs(covis_top_n(s, d))
+
+
+@register("two_hop", f"""WITH {TOPN}, far AS (
+  SELECT x.v1, y.v2 AS view, y.rn AS r2, x.rn AS r1,
+         row_number() OVER (PARTITION BY x.v1, y.v2 ORDER BY y.rn, x.rn) AS k
+  FROM top x JOIN top y ON x.v2 = y.v1 WHERE x.v1 <> y.v2
+    AND NOT EXISTS (SELECT 1 FROM top z WHERE z.v1 = x.v1 AND z.v2 = y.v2)),
+both_ AS (SELECT v1, v2 AS view, 1 AS level, 0 AS p, rn AS q FROM top UNION ALL SELECT v1, view, 2, r2, r1 FROM far WHERE k = 1)
+SELECT * FROM (SELECT v1, view, level::BIGINT AS level, row_number() OVER (PARTITION BY v1 ORDER BY level, p, q, view) AS rn FROM both_)
+WHERE rn <= {2 * TOP}""")
+def two_hop(s, d):
+    c = covis_counts(s, d)
+    direct = pairs.top_neighbors(c, TOP).select("v1", "v2", "n")
+    return pairs.two_hop(direct, 2 * TOP).select("v1", "view", F.col("level").cast("long").alias("level"), F.col("rn").cast("long").alias("rn"))
+
+
+MATRIX = f"""{OBS}, m AS (SELECT a.view AS v1, b.view AS v2, count(*)::BIGINT AS n FROM obs a JOIN obs b USING (point) GROUP BY ALL)"""
+
+
+@register("corr_matrix", f"WITH {MATRIX} SELECT v1, v2, n FROM m")
+def corr_matrix(s, d):
+    return pairs.covisibility(roles.observations(s, d), diagonal=True)
+
+
+@register("connected_pairs", f"WITH {MATRIX} SELECT count(*)::BIGINT AS n_cells, count(*) FILTER (WHERE v1 = v2)::BIGINT AS n_diagonal FROM m")
+def connected_pairs(s, d):
+    return corr_matrix(s, d).agg(F.count_if(F.col("n") > 0).alias("n_cells"), F.count_if(F.col("v1") == F.col("v2")).alias("n_diagonal"))
+
+
+@register("points_3plus", f"""WITH {OBS}, p AS (SELECT point, count(*) AS len, count(DISTINCT view) AS n_vis FROM obs GROUP BY point)
+SELECT count(*)::BIGINT AS points, count(*) FILTER (WHERE n_vis >= 3)::BIGINT AS points_3plus, max(len)::BIGINT AS longest FROM p""")
+def points_3plus(s, d):
+    p = roles.observations(s, d).groupBy("point").agg(F.count("*").alias("len"), F.count_distinct("view").alias("n_vis"))
+    return p.agg(F.count("*").alias("points"), F.count_if(F.col("n_vis") >= 3).alias("points_3plus"), F.max("len").alias("longest"))
+
+
+IMG = "img AS (SELECT label::BIGINT AS image, count(*) AS n FROM embeddings GROUP BY label)"
+ALL = f"""{IMG}, ap AS (SELECT CASE WHEN y.n < x.n THEN y.image ELSE x.image END AS a, CASE WHEN y.n < x.n THEN x.image ELSE y.image END AS b
+  FROM img x JOIN img y ON x.image < y.image)"""
+
+
+@register("all_pairs_sharded", f"""WITH {ALL}, r AS (SELECT *, row_number() OVER (ORDER BY a, b) AS rn, count(*) OVER () AS n FROM ap)
+SELECT a, b, least((rn - 1) // greatest(1, n // {SHARDS}), {SHARDS - 1})::BIGINT AS shard FROM r""")
+def all_pairs_sharded(s, d):
+    return pairs.shard_floor(pairs.all_pairs(roles.images(s, d)), SHARDS, "a", "b").select("a", "b", F.col("shard").cast("long").alias("shard"))
+
+
+@register("pairs_sharded_ceil", f"""WITH {UNIQUE}, r AS (SELECT *, row_number() OVER (ORDER BY a, b) AS rn, count(*) OVER () AS n FROM up)
+SELECT a, b, ((rn - 1) // greatest(1, (n + {SHARDS - 1}) // {SHARDS}))::BIGINT AS shard FROM r""")
+def pairs_sharded_ceil(s, d):
+    return pairs.shard_ceil(unique_pairs(s, d), SHARDS, "a", "b").select("a", "b", F.col("shard").cast("long").alias("shard"))
+
+
+@register("possible_pairs", f"WITH {IMG} SELECT (count(*) * (count(*) - 1) // 2)::BIGINT AS n_pairs, sum(n)::BIGINT AS n_keys FROM img")
+def possible_pairs(s, d):
+    return roles.images(s, d).agg(F.expr("count(*) * (count(*) - 1) div 2").alias("n_pairs"), F.sum("n").alias("n_keys"))
+
+
+# ---- descriptor matching -------------------------------------------------------------------------
+
+
+def dist_sql(x: str, y: str) -> str:
+    return " + ".join(f"({x}[{i}]::DOUBLE - {y}[{i}]::DOUBLE) * ({x}[{i}]::DOUBLE - {y}[{i}]::DOUBLE)" for i in range(1, DIM + 1))
+
+
+def knn_sql(source: str = "keys", target: str = "keys", both: bool = False) -> str:
+    swap = " UNION ALL SELECT b, a FROM ap" if both else ""
+    return f"""{KEYS}, {ALL},
+ranked0 AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY key) - 1 AS pos, count(*) OVER (PARTITION BY image) AS cnt FROM keys),
+first_ AS (SELECT image, key, v FROM ranked0 WHERE pos < cnt * 50 // 100),
+second_ AS (SELECT image, key, v FROM ranked0 WHERE pos >= cnt * 50 // 100),
+pr AS (SELECT a, b FROM ap{swap}),
+cand AS (SELECT a, b, p.key AS ka, q.key AS kb, {dist_sql('p.v', 'q.v')} AS d
+         FROM pr JOIN {source} p ON p.image = a JOIN {target} q ON q.image = b),
+rk AS (SELECT *, row_number() OVER (PARTITION BY a, b, ka ORDER BY d, kb) AS rn, lead(d) OVER (PARTITION BY a, b, ka ORDER BY d, kb) AS d2 FROM cand),
+two AS (SELECT a, b, ka, kb, d AS d1, d2 FROM rk WHERE rn = 1)"""
+
+
+def ok_sql(r: float) -> str:
+    return f"d2 IS NOT NULL AND d1 <= {r * r!r}::DOUBLE * d2"
+
+
+def forward(s, d, ratio, source=None, target=None):
+    k = roles.keys(s, d)
+    p = pairs.all_pairs(roles.images(s, d))
+    left = (source if source is not None else k).select(F.col("image").alias("a"), F.col("key").alias("ka"), F.col("v").alias("va"))
+    right = (target if target is not None else k).select(F.col("image").alias("b"), F.col("key").alias("kb"), F.col("v").alias("vb"))
+    cand = p.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ka", "kb", matching.squared("va", "vb", DIM).alias("d"))
+    return matching.ratio_test(matching.nearest_two(cand), ratio)
+
+
+@register("knn_ratio", f"WITH {knn_sql()} SELECT a, b, ka, kb, round(d1, 9) AS d1, round(d2, 9) AS d2 FROM two WHERE {ok_sql(JOIN_RATIO)}")
+def knn_ratio(s, d):
+    return forward(s, d, JOIN_RATIO).select("a", "b", "ka", "kb", F.round("d1", 9).alias("d1"), F.round("d2", 9).alias("d2"))
+
+
+@register("knn_mutual", f"""WITH {knn_sql(both=True)}, m AS (SELECT * FROM two WHERE {ok_sql(JOIN_RATIO)})
+SELECT x.a, x.b, x.ka, x.kb FROM m x JOIN m y ON x.a = y.b AND x.b = y.a AND x.ka = y.kb AND x.kb = y.ka JOIN ap ON ap.a = x.a AND ap.b = x.b""")
+def knn_mutual(s, d):
+    k, p = roles.keys(s, d), pairs.all_pairs(roles.images(s, d))
+    back = matching.ratio_test(matching.nearest_two(matching.candidates(k, p.select(F.col("b").alias("a"), F.col("a").alias("b")), DIM)), JOIN_RATIO)
+    return matching.mutual(forward(s, d, JOIN_RATIO), back)
+
+
+@register("knn_unique_target", f"""WITH {knn_sql()}, m AS (SELECT *, row_number() OVER (PARTITION BY a, b, kb ORDER BY ka) AS r FROM two WHERE {ok_sql(JOIN_RATIO)})
+SELECT a, b, ka, kb FROM m WHERE r = 1""")
+def knn_unique_target(s, d):
+    return matching.unique_target(forward(s, d, JOIN_RATIO)).select("a", "b", "ka", "kb")
+
+
+@register("knn_pair_having", f"WITH {knn_sql()} SELECT a, b, count(*)::BIGINT AS n FROM two WHERE {ok_sql(JOIN_RATIO)} GROUP BY a, b HAVING count(*) >= 8")
+def knn_pair_having(s, d):
+    return forward(s, d, JOIN_RATIO).groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 8")
+
+
+def halves(s, d):
+    k = matching.scale_rank(roles.keys(s, d))
+    first = F.col("pos") < F.expr("n * 50 div 100")
+    return k.where(first), k.where(~first)
+
+
+@register("knn_prefix", f"WITH {knn_sql('first_', 'first_')} SELECT a, b, ka, kb FROM two WHERE {ok_sql(JOIN_RATIO)}")
+def knn_prefix(s, d):
+    one = matching.prefix(roles.keys(s, d), 50)
+    return forward(s, d, JOIN_RATIO, one, one).select("a", "b", "ka", "kb")
+
+
+@register("knn_two_batch", f"""WITH {knn_sql()}, m AS (SELECT two.*, f.key IS NOT NULL AS first FROM two LEFT JOIN first_ f ON f.image = a AND f.key = ka WHERE {ok_sql(JOIN_RATIO)}),
+g AS (SELECT a, b FROM m WHERE first GROUP BY a, b HAVING count(*) >= 4)
+SELECT a, b, ka, kb FROM m WHERE first OR (a, b) IN (SELECT (a, b) FROM g)""")
+def knn_two_batch(s, d):
+    one, two = halves(s, d)
+    return matching.two_batches(forward(s, d, JOIN_RATIO, source=one).select("a", "b", "ka", "kb"), forward(s, d, JOIN_RATIO, source=two).select("a", "b", "ka", "kb"))
+
+
+@register("knn_partitioned", f"""WITH {KEYS}, {ALL},
+ref AS (SELECT image, key, v, least((row_number() OVER (PARTITION BY image ORDER BY key) - 1) * 3 // count(*) OVER (PARTITION BY image), 2) AS part FROM keys),
+cand AS (SELECT a, b, p.key AS ka, q.key AS kb, q.part AS part, {dist_sql('p.v', 'q.v')} AS d FROM ap JOIN keys p ON p.image = a JOIN ref q ON q.image = b),
+run AS (SELECT x.a, x.b, x.ka, g.part, x.kb, x.d, row_number() OVER (PARTITION BY x.a, x.b, x.ka, g.part ORDER BY x.d, x.kb) AS rn,
+        lead(x.d) OVER (PARTITION BY x.a, x.b, x.ka, g.part ORDER BY x.d, x.kb) AS d2
+        FROM cand x JOIN (SELECT unnest([0, 1, 2]) AS part) g ON x.part <= g.part),
+hit AS (SELECT a, b, ka, kb, part, row_number() OVER (PARTITION BY a, b, ka ORDER BY part) AS r FROM run WHERE rn = 1 AND d2 IS NOT NULL AND d <= {GRAPH_RATIO * GRAPH_RATIO!r}::DOUBLE * d2)
+SELECT a, b, ka, kb, part::BIGINT AS part FROM hit WHERE r = 1""")
+def knn_partitioned(s, d):
+    k, p = roles.keys(s, d), pairs.all_pairs(roles.images(s, d))
+    return matching.partitioned_nearest(k, p, DIM, 3, GRAPH_RATIO).select("a", "b", "ka", "kb", F.col("part").cast("long").alias("part"))
+
+
+RANKS = f"""{knn_sql()}, e AS (SELECT a, b, count(*)::BIGINT AS n FROM two WHERE {ok_sql(JOIN_RATIO)} GROUP BY a, b),
+ranks AS (SELECT a AS src, b AS dst, n FROM e UNION ALL SELECT b, a, n FROM e)"""
+
+
+@register("rank_edges", f"WITH {RANKS} SELECT src, dst, n FROM ranks")
+def rank_edges(s, d):
+    return matching.rank_edges(forward(s, d, JOIN_RATIO))
+
+
+@register("rank_top_n", f"""WITH {RANKS} SELECT src, dst, n, rn FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst DESC) AS rn FROM ranks) WHERE rn <= 3""")
+def rank_top_n(s, d):
+    return localize.top_ranked(rank_edges(s, d), 3).select("src", "dst", "n", F.col("rn").cast("long").alias("rn"))
+
+
+@register("visual_words", f"""WITH {KEYS}, centers AS (SELECT key AS word, v FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY key) AS r FROM keys) WHERE r = 1),
+c AS (SELECT image, key, word, {dist_sql('keys.v', 'centers.v')} AS d FROM keys, centers)
+SELECT image, key, word, round(d, 9) AS d FROM (SELECT *, row_number() OVER (PARTITION BY image, key ORDER BY d, word) AS rn FROM c) WHERE rn = 1""")
+def visual_words(s, d):
+    k = roles.keys(s, d)
+    centers = matching.scale_rank(k).where("pos = 0").select(F.col("key").alias("word"), "v")
+    return matching.visual_words(k, centers, DIM).select("image", "key", "word", F.round("d", 9).alias("d"))
+
+
+# ---- tracks --------------------------------------------------------------------------------------
+
+MATCHES = f"{knn_sql()}, m AS (SELECT a, ka, b, kb FROM two WHERE {ok_sql(GRAPH_RATIO)})"
+SYM = f"{MATCHES}, sym AS (SELECT a AS view, ka AS key, b AS v2, kb AS k2 FROM m UNION ALL SELECT b, kb, a, ka FROM m)"
+COMPONENTS = f"""{SYM}, e AS (SELECT (view << 32) | key AS u, (v2 << 32) | k2 AS w FROM sym),
+reach(u, root) AS (SELECT DISTINCT u, u FROM e UNION SELECT e.w, reach.root FROM reach JOIN e ON e.u = reach.u),
+comp AS (SELECT u >> 32 AS view, u & 4294967295 AS key, min(root) AS component FROM reach GROUP BY u)"""
+
+
+def graph_matches(s, d):
+    return forward(s, d, GRAPH_RATIO).select("a", "ka", "b", "kb")
+
+
+@register("star_tracks", f"""WITH {SYM} SELECT view, key, count(DISTINCT (v2, k2))::BIGINT + 1 AS n, min(v2)::BIGINT AS first_view, max(v2)::BIGINT AS last_view FROM sym GROUP BY view, key""")
+def star_tracks(s, d):
+    t = tracks.star_tracks(graph_matches(s, d))
+    others = F.slice("obs", 2, F.greatest(F.size("obs") - 1, F.lit(1)))
+    views = F.transform(others, lambda o: o["view"])
+    return t.select("view", "key", F.size("obs").cast("long").alias("n"), F.array_min(views).alias("first_view"), F.array_max(views).alias("last_view"))
+
+
+@register("components", f"WITH RECURSIVE {COMPONENTS} SELECT view, key, component FROM comp")
+def components(s, d):
+    return tracks.match_components(graph_matches(s, d))
+
+
+@register("merged_tracks", f"""WITH RECURSIVE {COMPONENTS}, c1 AS (SELECT *, count(*) OVER (PARTITION BY component, view) AS c FROM comp),
+c2 AS (SELECT *, count(*) OVER (PARTITION BY component) AS size FROM c1 WHERE c = 1) SELECT component, view, key FROM c2 WHERE size > 1""")
+def merged_tracks(s, d):
+    return tracks.merged_tracks(components(s, d))
+
+
+@register("k_cover", f"""WITH {OBS}, {CAMERAS}, size AS (SELECT point, count(*)::BIGINT AS len FROM obs GROUP BY point),
+r AS (SELECT obs.point, len, row_number() OVER (PARTITION BY view ORDER BY len DESC, point DESC) AS rn FROM obs JOIN size USING (point) JOIN cameras USING (view) WHERE valid)
+SELECT DISTINCT point, len FROM r WHERE rn <= {COVER}""")
+def k_cover(s, d):
+    return tracks.k_cover(roles.observations(s, d), roles.cameras(s, d), COVER)
+
+
+@register("valid_tracks", f"""WITH {OBS}, {CAMERAS}, k AS (SELECT obs.*, count(*) OVER (PARTITION BY point) AS n FROM obs JOIN cameras USING (view) WHERE valid)
+SELECT point, count(*)::BIGINT AS n_obs, min(view) AS first_view FROM k WHERE n > 1 GROUP BY point""")
+def valid_tracks(s, d):
+    return model.valid_views(roles.observations(s, d), roles.cameras(s, d)).groupBy("point").agg(F.count("*").alias("n_obs"), F.min("view").alias("first_view"))
+
+
+@register("latest_coordinates", f"""WITH {OBS_XY}, src AS (SELECT view, point AS key, x, y, 0 AS o FROM obs UNION ALL SELECT view, point, x, y, 1 FROM obs WHERE view % 6 = 0)
+SELECT view, key, x, y FROM (SELECT *, row_number() OVER (PARTITION BY view, key ORDER BY o DESC, x DESC, y DESC) AS r FROM src) WHERE r = 1""")
+def latest_coordinates(s, d):
+    o = roles.observations_xy(s, d).withColumnRenamed("point", "key")
+    return tracks.latest_coordinates(o, o.where("view % 6 = 0"))
+
+
+# ---- localisation --------------------------------------------------------------------------------
+
+
+@register("one_to_one", f"""WITH {OBS}, l AS (SELECT point FROM obs GROUP BY point HAVING count(DISTINCT view) = 1),
+p AS (SELECT DISTINCT point, view FROM obs SEMI JOIN l USING (point)), r AS (SELECT view FROM p GROUP BY view HAVING count(DISTINCT point) = 1)
+SELECT point, view FROM p SEMI JOIN r USING (view)""")
+def one_to_one(s, d):
+    return pairs.one_to_one(roles.observations(s, d), "point", "view")
+
+
+@register("knn_one_to_one", f"""WITH {knn_sql()}, m AS (SELECT DISTINCT ka, kb FROM two WHERE {ok_sql(JOIN_RATIO)}), l AS (SELECT ka FROM m GROUP BY ka HAVING count(DISTINCT kb) = 1),
+p AS (SELECT * FROM m SEMI JOIN l USING (ka)), r AS (SELECT kb FROM p GROUP BY kb HAVING count(DISTINCT ka) = 1) SELECT ka, kb FROM p SEMI JOIN r USING (kb)""")
+def knn_one_to_one(s, d):
+    return pairs.one_to_one(forward(s, d, JOIN_RATIO).select("ka", "kb"), "ka", "kb")
+
+
+@register("visible_points", f"""WITH {TOPN}, near AS (SELECT v1 AS src, v2 AS view FROM (SELECT v1, v2, row_number() OVER (PARTITION BY v1 ORDER BY n DESC, v2 DESC) AS r FROM covis) WHERE r <= {TOP})
+SELECT src, point, count(*)::BIGINT AS n_obs FROM near JOIN obs USING (view) GROUP BY src, point HAVING count(*) >= 2""")
+def visible_points(s, d):
+    o = roles.observations(s, d)
+    ranks = pairs.covisibility(o).select(F.col("v1").alias("src"), F.col("v2").alias("dst"), "n")
+    return localize.visible_points(ranks, o, TOP, 2)
+
+
+VOTE = f"""{knn_sql()}, hits AS (SELECT b AS query, ka % 50 AS point, kb AS key, d1 AS d FROM two WHERE {ok_sql(JOIN_RATIO)}),
+per AS (SELECT query, point, key, count(*)::BIGINT AS n, min(d) AS d FROM hits GROUP BY ALL), t AS (SELECT *, max(n) OVER (PARTITION BY query, point) AS top FROM per),
+v AS (SELECT *, row_number() OVER (PARTITION BY query, point ORDER BY CASE WHEN top > 1 THEN -n ELSE 0 END, CASE WHEN top > 1 THEN 0 ELSE d END, key) AS r FROM t)"""
+
+
+def hits(s, d):
+    return forward(s, d, JOIN_RATIO).select(F.col("b").alias("query"), (F.col("ka") % 50).alias("point"), F.col("kb").alias("key"), F.col("d1").alias("d"))
+
+
+@register("vote_3d2d", f"WITH {VOTE} SELECT query, point, key, n, round(d, 9) AS d FROM v WHERE r = 1")
+def vote_3d2d(s, d):
+    return localize.vote(hits(s, d)).select("query", "point", "key", "n", F.round("d", 9).alias("d"))
+
+
+@register("vote_enough", f"WITH {VOTE} SELECT query, count(*)::BIGINT AS total FROM v WHERE r = 1 GROUP BY query HAVING count(*) >= 16")
+def vote_enough(s, d):
+    return localize.enough_correspondences(localize.vote(hits(s, d)), 16).groupBy("query").agg(F.count("*").alias("total"))
+
+
+# ---- model maintenance ---------------------------------------------------------------------------
+
+
+@register("camera_patch", f"""WITH {CAMERAS}, dl AS (SELECT s_suppkey AS view, 900 + s_suppkey AS nf FROM supplier WHERE s_suppkey % 6 = 0)
+SELECT view, CASE WHEN valid THEN f ELSE nf END AS f, valid OR nf IS NOT NULL AS valid, NOT valid AND nf IS NOT NULL AS newly_localized FROM cameras LEFT JOIN dl USING (view)""")
+def camera_patch(s, d):
+    return model.patch_cameras(roles.cameras(s, d), roles.cameras_delta(s, d))
+
+
+@register("track_append", f"""WITH {OBS} SELECT point, (count(*) + count(*) FILTER (WHERE view % 6 = 0))::BIGINT AS n, (sum(view) + coalesce(sum(view) FILTER (WHERE view % 6 = 0), 0))::BIGINT AS total FROM obs GROUP BY point""")
+def track_append(s, d):
+    o = roles.observations(s, d)
+    t = o.groupBy("point").agg(F.sort_array(F.collect_list("view")).alias("obs"))  # one track
+    out = model.append_observations(t, o.where("view % 6 = 0"))
+    return out.select("point", F.size("obs").cast("long").alias("n"), F.aggregate("obs", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@register("id_remap", "SELECT s_suppkey AS src, coalesce(m.dst, -1) AS dst FROM supplier LEFT JOIN (SELECT s_suppkey AS k, s_suppkey * 2 AS dst FROM supplier WHERE s_suppkey % 4 <> 0) m ON m.k = s_suppkey")
+def id_remap(s, d):
+    sup = table(s, d, "supplier").select(F.col("s_suppkey").alias("src"))
+    return model.remap_ids(sup, sup.where("src % 4 <> 0").select("src", (F.col("src") * 2).alias("dst")))
+
+
+@register("unlocalized", f"WITH {CAMERAS} SELECT view FROM cameras WHERE NOT valid")
+def unlocalized(s, d):
+    c = roles.cameras(s, d)
+    return model.unlocalized(c.select("view"), c)
+
+
+@register("semi_ids", "SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 6 = 0)")
+def semi_ids(s, d):
+    ids = table(s, d, "supplier").where("s_suppkey % 6 = 0").select(F.col("s_nationkey").alias("c_nationkey"))
+    return model.given_ids(table(s, d, "customer").select("c_custkey", "c_nationkey"), ids, "c_nationkey").select("c_custkey", F.col("c_nationkey").cast("long").alias("c_nationkey"))
+
+
+@register("localized_union", f"WITH {CAMERAS} SELECT view FROM cameras WHERE valid UNION ALL SELECT s_suppkey FROM supplier WHERE s_suppkey % 6 = 0")
+def localized_union(s, d):
+    return roles.cameras(s, d).where("valid").select("view").union(roles.cameras_delta(s, d).select("view"))
+
+
+@register("radial_splice", f"WITH {CAMERAS} SELECT view, f, (s_acctbal / 1e6) AS k1, (s_acctbal / 1e8) AS k2 FROM cameras LEFT JOIN supplier ON s_suppkey = view")
+def radial_splice(s, d):
+    other = table(s, d, "supplier").select(F.col("s_suppkey").alias("view"), (F.col("s_acctbal") / 1e6).alias("k1"), (F.col("s_acctbal") / 1e8).alias("k2"))
+    return model.splice_radial(roles.cameras(s, d), other)
+
+
+@register("nearby_budget", "SELECT greatest(20, count(*) // 10)::BIGINT AS budget FROM supplier")
+def nearby_budget(s, d):
+    return table(s, d, "supplier").agg(F.expr("greatest(20, count(*) div 10)").alias("budget"))
+
+
+# ---- coordinates, lines, grids -------------------------------------------------------------------
+
+DIMS = "dims AS (SELECT s_suppkey AS view, 1023 + 64 * (s_suppkey % 4) AS w, 767 + 64 * (s_suppkey % 3) AS h FROM supplier)"
+
+
+@register("normalize_keys", f"""WITH {OBS_XY}, {DIMS} SELECT view, point, x - w // 2 AS nx, h // 2 - y AS ny, x - w / 2.0::DOUBLE AS ex, h / 2.0::DOUBLE - y AS ey FROM obs JOIN dims USING (view)""")
+def normalize_keys(s, d):
+    v = F.col("s_suppkey")
+    dims = table(s, d, "supplier").select(v.alias("view"), (1023 + 64 * (v % 4)).alias("w"), (767 + 64 * (v % 3)).alias("h"))
+    x, y, w, h = (F.col(c) for c in "xywh")
+    nx, ny = geometry.normalize(x, y, w, h)
+    ex, ey = geometry.to_norm(x, y, w, h)
+    return roles.observations_xy(s, d).join(dims, "view").select("view", "point", nx.alias("nx"), ny.alias("ny"), ex.alias("ex"), ey.alias("ey"))
+
+
+@register("pack_unpack", f"WITH {OBS_XY} SELECT view, point, (view << 32) | point AS packed, view AS v, point AS p, x AS x0, y AS y0 FROM obs")
+def pack_unpack(s, d):
+    o = roles.observations_xy(s, d).withColumn("packed", tracks.pack("view", "point"))
+    v, p = tracks.unpack("packed")
+    four = guided.unpack4(guided.pack4(F.col("x"), F.col("y"), -F.col("x"), F.col("y") - 300))
+    return o.select("view", "point", "packed", v.alias("v"), p.alias("p"), (-four[2]).alias("x0"), (four[3] + 300).alias("y0"))
+
+
+GRID = f"""{OBS_XY}, inside AS (SELECT * FROM obs WHERE x BETWEEN {CELL} AND {WIDTH - CELL} AND y BETWEEN {CELL} AND {HEIGHT - CELL}),
+gridded AS (""" + " UNION ALL ".join(f"SELECT view, point, x, y, {g} AS g, floor((x - {ox})/{CELL}.0)::BIGINT AS cx, floor((y - {oy})/{CELL}.0)::BIGINT AS cy FROM inside" for g, (ox, oy) in enumerate(((0, 0), (CELL // 2, 0), (0, CELL // 2), (CELL // 2, CELL // 2)))) + ")"
+
+
+def gridded(s, d):
+    return guided.grid(roles.observations_xy(s, d), CELL, WIDTH, HEIGHT)
+
+
+@register("grid_cells", f"WITH {GRID} SELECT view, point, x, y, g::BIGINT AS g, cx, cy FROM gridded")
+def grid_cells(s, d):
+    return gridded(s, d).select("view", "point", "x", "y", F.col("g").cast("long").alias("g"), "cx", "cy")
+
+
+@register("grid_counts", f"WITH {GRID} SELECT view, g::BIGINT AS g, cx, cy, count(*)::BIGINT AS n FROM gridded GROUP BY ALL")
+def grid_counts(s, d):
+    return guided.buckets(gridded(s, d), "view").withColumn("g", F.col("g").cast("long"))
+
+
+NEAR = "[" + ", ".join(f"{{'d': (x - (floor((x - {ox})/{CELL}.0)*{CELL} + {ox} + {CELL // 2}))^2 + (y - (floor((y - {oy})/{CELL}.0)*{CELL} + {oy} + {CELL // 2}))^2, 'g': {g}, 'cx': floor((x - {ox})/{CELL}.0)::BIGINT, 'cy': floor((y - {oy})/{CELL}.0)::BIGINT}}" for g, (ox, oy) in enumerate(((0, 0), (CELL // 2, 0), (0, CELL // 2), (CELL // 2, CELL // 2)))) + "]"
+
+
+@register("nearest_cell", f"WITH {OBS_XY}, n AS (SELECT view, point, x, y, list_min({NEAR}) AS m FROM obs) SELECT view, point, x, y, m.g::BIGINT AS g, m.cx AS cx, m.cy AS cy FROM n")
+def nearest_cell(s, d):
+    g, cx, cy = guided.nearest_cell(F.col("x").cast("double"), F.col("y").cast("double"), CELL)
+    return roles.observations_xy(s, d).select("view", "point", "x", "y", g.cast("long").alias("g"), cx.alias("cx"), cy.alias("cy"))
+
+
+LINES = f"{OBS_XY}, ln AS (SELECT DISTINCT view, point, x, y, view + 1 AS target_view, 0.0::DOUBLE*x + 0.0::DOUBLE*y + 0.3::DOUBLE AS la, 0.0::DOUBLE*x + 0.0::DOUBLE*y - 1.0::DOUBLE AS lb, 0.001::DOUBLE*x + 1.0::DOUBLE*y + 5.0::DOUBLE AS lc FROM obs)"
+
+
+@register("epi_distance_filter", f"""WITH {LINES}, t AS (SELECT ln.view, ln.point, o.x AS tx, o.y AS ty, abs(la*o.x + lb*o.y + lc)/sqrt(la*la + lb*lb) AS dist FROM ln JOIN obs o ON o.view = ln.target_view AND o.point = ln.point)
+SELECT view, point, tx, ty, round(dist, 6) AS dist FROM t WHERE dist < 100""")
+def epi_distance_filter(s, d):
+    o = roles.observations_xy(s, d)
+    ln = guided.lines(o.distinct(), FUND).withColumn("target_view", F.col("view") + 1)
+    t = o.select(F.col("view").alias("target_view"), "point", F.col("x").alias("tx"), F.col("y").alias("ty"))
+    dist = geometry.line_distance(F.col("la"), F.col("lb"), F.col("lc"), F.col("tx"), F.col("ty"))
+    return ln.join(t, ["target_view", "point"]).withColumn("dist", dist).where("dist < 100").select("view", "point", "tx", "ty", F.round("dist", 6).alias("dist"))
+
+
+BANDED = f"""{LINES}, inside AS (SELECT * FROM obs WHERE x BETWEEN {CELL} AND {WIDTH - CELL} AND y BETWEEN {CELL} AND {HEIGHT - CELL}),
+gridded AS (""" + GRID.split("gridded AS (")[1] + f""",
+smp AS (SELECT view, point, target_view, la, lb, lc, sx::DOUBLE AS x, -(la*sx + lc)/lb AS y FROM ln, (SELECT unnest(generate_series(0, {WIDTH - 1}, {STEP})) AS sx)),
+cl AS (SELECT DISTINCT view, point, target_view, la, lb, lc, m.g AS g, m.cx AS cx, m.cy AS cy FROM (SELECT *, list_min({NEAR}) AS m FROM smp WHERE y BETWEEN 0 AND {HEIGHT - 1})),
+hit AS (SELECT DISTINCT cl.view, cl.point, k.point AS t_point, k.x AS t_x, k.y AS t_y, abs(la*k.x + lb*k.y + lc)/sqrt(la*la + lb*lb) AS dist
+        FROM cl JOIN gridded k ON k.view = cl.target_view AND k.g = cl.g AND k.cx = cl.cx AND k.cy = cl.cy)"""
+
+
+@register("band_join", f"WITH {BANDED} SELECT view, point, count(*)::BIGINT AS n, min(t_point) AS first_point, round(min(dist), 6) AS nearest FROM hit WHERE dist < {BAND} GROUP BY view, point")
+def band_join(s, d):
+    o = roles.observations_xy(s, d)
+    ln = guided.lines(o.distinct(), FUND).withColumn("target_view", F.col("view") + 1).groupBy("view", "point", "target_view", "la", "lb", "lc").agg(F.count("*").alias("_n")).drop("_n")
+    hit = guided.band_candidates(ln, gridded(s, d), CELL, STEP, WIDTH, HEIGHT, BAND, ["view", "point"], ["point", "x", "y"])
+    return hit.groupBy("view", "point").agg(F.count("*").alias("n"), F.min("t_point").alias("first_point"), F.round(F.min("dist"), 6).alias("nearest"))
+
+
+@register("line_rectangle", f"""WITH {OBS_XY}, l AS (SELECT DISTINCT x, y, (x - 500) / 100.0::DOUBLE AS a, (y - 300) / 100.0::DOUBLE AS b, x * 1.0::DOUBLE AS c FROM obs),
+h AS (SELECT x, y, list_distinct(list_filter([
+  CASE WHEN b <> 0 AND -(a*0.0 + c)/b BETWEEN 0 AND {HEIGHT}.0 THEN {{'x': 0.0::DOUBLE, 'y': (-(a*0.0 + c)/b)::DOUBLE}} END,
+  CASE WHEN b <> 0 AND -(a*{WIDTH}.0 + c)/b BETWEEN 0 AND {HEIGHT}.0 THEN {{'x': {WIDTH}.0::DOUBLE, 'y': (-(a*{WIDTH}.0 + c)/b)::DOUBLE}} END,
+  CASE WHEN a <> 0 AND -(b*0.0 + c)/a BETWEEN 0 AND {WIDTH}.0 THEN {{'x': (-(b*0.0 + c)/a)::DOUBLE, 'y': 0.0::DOUBLE}} END,
+  CASE WHEN a <> 0 AND -(b*{HEIGHT}.0 + c)/a BETWEEN 0 AND {WIDTH}.0 THEN {{'x': (-(b*{HEIGHT}.0 + c)/a)::DOUBLE, 'y': {HEIGHT}.0::DOUBLE}} END], lambda p: p IS NOT NULL)) AS f FROM l)
+SELECT x, y, len(f)::BIGINT AS hits FROM h""")
+def line_rectangle(s, d):
+    o = roles.observations_xy(s, d).select("x", "y").distinct()
+    a, b, c = (F.col("x") - 500) / 100.0, (F.col("y") - 300) / 100.0, F.col("x") * 1.0
+    hits = []
+    for x in (0.0, float(WIDTH)):
+        y = F.when(b != 0, -(a * x + c) / F.nullif(b, F.lit(0.0)))
+        hits.append(F.when(y.between(0.0, float(HEIGHT)), F.struct(F.lit(x).alias("x"), y.alias("y"))))
+    for y in (0.0, float(HEIGHT)):
+        x = F.when(a != 0, -(b * y + c) / F.nullif(a, F.lit(0.0)))
+        hits.append(F.when(x.between(0.0, float(WIDTH)), F.struct(x.alias("x"), F.lit(y).alias("y"))))
+    return o.select("x", "y", F.size(F.array_distinct(F.filter(F.array(*hits), lambda p: p.isNotNull()))).cast("long").alias("hits"))
+
+
+CLUSTER = f"""{OBS_XY}, e AS (SELECT DISTINCT view, x AS x1, y AS y1, x + y % 5 AS x2, y + x % 3 AS y2 FROM obs),
+f AS (SELECT *, CASE WHEN abs(x1 - lag(x1) OVER w) < 2 AND abs(y1 - lag(y1) OVER w) < 2 AND abs(x2 - lag(x2) OVER w) < 2 AND abs(y2 - lag(y2) OVER w) < 2 THEN 0 ELSE 1 END AS new
+      FROM e WINDOW w AS (PARTITION BY view ORDER BY x1, y1, x2, y2)),
+c AS (SELECT *, (sum(new) OVER (PARTITION BY view ORDER BY x1, y1, x2, y2 ROWS UNBOUNDED PRECEDING))::BIGINT AS cluster FROM f)"""
+
+
+def ends(s, d):
+    x, y = F.col("x"), F.col("y")
+    return roles.observations_xy(s, d).select("view", x.alias("x1"), y.alias("y1"), (x + y % 5).alias("x2"), (y + x % 3).alias("y2")).distinct()
+
+
+@register("line_clusters", f"WITH {CLUSTER} SELECT view, x1, y1, x2, y2, cluster FROM c")
+def line_clusters(s, d):
+    return guided.line_clusters(ends(s, d), "view", ["x1", "y1", "x2", "y2"])
+
+
+@register("cluster_heads", f"""WITH {CLUSTER} SELECT view, cluster, x1, y1, x2, y2 FROM (SELECT *, row_number() OVER (PARTITION BY view, cluster ORDER BY x1, y1, x2, y2) AS r FROM c) WHERE r = 1""")
+def cluster_heads(s, d):
+    return stats.latest_per_group(line_clusters(s, d), ["view", "cluster"], ["x1", "y1", "x2", "y2"]).select("view", "cluster", "x1", "y1", "x2", "y2")
+
+
+@register("anchor_clusters")
+def anchor_clusters(s, d):
+    return guided.anchor_clusters(ends(s, d), "view", ["x1", "y1", "x2", "y2"])
+
+
+# ---- angles, projections, errors -----------------------------------------------------------------
+
+POINT = "pt AS (SELECT p_partkey AS point, (p_partkey % 97)::DOUBLE AS px, (p_partkey % 89)::DOUBLE AS py, -100.0::DOUBLE - p_partkey % 53 AS pz FROM part)"
+CENTER = "ce AS (SELECT s_suppkey AS view, (s_suppkey % 41) * 10.0::DOUBLE AS cx, (s_suppkey % 31) * 10.0::DOUBLE AS cy, (s_suppkey % 7) * 1.0::DOUBLE AS cz FROM supplier)"
+RAYS = f"{OBS}, {POINT}, {CENTER}, ray AS (SELECT DISTINCT point, view, px - cx AS rx, py - cy AS ry, pz - cz AS rz FROM obs JOIN pt USING (point) JOIN ce USING (view))"
+ANGLE = "acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (a.rx*b.rx + a.ry*b.ry + a.rz*b.rz) / (sqrt(a.rx*a.rx + a.ry*a.ry + a.rz*a.rz) * sqrt(b.rx*b.rx + b.ry*b.ry + b.rz*b.rz))))) * 180.0 / 3.1416"
+
+
+def positions(s, d):
+    p, v = F.col("p_partkey"), F.col("s_suppkey")
+    pt = table(s, d, "part").select(p.alias("point"), (p % 97).cast("double").alias("px"), (p % 89).cast("double").alias("py"), (-100.0 - p % 53).alias("pz"))
+    ce = table(s, d, "supplier").select(v.alias("view"), (v % 41 * 10.0).alias("cx"), (v % 31 * 10.0).alias("cy"), (v % 7 * 1.0).alias("cz"))
+    return pt, ce
+
+
+def rays(s, d):
+    pt, ce = positions(s, d)
+    o = roles.observations(s, d).distinct().join(pt, "point").join(ce, "view")
+    return o.select("point", "view", (F.col("px") - F.col("cx")).alias("rx"), (F.col("py") - F.col("cy")).alias("ry"), (F.col("pz") - F.col("cz")).alias("rz"))
+
+
+def ray_pairs(s, d, on):
+    r = rays(s, d)
+    a, b = (r.select("point", *[F.col(c).alias(f"{n}_{c}") for c in ("view", "rx", "ry", "rz")]) for n in "ab")
+    angle = geometry.angle([F.col(f"a_{c}") for c in ("rx", "ry", "rz")], [F.col(f"b_{c}") for c in ("rx", "ry", "rz")])
+    return a.join(b, "point").where("a_view < b_view").withColumn("angle", angle)
+
+
+@register("max_ray_angle", f"WITH {RAYS} SELECT a.point, round(max({ANGLE}), 6) AS angle FROM ray a JOIN ray b ON a.point = b.point AND a.view < b.view GROUP BY a.point HAVING max({ANGLE}) >= 2.0")
+def max_ray_angle(s, d):
+    return ray_pairs(s, d, "point").groupBy("point").agg(F.max("angle").alias("m")).where("m >= 2.0").select("point", F.round("m", 6).alias("angle"))
+
+
+@register("average_angle", f"WITH {RAYS} SELECT a.view AS v1, b.view AS v2, count(*)::BIGINT AS n, round(avg({ANGLE}), 6) AS angle FROM ray a JOIN ray b ON a.point = b.point AND a.view < b.view GROUP BY a.view, b.view HAVING count(*) >= 100")
+def average_angle(s, d):
+    return ray_pairs(s, d, "point").groupBy(F.col("a_view").alias("v1"), F.col("b_view").alias("v2")).agg(F.count("*").alias("n"), F.round(F.avg("angle"), 6).alias("angle")).where("n >= 100")
+
+
+@register("projection", f"""WITH {OBS}, {POINT}, {CENTER}, q AS (SELECT DISTINCT view, point, px - cx AS x, py - cy AS y, pz - cz AS z, 500.0::DOUBLE + view AS f FROM obs JOIN pt USING (point) JOIN ce USING (view)),
+r AS (SELECT *, -x/z AS u, -y/z AS v FROM q) SELECT view, point, round(f*(1 - 0.01::DOUBLE*(u*u+v*v) + 0.001::DOUBLE*(u*u+v*v)*(u*u+v*v))*u, 6) AS ix, round(f*(1 - 0.01::DOUBLE*(u*u+v*v) + 0.001::DOUBLE*(u*u+v*v)*(u*u+v*v))*v, 6) AS iy, z <= 0 AS front FROM r""")
+def projection(s, d):
+    pt, ce = positions(s, d)
+    o = roles.observations(s, d).distinct().join(pt, "point").join(ce, "view")
+    eye = [F.lit(float(i == j)) for i in range(3) for j in range(3)]
+    x, y, front = geometry.project(eye, [F.lit(0.0)] * 3, 500.0 + F.col("view"), F.lit(-0.01), F.lit(0.001), [F.col(f"p{c}") - F.col(f"c{c}") for c in "xyz"])
+    return o.select("view", "point", F.round(x, 6).alias("ix"), F.round(y, 6).alias("iy"), front.alias("front"))
+
+
+@register("cheirality", f"""WITH {OBS}, {POINT}, {CENTER} SELECT point, bool_and(pz + 120 - cz * 3 <= 0) AS front, count(*)::BIGINT AS n FROM obs JOIN pt USING (point) JOIN ce USING (view) GROUP BY point""")
+def cheirality(s, d):
+    pt, ce = positions(s, d)
+    return roles.observations(s, d).join(pt, "point").join(ce, "view").groupBy("point").agg(F.bool_and(F.col("pz") + 120 - F.col("cz") * 3 <= 0).alias("front"), F.count("*").alias("n"))
+
+
+@register("p95_error", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL)
+SELECT event_type, n::BIGINT AS n, value FROM r WHERE rn - 1 = least(floor(n * 0.95::DOUBLE + 0.5)::BIGINT, n - 1)""")
+def p95_error(s, d):
+    return stats.order_statistic(table(s, d, "events"), "event_type", "value")
+
+
+@register("error_hist", """WITH s AS (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events GROUP BY event_type)
+SELECT event_type, CASE WHEN hi > lo THEN least(floor((value - lo) / (hi - lo) * 10)::BIGINT, 9) ELSE 0 END AS bin, count(*)::BIGINT AS n FROM events JOIN s USING (event_type) WHERE value IS NOT NULL GROUP BY ALL""")
+def error_hist(s, d):
+    return stats.histogram(table(s, d, "events").select("event_type", "value"), "event_type", "value")
+
+
+@register("rms_error", "SELECT event_type, count(value)::BIGINT AS n, round(avg(value), 6) AS mean, round(sqrt(sum(value*value)/count(value)), 6) AS rms, min(value) AS lo, max(value) AS hi FROM events GROUP BY event_type")
+def rms_error(s, d):
+    return stats.error_summary(table(s, d, "events"), "event_type", "value")
+
+
+# ---- strings and logs ----------------------------------------------------------------------------
+
+
+@register("log_stats", r"""WITH v AS (SELECT TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) AS n FROM pages)
+SELECT sum(n)::BIGINT AS total, round(avg(n), 6) AS mean, max(n) AS most, count(n)::BIGINT AS n FROM v""")
+def log_stats(s, d):
+    n = F.regexp_extract("url", "/([0-9]+)", 1).try_cast("long")
+    return table(s, d, "pages").select(n.alias("v")).agg(F.sum("v").alias("total"), F.round(F.avg("v"), 6).alias("mean"), F.max("v").alias("most"), F.count("v").alias("n"))
+
+
+@register("range_expand", """WITH r AS (SELECT s_suppkey, unnest(CASE WHEN s_suppkey % 2 = 0 THEN generate_series(s_suppkey, s_suppkey + 3) ELSE generate_series(s_suppkey + 2, s_suppkey, -1) END) AS id FROM supplier)
+SELECT s_suppkey, id FROM r UNION ALL SELECT s_suppkey, 7 FROM supplier""")
+def range_expand(s, d):
+    k = F.col("s_suppkey")
+    text = F.concat(k.cast("string"), F.when(k % 2 == 0, F.concat(F.lit("-"), (k + 3).cast("string"))).otherwise("").cast("string"))
+    text = F.when(k % 2 == 0, text).otherwise(F.concat((k + 2).cast("string"), F.lit("-"), k.cast("string")))
+    return table(s, d, "supplier").select("s_suppkey", F.explode(strings.expand_ranges(F.concat(text, F.lit(", 7")))).alias("id"))
+
+
+@register("tokenize", "WITH t AS (SELECT p_partkey, list_filter(string_split(p_name, ' '), lambda x: x <> '') AS w FROM part) SELECT p_partkey, len(w)::BIGINT AS n, w[1] AS first, w[-1] AS last FROM t")
+def tokenize(s, d):
+    w = strings.tokenize(F.col("p_name"))
+    return table(s, d, "part").select("p_partkey", w.alias("w")).select("p_partkey", F.size("w").cast("long").alias("n"), F.get("w", F.lit(0)).alias("first"), F.try_element_at("w", F.lit(-1)).alias("last"))
+
+
+@register("basename_pad", r"""SELECT page_id, string_split(url, '/')[-1] AS segment, regexp_replace(string_split(url, '/')[-1], '\.[^.]*$', '') AS base, substr(lpad(page_id::VARCHAR, greatest(4, length(page_id::VARCHAR))::INTEGER, '0'), 1, 4) AS padded,
+regexp_replace(url || '.jpg', '(?i)\.jpe?g$', '.key') AS key_path FROM pages""")
+def basename_pad(s, d):
+    u = F.col("url")
+    return table(s, d, "pages").select("page_id", strings.last_segment(u).alias("segment"), strings.base_name(u).alias("base"), strings.pad4(F.col("page_id")).alias("padded"), strings.key_path(F.concat(u, F.lit(".jpg"))).alias("key_path"))
+
+
+@register("user_and_id", r"""SELECT s_suppkey, string_split(replace(s_name, '#', '_'), '_')[1] AS user, regexp_extract(replace(s_name, '#', '_'), '^[^_]*_(.*)$', 1) AS id FROM supplier""")
+def user_and_id(s, d):
+    u, i = strings.user_and_id(F.regexp_replace("s_name", "#", "_"))
+    return table(s, d, "supplier").select("s_suppkey", u.alias("user"), i.alias("id"))
+
+
+@register("keys_by_scale", """SELECT l_suppkey AS image, l_extendedprice AS scale, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) - 1 AS key_id FROM lineitem""")
+def keys_by_scale(s, d):
+    w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey")
+    return table(s, d, "lineitem").select(F.col("l_suppkey").alias("image"), F.col("l_extendedprice").alias("scale"), (F.row_number().over(w) - 1).cast("long").alias("key_id"))
+
+
+# ---- numeric kernels (rows only) -----------------------------------------------------------------
+
+
+def synthetic(s, d):
+    """Cameras on a row that look at the role points, exact projections of every observation."""
+    pt, ce = positions(s, d)
+    eye = F.array(*[F.lit(float(i == j)) for i in range(3) for j in range(3)])
+    cams = ce.select("view", (500.0 + F.col("view")).alias("f"), F.lit(-0.01).alias("k1"), F.lit(0.001).alias("k2"), eye.alias("r"), F.array(-F.col("cx"), -F.col("cy"), -F.col("cz")).alias("t"))
+    obs = projection(s, d).select(F.col("point").alias("track"), "view", F.col("ix").alias("x"), F.col("iy").alias("y"))
+    return pt, cams, obs
+
+
+@register("triangulate")
+def triangulate(s, d):
+    _, cams, obs = synthetic(s, d)
+    return kernels.triangulate_tracks(obs, cams)
+
+
+@register("reprojection_error")
+def reprojection_error(s, d):
+    _, cams, obs = synthetic(s, d)
+    return kernels.triangulate_tracks(obs, cams, keep_all=True).select("track", "n", "err")
+
+
+@register("register_images")
+def register_images(s, d):
+    pt, _, obs = synthetic(s, d)
+    return kernels.register_images(obs.withColumnRenamed("track", "point").join(pt, "point").select("view", "x", "y", "px", "py", "pz"), rounds=64)
+
+
+@register("estimate_fundamental")
+def estimate_fundamental(s, d):
+    _, _, obs = synthetic(s, d)
+    a = obs.select("track", F.col("view").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"))
+    b = obs.select("track", F.col("view").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"))
+    return kernels.estimate_fundamental(a.join(b, "track").where("b = a + 1").drop("track"), rounds=64)
+
+
+@register("knn_blocked")
+def knn_blocked(s, d):
+    return matching.ratio_test(matching.nearest_two_blocked(roles.keys(s, d), pairs.all_pairs(roles.images(s, d))), JOIN_RATIO)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
