@@ -99,7 +99,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
     component = linked.join(least, "root").select("fp", F.col("component_id").alias("linked_id"))
     classes = nodes.join(component, "fp", "left").select("fp", F.coalesce("linked_id", "rep").alias("component_id"))
-    return rows.join(classes, "fp")
+    # stored, so that both sides of the join are plain exchanges, of which a hot fingerprint's can be split
+    return rows.join(stored(classes, "simhash-classes"), "fp")
 
 
 def hexed(fp):
