@@ -36,7 +36,7 @@ CAPACITY = 4096
 END = 1
 SALTS = 64
 #: Distinct words whose ids a worker remembers; beyond it starts anew.
-CACHE = 1_000_000
+CACHE = 600_000
 #: ASCII signs that are neither letters, digits nor white space, without the apostrophe.
 MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
