@@ -1,5 +1,5 @@
 import pytest
-from conftest import plain
+from rows import plain
 
 from vistrack import catalog
 

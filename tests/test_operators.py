@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from conftest import plain
+from rows import plain
 
 from vistrack.functions import geometry, kernels, strings
 from vistrack.operators import guided, localize, matching, model, pairs, tracks
