@@ -203,6 +203,21 @@ def cuts_of(samples: np.ndarray) -> list[int]:
     return cuts
 
 
+def shots_of(samples: np.ndarray) -> list[tuple[int, int]]:
+    """(first frame, frame after the last) of each shot."""
+    if not len(samples):
+        return []
+    cuts = cuts_of(samples)
+    return list(zip(cuts, [*cuts[1:], len(samples)], strict=True))
+
+
+def feature_of(samples: np.ndarray) -> str:
+    """Frames, first frames of the shots, most frequent grey bin of each shot."""
+    shots = shots_of(samples)
+    tops = [int(np.bincount(samples[i:j].ravel() // (256 // BINS), minlength=BINS).argmax()) for i, j in shots]
+    return f"frames={len(samples)};shots={','.join(str(i) for i, _ in shots)};grey={','.join(map(str, tops))}"
+
+
 def _payload(text: str | None) -> tuple[bytes, int]:
     raw = (text or "").encode("utf-8", "surrogatepass")
     return raw + b"\xff" * (FRAME - len(raw) if not raw else -len(raw) % FRAME), len(raw)
@@ -273,10 +288,7 @@ def decode(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
 
         for b in batches:
             for k, samples in _decoded(b, media_col):
-                cuts = cuts_of(samples) if len(samples) else []
-                tops = [int(np.bincount(samples[i:j].ravel() // (256 // BINS), minlength=BINS).argmax()) for i, j in zip(cuts, [*cuts[1:], len(samples)], strict=True)]
-                feature = f"frames={len(samples)};shots={','.join(map(str, cuts))};grey={','.join(map(str, tops))}"
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), b.column(1).slice(k, 1), pa.array([samples.tobytes()], pa.binary()), b.column(2).slice(k, 1), pa.array([feature])], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), b.column(1).slice(k, 1), pa.array([samples.tobytes()], pa.binary()), b.column(2).slice(k, 1), pa.array([feature_of(samples)])], names=names)
 
     names = [id_col, "n_bytes", "payload", "media", "feature"]
     schema = T.StructType([media.schema[id_col], T.StructField("n_bytes", T.LongType()), T.StructField("payload", T.BinaryType()), T.StructField("media", T.BinaryType()), T.StructField("feature", T.StringType())])
@@ -293,10 +305,8 @@ def digest(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
             rows = []
             stored = b.column(2)
             for k, samples in _decoded(b, "media"):
-                cuts = cuts_of(samples) if len(samples) else []
-                tops = [int(np.bincount(samples[i:j].ravel() // (256 // BINS), minlength=BINS).argmax()) for i, j in zip(cuts, [*cuts[1:], len(samples)], strict=True)]
                 raw, m = samples.tobytes(), stored[k].as_py() or b""
-                rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(m), hashlib.sha256(m).hexdigest(), f"frames={len(samples)};shots={','.join(map(str, cuts))};grey={','.join(map(str, tops))}"))
+                rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(samples))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True))], names=schema.names)
@@ -315,8 +325,7 @@ def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
         for b in batches:
             at, rows = [], []
             for k, samples in _decoded(b, "media"):
-                cuts = cuts_of(samples) if len(samples) else []
-                for c, (i, j) in enumerate(zip(cuts, [*cuts[1:], len(samples)], strict=True)):
+                for c, (i, j) in enumerate(shots_of(samples)):
                     at.append(k)
                     rows.append((c, i, j - i, i / FPS, j / FPS))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5

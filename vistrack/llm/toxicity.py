@@ -92,6 +92,16 @@ class Model:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
+def balanced(z: np.ndarray, share: float) -> np.ndarray:
+    """Logistic values of z, shifted so that their mean is the share of class 1: agreement among voters
+    may move rows between the classes, not the size of the classes."""
+    z, lo, hi = np.clip(z, -40, 40), -80.0, 80.0
+    for _ in range(50):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if (1 / (1 + np.exp(-(z + mid)))).mean() > share else (mid, hi)
+    return 1 / (1 + np.exp(-(z + lo)))
+
+
 def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of class 1 per row, accuracy of each voter's votes (of -1, of 1), say of each voter.
 
@@ -107,7 +117,7 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int
         p_down = (down.T @ post + prior) / (down.sum(0) + 1)
         odds = lambda p: np.log(p) - np.log1p(-p) - base
         z = base + up @ (say * odds(p_up)) + down @ (say * odds(p_down))
-        new = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        new = balanced(z, prior)
         if step in (5, 15):  # correlations that are left given the class
             corr = np.zeros((k, k))
             for own in (new > 0.5, new <= 0.5):
