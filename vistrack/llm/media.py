@@ -306,7 +306,7 @@ def digest(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
             stored = b.column(2)
             for k, samples in _decoded(b, "media"):
                 raw, m = samples.tobytes(), stored[k].as_py() or b""
-                rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(samples))
+                rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(samples)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True))], names=schema.names)
