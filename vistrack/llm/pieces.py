@@ -28,9 +28,11 @@ from pyspark.sql import types as T
 
 from vistrack.worker import kept
 
-CACHE = 400_000
+CACHE = 250_000
+#: Rows worked on at once.
+SLICE = 500
 #: Pairs of neighboring pieces whose check is remembered.
-PAIRS = 300_000
+PAIRS = 200_000
 BLANK = "▁"
 #: A stretch starts with all the blanks before it.
 STRETCH = re.compile(r" +[^ ]*|[^ ]+")
@@ -277,42 +279,63 @@ class Codec:
         return b"".join([text[i] for i in np.frombuffer(ids, "<u4").tolist()])[1:].decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_chars, ids (little-endian unsigned 32-bit)."""
-    path = path or model_path()
+def encoded(batches, path: str, id_col: str):
+    """Batches of (id, text) as batches of (id, n_chars, ids), a few hundred rows each."""
+    import pyarrow as pa
 
-    def run(batches):
-        import pyarrow as pa
-
-        codec = kept(f"pieces {path}", lambda: Codec(path))
-        for b in batches:
+    codec = kept(f"pieces {path}", lambda: Codec(path))
+    for whole in batches:
+        for i in range(0, whole.num_rows, SLICE):
+            b = whole.slice(i, SLICE)
             texts = [t.as_py() or "" for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([codec.encode(t) for t in texts], pa.binary())], names=[id_col, "n_chars", "ids"])
 
+
+def decoded(batches, path: str):
+    """Batches with a column ids, and the decoded text behind their columns."""
+    import pyarrow as pa
+
+    codec = kept(f"pieces {path}", lambda: Codec(path))
+    for whole in batches:
+        for i in range(0, whole.num_rows, SLICE):
+            b = whole.slice(i, SLICE)
+            ids = b.column(b.schema.get_field_index("ids"))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([codec.decode(x.as_py() or b"") for x in ids], pa.string())], names=[*b.schema.names, "text"])
+
+
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_chars, ids (little-endian unsigned 32-bit)."""
+    path = path or model_path()
     schema = T.StructType([docs.schema[id_col], T.StructField("n_chars", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return docs.select(id_col, F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).cast("string").alias("t")).mapInArrow(lambda batches: encoded(batches, path, id_col), schema)
 
 
-def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id") -> DataFrame:
+def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     """The encoded rows with the decoded text."""
     path = path or model_path()
+    return rows.mapInArrow(lambda batches: decoded(batches, path), T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())]))
 
-    def run(batches):
-        import pyarrow as pa
-
-        codec = kept(f"pieces {path}", lambda: Codec(path))
-        for b in batches:
-            ids = b.column(b.schema.get_field_index("ids"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([codec.decode(i.as_py() or b"") for i in ids], pa.string())], names=[*b.schema.names, "text"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())]))
+def digest(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_chars, n_ids, ids_crc32 and the SHA-1 of the text decoded from the ids. Both ways
+    run in one worker, so that neither ids nor texts travel between processes."""
+    path = path or model_path()
 
+    def run(batches):
+        import hashlib
+        import zlib
 
-def digest(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return rows.select(id_col, (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.length("text").cast("long").alias("n_chars"), F.sha1(F.col("text").cast("binary")).alias("decoded_sha1"))
+        import pyarrow as pa
 
+        for b in decoded(encoded(batches, path, id_col), path):
+            ids = [x.as_py() for x in b.column(2)]
+            sums = pa.array([zlib.crc32(x) for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) // 4 for x in ids], pa.int64()), sums, pa.array([hashlib.sha1(t.as_py().encode()).hexdigest() for t in b.column(3)])], names=[id_col, "n_chars", "n_ids", "ids_crc32", "decoded_sha1"])
 
-def query(spark, sf_dir: str) -> DataFrame:
-    return digest(decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))))
+    long = T.LongType()
+    schema = T.StructType([docs.schema[id_col], *(T.StructField(n, long) for n in ("n_chars", "n_ids", "ids_crc32")), T.StructField("decoded_sha1", T.StringType())])
+    return docs.select(id_col, F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema)
 
 
+def query(spark, sf_dir: str) -> DataFrame:
+    return digest(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
