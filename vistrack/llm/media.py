@@ -29,6 +29,8 @@ FRAME = SIDE * SIDE
 FPS = 25
 #: Frames coded at once.
 CHUNK = 6144
+#: Rows taken up at once.
+SLICE = 1000
 #: Fixed values of the JPEG standard (table K.3): number of codes of each length 1..16, categories.
 DC_BITS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)
 DC_VALUES = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11)
@@ -240,13 +242,13 @@ def _batched(frames, function):
         yield function(frames[i : i + CHUNK])
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, n_bytes, media): the text's payload as an AVI file in a binary column."""
+def encoded(batches, id_col: str):
+    """Batches of (id, text) as batches of (id, n_bytes, media) of about CHUNK frames."""
+    import pyarrow as pa
 
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
+    for whole in batches:
+        for start in range(0, whole.num_rows, SLICE):
+            b = whole.slice(start, SLICE)
             loads = [_payload(t.as_py()) for t in b.column(1)]
             for i, j in _groups([len(p) // FRAME for p, _ in loads]):
                 part = loads[i:j]
@@ -258,8 +260,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     at += len(p) // FRAME
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([n for _, n in part], pa.int64()), pa.array(out, pa.binary())], names=[id_col, "n_bytes", "media"])
 
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, n_bytes, media): the text's payload as an AVI file in a binary column."""
     schema = T.StructType([docs.schema[id_col], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
-    return docs.select(id_col, F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).cast("string").alias("t")).mapInArrow(lambda batches: encoded(batches, id_col), schema)
 
 
 def _decoded(batch, media_col: str):
@@ -295,25 +300,27 @@ def decode(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
     return media.select(id_col, "n_bytes", F.col(media_col).alias("media")).mapInArrow(run, schema)
 
 
-def digest(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """decode() reduced to sizes and digests where the bytes are, so that payloads do not travel."""
+def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: sizes and digests of the payload read back from the stored media, and its feature. Media
+    are written and read in one worker, so that they do not travel between processes."""
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in encoded(batches, id_col):
             rows = []
             stored = b.column(2)
             for k, samples in _decoded(b, "media"):
-                raw, m = samples.tobytes(), stored[k].as_py() or b""
+                raw, m = samples.tobytes(), stored[k].as_py()
                 rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(samples)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True))], names=names)
 
     long, text = T.LongType(), T.StringType()
-    schema = T.StructType([media.schema[id_col], *(T.StructField(n, t) for n, t in (("n_bytes", long), ("payload_bytes", long), ("payload_sha256", text), ("tail_crc32", long), ("media_bytes", long), ("media_sha256", text), ("feature", text)))])
-    return media.select(id_col, "n_bytes", F.col(media_col).alias("media")).mapInArrow(run, schema)
+    schema = T.StructType([docs.schema[id_col], *(T.StructField(n, t) for n, t in (("n_bytes", long), ("payload_bytes", long), ("payload_sha256", text), ("tail_crc32", long), ("media_bytes", long), ("media_sha256", text), ("feature", text)))])
+    names = schema.names
+    return docs.select(id_col, F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema)
 
 
 def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -337,4 +344,4 @@ def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return digest(encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    return digest(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
