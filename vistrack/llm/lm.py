@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vistrack.session import cut, join_checked
+from vistrack.session import cut, join_checked, stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words of the shared vocabulary; cells for bigram counts; weights of bigram, unigram and uniform.
@@ -66,7 +66,7 @@ def numbers(text: str, vocabulary: dict[str, int]) -> np.ndarray:
 
 
 def vocabulary_of(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
-    """The most frequent words of all texts, ties in word order."""
+    """The most frequent words of all texts, VOCABULARY at most; of equally frequent words all or none."""
 
     def count(batches):
         import pyarrow as pa
@@ -86,8 +86,16 @@ def vocabulary_of(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
         yield out()
 
     counts = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "w string, n long")
-    top = counts.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(VOCABULARY).collect()
-    return {r["w"]: i for i, r in enumerate(top)}
+    counts = stored(counts.groupBy("w").agg(F.sum("n").alias("n")), "vocabulary")
+    # the cut comes from the counts of counts, so only words above it reach the driver
+    total, least = 0, None
+    for r in sorted(counts.groupBy("n").count().collect(), key=lambda r: -r["n"]):
+        total += r["count"]
+        if total > VOCABULARY:
+            least = r["n"]
+            break
+    top = counts.where(F.col("n") > least) if least else counts
+    return {r["w"]: i for i, r in enumerate(sorted(top.collect(), key=lambda r: (-r["n"], r["w"])))}
 
 
 def train(docs: DataFrame, is_target: str, text_col: str = "text") -> tuple[dict[str, int], Model, Model]:
