@@ -16,13 +16,13 @@ def order_statistic(rows: DataFrame, by: str, value: str, share: float = 0.95) -
     ranked, _ = global_rank(rows.where(F.col(by).isNotNull() & F.col(value).isNotNull()).select(by, value), by, value)
     spans = ranked.groupBy(by).agg(F.min("rn").alias("lo"), F.count("*").alias("n"))
     at = F.col("lo") + F.least(F.floor(F.col("n") * share + 0.5), F.col("n") - 1)
-    return ranked.join(F.broadcast(spans.withColumn("rn", at)), [by, "rn"]).select(by, "n", value)
+    return ranked.join(spans.withColumn("rn", at), [by, "rn"]).select(by, "n", value)
 
 
 def histogram(rows: DataFrame, by: str, value: str, bins: int = 10) -> DataFrame:
     """(by, bin, n): equal-width bins from the least to the largest value of a group."""
     span = rows.groupBy(by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    v = rows.join(F.broadcast(span), by)
+    v = rows.join(span, by)
     b = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0)
     return v.where(F.col(value).isNotNull()).groupBy(by, b.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 

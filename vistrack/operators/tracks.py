@@ -68,6 +68,6 @@ def k_cover(obs: DataFrame, cameras: DataFrame, k: int) -> DataFrame:
     """Points that cover every valid view k times, greedily by (track length, id) descending: a point
     stays if it is among the first k of one of its views. Length and rank count repeated rows."""
     size = obs.groupBy("point").agg(F.count("*").alias("len"))
-    per = obs.join(F.broadcast(cameras.where("valid").select("view")), "view").join(size, "point")
+    per = obs.join(cameras.where("valid").select("view"), "view").join(size, "point")
     w = Window.partitionBy("view").orderBy(F.desc("len"), F.desc("point"))
     return per.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select("point", "len").distinct()
