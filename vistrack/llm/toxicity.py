@@ -15,7 +15,7 @@ Only labels of rows whose crc32(doc_id as text) mod 5 is not 0 are read. The sco
 text alone.
 
 Edge cases: null and empty texts get the score of no features; without any labelled row of both
-classes every score is the base rate, below 0.5; null ids are held_out = null; repeated rows get
+classes, or without a telling word, every score is 1 / (1 + e^4), below 0.5; null ids are held_out = null; repeated rows get
 equal scores; labels given twice count twice.
 """
 
