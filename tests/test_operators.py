@@ -180,6 +180,25 @@ def test_triangulation_recovers_points():
         assert np.abs(p - x[j]).max() < 0.02 and err < 1 and front and angle > 30
 
 
+def test_tracks_are_triangulated_in_batches(spark):
+    x, r, t, f, xy = scene(noise=0.2)
+    cams = [(v, f, -0.02, 0.001, r[v].ravel().tolist(), t[v].tolist()) for v in range(len(r))] + [(90, f, 0.0, 0.0, None, None)]
+    rows = [(j, v, *map(float, xy[v, j])) for j in range(12) for v in range(2 + j % 5)]
+    rows += [(50, 0, 1.0, 1.0), (51, 0, None, 1.0), (51, 3, 1.0, 1.0), (52, 0, 1.0, 1.0), (52, 90, 1.0, 1.0), (53, 77, 1.0, 1.0)]
+    obs = spark.createDataFrame(rows, "track long, view int, x double, y double")
+    cameras = spark.createDataFrame(cams, "view int, f double, k1 double, k2 double, r array<double>, t array<double>")
+    got = {q["track"]: q for q in kernels.triangulate_tracks(obs, cameras, keep_all=True).collect()}
+    assert set(got) == {*range(12), 51} and np.isnan(got[51]["err"]) and not got[51]["front"]
+    for j in range(12):
+        n = 2 + j % 5
+        p, err, front, angle = kernels.triangulate(xy[:n, j], r[:n], t[:n], np.full(n, f), np.full(n, -0.02), np.full(n, 0.001))
+        assert np.abs(p - [got[j]["x"], got[j]["y"], got[j]["z"]]).max() < 1e-9 and abs(err - got[j]["err"]) < 1e-9
+        assert got[j]["n"] == n and got[j]["front"] == front and abs(angle - got[j]["angle"]) < 1e-6
+    kept = {q["track"] for q in kernels.triangulate_tracks(obs, cameras, min_angle=None).collect()}
+    assert kept == set(range(12))
+    assert kernels.triangulate_tracks(obs.where("false"), cameras).count() == 0
+
+
 def test_registration_recovers_camera():
     x, r, t, f, xy = scene(1, noise=0.2)
     bad = xy[2].copy()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MAX_ERROR, MIN_ANGLE, PI = 5.0, 2.0, 3.1416
 
@@ -54,31 +55,55 @@ def project(r: np.ndarray, t: np.ndarray, f, k1, k2, x: np.ndarray) -> np.ndarra
     return p * (f * (1 + k1 * r2 + k2 * r2**2))[:, None]
 
 
+def triangulate_many(xy: np.ndarray, r: np.ndarray, t: np.ndarray, f: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(points, RMS errors, in front of all, largest ray angles in degrees) of g tracks of n observations:
+    xy (g, n, 2), r (g, n, 3, 3), t (g, n, 3), the rest (g, n). Tracks with a value that is not finite
+    get NaN and are not in front."""
+    g, n = f.shape
+
+    def residuals(x: np.ndarray, on: np.ndarray) -> np.ndarray:
+        """(tracks, 2n) of the tracks ``on``."""
+        flat = project(r[on].reshape(-1, 3, 3), t[on].reshape(-1, 3), f[on].ravel(), k1[on].ravel(), k2[on].ravel(), np.repeat(x, n, 0))
+        return flat.reshape(len(on), 2 * n) - xy[on].reshape(len(on), 2 * n)
+
+    x = np.full((g, 3), np.nan)
+    with np.errstate(all="ignore"):
+        norm = straighten((xy / f[..., None]).reshape(-1, 2), k1.ravel(), k2.ravel()).reshape(g, n, 2)
+        m = np.concatenate([r, t[..., None]], 3)
+        rows = (norm[..., None] * m[:, :, 2:3] + m[:, :, :2]).reshape(g, 2 * n, 4)
+        on = np.flatnonzero(np.isfinite(rows).all((1, 2)))
+        h = np.linalg.svd(rows[on], full_matrices=n < 2)[2][:, -1]
+        x[on] = h[:, :3] / np.where(np.abs(h[:, 3:]) > 1e-12, h[:, 3:], 1e-12)
+        for _ in range(10):  # Gauss-Newton on the reprojection error, of the tracks that still move
+            base = residuals(x[on], on)
+            jac = np.stack([residuals(x[on] + 1e-6 * np.eye(3)[k], on) - base for k in range(3)], 2) / 1e-6
+            sound = np.isfinite(base).all(1) & np.isfinite(jac).all((1, 2))
+            on, base, jac = on[sound], base[sound], jac[sound]
+            if not len(on):
+                break
+            step = -np.einsum("gij,gj->gi", np.linalg.pinv(jac, rcond=2 * n * np.finfo(float).eps), base)
+            x[on] += step
+            on = on[np.abs(step).max(1) >= 1e-10]
+        every = np.arange(g)
+        err = np.sqrt((residuals(x, every) ** 2).sum(1) / n)
+        front = ((np.einsum("gnij,gj->gni", r, x) + t)[..., 2] <= 0).all(1)
+        rays = x[:, None] + np.einsum("gnji,gnj->gni", r, t)
+        rays /= np.linalg.norm(rays, axis=2)[..., None]
+        least, some = np.full(g, 1.0), max(1, BLOCK // max(1, g * n))
+        for i in range(0, n, some):
+            least = np.minimum(least, np.einsum("gik,gjk->gij", rays[:, i : i + some], rays).min((1, 2)))
+    return x, err, front, np.degrees(np.arccos(np.clip(least, -1, 1))) * np.pi / PI
+
+
 def triangulate(xy: np.ndarray, r: np.ndarray, t: np.ndarray, f: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, float, bool, float]:
-    """(point, RMS error, in front of all, largest ray angle in degrees) of one track."""
-    norm = straighten(xy / f[:, None], k1, k2)
-    rows = []
-    for p, ri, ti in zip(norm, r, t, strict=True):
-        m = np.hstack([ri, ti[:, None]])
-        rows += [p[0] * m[2] + m[0], p[1] * m[2] + m[1]]
-    h = np.linalg.svd(np.array(rows))[2][-1]
-    x = h[:3] / (h[3] if abs(h[3]) > 1e-12 else 1e-12)
-    for _ in range(10):  # Gauss-Newton on the reprojection error
-        base = (project(r, t, f, k1, k2, np.repeat(x[None], len(f), 0)) - xy).ravel()
-        jac = np.stack([(project(r, t, f, k1, k2, np.repeat((x + 1e-6 * np.eye(3)[k])[None], len(f), 0)) - xy).ravel() - base for k in range(3)], 1) / 1e-6
-        step = np.linalg.lstsq(jac, -base, rcond=None)[0]
-        x = x + step
-        if np.abs(step).max() < 1e-10:
-            break
-    err = project(r, t, f, k1, k2, np.repeat(x[None], len(f), 0)) - xy
-    front = bool(((np.einsum("nij,j->ni", r, x) + t)[:, 2] <= 0).all())
-    rays = x - np.einsum("nji,nj->ni", r, -t)
-    rays /= np.linalg.norm(rays, axis=1)[:, None]
-    angle = float(np.degrees(np.arccos(np.clip(rays @ rays.T, -1, 1))).max()) * np.pi / PI
-    return x, float(np.sqrt((err**2).sum(1).mean())), front, angle
+    """The same of one track."""
+    x, err, front, angle = triangulate_many(*(np.asarray(v)[None] for v in (xy, r, t, f, k1, k2)))
+    return x[0], float(err[0]), bool(front[0]), float(angle[0])
 
 
 TRACK = "track long, x double, y double, z double, n long, err double, front boolean, angle double"
+#: Observations, and cosines of ray pairs, that one numpy call holds.
+CHUNK, BLOCK = 100_000, 2_000_000
 
 
 def triangulate_tracks(obs: DataFrame, cameras: DataFrame, max_error: float = MAX_ERROR, min_angle: float | None = MIN_ANGLE, keep_all: bool = False) -> DataFrame:
@@ -86,20 +111,40 @@ def triangulate_tracks(obs: DataFrame, cameras: DataFrame, max_error: float = MA
 
     Kept: more than one view, RMS error within max_error, in front of all cameras and, unless None,
     an angle of at least min_angle degrees. keep_all returns all, for their errors.
-    """
 
-    def run(pdf):
-        import pandas as pd
-
-        r = np.stack(pdf["r"].to_numpy()).reshape(-1, 3, 3)
-        t = np.stack(pdf["t"].to_numpy())
-        x, err, front, angle = triangulate(pdf[["x", "y"]].to_numpy(float), r, t, *(pdf[c].to_numpy(float) for c in ("f", "k1", "k2")))
-        return pd.DataFrame({"track": [pdf["track"].iloc[0]], "x": [x[0]], "y": [x[1]], "z": [x[2]], "n": [len(pdf)], "err": [err], "front": [front], "angle": [angle]})
+    Observations of cameras without r or t, or without a camera, do not count. Tracks are gathered by
+    one aggregation, and numpy takes tracks of equal length together. A null or infinite coordinate
+    gives its track an error of NaN, which no limit admits.
+    """
 
-    found = obs.join(cameras, "view").groupBy("track").applyInPandas(run, TRACK).where("n > 1")
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            size = b.column(1).value_lengths().to_numpy().astype(np.int64)
+            first, o = np.cumsum(size) - size, b.column(1).flatten()
+            one = {c: o.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y", "f", "k1", "k2")}
+            r = o.field("r").flatten().to_numpy(zero_copy_only=False).reshape(-1, 3, 3)
+            t = o.field("t").flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
+            xy = np.stack([one["x"], one["y"]], 1)
+            x, err, front, angle = np.empty((len(size), 3)), np.empty(len(size)), np.empty(len(size), bool), np.empty(len(size))
+            for n in np.unique(size):
+                own = np.flatnonzero(size == n)
+                for i in range(0, len(own), max(1, CHUNK // n)):
+                    some = own[i : i + max(1, CHUNK // n)]
+                    at = first[some][:, None] + np.arange(n)
+                    x[some], err[some], front[some], angle[some] = triangulate_many(xy[at], r[at], t[at], one["f"][at], one["k1"][at], one["k2"][at])
+            cols = [b.column(0), *map(pa.array, (x[:, 0], x[:, 1], x[:, 2], size, err, front, angle))]
+            yield pa.RecordBatch.from_arrays(cols, names=["track", "x", "y", "z", "n", "err", "front", "angle"])
+
+    number = [F.col(c).cast("double").alias(c) for c in ("x", "y", "f", "k1", "k2")]
+    placed = obs.join(cameras.where("r IS NOT NULL AND t IS NOT NULL"), "view")
+    one = F.struct("view", *number, *(F.col(c).cast("array<double>").alias(c) for c in ("r", "t")))
+    gathered = placed.groupBy(F.col("track").cast("long").alias("track")).agg(F.sort_array(F.collect_list(one)).alias("o")).where(F.size("o") > 1)
+    found = gathered.mapInArrow(run, TRACK)
     if keep_all:
         return found
-    found = found.where(f"err <= {max_error} AND front")
+    found = found.where(f"NOT isnan(err) AND err <= {max_error} AND front")
     return found if min_angle is None else found.where(f"angle >= {min_angle}")
 
 
