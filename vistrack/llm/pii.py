@@ -11,8 +11,9 @@ A surrogate comes from SHA-512 of (key, type, canonical form, attempt): digits f
 the same script and case for letters, an issuer digit and Luhn validity kept for cards, name syllables
 of the same script and given names of the same gender. Collision check: within a type no two
 entities may share a surrogate and no surrogate may equal an entity that occurs; offenders go to the
-next attempt (names get longer with it) until none is left. All but the least canonical form of a
-clash move, so the rounds end.
+next attempt until none is left. All but the least canonical form of a clash move. Names get longer
+with each attempt, all other surrogates from attempt WIDEN on, so that the rounds end however small the
+space of a form is.
 
 Only texts with mentions go through the shuffles of the entity tables; all others pass unchanged.
 
@@ -41,15 +42,20 @@ GIVEN = {
 }
 SYLLABLES = {"latin": "bar den fos gal hel jor kam lin mor nes pal ros sel tor ven wil".split(), "cyrillic": "бар вен гор дол зар кам лен мор нев пол рос сел тор фен хар шел".split()}
 
+#: Attempts within the form of an entity; each later one adds a character.
+WIDEN = 4
+
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+PHONES = (r"(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}", r"\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}")
+PHONE = "|".join(PHONES)
 PATTERN = "|".join((
     r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     r"\bAKIA[0-9A-Z]{16}\b",
-    r"""(?:(?<=[="':])|(?<=[=:] ))(?<=(?i:token|password|passwd|pwd|secret|api[_-]?key)\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9/+_-]{8,}""",
+    r"""(?:(?<=[="':])|(?<=[=:] ))(?<=(?i:token|password|passwd|pwd|secret|api[_-]?key)\s{0,2}[=:]\s{0,2}["']?)(?=[/+_-]*[A-Za-z0-9])[A-Za-z0-9/+_-]{8,}""",
     rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    r"(?<![\d+])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)",
-    r"(?<!\d)\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\d)",
+    rf"(?<![\d+])(?:{PHONES[0]})(?!\d)",
+    rf"(?<!\d)(?:{PHONES[1]})(?!\d)",
     r"(?<![\d.])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?![\d])",
     rf"\b(?:{TITLE})\.? (?:\p{{Lu}}[\p{{L}}'-]+ )?\p{{Lu}}[\p{{L}}'-]+",
 ))
@@ -60,7 +66,7 @@ HINT = rf"[0-9@]|(?i:token|passw|pwd|secret|api)|(?:{TITLE})\.? "
 def kind_of(m: Column) -> Column:
     return (F.when(m.contains("@"), "email").when(m.rlike(r"^AKIA[0-9A-Z]{16}$"), "access_key").when(m.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip")
             .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(m.rlike(r"^\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}$|^\d{13,19}$"), "card")
-            .when(m.rlike(r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$|^\d{1,3}[ .-]?(?:\(|\d{3}[.-]\d{3})"), "phone").when(m.rlike(rf"^(?:{TITLE})\.? \p{{Lu}}"), "name").otherwise("secret"))
+            .when(m.rlike(rf"^(?:{PHONE})$"), "phone").when(m.rlike(rf"^(?:{TITLE})\.? \p{{Lu}}"), "name").otherwise("secret"))
 
 
 def _digits(m: Column) -> Column:
@@ -125,24 +131,27 @@ def surrogate_of(kind: Column, canon: Column, attempt: Column, key: str) -> Colu
     octets = F.concat_ws(".", *[(F.conv(F.substring(h, 1 + 4 * i, 4), 16, 10).cast("long") % (223 if i == 0 else 254) + 1).cast("string") for i in range(4)])
     domain = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.substring_index(canon, "@", -1)), 512)
     host = F.translate(F.substring(domain, 1, 12), "0123456789", "ghijklmnop")
-    email = F.concat(_fit(F.substring_index(canon, "@", 1), h), F.lit("@"), host, F.lit(".example"))
     secret = F.when(canon.rlike("^[0-9a-f]+$"), F.left(F.repeat(F.concat(h, F.sha2(h, 512)), F.ceil(F.length(canon) / 256).cast("int")), F.length(canon))).otherwise(_fit(canon, h))
+    more_letters = F.left(F.translate(F.sha2(h, 512), "0123456789", "ghijklmnop"), F.greatest(attempt - (WIDEN - 1), F.lit(0)))
+    more_digits, more_hex = F.translate(more_letters, "abcdefghijklmnop", "0123456789012345"), F.translate(more_letters, "ghijklmnop", "0123456789")
+    email = F.concat(_fit(F.substring_index(canon, "@", 1), h), more_letters, F.lit("@"), host, F.lit(".example"))
+    secret = F.concat(secret, F.when(canon.rlike("^[0-9a-f]+$"), more_hex).otherwise(more_letters))
     cyr = canon.rlike(r"\p{IsCyrillic}")
     syllables = lambda s: F.array_join(F.transform(F.sequence(F.lit(1), attempt + 3), lambda i: F.element_at(F.array(*map(F.lit, SYLLABLES[s])), F.conv(F.substring(h, i % 128 + 1, F.lit(1)), 16, 10).cast("int") + 1)), "")
     given = {g: F.when(cyr, _pick(h, 1, GIVEN[g, "cyrillic"])).otherwise(_pick(h, 1, GIVEN[g, "latin"])) for g in "mf"}
     more = F.when(attempt == 0, "").otherwise(F.concat(F.lit("-"), F.initcap(F.when(cyr, syllables("cyrillic")).otherwise(syllables("latin")))))
-    return (F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "card", _card(canon, h)).when(kind == "access_key", F.concat(F.lit("AKIA"), F.substr(_fit(canon, h), F.lit(5))))
-            .when(kind == "phone", F.concat((F.conv(F.substring(h, 120, 1), 16, 10).cast("int") % 8 + 2).cast("string"), F.substr(_fit(canon, h), F.lit(2)))).when(kind == "ssn", _fit(canon, h))
+    return (F.when(kind == "email", email).when(kind == "ip", F.concat(octets, F.when(more_digits != "", F.concat(F.lit("."), more_digits)).otherwise(""))).when(kind == "card", F.concat(_card(canon, h), more_digits)).when(kind == "access_key", F.concat(F.lit("AKIA"), F.substr(_fit(canon, h), F.lit(5)), F.upper(more_letters)))
+            .when(kind == "phone", F.concat((F.conv(F.substring(h, 120, 1), 16, 10).cast("int") % 8 + 2).cast("string"), F.substr(_fit(canon, h), F.lit(2)), more_digits)).when(kind == "ssn", F.concat(_fit(canon, h), more_digits))
             .when(kind == "surname", F.initcap(F.when(cyr, syllables("cyrillic")).otherwise(syllables("latin")))).when(kind == "given_m", F.concat(given["m"], more)).when(kind == "given_f", F.concat(given["f"], more)).otherwise(secret))
 
 
-def surrogates(entities: DataFrame, key: str, max_rounds: int = 200) -> DataFrame:
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """Rows (kind, canon, surrogate), one for each distinct entity; surrogates of a kind are distinct
     and none of them is an entity of the kind."""
     sur = lambda d: d.withColumn("surrogate", surrogate_of(F.col("kind"), F.col("canon"), F.col("attempt"), key))
     e = cut(sur(entities.select("kind", "canon").distinct().withColumn("attempt", F.lit(0))))
     real = e.select("kind", F.lower("canon").alias("low"))
-    for _ in range(max_rounds):
+    while True:
         by = e.withColumn("low", F.lower("surrogate"))
         first = by.groupBy("kind", "low").agg(F.min("canon").alias("first"), F.count("*").alias("n"))
         clash = first.join(real.withColumn("taken", F.lit(True)), ["kind", "low"], "left").where("n > 1 or taken").select("kind", "low", "first", F.coalesce("taken", F.lit(False)).alias("taken"))
@@ -151,7 +160,6 @@ def surrogates(entities: DataFrame, key: str, max_rounds: int = 200) -> DataFram
             return e.select("kind", "canon", "surrogate")
         moved = by.join(clash, ["kind", "low"], "left").withColumn("attempt", F.col("attempt") + F.when(F.col("taken") | (F.col("first") != F.col("canon")), 1).otherwise(0))
         e = cut(sur(moved.select("kind", "canon", "attempt")))
-    raise RuntimeError("surrogates still collide")
 
 
 def _place_digits(m: Column, digits: Column) -> Column:
@@ -175,10 +183,12 @@ def render(m: Column, known: Column) -> Column:
     """The mention with the surrogates of its entities, in its own format."""
     kind = kind_of(m)
     at = lambda k, c: F.element_at(known, F.concat_ws("\x1f", k, c))
-    own = at(kind, F.get(entities_of(m), F.lit(0))["canon"])
+    canon = F.get(entities_of(m), F.lit(0))["canon"]
+    own = at(kind, canon)
+    placed = F.concat(_place_digits(m, F.left(own, F.length(canon))), F.substr(own, F.length(canon) + 1))  # what a late attempt adds comes last
     head, rest = F.substring_index(m, " ", 1), F.substr(m, F.length(F.substring_index(m, " ", 1)) + 2)
     name = F.concat_ws(" ", head, F.when(_given(m).isNotNull(), _as(F.substring_index(rest, " ", 1), at(_given_kind(m), _given(m)))), _as(F.substring_index(m, " ", -1), at(F.lit("surname"), _surname(m))))
-    return F.when(kind == "name", name).when(kind.isin("phone", "card", "ssn"), _place_digits(m, own)).when(kind == "email", _as(m, own)).otherwise(own)
+    return F.when(kind == "name", name).when(kind.isin("phone", "card", "ssn"), placed).when(kind == "email", _as(m, own)).otherwise(own)
 
 
 def mentions_of(text: Column) -> Column:
