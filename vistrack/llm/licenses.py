@@ -7,8 +7,10 @@ like licences. A held-out part of the training set calibrates: a temperature tha
 log loss, and the least probability at which no held-out negative passes. A prediction is confirmed
 if the paragraph holds at least CONFIRM of the word trigrams of one template of the family.
 
-Every paragraph (line) of every text is looked at. A paragraph without any anchor word of the
-templates has no licence feature and is unknown by definition; all others are scored. Scoring joins
+Every line of every text is looked at, and so is every block of non-blank lines, joined, as notices
+come hard-wrapped: a block of more than WINDOW lines by windows of WINDOW lines that overlap by half.
+A paragraph (line or window) without any anchor word of the templates has no licence feature and is
+unknown by definition; all others are scored. Scoring joins
 n-grams with the model's weights, whose number is bounded by the training set.
 
 Edge cases: null and empty texts have no paragraphs; repeated rows, null ids and extra columns do no
@@ -28,6 +30,8 @@ ANCHOR = r"(?i)licen[cs]|copyright|spdx|permission|redistribut|warrant|public do
 #: Corpus paragraphs in the training set at most, without and with an anchor word.
 NEGATIVES = 400
 CONFIRM = 0.6
+#: Lines joined at most; a notice of up to half of them and one more lies whole in one window.
+WINDOW = 8
 FOLDS = 4
 UNKNOWN = "unknown"
 
@@ -67,11 +71,28 @@ def features_of(words: Column) -> Column:
     return F.array_distinct(F.concat(words, grams_of(words, 2), grams_of(words, 3)))
 
 
+def joined(text: Column) -> Column:
+    """Windows of joined lines of the blocks between blank lines; single lines are left out."""
+    half = WINDOW // 2
+
+    def windows(block: Column) -> Column:
+        lines = F.split(block, "\n")
+        starts = F.sequence(F.lit(1), F.greatest(F.size(lines) - WINDOW, F.lit(0)) + half, F.lit(half))
+        return F.when(F.size(lines) > 1, F.transform(starts, lambda i: F.array_join(F.slice(lines, i, WINDOW), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(F.filter(F.split(text, r"\n\s*\n"), lambda b: b.rlike(ANCHOR)), windows))
+
+
 def training_set(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (n, text, family), at most a few hundred templates with variations and 2 x NEGATIVES corpus lines."""
     lines = docs.select(F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("p")).where(F.length("p").between(20, 400))
     some = lines.where(~F.col("p").rlike(ANCHOR)).limit(NEGATIVES)
     plain = [r["p"] for r in some.collect()] or ["lorem ipsum dolor sit amet"]
+    # with an anchor, but without any trigram of a template, so that no notice is among them
+    own = F.array_distinct(F.flatten(F.array(*[grams_of(words_of(F.lit(t)), 3) for texts in TEMPLATES.values() for t in texts])))
+    own = lines.sparkSession.range(1).select(own.alias("g")).head()["g"]
+    near = lines.where(F.col("p").rlike(ANCHOR) & ~F.lower("p").contains("spdx")).where(~F.arrays_overlap(grams_of(words_of(F.col("p")), 3), F.array(*map(F.lit, own)))).limit(NEGATIVES)
+    near = [r["p"] for r in near.collect()]
     rows = []
     for family, texts in TEMPLATES.items():
         for k, t in enumerate(texts):
@@ -85,7 +106,7 @@ def training_set(spark: SparkSession, docs: DataFrame, text_col: str = "text") -
                 rows.append((" ".join([*before, *own, *after]), family))
     rows += [(s, UNKNOWN) for s in SOUNDS_LIKE for _ in range(4)]
     rows += [(" ".join([s, *plain[i % len(plain)].split()[:6]]), UNKNOWN) for i, s in enumerate(SOUNDS_LIKE)]
-    rows += [(p, UNKNOWN) for p in plain]
+    rows += [(p, UNKNOWN) for p in [*plain, *near]]
     return spark.createDataFrame([(i, t, f) for i, (t, f) in enumerate(rows)], "n int, text string, family string")
 
 
@@ -117,14 +138,15 @@ def train(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> dict:
 
 
 def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_paragraphs (with an anchor), families (confirmed, sorted, comma
+    """One row per row of docs: id, n_paragraphs (lines with an anchor), families (confirmed, sorted, comma
     separated), family, probability and coverage of the surest confirmed paragraph (else unknown)."""
     spark = docs.sparkSession
-    anchored = F.filter(F.split(F.col(text_col).cast("string"), "\n"), lambda p: p.rlike(ANCHOR))
+    text = F.col(text_col).cast("string")
+    some = lambda a: F.when(text.rlike(ANCHOR), F.filter(a, lambda p: p.rlike(ANCHOR))).otherwise(F.array().cast("array<string>"))
     # one pass over the texts; a text without any anchor is not split
-    rows = docs.select(F.col(id_col).alias("id"), F.when(F.col(text_col).cast("string").rlike(ANCHOR), anchored).otherwise(F.array().cast("array<string>")).alias("paragraphs")).withColumn("uid", F.monotonically_increasing_id())
+    rows = docs.select(F.col(id_col).alias("id"), some(F.split(text, "\n")).alias("lines"), some(joined(text)).alias("windows")).withColumn("uid", F.monotonically_increasing_id())
     rows = stored(rows, "licences")
-    para = rows.select("uid", F.posexplode("paragraphs").alias("pos", "p")).select("uid", "pos", words_of(F.col("p")).alias("words"))
+    para = rows.select("uid", F.posexplode(F.concat("lines", "windows")).alias("pos", "p")).select("uid", "pos", words_of(F.col("p")).alias("words"))
     grams = para.select("uid", "pos", F.explode(features_of(F.col("words"))).alias("gram"))
     families = list(model["intercepts"])
     weights = F.broadcast(spark.createDataFrame(model["weights"], "gram string, family string, w double"))  # bounded by the training set
@@ -137,11 +159,11 @@ def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
     known = spark.createDataFrame([(f, k, t) for f, texts in TEMPLATES.items() for k, t in enumerate(texts)], "family string, template int, t string")
     known = known.select("family", "template", F.array_distinct(grams_of(words_of(F.col("t")), 3)).alias("g"), words_of(F.col("t")).alias("w"))
     known = known.select("family", "template", F.when(F.size("g") > 0, F.col("g")).otherwise(F.array_distinct("w")).alias("g")).select("family", "template", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    held = grams.join(predicted, ["uid", "pos"]).join(F.broadcast(known), ["family", "gram"]).groupBy("uid", "pos", "family", "template").agg((F.count("*") / F.max("n")).alias("c"))
+    held = grams.join(F.broadcast(known), "gram").join(predicted, ["uid", "pos", "family"]).groupBy("uid", "pos", "family", "template").agg((F.count("*") / F.max("n")).alias("c"))
     sure = held.groupBy("uid", "pos", "family").agg(F.max("c").alias("coverage")).where(F.col("coverage") >= CONFIRM).join(predicted, ["uid", "pos", "family"])
     best = F.max(F.struct("probability", "coverage", "family")).alias("best")
     found = sure.groupBy("uid").agg(F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"), best)
-    out = rows.select("uid", "id", F.coalesce(F.size("paragraphs"), F.lit(0)).alias("n")).join(found, "uid", "left")
+    out = rows.select("uid", "id", F.coalesce(F.size("lines"), F.lit(0)).alias("n")).join(found, "uid", "left")
     return out.select(F.col("id").alias(id_col), F.greatest(F.col("n"), F.lit(0)).cast("long").alias("n_paragraphs"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce(F.col("best")["family"], F.lit(UNKNOWN)).alias("family"), F.round(F.col("best")["probability"], 6).alias("probability"), F.round(F.col("best")["coverage"], 6).alias("coverage"))
 
 
