@@ -1,16 +1,18 @@
 """Media columns: AVI files of lossless motion-JPEG frames, their index, frames and shots.
 
 A payload is cut into frames of 24 x 24 grey samples of eight bits. Each frame is a JPEG of the
-lossless process (SOF3, left predictor, standard DC code table), so bytes come back exactly; frames
+lossless process (SOF3, left predictor, a code table of its own), so bytes come back exactly; frames
 stand in the movi list of a RIFF AVI file with an idx1 index. Reading back parses the RIFF chunks,
 follows the index, decodes every frame (all are intra frames) and compares grey histograms of
 neighbors: a cut is where the difference exceeds the mean of the shot's latest differences by a
 multiple of their deviation. Shots become timed clip rows.
 
-Frames of many rows are coded side by side with numpy, in chunks of bounded size.
+Frames of many rows are coded side by side with numpy, in chunks of bounded size. The media column is
+written as a table into the shared folder and read back before anything is decoded from it.
 
 Edge cases: null and empty texts are one frame of padding; repeated rows give equal media; null ids are
-kept; an empty table gives no rows; media that is null or no AVI file has no clips.
+kept; an empty table gives no rows; media that is null or no AVI file has no frames and no clips. A cell of
+a table holds less than 2 GB, so sizes stay far below the 32 bits of a RIFF size.
 """
 
 from __future__ import annotations
@@ -24,16 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vistrack.session import stored
+
 SIDE = 24
 FRAME = SIDE * SIDE
 FPS = 25
 #: Frames coded at once.
 CHUNK = 6144
-#: Rows taken up at once.
-SLICE = 1000
-#: Fixed values of the JPEG standard (table K.3): number of codes of each length 1..16, categories.
-DC_BITS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)
-DC_VALUES = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11)
+#: Rows taken up at once; bytes of a row group of stored media.
+SLICE, ROW_GROUP = 1000, 4 << 20
+#: Code table: number of codes of each length 1..16, and the categories (bits of a difference, 8 at most)
+#: from the most to the least frequent in text of single bytes.
+DC_BITS = (0, 2, 2, 2, 2, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0)
+DC_VALUES = (7, 4, 3, 0, 5, 2, 1, 6, 8)
 #: Shots: grey bins, latest differences looked at, deviations above their mean, least difference.
 BINS, WINDOW, DEVIATIONS, LEAST = 16, 12, 3.0, 0.15
 
@@ -300,27 +305,33 @@ def decode(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
     return media.select(id_col, "n_bytes", F.col(media_col).alias("media")).mapInArrow(run, schema)
 
 
-def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: sizes and digests of the payload read back from the stored media, and its feature. Media
-    are written and read in one worker, so that they do not travel between processes."""
+def put(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The media column as a table in the shared folder: rows (id, n_bytes, media), read back from there.
+    Row groups are small, so that neither side holds more than a few megabytes of media at once."""
+    return stored(encode(docs, id_col, text_col), "media", **{"parquet.block.size": ROW_GROUP, "parquet.page.size": ROW_GROUP, "parquet.enable.dictionary": "false"})
+
+
+def digest(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """Per row of a media table: sizes and digests of the payload decoded from the media, and its feature."""
 
     def run(batches):
         import pyarrow as pa
 
-        for b in encoded(batches, id_col):
-            rows = []
-            stored = b.column(2)
-            for k, samples in _decoded(b, "media"):
-                raw, m = samples.tobytes(), stored[k].as_py()
-                rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(samples)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True))], names=names)
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                b = whole.slice(start, SLICE)
+                rows, own = [], b.column(2)
+                for k, samples in _decoded(b, "media"):
+                    raw, m = samples.tobytes(), own[k].as_py() or b""
+                    rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(samples)))
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True))], names=names)
 
     long, text = T.LongType(), T.StringType()
-    schema = T.StructType([docs.schema[id_col], *(T.StructField(n, t) for n, t in (("n_bytes", long), ("payload_bytes", long), ("payload_sha256", text), ("tail_crc32", long), ("media_bytes", long), ("media_sha256", text), ("feature", text)))])
+    schema = T.StructType([media.schema[id_col], *(T.StructField(n, t) for n, t in (("n_bytes", long), ("payload_bytes", long), ("payload_sha256", text), ("tail_crc32", long), ("media_bytes", long), ("media_sha256", text), ("feature", text)))])
     names = schema.names
-    return docs.select(id_col, F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema)
+    return media.select(id_col, "n_bytes", F.col(media_col).alias("media")).mapInArrow(run, schema)
 
 
 def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -344,4 +355,4 @@ def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return digest(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return digest(put(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
