@@ -12,6 +12,12 @@ Candidates are verified by the exact Hamming distance inside the join.
 Only distinct fingerprints are joined; copies stay classes of one fingerprint. Linked fingerprints
 become components by star contraction (vistrack.plans.components).
 
+Removal by similarity (drop_near_duplicates) is about five-word shingles and a Jaccard similarity of
+0.8. Fingerprints at three bits cannot find that (texts of similarity 0.8 to 0.85 differ in 9 of 64
+bits on the average), so further candidates come from the sums behind the bits: texts whose sums, seen along
+random directions, peak at the same ones share a bucket, of which a spanning forest of near pairs is
+kept. All candidates are verified by their sets of shingles.
+
 Edge cases: null and wordless texts have fingerprint zero, which links like any other. A null id is
 kept in its row; it never becomes a component_id unless all ids of the component are null. Rows
 repeated in the input are repeated in the output. An empty table gives no rows.
@@ -35,6 +41,12 @@ SHINGLE = 3
 #: Shingle hashes held at once, whatever a text's length.
 CHUNK = 1 << 16
 MAX_DISTANCE = 3
+#: Near duplicates by similarity: words of a shingle, least Jaccard similarity, words of 64 bits of the wide fingerprint.
+WIDE_SHINGLE, SIMILARITY, WORDS = 5, 0.8, 4
+#: Keys of a text, peaks of a key, directions a peak is chosen from; differing bits of 256 looked at.
+TABLES, PEAKS, SPAN, WIDE_DISTANCE = 24, 3, 64, 64
+#: Members of a bucket compared at once.
+BLOCK = 2048
 
 
 def fingerprint(text: str | None) -> int:
@@ -107,19 +119,209 @@ def hexed(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with one row of each component: that of its smallest id. Of several rows with
-    this id the one with the least content hash stays. Rows without an id stay all."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = stored(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "simhash-gone")
-    kept = join_checked(docs, gone, id_col, "left_anti")
-    twice = cut(kept.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
-    n = twice.count()
-    if not n:
-        return kept
-    single = join_checked(kept, twice, id_col, "left_anti", n)
-    again = join_checked(kept, twice, id_col, "left_semi", n).dropDuplicates([id_col])
-    return single.unionByName(again)
+def _mixed(h, k: int):
+    """A further hash of 64 bits for each of h."""
+    import numpy as np
+
+    z = h + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return z ^ z >> np.uint64(31)
+
+
+def shingle_hashes(text: str | None, n: int):
+    """XXH64 of the shingles of n words, repeats included; none without words."""
+    import numpy as np
+    import xxhash
+
+    words, digest = WORD.findall((text or "").translate(LOWER)), xxhash.xxh64_intdigest
+    if 0 < len(words) < n:
+        return np.array([digest(" ".join(words), SEED)], np.uint64)
+    out = [digest(s, SEED) for s in map(" ".join, zip(*(words[k:] for k in range(n)), strict=False))]
+    return np.array(out, np.uint64)
+
+
+def wide_sums(text: str | None, n: int = WIDE_SHINGLE):
+    """Of 4 x 64 bits of each shingle's hash: how many more shingles have a bit set than not."""
+    import numpy as np
+
+    hashes, total = shingle_hashes(text, n), np.zeros(64 * WORDS, np.int64)
+    for i in range(0, len(hashes), CHUNK // WORDS):
+        h = hashes[i : i + CHUNK // WORDS]
+        bits = np.stack([h, *(_mixed(h, k) for k in range(1, WORDS))], 1).astype(">u8").view(np.uint8)
+        total += 2 * np.unpackbits(bits, axis=1).sum(0, dtype=np.int64) - len(h)
+    return total
+
+
+def wide_fingerprints(docs: DataFrame, own: list[str], text_col: str, n: int = WIDE_SHINGLE) -> DataFrame:
+    """The columns named by own, fp0 to fp3 (the wide fingerprint) and peaks: TABLES keys of a text. A key has the
+    number of its table and, for each of PEAKS random directions sets of SPAN, which direction the sums
+    of the bits point to most, and with which sign."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        turn = np.random.default_rng(SEED).standard_normal((64 * WORDS, TABLES * PEAKS * SPAN)).astype(np.float32)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                sums = np.stack([wide_sums(t.as_py(), n) for t in b.column(len(own))])
+                fps = np.packbits(sums > 0, axis=1).view(">u8").astype(np.int64)
+                z = (sums.astype(np.float32) @ turn).reshape(len(sums), TABLES * PEAKS, SPAN)
+                top = np.abs(z).argmax(2)
+                place = (2 * top + (np.take_along_axis(z, top[:, :, None], 2)[:, :, 0] > 0)).reshape(len(sums), TABLES, PEAKS)
+                keys = np.broadcast_to(np.arange(TABLES, dtype=np.int64), place.shape[:2]).copy()
+                for k in range(PEAKS):
+                    keys = keys * (2 * SPAN) + place[:, :, k]
+                peaks = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * TABLES), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], *(pa.array(fps[:, k]) for k in range(WORDS)), peaks], names=schema.names)
+
+    schema = T.StructType([*(docs.schema[c] for c in own), *(T.StructField(f"fp{k}", T.LongType()) for k in range(WORDS)), T.StructField("peaks", T.ArrayType(T.LongType()))])
+    return docs.select(*own, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+
+
+def _forest(a, b, d):
+    """Edges of a minimum spanning forest of the edges (a, b) of lengths d, by rounds of nearest neighbors."""
+    import numpy as np
+
+    order = np.argsort(d, kind="stable")
+    a, b, out = a[order], b[order], []
+    root = {int(x): int(x) for x in np.unique(np.concatenate([a, b]))}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    names = np.array(sorted(root))
+    while len(a):
+        label = np.array([find(int(x)) for x in names])
+        la, lb = label[np.searchsorted(names, a)], label[np.searchsorted(names, b)]
+        open_ = la != lb
+        a, b, la, lb = a[open_], b[open_], la[open_], lb[open_]
+        for i in np.unique(np.unique(np.concatenate([la, lb]), return_index=True)[1] % max(1, len(a))).tolist():
+            x, y = find(int(a[i])), find(int(b[i]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((int(a[i]), int(b[i])))
+    return out
+
+
+def peak_links(classes: DataFrame, distance: int = WIDE_DISTANCE, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of classes (column key) that share a key of peaks and differ in at most ``distance``
+    bits of the wide fingerprint: of each bucket a minimum spanning forest of such pairs, which joins all
+    that they join and has fewer rows than the bucket has members. A bucket of more than ``block``
+    members is compared in pairs of blocks; the forests of all pairs of its blocks hold that of the whole."""
+    fps = [f"fp{k}" for k in range(WORDS)]
+    listed = classes.select("key", *fps, F.explode("peaks").alias("peak"))
+    large = cut(listed.groupBy("peak").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"))
+    listed = join_checked(listed, large, "peak", "left")
+    mine = F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
+    dealt = listed.select("key", *fps, "peak", F.explode(pair).alias("p")).select("key", *fps, "peak", "p.i", "p.j")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def found(key, group, fp):
+            """Forest edges of the runs of equal groups."""
+            left, step, hits = np.arange(len(key)), 0, []
+            while len(left):
+                step += 1
+                left = left[left + step < len(key)]
+                left = left[(group[left] == group[left + step]).all(1)]
+                d = np.bitwise_count(fp[left] ^ fp[left + step]).sum(1).astype(np.int64)
+                near = d <= distance
+                hits.append(np.stack([left[near], left[near] + step, d[near]], 1))
+            hits = np.concatenate(hits) if hits else np.zeros((0, 3), int)
+            hits = hits[np.argsort(hits[:, 0], kind="stable")]
+            starts = np.concatenate([[True], (group[1:] != group[:-1]).any(1)]).cumsum()[hits[:, 0]] if len(hits) else hits[:, 0]
+            edges = [e for part in np.split(hits, np.flatnonzero(np.diff(starts)) + 1) if len(part) for e in _forest(*part.T)]
+            a, b = (key[[e[s] for e in edges]] if edges else key[:0] for s in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        rest = None
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], 1)
+            x = x if rest is None else np.concatenate([rest, x])
+            if not len(x):
+                continue
+            same = (x[:, WORDS + 1 :] == x[-1, WORDS + 1 :]).all(1)  # the last run may go on
+            yield found(x[~same, 0], x[~same, WORDS + 1 :], x[~same, 1 : WORDS + 1].view(np.uint64))
+            rest = x[same]
+        if rest is not None:
+            yield found(rest[:, 0], rest[:, WORDS + 1 :], rest[:, 1 : WORDS + 1].view(np.uint64))
+
+    together = dealt.repartition("peak", "i", "j").sortWithinPartitions("peak", "i", "j")
+    return together.mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(edges: DataFrame, texts: DataFrame, similarity: float, n: int) -> DataFrame:
+    """The edges (a, b) of texts (key, text) whose sets of shingles have at least this Jaccard similarity."""
+    edges = stored(edges, "simhash-candidates")
+    wanted = stored(edges.select(F.col("a").alias("key")).union(edges.select("b")).distinct(), "simhash-involved")
+    one = join_checked(texts, wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                own = [np.unique(shingle_hashes(t.as_py(), n)).view(np.int64) for t in b.column(1)]
+                ends = pa.array(np.cumsum([0, *map(len, own)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(own)))], names=["key", "s"])
+
+    sets = stored(one.mapInArrow(run, "key long, s array<long>"), "simhash-shingles")
+    both = edges.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    union = F.size("sa") + F.size("sb") - common
+    return both.where((union == 0) | (common >= F.lit(similarity) * union)).select("a", "b")
+
+
+def similar_classes(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, n: int = WIDE_SHINGLE) -> DataFrame:
+    """Rows (key, root) of the texts that are similar to a different one: key is text_key(text), root the
+    least key of the component. Candidates come from the grid range-join of the fingerprints (links) and
+    from the peaks of the same sums; each is verified by the Jaccard similarity of the sets of shingles."""
+    texts = docs.select(text_key(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    classes = stored(wide_fingerprints(texts, ["key"], "text", n).distinct(), "simhash-wide")
+    nodes = classes.select(F.col("fp0").alias("fp"), "key")
+    near = links(nodes.select("fp").distinct())
+    rep = stored(nodes.groupBy("fp").agg(F.min("key").alias("rep")), "simhash-nodes")
+    grid = near.join(rep.select(F.col("fp").alias("a"), F.col("rep").alias("ka")), "a").join(rep.select(F.col("fp").alias("b"), F.col("rep").alias("kb")), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+    equal = nodes.join(rep, "fp").where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
+    return connected_components(verified(grid.union(equal).union(peak_links(classes)).distinct(), texts, similarity, n))
+
+
+def text_key(text):
+    """63 bits that tell texts apart; null is empty. With m texts any two share a key with a probability below m * m / 2**64."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << 63) - 1))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, n: int = WIDE_SHINGLE) -> DataFrame:
+    """One row of each component of similar texts stays: that of the smallest id (null ids last), of
+    equal ids that of the least hash of the whole row. Which row stays depends on its values alone. Columns
+    are unchanged; columns of type map do not take part in the hash."""
+    own = list(docs.columns)
+    fresh = lambda c: c if c not in own else fresh(c + "_")
+    kc, rc = fresh("_key"), fresh("_row")
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    rows = docs.withColumn(kc, text_key(F.col(f"`{text_col}`"))).withColumn(rc, F.struct(F.xxhash64(*hashed).alias("x"), F.xxhash64(F.lit(1), *hashed).alias("y")))
+    order = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(rc).alias("row"))
+    best = stored(rows.groupBy(F.col(kc).alias("key"), order.alias("o")).agg(F.count("*").alias("n")), "simhash-rows")
+    roots = similar_classes(docs, text_col, similarity, n).withColumnRenamed("node", "key")
+    best = stored(best.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "simhash-roots")
+    stays = best.groupBy("root").agg(F.min("o").alias("stays"))
+    told = stored(best.join(stays, "root").withColumn("stay", F.col("o") == F.col("stays")).where("n > 1 OR NOT stay").select(F.col("o")["row"].alias(rc), "stay").distinct(), "simhash-gone")
+    gone, twice = told.where("NOT stay").select(rc), told.where("stay").select(rc)
+    kept = join_checked(rows, gone, rc, "left_anti")
+    if not twice.head(1):
+        return kept.select(*[f"`{c}`" for c in own])
+    again = join_checked(kept, twice, rc, "left_semi").dropDuplicates([rc])
+    return join_checked(kept, twice, rc, "left_anti").unionByName(again).select(*[f"`{c}`" for c in own])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
