@@ -3,9 +3,9 @@ import re
 from vistrack.llm import pii
 
 
-def texts(spark, *rows, **options):
+def texts(spark, *rows, key="k"):
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    return [r.text for r in pii.replace_pii(df, **options).orderBy("doc_id").collect()]
+    return [r.text for r in pii.replace_pii(df, key).orderBy("doc_id").collect()]
 
 
 def test_formats_types_and_coreference(spark):
@@ -41,12 +41,12 @@ def test_keyed(spark):
 
 
 def test_clean_and_odd_rows(spark, odd_docs, no_docs):
-    got = pii.replace_pii(odd_docs)
+    got = pii.replace_pii(odd_docs, "k")
     assert got.columns == odd_docs.columns
     before, after = ({(r.doc_id, r.text) for r in d.collect()} for d in (odd_docs, got))
     assert {x for x in before if x[0] is not None} == {x for x in after if x[0] is not None} and got.count() == 9
     assert not any("555-0187" in (t or "") or "a.b@" in (t or "") for _, t in after)
-    assert pii.replace_pii(no_docs).count() == 0
+    assert pii.replace_pii(no_docs, "k").count() == 0
 
 
 def test_planted_private_strings_go(spark, small):

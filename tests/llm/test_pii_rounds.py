@@ -5,7 +5,7 @@ from vistrack.llm import pii
 
 def texts(spark, *rows):
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    return [r.text for r in pii.replace_pii(df).orderBy("doc_id").collect()]
+    return [r.text for r in pii.replace_pii(df, "k").orderBy("doc_id").collect()]
 
 
 def test_blanks_and_small_spaces_end(spark):

@@ -1,14 +1,14 @@
 """PII surrogates in DataFrame functions only: keyed, type-consistent, distinct and coreferent.
 
 Detection is one regular expression over whole texts: e-mail and IPv4 addresses, phone, card and
-social security numbers, access keys, values after token/password/secret/api key, and names after a
+social security numbers (16 digits that fail the Luhn test are an account number, and stay so; other such digits are nothing), access keys, values after token/password/secret/api key, and names after a
 title. A mention is reduced to one or two entities (type, canonical form): an e-mail in lower case,
 the last ten digits of a phone number, all digits of a card, the surname and, apart, the given name
 with the gender that the title tells. Equal entities get equal surrogates in the whole table, however
 they are written.
 
 A surrogate comes from SHA-512 of (key, type, canonical form, attempt): digits for digits, letters of
-the same script and case for letters, an issuer digit and Luhn validity kept for cards, name syllables
+the same script and case for letters, issuer digit and check digit of cards, name syllables
 of the same script and given names of the same gender. Collision check: within a type no two
 entities may share a surrogate and no surrogate may equal an entity that occurs; offenders go to the
 next attempt until none is left. All but the least canonical form of a clash move. Names get longer
@@ -42,16 +42,19 @@ GIVEN = {
 }
 SYLLABLES = {"latin": "bar den fos gal hel jor kam lin mor nes pal ros sel tor ven wil".split(), "cyrillic": "бар вен гор дол зар кам лен мор нев пол рос сел тор фен хар шел".split()}
 
+#: The key of tests and checks.
+TEST_KEY = "public-test-key"
 #: Attempts within the form of an entity; each later one adds a character.
 WIDEN = 4
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PHONES = (r"(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}", r"\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}")
 PHONE = "|".join(PHONES)
+#: Its only group is the value after token, password, secret or api key.
 PATTERN = "|".join((
     r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     r"\bAKIA[0-9A-Z]{16}\b",
-    r"""(?:(?<=[="':])|(?<=[=:] ))(?<=(?i:token|password|passwd|pwd|secret|api[_-]?key)\s{0,2}[=:]\s{0,2}["']?)(?=[/+_-]*[A-Za-z0-9])[A-Za-z0-9/+_-]{8,}""",
+    r"""(?:(?<=[="':])|(?<=[=:] ))(?<=(?i:token|password|passwd|pwd|secret|api[_-]?key)\s{0,2}[=:]\s{0,2}["']?)((?=[/+_-]*[A-Za-z0-9])[A-Za-z0-9/+_-]{8,})""",
     rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     rf"(?<![\d+])(?:{PHONES[0]})(?!\d)",
@@ -63,9 +66,13 @@ PATTERN = "|".join((
 HINT = rf"[0-9@]|(?i:token|passw|pwd|secret|api)|(?:{TITLE})\.? "
 
 
-def kind_of(m: Column) -> Column:
+def kind_of(m: Column, secret: Column | None = None) -> Column:
+    """The kind of a mention; secret tells that it stood after a word like password. Digits in the form
+    of a card that fail the Luhn test are a secret there; elsewhere 16 of them are an account number, any
+    other number of them (times, book numbers) is nothing (kind none)."""
+    card = F.when(_sound(_digits(m)), "card").when(F.coalesce(secret, F.lit(False)) if secret is not None else F.lit(False), "secret").when(F.length(_digits(m)) == 16, "account").otherwise("none")
     return (F.when(m.contains("@"), "email").when(m.rlike(r"^AKIA[0-9A-Z]{16}$"), "access_key").when(m.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip")
-            .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(m.rlike(r"^\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}$|^\d{13,19}$"), "card")
+            .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(m.rlike(r"^\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}$|^\d{13,19}$"), card)
             .when(m.rlike(rf"^(?:{PHONE})$"), "phone").when(m.rlike(rf"^(?:{TITLE})\.? \p{{Lu}}"), "name").otherwise("secret"))
 
 
@@ -87,13 +94,13 @@ def _given(m: Column) -> Column:
     return F.when(F.size(parts) > 2, F.lower(F.get(parts, F.lit(1))))
 
 
-def entities_of(m: Column) -> Column:
+def entities_of(m: Column, secret: Column | None = None) -> Column:
     """Entities of one mention as an array of struct(kind, canon)."""
-    kind = kind_of(m)
-    canon = F.when(kind == "email", F.lower(m)).when(kind.isin("ssn", "card"), _digits(m)).when(kind == "phone", F.right(_digits(m), F.lit(10))).when(kind == "name", _surname(m)).otherwise(m)
+    kind = kind_of(m, secret)
+    canon = F.when(kind == "email", F.lower(m)).when(kind.isin("ssn", "card", "account"), _digits(m)).when(kind == "phone", F.right(_digits(m), F.lit(10))).when(kind == "name", _surname(m)).otherwise(m)
     one = F.struct(F.when(kind == "name", "surname").otherwise(kind).alias("kind"), canon.alias("canon"))
     given = F.struct(_given_kind(m).alias("kind"), _given(m).alias("canon"))
-    return F.when((kind == "name") & _given(m).isNotNull(), F.array(one, given)).otherwise(F.array(one))
+    return F.when(kind == "none", F.slice(F.array(one), 1, 0)).when((kind == "name") & _given(m).isNotNull(), F.array(one, given)).otherwise(F.array(one))
 
 
 def _pick(h: Column, at: int, values: list[str]) -> Column:
@@ -120,10 +127,15 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(back, F.lit(0), lambda a, x: a + F.when(x > 9, x - 9).otherwise(x)) % 10
 
 
-def _card(canon: Column, h: Column) -> Column:
+def _sound(digits: Column) -> Column:
+    """Whether the last digit is the Luhn check digit of the others."""
+    n = F.length(digits)
+    return F.pmod(_luhn(F.left(digits, n - 1)) + F.right(digits, F.lit(1)).cast("int"), F.lit(10)) == 0
+
+
+def _card(canon: Column, h: Column, off: int = 0) -> Column:
     body = F.concat(F.left(canon, F.lit(1)), F.substr(_fit(canon, h), F.lit(2), F.length(canon) - 2))
-    sound = F.pmod(_luhn(F.left(canon, F.length(canon) - 1)) + F.right(canon, F.lit(1)).cast("int"), F.lit(10)) == 0
-    return F.concat(body, F.pmod(-_luhn(body) + F.when(sound, 0).otherwise(1), F.lit(10)).cast("string"))
+    return F.concat(body, F.pmod(-_luhn(body) + F.lit(off), F.lit(10)).cast("string"))
 
 
 def surrogate_of(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
@@ -140,7 +152,7 @@ def surrogate_of(kind: Column, canon: Column, attempt: Column, key: str) -> Colu
     syllables = lambda s: F.array_join(F.transform(F.sequence(F.lit(1), attempt + 3), lambda i: F.element_at(F.array(*map(F.lit, SYLLABLES[s])), F.conv(F.substring(h, i % 128 + 1, F.lit(1)), 16, 10).cast("int") + 1)), "")
     given = {g: F.when(cyr, _pick(h, 1, GIVEN[g, "cyrillic"])).otherwise(_pick(h, 1, GIVEN[g, "latin"])) for g in "mf"}
     more = F.when(attempt == 0, "").otherwise(F.concat(F.lit("-"), F.initcap(F.when(cyr, syllables("cyrillic")).otherwise(syllables("latin")))))
-    return (F.when(kind == "email", email).when(kind == "ip", F.concat(octets, F.when(more_digits != "", F.concat(F.lit("."), more_digits)).otherwise(""))).when(kind == "card", F.concat(_card(canon, h), more_digits)).when(kind == "access_key", F.concat(F.lit("AKIA"), F.substr(_fit(canon, h), F.lit(5)), F.upper(more_letters)))
+    return (F.when(kind == "email", email).when(kind == "ip", F.concat(octets, F.when(more_digits != "", F.concat(F.lit("."), more_digits)).otherwise(""))).when(kind == "card", F.concat(_card(canon, h), more_digits)).when(kind == "account", F.concat(_card(canon, h, 1), more_digits)).when(kind == "access_key", F.concat(F.lit("AKIA"), F.substr(_fit(canon, h), F.lit(5)), F.upper(more_letters)))
             .when(kind == "phone", F.concat((F.conv(F.substring(h, 120, 1), 16, 10).cast("int") % 8 + 2).cast("string"), F.substr(_fit(canon, h), F.lit(2)), more_digits)).when(kind == "ssn", F.concat(_fit(canon, h), more_digits))
             .when(kind == "surname", F.initcap(F.when(cyr, syllables("cyrillic")).otherwise(syllables("latin")))).when(kind == "given_m", F.concat(given["m"], more)).when(kind == "given_f", F.concat(given["f"], more)).otherwise(secret))
 
@@ -179,47 +191,57 @@ def _as(m: Column, s: Column) -> Column:
     return F.when(m == F.upper(m), F.upper(s)).otherwise(s)
 
 
-def render(m: Column, known: Column) -> Column:
+def render(m: Column, known: Column, secret: Column | None = None) -> Column:
     """The mention with the surrogates of its entities, in its own format."""
-    kind = kind_of(m)
+    kind = kind_of(m, secret)
     at = lambda k, c: F.element_at(known, F.concat_ws("\x1f", k, c))
-    canon = F.get(entities_of(m), F.lit(0))["canon"]
+    canon = F.get(entities_of(m, secret), F.lit(0))["canon"]
     own = at(kind, canon)
     placed = F.concat(_place_digits(m, F.left(own, F.length(canon))), F.substr(own, F.length(canon) + 1))  # what a late attempt adds comes last
     head, rest = F.substring_index(m, " ", 1), F.substr(m, F.length(F.substring_index(m, " ", 1)) + 2)
     name = F.concat_ws(" ", head, F.when(_given(m).isNotNull(), _as(F.substring_index(rest, " ", 1), at(_given_kind(m), _given(m)))), _as(F.substring_index(m, " ", -1), at(F.lit("surname"), _surname(m))))
-    return F.when(kind == "name", name).when(kind.isin("phone", "card", "ssn"), placed).when(kind == "email", _as(m, own)).otherwise(own)
+    return F.when(kind == "none", m).when(kind == "name", name).when(kind.isin("phone", "card", "account", "ssn"), placed).when(kind == "email", _as(m, own)).otherwise(own)
 
 
 def mentions_of(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def replace_pii(docs: DataFrame, key: str = "public-test-key", text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """docs with every mention replaced; count_col, if named, is added with the mentions of a row."""
+def secret_key(spark) -> str:
+    """The key of the session (spark.vistrack.pii.key). Without one the known test key, which hides nothing
+    from those who know it: set a key of your own wherever surrogates are to protect anybody."""
+    return spark.conf.get("spark.vistrack.pii.key", None) or spark.sparkContext.getConf().get("spark.vistrack.pii.key", TEST_KEY)
+
+
+def replace_pii(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """docs with every mention replaced; count_col, if named, is added with the mentions of a row. The same
+    key gives the same surrogates; keep it secret."""
+    if not key:
+        raise ValueError("replace_pii needs a key")
     own = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"))
     text = F.col("row")[text_col].cast("string")
     marked = packed.withColumn("mentions", mentions_of(text))
-    some = stored(marked.where(F.size("mentions") > 0).withColumn("uid", F.monotonically_increasing_id()), "pii")
-    entity = some.select("uid", F.explode(F.array_distinct(F.flatten(F.transform("mentions", entities_of)))).alias("e")).select("uid", "e.*")
+    some = marked.where(F.size("mentions") > 0).withColumn("secrets", F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(1)), lambda x: x != ""))
+    some = stored(some.withColumn("uid", F.monotonically_increasing_id()), "pii")
+    entity = some.select("uid", F.explode(F.array_distinct(F.flatten(F.zip_with("mentions", "secrets", entities_of)))).alias("e")).select("uid", "e.*")
     entity = stored(entity, "pii-entities")
     names = surrogates(entity, key)
     known = entity.join(names, ["kind", "canon"]).groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "canon"), "surrogate"))).alias("known"))
     # collect_list is bounded by the mentions of one text
-    gaps, new = F.split(text, PATTERN, -1), F.transform("mentions", lambda m: render(m, F.col("known")))
+    gaps, new = F.split(text, PATTERN, -1), F.zip_with("mentions", "secrets", lambda m, s: render(m, F.col("known"), s))
     pieces = F.transform(F.arrays_zip(gaps.alias("g"), new.alias("n")), lambda z: F.concat(z["g"], F.coalesce(z["n"], F.lit(""))))
     whole = F.array_join(pieces, "")
-    done = some.join(known, "uid").withColumn("_text", whole)
+    done = some.join(known, "uid", "left").withColumn("_text", whole)
     numbered = dict(docs.dtypes).get("n_chars") == "bigint" and text_col == "text"
     put = lambda c: F.col("_text").alias(c) if c == text_col else F.length("_text").cast("long").alias(c) if c == "n_chars" and numbered else F.col("row")[c].alias(c)
     count = lambda x: [x.cast("long").alias(count_col)] if count_col else []
-    changed = done.select(*[put(c) for c in own], *count(F.size("mentions")))
+    changed = done.select(*[put(c) for c in own], *count(F.size(F.filter(F.zip_with("mentions", "secrets", kind_of), lambda k: k != "none"))))
     same = marked.where(F.coalesce(F.size("mentions"), F.lit(0)) <= 0).select(*[F.col("row")[c].alias(c) for c in own], *count(F.lit(0)))
     return same.unionByName(changed) if len(set(own)) == len(own) else same.union(changed)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return replace_pii(docs, count_col="n_mentions")
+    return replace_pii(docs, secret_key(spark), count_col="n_mentions")
 
