@@ -155,20 +155,26 @@ def wide_sums(text: str | None, n: int = WIDE_SHINGLE):
 
 def wide_fingerprints(docs: DataFrame, own: list[str], text_col: str, n: int = WIDE_SHINGLE) -> DataFrame:
     """The columns named by own, fp0 to fp3 (the wide fingerprint) and peaks: TABLES keys of a text. A key has the
-    number of its table and, for each of PEAKS random directions sets of SPAN, which direction the sums
-    of the bits point to most, and with which sign."""
+    number of its table and, for each of PEAKS sets of SPAN directions, which direction the sums of the
+    bits point to most, and with which sign. Directions come from Hadamard transforms after random flips."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        turn = np.random.default_rng(SEED).standard_normal((64 * WORDS, TABLES * PEAKS * SPAN)).astype(np.float32)
+        width = 64 * WORDS
+        flips = np.random.default_rng(SEED).choice(np.array([-1, 1], np.float32), (TABLES * PEAKS * SPAN // width, width))
+
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
                 sums = np.stack([wide_sums(t.as_py(), n) for t in b.column(len(own))])
                 fps = np.packbits(sums > 0, axis=1).view(">u8").astype(np.int64)
-                z = (sums.astype(np.float32) @ turn).reshape(len(sums), TABLES * PEAKS, SPAN)
+                z = sums[:, None, :].astype(np.float32) * flips
+                for k in range(width.bit_length() - 1):  # Hadamard transforms: each a turn of all directions
+                    pair = z.reshape(len(sums), -1, 2, 1 << k)
+                    z = np.stack([pair[:, :, 0] + pair[:, :, 1], pair[:, :, 0] - pair[:, :, 1]], 2)
+                z = z.reshape(len(sums), TABLES * PEAKS, SPAN)
                 top = np.abs(z).argmax(2)
                 place = (2 * top + (np.take_along_axis(z, top[:, :, None], 2)[:, :, 0] > 0)).reshape(len(sums), TABLES, PEAKS)
                 keys = np.broadcast_to(np.arange(TABLES, dtype=np.int64), place.shape[:2]).copy()
