@@ -8,7 +8,8 @@ that dominate every other set with that length:
 
 * nothing fits beside it: it stays alone;
 * a partner fills it exactly, or no two pieces fit beside it: the longest piece that fits goes with it;
-* the longest piece that fits is at least as long as every pair that fits: same.
+* no three pieces fit beside it, and the longest piece that fits is at least as long as every pair
+  that fits: same.
 
 What remains is packed best-fit, longest first, whole runs of equal bins at a time. The result is a
 list of patterns (lengths with counts, times); its size is bounded by the capacity, not the corpus.
@@ -23,6 +24,7 @@ are packed as rows of their own; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 import bisect
+import math
 import zlib
 
 from pyspark.sql import DataFrame
@@ -53,9 +55,10 @@ class WordTokenizer:
     signs and knows lower case only: letters followed by ASCII marks (the apostrophe apart, which has
     rules of its own) are put together from the letters' ids and the marks' ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
+        self.cache = cache
         self.tok, self.seen, self.parts = Tokenizer.from_file(path), {"": b""}, {"": b""}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet
         self.alphabet = {c: c for c in shown} | {c: 256 + i for i, c in enumerate(c for c in range(256) if c not in set(shown))}
@@ -89,7 +92,7 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if len(self.seen) + len(self.parts) > CACHE:
+        if len(self.seen) + len(self.parts) > self.cache:
             self.seen, self.parts = {"": b""}, {"": b""}
         words = text.replace("\n", " ").split(" ")
         new = set(words).difference(self.seen)
@@ -98,7 +101,7 @@ class WordTokenizer:
         return b"".join(map(self.seen.__getitem__, words))
 
 
-def pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = True, cache: int = CACHE) -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32[, ids binary]) of whole texts."""
     path, step = path or tokenizer_path(), 4 * capacity
 
@@ -108,7 +111,7 @@ def pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok, end = kept(f"tokenizer {path}", lambda: WordTokenizer(path)), END.to_bytes(4, "little")
+        tok, end = kept(f"tokenizer {path} {cache}", lambda: WordTokenizer(path, cache)), END.to_bytes(4, "little")
         for b in batches:
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
             for k, text in enumerate(b.column(1)):
@@ -136,13 +139,14 @@ def reduce_instance(count: dict[int, int], capacity: int) -> tuple[list[tuple[di
             i -= 1
         return sizes[i] if i >= 0 else None
 
-    def smallest_two(but: int) -> int | None:
+    def smallest(k: int, but: int) -> float:
+        """Sum of the k smallest remaining pieces, without end if there are not so many."""
         got = []
         for s in sizes:
-            got += [s] * min(2 - len(got), left[s] - (s == but))
-            if len(got) == 2:
+            got += [s] * max(0, min(k - len(got), left[s] - (s == but)))
+            if len(got) == k:
                 return sum(got)
-        return None
+        return math.inf
 
     def best_pair(limit: int, but: int) -> int:
         """Largest sum of two remaining pieces within limit, or 0."""
@@ -167,12 +171,10 @@ def reduce_instance(count: dict[int, int], capacity: int) -> tuple[list[tuple[di
                 fixed.append(({s: 1}, left[s]))
                 left[s] = 0
                 continue
-            two = smallest_two(s)
-            if not (mate == room or two is None or two > room or mate >= best_pair(room, s)):
+            if not (mate == room or smallest(2, s) > room or smallest(3, s) > room and mate >= best_pair(room, s)):
                 break
+            # fewer pieces make neither fewer sums fit nor pairs longer: the set dominates until a length runs out
             n = left[s] // 2 if mate == s else min(left[s], left[mate])
-            if mate != room and two is not None and two <= room:
-                n = 1 if left[s] < 3 or left[mate] < 3 else max(1, n - 2)  # pairs may change once pieces run out
             fixed.append(({s: 2} if mate == s else {s: 1, mate: 1}, n))
             left[s] -= n
             left[mate] -= n
@@ -236,9 +238,11 @@ def _slots(patterns) -> dict[int, list[tuple[int, int, int, int]]]:
 
 
 def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to materialised pieces (column length)."""
+    """Adds sequence_id and offset to pieces (column length) that are read from stored files. Salts and
+    ranks come from a row's place in its file, so that equal rows are dealt out like all others."""
     spark = found.sparkSession
-    salted = found.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in found.columns if c != "ids"]), F.lit(SALTS)).cast("int"))
+    at = F.struct(F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("r"))
+    salted = found.withColumn("_at", at).withColumn("_salt", F.pmod(F.xxhash64("_at"), F.lit(SALTS)).cast("int"))
     table = salted.groupBy("length", "_salt").count().collect()  # at most capacity x SALTS rows
     count: dict[int, int] = {}
     shift: dict[tuple[int, int], int] = {}
@@ -246,7 +250,7 @@ def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         shift[r["length"], r["_salt"]] = count.get(r["length"], 0)
         count[r["length"]] = count.get(r["length"], 0) + r["count"]
     known = spark.sparkContext.broadcast((_slots(plan(count, capacity)), shift))
-    ranked = salted.selectExpr("*", "row_number() OVER (PARTITION BY length, _salt ORDER BY id, piece, ids_crc32) - 1 AS _rank")
+    ranked = salted.selectExpr("*", "row_number() OVER (PARTITION BY length, _salt ORDER BY _at) - 1 AS _rank")
     out = T.StructType([*found.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = found.columns
 
@@ -267,12 +271,13 @@ def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(run, out)
 
 
-def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = True, cache: int = CACHE) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32[, ids], sequence_id, offset.
 
-    with_ids carries the token ids themselves (little-endian unsigned 32-bit), at four bytes a token.
+    with_ids carries the token ids themselves (little-endian unsigned 32-bit), at four bytes a token. cache:
+    words whose ids a worker remembers; fewer take more time and less memory.
     """
-    found = stored(pieces(docs, path, id_col, text_col, capacity, with_ids), "pieces")
+    found = stored(pieces(docs, path, id_col, text_col, capacity, with_ids, cache), "pieces")
     return place(found, capacity).withColumnRenamed("id", id_col)
 
 
