@@ -46,3 +46,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert quality.keep_good(odd_docs).columns == odd_docs.columns
     assert sorted(r.doc_id for r in quality.keep_good(odd_docs).collect()) == [1, 1]
     assert quality.statistics(no_docs).count() == 0
+
+
+def test_costs_and_order_are_stable(spark, small):
+    """The sample has rows of all partitions; costs are powers of two, and rules that cost far more come out dearer."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("text")
+    runs = [quality.estimate(docs, rows=100) for _ in range(2)]
+    assert runs[0][1] == runs[1][1] and 50 < sum(runs[0][1].values()) < 200
+    assert all(c[r] == 2.0 ** round(__import__("math").log2(c[r])) for c, _ in runs for r in c)
+    assert all(c["repeated_words"] > c["few_words"] for c, _ in runs)
+    assert [quality.order_rules(*r)[0] for r in runs].count(quality.order_rules(*runs[0])[0]) == 2

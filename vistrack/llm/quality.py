@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 Each rule is a condition that rejects a text. Its cost (seconds a row) and the rows it rejects are
-estimated on a bounded sample; rules are then put in greedy order by rejected rows per cost among
+estimated on a bounded sample of all partitions; rules are then put in greedy order by rejected rows per cost among
 those not yet rejected, and compiled to one CASE, of which Spark evaluates a branch only if all
 before it did not hold. The order changes cost and the name of the first rule that rejects, never
 the verdict.
@@ -12,8 +12,10 @@ columns play no part; an empty table gives no rows (its rules then keep their wr
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass
+from statistics import median
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +25,11 @@ from vistrack.session import cut
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
-#: Rows of the sample on which cost and selectivity are estimated (the first that a scan meets).
-SAMPLE_ROWS = 400
+#: Rows of the sample on which cost and selectivity are estimated, about; how often each is evaluated in a
+#: timed job, and the number of such jobs, of which the median counts.
+SAMPLE_ROWS, REPEATS, JOBS = 400, 4, 3
+#: Partitions of the sample.
+SAMPLE_PARTS = 8
 
 
 def words_of(text: Column) -> Column:
@@ -97,22 +102,28 @@ BASE = ("few_words", "repeated_words")
 
 
 def estimate(docs: DataFrame, text_col: str = "text", rules=RULES, rows: int = SAMPLE_ROWS) -> tuple[dict[str, float], dict[tuple, int]]:
-    """Seconds a row of each rule, and the sampled rows by the set of rules that reject them."""
-    # take() looks into as few partitions as hold the rows; limit() would send that many from each
-    taken = [(r[0],) for r in docs.select(F.col(text_col).cast("string")).take(rows)]
-    spark = docs.sparkSession
-    some = cut(spark.createDataFrame(taken, "t string").repartition(spark.sparkContext.defaultParallelism).withColumn("w", words_of(F.col("t"))))
+    """Seconds a row of each rule, and the sampled rows by the set of rules that reject them.
+
+    The sample takes rows of all partitions alike (Bernoulli, fixed seed) and stays on the executors. Costs
+    are rounded to powers of two, so that noise does not change the order of the rules.
+    """
+    n_docs = docs.count()
+    text = docs.select(F.col(f"`{text_col}`").cast("string").alias("t"))
+    some = text.sample(min(1.0, rows / max(1, n_docs)), seed=7) if n_docs > rows else text
+    some = cut(some.repartition(SAMPLE_PARTS).withColumn("w", words_of(F.col("t"))))
     t, w = F.col("t"), F.col("w")
     patterns = some.select(*[r.rejects(t, w).alias(r.name) for r in rules]).groupBy(*[r.name for r in rules]).count().collect()
     n = max(1, sum(p["count"] for p in patterns))
+    often = some.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
 
     def seconds(e: Column) -> float:
         began = time.perf_counter()
-        some.agg(F.count_if(e)).collect()
+        often.agg(F.count_if(e)).collect()
         return time.perf_counter() - began
 
-    nothing = min(seconds(F.size(w) < 0) for _ in range(2))
-    cost = {r.name: max(1e-4, seconds(r.rejects(t, w)) - nothing) / n for r in rules}
+    jobs = {"": F.size(w) < 0} | {r.name: r.rejects(t, w) for r in rules}
+    took = {name: median(seconds(e) for _ in range(JOBS + 1)) for name, e in jobs.items()}
+    cost = {r.name: 2.0 ** round(math.log2(max(1e-5, took[r.name] - took[""]) / (n * REPEATS))) for r in rules}
     return cost, {tuple(r.name for r in rules if p[r.name]): p["count"] for p in patterns}
 
 
