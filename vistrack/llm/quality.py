@@ -109,7 +109,7 @@ def estimate(docs: DataFrame, text_col: str = "text", rules=RULES, rows: int = S
     """
     n_docs = docs.count()
     text = docs.select(F.col(f"`{text_col}`").cast("string").alias("t"))
-    some = text.sample(min(1.0, rows / max(1, n_docs)), seed=7) if n_docs > rows else text
+    some = text.sample(False, rows / n_docs, 7) if n_docs > rows else text
     some = cut(some.repartition(SAMPLE_PARTS).withColumn("w", words_of(F.col("t"))))
     t, w = F.col("t"), F.col("w")
     patterns = some.select(*[r.rejects(t, w).alias(r.name) for r in rules]).groupBy(*[r.name for r in rules]).count().collect()
