@@ -123,7 +123,8 @@ def estimate(docs: DataFrame, text_col: str = "text", rules=RULES, rows: int = S
 
     jobs = {"": F.size(w) < 0} | {r.name: r.rejects(t, w) for r in rules}
     took = {name: median(seconds(e) for _ in range(JOBS + 1)) for name, e in jobs.items()}
-    cost = {r.name: 2.0 ** round(math.log2(max(1e-5, took[r.name] - took[""]) / (n * REPEATS))) for r in rules}
+    least = max(0.002, took[""] / 4)  # less than this is noise of a job
+    cost = {r.name: 2.0 ** round(math.log2(max(least, took[r.name] - took[""]) / (n * REPEATS))) for r in rules}
     return cost, {tuple(r.name for r in rules if p[r.name]): p["count"] for p in patterns}
 
 
