@@ -2,19 +2,24 @@
 
 Sparse word 1- to 3-grams of a paragraph go into an L1 multinomial logistic regression over licence
 families and an unknown class. It is trained here on notice templates, varied with words of corpus
-paragraphs, and on negatives: paragraphs of a bounded corpus sample and sentences that merely sound
-like licences. A held-out part of the training set calibrates: a temperature that minimises the
-log loss, and the least probability at which no held-out negative passes. A prediction is confirmed
-if the paragraph holds at least CONFIRM of the word trigrams of one template of the family.
+lines, and on negatives: lines of a bounded corpus sample, with and without licence words, and sentences
+that merely sound like licences. Folds hold whole templates and whole negatives. A held-out fold
+calibrates: a temperature that minimises the log loss, and the least probability at which no held-out
+negative passes; the weights are then fitted on all folds. A prediction is confirmed if the paragraph
+holds at least CONFIRM of the word trigrams of one template of the family.
 
 Every line of every text is looked at, and so is every block of non-blank lines, joined, as notices
 come hard-wrapped: a block of more than WINDOW lines by windows of WINDOW lines that overlap by half.
-A paragraph (line or window) without any anchor word of the templates has no licence feature and is
-unknown by definition; all others are scored. Scoring joins
-n-grams with the model's weights, whose number is bounded by the training set.
+Paragraphs (lines or windows) without any word of GATE are passed over; that loses nothing, as fewer
+than CONFIRM of the trigrams of each template have no such word, so no such paragraph can be confirmed.
+Of a paragraph's n-grams only those of the model and the templates are kept, in the row itself; their
+number is bounded by the training set.
+
+The sample is chosen by hash and ordered by hash: the same rows give the same weights, however they lie.
 
 Edge cases: null and empty texts have no paragraphs; repeated rows, null ids and extra columns do no
-harm (rows are told apart by a number of their own); an empty table gives no rows.
+harm (rows are told apart by a number of their own); equal probabilities are decided by coverage, then by
+the name of the family; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +32,10 @@ from pyspark.sql import functions as F
 from vistrack.session import stored
 
 ANCHOR = r"(?i)licen[cs]|copyright|spdx|permission|redistribut|warrant|public domain|creative commons|\bcc0?[ -]|\bgnu\b|\b[al]?gpl|mozilla|apache|\bmit\b|\bbsd\b|\bisc\b|unencumbered"
-#: Corpus paragraphs in the training set at most, without and with an anchor word.
-NEGATIVES = 400
+#: Words one of which is in any paragraph that can be confirmed (a test counts the trigrams without).
+GATE = ANCHOR + r"|software|hereby|granted|purpose|waived|documentation|compliance|modif|binary|permitted|foundation|source"
+#: Corpus lines in the training set at most, without and with an anchor word; documents they come from, about.
+NEGATIVES, SAMPLE_DOCS = 400, 4000
 CONFIRM = 0.6
 #: Lines joined at most; a notice of up to half of them and one more lies whole in one window.
 WINDOW = 8
@@ -80,19 +87,29 @@ def joined(text: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(lines) - WINDOW, F.lit(0)) + half, F.lit(half))
         return F.when(F.size(lines) > 1, F.transform(starts, lambda i: F.array_join(F.slice(lines, i, WINDOW), " "))).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.transform(F.filter(F.split(text, r"\n\s*\n"), lambda b: b.rlike(ANCHOR)), windows))
+    return F.flatten(F.transform(F.filter(F.split(text, r"\n\s*\n"), lambda b: b.rlike(GATE)), windows))
 
 
-def training_set(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows (n, text, family), at most a few hundred templates with variations and 2 x NEGATIVES corpus lines."""
-    lines = docs.select(F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("p")).where(F.length("p").between(20, 400))
-    some = lines.where(~F.col("p").rlike(ANCHOR)).limit(NEGATIVES)
-    plain = [r["p"] for r in some.collect()] or ["lorem ipsum dolor sit amet"]
-    # with an anchor, but without any trigram of a template, so that no notice is among them
+def corpus_lines(docs: DataFrame, text_col: str = "text") -> tuple[list[str], list[str]]:
+    """Lines without and with an anchor word of documents chosen by hash, NEGATIVES each, in the order of
+    their hashes. Those with an anchor word share no trigram with a template, so that no notice is among them."""
+    text = F.col(f"`{text_col}`").cast("string")
+    every = max(1, docs.count() // SAMPLE_DOCS)
+    some = docs.select(text.alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(every)) == 0).distinct()
+    lines = some.select(F.explode(F.split("t", "\n")).alias("p")).where(F.length("p").between(20, 400)).distinct()
+    lines = stored(lines.withColumn("h", F.xxhash64("p")), "licence-lines")
     own = F.array_distinct(F.flatten(F.array(*[grams_of(words_of(F.lit(t)), 3) for texts in TEMPLATES.values() for t in texts])))
-    own = lines.sparkSession.range(1).select(own.alias("g")).head()["g"]
-    near = lines.where(F.col("p").rlike(ANCHOR) & ~F.lower("p").contains("spdx")).where(~F.arrays_overlap(grams_of(words_of(F.col("p")), 3), F.array(*map(F.lit, own)))).limit(NEGATIVES)
-    near = [r["p"] for r in near.collect()]
+    own = docs.sparkSession.range(1).select(own.alias("g")).head()["g"]
+    first = lambda d: [r["p"] for r in d.orderBy("h", "p").limit(NEGATIVES).collect()]
+    anchored = lines.where(F.col("p").rlike(ANCHOR) & ~F.lower("p").contains("spdx"))
+    return first(lines.where(~F.col("p").rlike(ANCHOR))), first(anchored.where(~F.arrays_overlap(grams_of(words_of(F.col("p")), 3), F.array(*map(F.lit, own)))))
+
+
+def training_set(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows (fold, text, family): a few hundred templates with variations, and at most 2 x NEGATIVES corpus
+    lines. All variations of a template, and all rows with the same sentence, are in one fold."""
+    plain, near = corpus_lines(docs, text_col)
+    plain = plain or ["lorem ipsum dolor sit amet"]
     rows = []
     for family, texts in TEMPLATES.items():
         for k, t in enumerate(texts):
@@ -103,11 +120,11 @@ def training_set(spark: SparkSession, docs: DataFrame, text_col: str = "text") -
                 if v >= 4 and len(own) > 6:
                     own.pop((v * 5 + k) % len(own))
                 before, after = (pad[: v * 3], []) if v % 2 else ([], pad[: v * 3])
-                rows.append((" ".join([*before, *own, *after]), family))
-    rows += [(s, UNKNOWN) for s in SOUNDS_LIKE for _ in range(4)]
-    rows += [(" ".join([s, *plain[i % len(plain)].split()[:6]]), UNKNOWN) for i, s in enumerate(SOUNDS_LIKE)]
-    rows += [(p, UNKNOWN) for p in [*plain, *near]]
-    return spark.createDataFrame([(i, t, f) for i, (t, f) in enumerate(rows)], "n int, text string, family string")
+                rows.append((k % FOLDS, " ".join([*before, *own, *after]), family))
+    for i, x in enumerate(SOUNDS_LIKE):
+        rows += [(i % FOLDS, x, UNKNOWN), (i % FOLDS, " ".join([x, *plain[i % len(plain)].split()[:6]]), UNKNOWN)]
+    rows += [(i % FOLDS, p, UNKNOWN) for i, p in enumerate([*plain, *near]) if not any(x in p for x in SOUNDS_LIKE)]
+    return spark.createDataFrame(rows, "fold int, text string, family string")
 
 
 def train(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> dict:
@@ -117,22 +134,24 @@ def train(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> dict:
 
     families = [UNKNOWN, *TEMPLATES]
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1
-    rows = training_set(spark, docs, text_col).coalesce(1).select("n", features_of(words_of(F.col("text"))).alias("grams"), label.cast("double").alias("label")).cache()
+    rows = training_set(spark, docs, text_col).coalesce(1).select("fold", features_of(words_of(F.col("text"))).alias("grams"), label.cast("double").alias("label")).cache()
     counted = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0, vocabSize=1 << 14).fit(rows)
     data = counted.transform(rows)
-    model = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.5, maxIter=40, standardization=False).fit(data.where(F.col("n") % FOLDS != 0))
-    # calibration on the held-out part
-    held = [(int(r["label"]), r["rawPrediction"].toArray().tolist()) for r in model.transform(data.where(F.col("n") % FOLDS == 0)).select("label", "rawPrediction").collect()]
+    learner = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.5, maxIter=40, standardization=False)
+    # calibration on the fold left out; only families that the other folds know
+    part = learner.fit(data.where("fold <> 0"))
+    held = [(int(r["label"]), r["rawPrediction"].toArray().tolist()) for r in part.transform(data.where("fold = 0")).select("label", "rawPrediction").collect()]
 
     def probability(z, t):
         e = [math.exp((x - max(z)) / t) for x in z]
         return [x / sum(e) for x in e]
 
-    temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0), key=lambda t: sum(-math.log(max(1e-12, probability(z, t)[y])) for y, z in held))
+    temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=lambda t: sum(-math.log(max(1e-12, probability(z, t)[y])) for y, z in held))
     high = [max(probability(z, temperature)[1:]) for y, z in held if y == 0]
-    least = min(0.95, max(0.5, *high) + 0.01 if high else 0.5)
+    least = min(0.999, max([0.3, *high]) + 0.001)
+    model = learner.fit(data)
     matrix, vocabulary = model.coefficientMatrix.toArray(), counted.vocabulary
-    weights = [(vocabulary[j], families[i], float(matrix[i, j])) for i in range(len(families)) for j in range(len(vocabulary)) if abs(matrix[i, j]) > 1e-6]
+    weights = sorted((vocabulary[j], families[i], float(matrix[i, j])) for i in range(len(families)) for j in range(len(vocabulary)) if abs(matrix[i, j]) > 1e-6)
     rows.unpersist()
     return {"weights": weights, "intercepts": dict(zip(families, model.interceptVector.toArray().tolist(), strict=True)), "temperature": temperature, "least": least}
 
@@ -141,13 +160,19 @@ def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
     """One row per row of docs: id, n_paragraphs (lines with an anchor), families (confirmed, sorted, comma
     separated), family, probability and coverage of the surest confirmed paragraph (else unknown)."""
     spark = docs.sparkSession
-    text = F.col(text_col).cast("string")
-    some = lambda a: F.when(text.rlike(ANCHOR), F.filter(a, lambda p: p.rlike(ANCHOR))).otherwise(F.array().cast("array<string>"))
-    # one pass over the texts; a text without any anchor is not split
-    rows = docs.select(F.col(id_col).alias("id"), some(F.split(text, "\n")).alias("lines"), some(joined(text)).alias("windows")).withColumn("uid", F.monotonically_increasing_id())
-    rows = stored(rows, "licences")
-    para = rows.select("uid", F.posexplode(F.concat("lines", "windows")).alias("pos", "p")).select("uid", "pos", words_of(F.col("p")).alias("words"))
-    grams = para.select("uid", "pos", F.explode(features_of(F.col("words"))).alias("gram"))
+    text = F.col(f"`{text_col}`").cast("string")
+    known = spark.createDataFrame([(f, k, t) for f, texts in TEMPLATES.items() for k, t in enumerate(texts)], "family string, template int, t string")
+    known = known.select("family", "template", F.array_distinct(grams_of(words_of(F.col("t")), 3)).alias("g"), words_of(F.col("t")).alias("w"))
+    known = known.select("family", "template", F.when(F.size("g") > 0, F.col("g")).otherwise(F.array_distinct("w")).alias("g")).select("family", "template", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    known = [tuple(r) for r in known.collect()]  # the templates' own grams
+    vocabulary = sorted({g for g, _, _ in model["weights"]} | {r[3] for r in known})
+    some = lambda a: F.when(text.rlike(GATE), F.filter(a, lambda p: p.rlike(GATE))).otherwise(F.array().cast("array<string>"))
+    hits = lambda p: F.filter(features_of(words_of(p)), lambda g: g.isin(vocabulary))
+    # one pass over the texts; a text without any word of the gate is not split
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), some(F.split(text, "\n")).alias("lines"), some(joined(text)).alias("windows"))
+    rows = rows.select("id", F.coalesce(F.size(F.filter("lines", lambda p: p.rlike(ANCHOR))), F.lit(0)).alias("n"), F.transform(F.concat("lines", "windows"), hits).alias("hits"))
+    rows = stored(rows.withColumn("uid", F.monotonically_increasing_id()), "licences")
+    grams = rows.select("uid", F.posexplode("hits").alias("pos", "grams")).select("uid", "pos", F.explode("grams").alias("gram"))
     families = list(model["intercepts"])
     weights = F.broadcast(spark.createDataFrame(model["weights"], "gram string, family string, w double"))  # bounded by the training set
     sums = [F.sum(F.when(F.col("family") == f, F.col("w")).otherwise(0.0)).alias(f) for f in families]
@@ -156,15 +181,13 @@ def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
     z = z.select("uid", "pos", logits.alias("l")).select("uid", "pos", F.array_max("l").alias("top"), "l")
     total = F.aggregate("l", F.lit(0.0), lambda a, x: a + F.exp(x["z"] - F.col("top")["z"]))
     predicted = z.select("uid", "pos", F.col("top")["f"].alias("family"), (1 / total).alias("probability")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= model["least"]))
-    known = spark.createDataFrame([(f, k, t) for f, texts in TEMPLATES.items() for k, t in enumerate(texts)], "family string, template int, t string")
-    known = known.select("family", "template", F.array_distinct(grams_of(words_of(F.col("t")), 3)).alias("g"), words_of(F.col("t")).alias("w"))
-    known = known.select("family", "template", F.when(F.size("g") > 0, F.col("g")).otherwise(F.array_distinct("w")).alias("g")).select("family", "template", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    held = grams.join(F.broadcast(known), "gram").join(predicted, ["uid", "pos", "family"]).groupBy("uid", "pos", "family", "template").agg((F.count("*") / F.max("n")).alias("c"))
+    own = F.broadcast(spark.createDataFrame(known, "family string, template int, n int, gram string"))
+    held = grams.join(own, "gram").join(predicted, ["uid", "pos", "family"]).groupBy("uid", "pos", "family", "template").agg((F.count("*") / F.max("n")).alias("c"))
     sure = held.groupBy("uid", "pos", "family").agg(F.max("c").alias("coverage")).where(F.col("coverage") >= CONFIRM).join(predicted, ["uid", "pos", "family"])
     best = F.max(F.struct("probability", "coverage", "family")).alias("best")
     found = sure.groupBy("uid").agg(F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"), best)
-    out = rows.select("uid", "id", F.coalesce(F.size("lines"), F.lit(0)).alias("n")).join(found, "uid", "left")
-    return out.select(F.col("id").alias(id_col), F.greatest(F.col("n"), F.lit(0)).cast("long").alias("n_paragraphs"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce(F.col("best")["family"], F.lit(UNKNOWN)).alias("family"), F.round(F.col("best")["probability"], 6).alias("probability"), F.round(F.col("best")["coverage"], 6).alias("coverage"))
+    out = rows.select("uid", "id", "n").join(found, "uid", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_paragraphs"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce(F.col("best")["family"], F.lit(UNKNOWN)).alias("family"), F.round(F.col("best")["probability"], 6).alias("probability"), F.round(F.col("best")["coverage"], 6).alias("coverage"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
