@@ -155,6 +155,46 @@ def test_warc_copies_and_odd_rows(spark, no_docs):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_files_are_gzip_and_members_open_at_their_ranges(spark, tmp_path):
+    import glob
+    import gzip
+
+    pages = spark.createDataFrame([(i, f"http://h{i % 5}.org/{i}", "<p>" + "é x" * (i % 900)) for i in range(300)], "page_id long, url string, html string")
+    path = warc.archive(pages)
+    found = warc.captures(spark, path).collect()
+    assert len(found) == 300 and len({(r.file, r.offset) for r in found}) == 300
+    for name in glob.glob(path.replace("file://", "") + "/*.txt"):
+        raw = open(name, "rb").read()
+        text = gzip.decompress(raw)
+        own = sorted((r.offset, r.length) for r in found if r.file.endswith(name))
+        assert b"".join(gzip.decompress(raw[o : o + n]) for o, n in own) == text and text.count(b"WARC/1.1") == len(own)
+        with warc.opened("file://" + name) as f:
+            assert list(warc.at_ranges(f, own)) == [raw[o : o + n] for o, n in own]
+    # bytes that look like a separator inside a member do not end it
+    fake = warc.member(b"a" * 50)
+    stored = fake[:10] + b"\x01" + (len(warc.EMPTY)).to_bytes(2, "little") + (0xFFFF - len(warc.EMPTY)).to_bytes(2, "little") + warc.EMPTY
+    import zlib as z
+
+    stored += z.crc32(warc.EMPTY).to_bytes(4, "little") + len(warc.EMPTY).to_bytes(4, "little")
+    assert [x[2] for x in warc.members(fake + warc.EMPTY + stored + warc.EMPTY + fake)] == [b"a" * 50, warc.EMPTY, b"a" * 50]
+
+
+def test_whole_file_reads_give_the_same_rows(spark, small, monkeypatch):
+    want = plain(warc.query(spark, small).toPandas())
+    monkeypatch.setattr(warc, "opened", lambda path: None)
+    for limit in (warc.RANGES, 0):
+        monkeypatch.setattr(warc, "RANGES", limit)
+        assert plain(warc.query(spark, small).toPandas()) == want
+
+
+def test_rows_without_id_share_a_key(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SHARD", 50)
+    monkeypatch.setattr(warc, "BLOCK", 8)
+    pages = spark.createDataFrame([(None, "http://a.org", f"p{i}") for i in range(400)] + [(i, "http://b.org", "q") for i in range(100)], "page_id long, url string, html string")
+    got = warc.round_trip(pages).collect()
+    assert len(got) == 500 and {bytes(r.payload).decode() for r in got if r.page_id is None} == {f"p{i}" for i in range(400)}
+
+
 def test_lookup_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK", 4)
     rows = [("f", i, 1, 7 if i < 40 else i, f"http://h{i % 3}.org/{i if i >= 40 else 0}", "response", "d") for i in range(120)]
