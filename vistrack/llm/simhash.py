@@ -320,7 +320,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     best = stored(rows.groupBy(F.col(kc).alias("key"), order.alias("o")).agg(F.count("*").alias("n")), "simhash-rows")
     roots = similar_classes(docs, text_col, similarity, n).withColumnRenamed("node", "key")
     best = stored(best.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "simhash-roots")
-    stays = best.groupBy("root").agg(F.min("o").alias("stays"))
+    # stored, so that a large group's side of the join can be split
+    stays = stored(best.groupBy("root").agg(F.min("o").alias("stays")), "simhash-stays")
     told = stored(best.join(stays, "root").withColumn("stay", F.col("o") == F.col("stays")).where("n > 1 OR NOT stay").select(F.col("o")["row"].alias(rc), "stay").distinct(), "simhash-gone")
     gone, twice = told.where("NOT stay").select(rc), told.where("stay").select(rc)
     kept = join_checked(rows, gone, rc, "left_anti")
