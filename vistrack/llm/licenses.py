@@ -167,10 +167,10 @@ def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
     known = [tuple(r) for r in known.collect()]  # the templates' own grams
     vocabulary = sorted({g for g, _, _ in model["weights"]} | {r[3] for r in known})
     some = lambda a: F.when(text.rlike(GATE), F.filter(a, lambda p: p.rlike(GATE))).otherwise(F.array().cast("array<string>"))
-    hits = lambda p: F.filter(features_of(words_of(p)), lambda g: g.isin(vocabulary))
+    hits = lambda words: F.filter(features_of(words), lambda g: g.isin(vocabulary))
     # one pass over the texts; a text without any word of the gate is not split
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), some(F.split(text, "\n")).alias("lines"), some(joined(text)).alias("windows"))
-    rows = rows.select("id", F.coalesce(F.size(F.filter("lines", lambda p: p.rlike(ANCHOR))), F.lit(0)).alias("n"), F.transform(F.concat("lines", "windows"), hits).alias("hits"))
+    rows = rows.select("id", F.coalesce(F.size(F.filter("lines", lambda p: p.rlike(ANCHOR))), F.lit(0)).alias("n"), F.transform(F.transform(F.concat("lines", "windows"), words_of), hits).alias("hits"))
     rows = stored(rows.withColumn("uid", F.monotonically_increasing_id()), "licences")
     grams = rows.select("uid", F.posexplode("hits").alias("pos", "grams")).select("uid", "pos", F.explode("grams").alias("gram"))
     families = list(model["intercepts"])
