@@ -12,9 +12,12 @@ from vistrack.roles import CAMERAS, KEYS, OBS, OBS_XY
 from vistrack.session import table
 
 DIM, JOIN_RATIO, GRAPH_RATIO = 64, 0.95, 0.90
-SHARDS, TOP, COVER, CELL, STEP, BAND = 7, 5, 5, 64, 32, 4.0
+SHARDS, TOP, COVER, CELL, STEP, BAND = 7, 5, 5, 64, 30, 4.0
 WIDTH, HEIGHT = 1024, 768
-FUND = [0.0, 0.0, 0.3, 0.0, 0.0, -1.0, 0.001, 1.0, 5.0]
+#: Lines of all slopes, level and upright ones among them; keys at (500, 300) have none.
+FUND = [1.0, 0.0, -500.0, 0.0, 1.0, -300.0, -400.0, -300.0, 250000.0]
+#: Guided matches: cells, samples, band and border in pixels.
+G_CELL, G_STEP, G_BAND, G_BORDER = 288, 65, 64.0, 65
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -228,13 +231,43 @@ def rank_top_n(s, d):
     return localize.top_ranked(rank_edges(s, d), 3).select("src", "dst", "n", F.col("rn").cast("long").alias("rn"))
 
 
-@register("visual_words", f"""WITH {KEYS}, centers AS (SELECT key AS word, v FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY key) AS r FROM keys) WHERE r = 1),
-c AS (SELECT image, key, word, {dist_sql('keys.v', 'centers.v')} AS d FROM keys, centers)
-SELECT image, key, word, round(d, 9) AS d FROM (SELECT *, row_number() OVER (PARTITION BY image, key ORDER BY d, word) AS rn FROM c) WHERE rn = 1""")
+WORDS = f"""{KEYS}, centers AS (SELECT key AS word, v FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY key) AS r FROM keys) WHERE r = 1),
+c AS (SELECT image, key, word, {dist_sql('keys.v', 'centers.v')} AS d FROM keys, centers),
+w AS (SELECT *, row_number() OVER (PARTITION BY image, key ORDER BY d, word) AS rn FROM c)"""
+
+
+def words(s, d, k, block=None):
+    keys = roles.keys(s, d)
+    centers = matching.scale_rank(keys).where("pos = 0").select(F.col("key").alias("word"), "v")
+    return matching.visual_words(keys, centers, DIM, k, block)
+
+
+@register("visual_words", f"WITH {WORDS} SELECT image, key, word, round(d, 9) AS d FROM w WHERE rn = 1")
 def visual_words(s, d):
-    k = roles.keys(s, d)
-    centers = matching.scale_rank(k).where("pos = 0").select(F.col("key").alias("word"), "v")
-    return matching.visual_words(k, centers, DIM).select("image", "key", "word", F.round("d", 9).alias("d"))
+    return words(s, d, 1).select("image", "key", "word", F.round("d", 9).alias("d"))
+
+
+@register("visual_words_knn", f"WITH {WORDS} SELECT image, key, rn AS rank, word, word % 3 AS parent, round(d, 9) AS d FROM w WHERE rn <= 3")
+def visual_words_knn(s, d):
+    """In blocks of three centers, with the words' parents."""
+    got = words(s, d, 3, 3)
+    parents = roles.keys(s, d).select(F.col("key").alias("word"), (F.col("key") % 3).alias("parent")).distinct()
+    return matching.parent_words(got, parents).select("image", "key", F.col("rank").cast("long").alias("rank"), "word", "parent", F.round("d", 9).alias("d"))
+
+
+@register("prefix_sizes", f"WITH {IMG} SELECT image, least(n, greatest(n // 10, 20))::BIGINT AS own, least(n, greatest(n // 5, 20))::BIGINT AS other FROM img")
+def prefix_sizes(s, d):
+    n = F.col("n")
+    return roles.images(s, d).select("image", matching.batch_size(n, least=20).cast("long").alias("own"), matching.batch_size(n, True, 20).cast("long").alias("other"))
+
+
+@register("smallest_caps", f"""WITH {knn_sql()}, m AS (SELECT two.a, two.b, greatest(p.pos, q.pos) + 1 AS top FROM two JOIN ranked0 p ON p.image = a AND p.key = ka JOIN ranked0 q ON q.image = b AND q.key = kb WHERE {ok_sql(JOIN_RATIO)}),
+c AS (SELECT a, b, cap, count(*)::BIGINT AS n FROM m JOIN (SELECT (5 * 2 ** i)::BIGINT AS cap FROM (SELECT unnest(range(0, 9)) AS i)) ON top <= cap GROUP BY a, b, cap HAVING count(*) >= 8),
+r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY cap) AS rn FROM c) SELECT a, b, cap, n FROM r WHERE rn = 1""")
+def smallest_caps(s, d):
+    k = matching.scale_rank(roles.keys(s, d)).select("image", "key", "pos")
+    m = forward(s, d, JOIN_RATIO).join(k.select(F.col("image").alias("a"), F.col("key").alias("ka"), F.col("pos").alias("pa")), ["a", "ka"]).join(k.select(F.col("image").alias("b"), F.col("key").alias("kb"), F.col("pos").alias("pb")), ["b", "kb"])
+    return matching.smallest_cap(m, 5, 8)
 
 
 # ---- tracks --------------------------------------------------------------------------------------
@@ -292,11 +325,13 @@ def latest_coordinates(s, d):
 # ---- localisation --------------------------------------------------------------------------------
 
 
-@register("one_to_one", f"""WITH {OBS}, l AS (SELECT point FROM obs GROUP BY point HAVING count(DISTINCT view) = 1),
-p AS (SELECT DISTINCT point, view FROM obs SEMI JOIN l USING (point)), r AS (SELECT view FROM p GROUP BY view HAVING count(DISTINCT point) = 1)
-SELECT point, view FROM p SEMI JOIN r USING (view)""")
+@register("one_to_one", """WITH obs AS (SELECT c_custkey AS k, floor(c_acctbal)::BIGINT AS v FROM customer UNION ALL SELECT c_custkey, c_custkey % 5000 FROM customer WHERE c_custkey % 7 = 0),
+l AS (SELECT k FROM obs GROUP BY k HAVING count(DISTINCT v) = 1),
+p AS (SELECT DISTINCT k, v FROM obs SEMI JOIN l USING (k)), r AS (SELECT v FROM p GROUP BY v HAVING count(DISTINCT k) = 1)
+SELECT k, v FROM p SEMI JOIN r USING (v)""")
 def one_to_one(s, d):
-    return pairs.one_to_one(roles.observations(s, d), "point", "view")
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("k"), F.floor("c_acctbal").cast("long").alias("v"))
+    return pairs.one_to_one(c.union(c.where("k % 7 = 0").select("k", F.expr("k % 5000"))), "k", "v")
 
 
 @register("knn_one_to_one", f"""WITH {knn_sql()}, m AS (SELECT DISTINCT ka, kb FROM two WHERE {ok_sql(JOIN_RATIO)}), l AS (SELECT ka FROM m GROUP BY ka HAVING count(DISTINCT kb) = 1),
@@ -313,13 +348,26 @@ def visible_points(s, d):
     return localize.visible_points(ranks, o, TOP, 2)
 
 
-VOTE = f"""{knn_sql()}, hits AS (SELECT b AS query, ka % 50 AS point, kb AS key, d1 AS d FROM two WHERE {ok_sql(JOIN_RATIO)}),
+#: Points are observed by the keys of even images and looked for in the odd ones.
+VOTE = f"""{KEYS}, seen AS (SELECT key % 50 AS point, image AS view, key AS k, v FROM keys WHERE image % 2 = 0), q AS (SELECT image AS query, key AS kb, v FROM keys WHERE image % 2 = 1),
+c AS (SELECT query, point, view, k, kb, {dist_sql('seen.v', 'q.v')} AS d FROM seen, q WHERE (point + query) % 3 <> 0),
+h AS (SELECT *, row_number() OVER w AS rn, lead(d) OVER w AS d2 FROM c WINDOW w AS (PARTITION BY query, point, view, k ORDER BY d, kb)),
+hits AS (SELECT query, point, kb AS key, d FROM h WHERE rn = 1 AND d2 IS NOT NULL AND d <= {JOIN_RATIO * JOIN_RATIO!r}::DOUBLE * d2),
 per AS (SELECT query, point, key, count(*)::BIGINT AS n, min(d) AS d FROM hits GROUP BY ALL), t AS (SELECT *, max(n) OVER (PARTITION BY query, point) AS top FROM per),
 v AS (SELECT *, row_number() OVER (PARTITION BY query, point ORDER BY CASE WHEN top > 1 THEN -n ELSE 0 END, CASE WHEN top > 1 THEN 0 ELSE d END, key) AS r FROM t)"""
 
 
 def hits(s, d):
-    return forward(s, d, JOIN_RATIO).select(F.col("b").alias("query"), (F.col("ka") % 50).alias("point"), F.col("kb").alias("key"), F.col("d1").alias("d"))
+    k = roles.keys(s, d)
+    seen, query = k.where("image % 2 = 0"), k.where("image % 2 = 1").withColumnRenamed("image", "query")
+    obs = seen.select((F.col("key") % 50).alias("point"), F.col("image").alias("view"), "key")
+    visible = query.select("query").distinct().join(obs.select("point").distinct(), (F.col("point") + F.col("query")) % 3 != 0)
+    return localize.point_hits(visible, obs, seen.select(F.col("image").alias("view"), "key", "v"), query, DIM, JOIN_RATIO)
+
+
+@register("point_hits", f"WITH {VOTE} SELECT query, point, key, round(d, 9) AS d FROM hits")
+def point_hits(s, d):
+    return hits(s, d).select("query", "point", "key", F.round("d", 9).alias("d"))
 
 
 @register("vote_3d2d", f"WITH {VOTE} SELECT query, point, key, n, round(d, 9) AS d FROM v WHERE r = 1")
@@ -433,33 +481,68 @@ def nearest_cell(s, d):
     return roles.observations_xy(s, d).select("view", "point", "x", "y", g.cast("long").alias("g"), cx.alias("cx"), cy.alias("cy"))
 
 
-LINES = f"{OBS_XY}, ln AS (SELECT DISTINCT view, point, x, y, view + 1 AS target_view, 0.0::DOUBLE*x + 0.0::DOUBLE*y + 0.3::DOUBLE AS la, 0.0::DOUBLE*x + 0.0::DOUBLE*y - 1.0::DOUBLE AS lb, 0.001::DOUBLE*x + 1.0::DOUBLE*y + 5.0::DOUBLE AS lc FROM obs)"
+LINES = f"{OBS_XY}, ln AS (SELECT DISTINCT view, point, x, y, view + 1 AS target_view, x - 500.0::DOUBLE AS la, y - 300.0::DOUBLE AS lb, -400.0::DOUBLE*x - 300.0::DOUBLE*y + 250000.0::DOUBLE AS lc FROM obs WHERE x <> 500 OR y <> 300)"
 
 
 @register("epi_distance_filter", f"""WITH {LINES}, t AS (SELECT ln.view, ln.point, o.x AS tx, o.y AS ty, abs(la*o.x + lb*o.y + lc)/sqrt(la*la + lb*lb) AS dist FROM ln JOIN obs o ON o.view = ln.target_view AND o.point = ln.point)
 SELECT view, point, tx, ty, round(dist, 6) AS dist FROM t WHERE dist < 100""")
 def epi_distance_filter(s, d):
     o = roles.observations_xy(s, d)
-    ln = guided.lines(o.distinct(), FUND).withColumn("target_view", F.col("view") + 1)
+    ln = guided.lines(o.where("x <> 500 OR y <> 300").distinct(), FUND).withColumn("target_view", F.col("view") + 1)
     t = o.select(F.col("view").alias("target_view"), "point", F.col("x").alias("tx"), F.col("y").alias("ty"))
     dist = geometry.line_distance(F.col("la"), F.col("lb"), F.col("lc"), F.col("tx"), F.col("ty"))
     return ln.join(t, ["target_view", "point"]).withColumn("dist", dist).where("dist < 100").select("view", "point", "tx", "ty", F.round("dist", 6).alias("dist"))
 
 
-BANDED = f"""{LINES}, inside AS (SELECT * FROM obs WHERE x BETWEEN {CELL} AND {WIDTH - CELL} AND y BETWEEN {CELL} AND {HEIGHT - CELL}),
-gridded AS (""" + GRID.split("gridded AS (")[1] + f""",
-smp AS (SELECT view, point, target_view, la, lb, lc, sx::DOUBLE AS x, -(la*sx + lc)/lb AS y FROM ln, (SELECT unnest(generate_series(0, {WIDTH - 1}, {STEP})) AS sx)),
-cl AS (SELECT DISTINCT view, point, target_view, la, lb, lc, m.g AS g, m.cx AS cx, m.cy AS cy FROM (SELECT *, list_min({NEAR}) AS m FROM smp WHERE y BETWEEN 0 AND {HEIGHT - 1})),
-hit AS (SELECT DISTINCT cl.view, cl.point, k.point AS t_point, k.x AS t_x, k.y AS t_y, abs(la*k.x + lb*k.y + lc)/sqrt(la*la + lb*lb) AS dist
-        FROM cl JOIN gridded k ON k.view = cl.target_view AND k.g = cl.g AND k.cx = cl.cx AND k.cy = cl.cy)"""
+#: Without any cells: all keys of the target view, by distance.
+BANDED = f"""{LINES}, inside AS (SELECT DISTINCT view, point, x, y FROM obs WHERE x BETWEEN {CELL} AND {WIDTH - CELL} AND y BETWEEN {CELL} AND {HEIGHT - CELL}),
+dl AS (SELECT DISTINCT view, point, target_view, la, lb, lc FROM ln),
+hit AS (SELECT DISTINCT dl.view, dl.point, dl.la, dl.lb, dl.lc, k.point AS t_point, k.x AS t_x, k.y AS t_y, abs(la*k.x + lb*k.y + lc)/sqrt(la*la + lb*lb) AS dist
+        FROM dl JOIN inside k ON k.view = dl.target_view AND abs(la*k.x + lb*k.y + lc) < {BAND} * sqrt(la*la + lb*lb))"""
 
 
-@register("band_join", f"WITH {BANDED} SELECT view, point, count(*)::BIGINT AS n, min(t_point) AS first_point, round(min(dist), 6) AS nearest FROM hit WHERE dist < {BAND} GROUP BY view, point")
+@register("band_join", f"WITH {BANDED} SELECT view, point, count(DISTINCT (t_point, t_x, t_y))::BIGINT AS n, min(t_point) AS first_point, round(min(dist), 6) AS nearest FROM hit GROUP BY view, point")
 def band_join(s, d):
     o = roles.observations_xy(s, d)
-    ln = guided.lines(o.distinct(), FUND).withColumn("target_view", F.col("view") + 1).groupBy("view", "point", "target_view", "la", "lb", "lc").agg(F.count("*").alias("_n")).drop("_n")
+    ln = guided.lines(o.where("x <> 500 OR y <> 300"), FUND).withColumn("target_view", F.col("view") + 1).select("view", "point", "target_view", "la", "lb", "lc").distinct()
     hit = guided.band_candidates(ln, gridded(s, d), CELL, STEP, WIDTH, HEIGHT, BAND, ["view", "point"], ["point", "x", "y"])
-    return hit.groupBy("view", "point").agg(F.count("*").alias("n"), F.min("t_point").alias("first_point"), F.round(F.min("dist"), 6).alias("nearest"))
+    return hit.groupBy("view", "point").agg(F.count_distinct("t_point", "t_x", "t_y").alias("n"), F.min("t_point").alias("first_point"), F.round(F.min("dist"), 6).alias("nearest"))
+
+
+#: Embeddings as keys with places in the image.
+KEYS_XY = "kxy AS (SELECT label::BIGINT AS image, vec_id AS key, embedding AS v, (vec_id * 7919) % 1024 AS x, (vec_id * 104729 + 31) % 768 AS y FROM embeddings)"
+
+
+def keys_xy(s, d):
+    return roles.keys(s, d).select("*", (F.col("key") * 7919 % 1024).alias("x"), ((F.col("key") * 104729 + 31) % 768).alias("y"))
+
+
+@register("guided_match", f"""WITH {KEYS_XY}, {ALL},
+c AS (SELECT a, b, p.key AS ka, q.key AS kb, p.x AS xa, p.y AS ya, q.x AS xb, q.y AS yb, {dist_sql('p.v', 'q.v')} AS d, p.x - 500.0::DOUBLE AS la, p.y - 300.0::DOUBLE AS lb, -400.0::DOUBLE*p.x - 300.0::DOUBLE*p.y + 250000.0::DOUBLE AS lc
+      FROM ap JOIN kxy p ON p.image = a JOIN kxy q ON q.image = b WHERE q.x BETWEEN {G_BORDER} AND {WIDTH - G_BORDER} AND q.y BETWEEN {G_BORDER} AND {HEIGHT - G_BORDER}),
+near AS (SELECT * FROM c WHERE abs(la*xb + lb*yb + lc) < {G_BAND} * sqrt(la*la + lb*lb)),
+rk AS (SELECT *, row_number() OVER w AS rn, lead(d) OVER w AS d2 FROM near WINDOW w AS (PARTITION BY a, b, ka ORDER BY d, kb)),
+m AS (SELECT *, xb - 400.0::DOUBLE AS ra, yb - 300.0::DOUBLE AS rb, -500.0::DOUBLE*xb - 300.0::DOUBLE*yb + 250000.0::DOUBLE AS rc FROM rk WHERE rn = 1 AND d2 IS NOT NULL AND d <= {JOIN_RATIO * JOIN_RATIO!r}::DOUBLE * d2)
+SELECT a, b, ka, kb, round(d, 9) AS d1, round(d2, 9) AS d2 FROM m WHERE abs(ra*xa + rb*ya + rc) < {G_BAND} * sqrt(ra*ra + rb*rb)""")
+def guided_match(s, d):
+    got = guided.guided_match(keys_xy(s, d), pairs.all_pairs(roles.images(s, d)), FUND, DIM, G_CELL, G_STEP, WIDTH, HEIGHT, G_BAND, JOIN_RATIO, border=G_BORDER)
+    return got.select("a", "b", "ka", "kb", F.round("d1", 9).alias("d1"), F.round("d2", 9).alias("d2"))
+
+
+@register("grid_first", f"WITH {GRID} SELECT view, g::BIGINT AS g, cx, cy, count(*)::BIGINT AS n, min(point) AS first FROM gridded GROUP BY ALL")
+def grid_first(s, d):
+    return guided.buckets(gridded(s, d), "view", key="point").withColumn("g", F.col("g").cast("long"))
+
+
+@register("fullest_cells", f"WITH {GRID}, n AS (SELECT view, g, cx, cy, count(*)::BIGINT AS n FROM gridded GROUP BY ALL) SELECT view, max(n) AS most FROM n GROUP BY view")
+def fullest_cells(s, d):
+    return guided.fullest(guided.buckets(gridded(s, d), "view"), "view")
+
+
+@register("neighbor_cells", f"WITH {OBS_XY}, o AS (SELECT DISTINCT x, y FROM obs) " + " UNION ALL ".join(f"SELECT x, y, {g}::BIGINT AS g, floor((x - {ox})/{CELL}.0)::BIGINT AS cx, floor((y - {oy})/{CELL}.0)::BIGINT AS cy FROM o" for g, (ox, oy) in enumerate(((0, 0), (CELL // 2, 0), (0, CELL // 2), (CELL // 2, CELL // 2)))))
+def neighbor_cells(s, d):
+    o = roles.observations_xy(s, d).select("x", "y").distinct()
+    return o.select("x", "y", F.explode(guided.cells_of(F.col("x"), F.col("y"), CELL)).alias("c")).select("x", "y", F.col("c.g").cast("long").alias("g"), "c.cx", "c.cy")
 
 
 @register("line_rectangle", f"""WITH {OBS_XY}, l AS (SELECT DISTINCT x, y, (x - 500) / 100.0::DOUBLE AS a, (y - 300) / 100.0::DOUBLE AS b, x * 1.0::DOUBLE AS c FROM obs),
@@ -503,7 +586,15 @@ def cluster_heads(s, d):
     return stats.latest_per_group(line_clusters(s, d), ["view", "cluster"], ["x1", "y1", "x2", "y2"]).select("view", "cluster", "x1", "y1", "x2", "y2")
 
 
-@register("anchor_clusters")
+@register("anchor_clusters", f"""WITH RECURSIVE {OBS_XY}, e AS (SELECT DISTINCT view, x AS x1, y AS y1, x + y % 5 AS x2, y + x % 3 AS y2 FROM obs),
+r AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY x1, y1, x2, y2) AS i FROM e),
+f AS (SELECT view, i, x1, y1, x2, y2, x1 AS ax1, y1 AS ay1, x2 AS ax2, y2 AS ay2, 1::BIGINT AS cluster FROM r WHERE i = 1
+      UNION ALL SELECT r.view, r.i, r.x1, r.y1, r.x2, r.y2,
+        CASE WHEN abs(r.x1 - ax1) + abs(r.y1 - ay1) >= 4 OR abs(r.x2 - ax2) + abs(r.y2 - ay2) >= 4 THEN r.x1 ELSE ax1 END, CASE WHEN abs(r.x1 - ax1) + abs(r.y1 - ay1) >= 4 OR abs(r.x2 - ax2) + abs(r.y2 - ay2) >= 4 THEN r.y1 ELSE ay1 END,
+        CASE WHEN abs(r.x1 - ax1) + abs(r.y1 - ay1) >= 4 OR abs(r.x2 - ax2) + abs(r.y2 - ay2) >= 4 THEN r.x2 ELSE ax2 END, CASE WHEN abs(r.x1 - ax1) + abs(r.y1 - ay1) >= 4 OR abs(r.x2 - ax2) + abs(r.y2 - ay2) >= 4 THEN r.y2 ELSE ay2 END,
+        cluster + CASE WHEN abs(r.x1 - ax1) + abs(r.y1 - ay1) >= 4 OR abs(r.x2 - ax2) + abs(r.y2 - ay2) >= 4 THEN 1 ELSE 0 END
+      FROM f JOIN r ON r.view = f.view AND r.i = f.i + 1)
+SELECT view, x1, y1, x2, y2, cluster FROM f""")
 def anchor_clusters(s, d):
     return guided.anchor_clusters(ends(s, d), "view", ["x1", "y1", "x2", "y2"])
 
@@ -623,6 +714,58 @@ def keys_by_scale(s, d):
     return table(s, d, "lineitem").select(F.col("l_suppkey").alias("image"), F.col("l_extendedprice").alias("scale"), (F.row_number().over(w) - 1).cast("long").alias("key_id"))
 
 
+@register("cover_cameras", "SELECT s_suppkey AS view FROM supplier WHERE s_suppkey % 3 <> 0 OR s_suppkey % 5 = 0")
+def cover_cameras(s, d):
+    c = roles.cameras(s, d).select("view", "f", F.when(F.col("view") % 5 == 0, 0.1).otherwise(0.0).alias("k1"), F.lit(0.0).alias("k2"))
+    return model.with_intrinsics(c).select("view")
+
+
+@register("matches_of_image", f"WITH {SYM} SELECT view AS a, key AS ka, v2 AS b, k2 AS kb FROM sym WHERE view = 3")
+def matches_of_image(s, d):
+    return tracks.matches_of(graph_matches(s, d), 3)
+
+
+@register("track_parents", f"""WITH RECURSIVE {COMPONENTS}, c1 AS (SELECT *, count(*) OVER (PARTITION BY component, view) AS c FROM comp), c2 AS (SELECT *, count(*) OVER (PARTITION BY component) AS size FROM c1 WHERE c = 1),
+mem AS (SELECT (view << 32) | key AS track, view, key FROM sym UNION SELECT (view << 32) | key, v2, k2 FROM sym)
+SELECT component, count(DISTINCT track)::BIGINT AS n, min(track) AS first, max(track) AS last FROM c2 JOIN mem USING (view, key) WHERE size > 1 GROUP BY component""")
+def track_parents(s, d):
+    star = tracks.star_tracks(graph_matches(s, d)).select(tracks.pack("view", "key").alias("track"), F.explode("obs").alias("o")).select("track", "o.view", "o.key")
+    got = tracks.with_parents(tracks.merged_tracks(tracks.match_components(graph_matches(s, d))), star)
+    return got.select("component", F.size("parents").cast("long").alias("n"), F.get("parents", F.lit(0)).alias("first"), F.element_at("parents", -1).alias("last"))
+
+
+@register("run_lengths", """WITH t AS (SELECT s_nationkey AS g, s_suppkey AS i, s_suppkey // 10 % 2 AS v FROM supplier), n AS (SELECT *, CASE WHEN lag(v) OVER (PARTITION BY g ORDER BY i) = v THEN 0 ELSE 1 END AS new FROM t),
+r AS (SELECT *, sum(new) OVER (PARTITION BY g ORDER BY i ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM n) SELECT g::BIGINT AS g, run, v, count(*)::BIGINT AS n FROM r GROUP BY g, run, v""")
+def run_lengths(s, d):
+    t = table(s, d, "supplier").select(F.col("s_nationkey").cast("long").alias("g"), F.col("s_suppkey").alias("i"), F.expr("s_suppkey div 10 % 2").alias("v"))
+    return stats.run_lengths(t, ["g"], ["i"], "v")
+
+
+@register("options", r"""WITH t AS (SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN '--' || replace(lower(n_name), ' ', '-') || '= ' || n_nationkey WHEN 1 THEN ' -' || replace(lower(n_name), ' ', '-') WHEN 2 THEN n_name ELSE '--depth=a=b' END AS s FROM nation),
+o AS (SELECT n_nationkey, CASE WHEN regexp_matches(trim(s), '^--?[A-Za-z][A-Za-z0-9_-]*(=.*)?$') THEN regexp_replace(trim(s), '^--?', '') END AS bare FROM t)
+SELECT n_nationkey::BIGINT AS k, string_split(bare, '=')[1] AS name, CASE WHEN contains(bare, '=') THEN trim(regexp_replace(bare, '^[^=]*=', '')) END AS value, coalesce(string_split(bare, '=')[1] NOT IN ('depth', 'algeria', 'egypt'), true) AS unknown FROM o""")
+def options(s, d):
+    name = F.regexp_replace(F.lower("n_name"), " ", "-")
+    k = F.col("n_nationkey")
+    text = F.when(k % 4 == 0, F.concat(F.lit("--"), name, F.lit("= "), k.cast("string"))).when(k % 4 == 1, F.concat(F.lit(" -"), name)).when(k % 4 == 2, F.col("n_name")).otherwise("--depth=a=b")
+    n, v = strings.option_value(text)
+    return table(s, d, "nation").select(k.cast("long").alias("k"), n.alias("name"), v.alias("value"), strings.unknown_option(n, ["depth", "algeria", "egypt"]).alias("unknown"))
+
+
+@register("project_guarded", f"""WITH {POINT}, {CENTER}, c AS (SELECT view, cx, cy, cz, 500.0::DOUBLE + view AS f, CASE WHEN view % 3 = 0 THEN 0.0::DOUBLE ELSE -0.4::DOUBLE END AS k1, 0.0::DOUBLE AS k2 FROM ce),
+q AS (SELECT view, point, f, k1, k2, -(f * (px - cx)) / (pz - cz) AS x, -(f * (py - cy)) / (pz - cz) AS y, pz - cz AS depth FROM c JOIN pt ON point % 17 = view % 17),
+g AS (SELECT *, (x*x + y*y) / (f*f) AS r2 FROM q), h AS (SELECT *, 1.0 + k1*r2 + k2*r2*r2 AS factor FROM g)
+SELECT view, point, round(CASE WHEN (k1 = 0 AND k2 = 0) OR r2 > 8.0 OR factor < 0 THEN x ELSE x * factor END, 6) AS x, round(CASE WHEN (k1 = 0 AND k2 = 0) OR r2 > 8.0 OR factor < 0 THEN y ELSE y * factor END, 6) AS y, depth < 0 AS ok FROM h""")
+def project_guarded(s, d):
+    pt, ce = positions(s, d)
+    f = 500.0 + F.col("view")
+    eye = F.array(*[F.lit(float(i == j)) for i in range(3) for j in range(3)])
+    t = geometry.translation(eye, F.array("cx", "cy", "cz"))
+    cams = ce.select("view", f.alias("f"), F.when(F.col("view") % 3 == 0, 0.0).otherwise(-0.4).alias("k1"), F.lit(0.0).alias("k2"), geometry.projection_matrix(f, eye, t).alias("p"))
+    x, y, ok = geometry.project_guarded(F.col("p"), F.col("f"), F.col("k1"), F.col("k2"), [F.col("px"), F.col("py"), F.col("pz")])
+    return cams.join(pt, F.col("point") % 17 == F.col("view") % 17).select("view", "point", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), ok.alias("ok"))
+
+
 # ---- numeric kernels (rows only) -----------------------------------------------------------------
 
 
@@ -635,16 +778,21 @@ def synthetic(s, d):
     return pt, cams, obs
 
 
-@register("triangulate")
+SEEN = f"{OBS}, {POINT}, n AS (SELECT point, count(DISTINCT view)::BIGINT AS n FROM obs GROUP BY point HAVING count(DISTINCT view) > 1)"
+
+
+@register("triangulate", f"WITH {SEEN} SELECT point AS track, n, px AS x, py AS y, pz AS z, 0.0::DOUBLE AS err, true AS front FROM n JOIN pt USING (point)")
 def triangulate(s, d):
+    """Against the points that the projections were made of."""
     _, cams, obs = synthetic(s, d)
-    return kernels.triangulate_tracks(obs, cams)
+    near = lambda c: (F.round(c, 3) + F.lit(0.0)).alias(c)  # noqa: E731  no negative zero
+    return kernels.triangulate_tracks(obs, cams).select("track", F.col("n").cast("long").alias("n"), near("x"), near("y"), near("z"), near("err"), "front")
 
 
-@register("reprojection_error")
+@register("reprojection_error", f"WITH {SEEN} SELECT point AS track, n, 0.0::DOUBLE AS err FROM n")
 def reprojection_error(s, d):
     _, cams, obs = synthetic(s, d)
-    return kernels.triangulate_tracks(obs, cams, keep_all=True).select("track", "n", "err")
+    return kernels.triangulate_tracks(obs, cams, keep_all=True).select("track", F.col("n").cast("long").alias("n"), (F.round("err", 3) + F.lit(0.0)).alias("err"))
 
 
 @register("register_images")
@@ -661,9 +809,10 @@ def estimate_fundamental(s, d):
     return kernels.estimate_fundamental(a.join(b, "track").where("a < b").drop("track"))
 
 
-@register("knn_blocked")
+@register("knn_blocked", f"WITH {knn_sql()} SELECT a, b, ka, kb, round(d1, 6) AS d1, round(d2, 6) AS d2 FROM two WHERE {ok_sql(JOIN_RATIO)}")
 def knn_blocked(s, d):
-    return matching.ratio_test(matching.nearest_two_blocked(roles.keys(s, d), pairs.all_pairs(roles.images(s, d))), JOIN_RATIO)
+    got = matching.ratio_test(matching.nearest_two_blocked(roles.keys(s, d), pairs.all_pairs(roles.images(s, d))), JOIN_RATIO)
+    return got.select("a", "b", "ka", "kb", F.round("d1", 6).alias("d1"), F.round("d2", 6).alias("d2"))
 
 
 def queries() -> dict:

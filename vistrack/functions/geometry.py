@@ -36,7 +36,8 @@ def epipolar_line(f: list[float], x: Column, y: Column, transposed: bool = False
 
 
 def line_distance(a: Column, b: Column, c: Column, x: Column, y: Column) -> Column:
-    return F.abs(a * x + b * y + c) / F.sqrt(a * a + b * b)
+    """Null for a line without direction."""
+    return F.abs(a * x + b * y + c) / F.nullif(F.sqrt(a * a + b * b), F.lit(0.0))
 
 
 def line_line(l1: tuple, l2: tuple) -> Column:
@@ -64,6 +65,55 @@ def line_rectangle(a: Column, b: Column, c: Column, w: float, h: float) -> Colum
     return F.when(F.size(found) == 2, found)
 
 
+def clip_line(a: Column, b: Column, c: Column, w: float, h: float) -> Column:
+    """struct(x0, y0, x1, y1): the part of a line inside (0,0)-(w,h), of any slope; null if there is none."""
+    n2 = F.nullif(a * a + b * b, F.lit(0.0))
+    n = F.sqrt(n2)
+    off = (a * (w / 2) + b * (h / 2) + c) / n2
+    px, py, dx, dy = F.lit(w / 2) - off * a, F.lit(h / 2) - off * b, -b / n, a / n
+    tiny = 1e-12
+
+    def span(p: Column, d: Column, top: float) -> tuple[Column, Column]:
+        across = F.abs(d) > tiny
+        one, two = -p / F.nullif(d, F.lit(0.0)), (F.lit(top) - p) / F.nullif(d, F.lit(0.0))
+        inside = p.between(0.0, top)
+        return (F.when(across, F.least(one, two)).when(inside, F.lit(-1e300)).otherwise(1e300), F.when(across, F.greatest(one, two)).when(inside, F.lit(1e300)).otherwise(-1e300))
+
+    (lx, hx), (ly, hy) = span(px, dx, float(w)), span(py, dy, float(h))
+    lo, hi = F.greatest(lx, ly), F.least(hx, hy)
+    return F.when(n2.isNotNull() & (lo <= hi), F.struct((px + lo * dx).alias("x0"), (py + lo * dy).alias("y0"), (px + hi * dx).alias("x1"), (py + hi * dy).alias("y1")))
+
+
+def intrinsics(f: Column) -> Column:
+    """K of a camera, row by row; the camera looks down -z, which project_guarded divides by."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return F.array(f, zero, zero, zero, f, zero, zero, zero, one)
+
+
+def translation(r: Column, position: Column) -> Column:
+    """t = -R position, for R as an array of nine."""
+    return F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: -(F.get(r, 3 * i) * F.get(position, F.lit(0)) + F.get(r, 3 * i + 1) * F.get(position, F.lit(1)) + F.get(r, 3 * i + 2) * F.get(position, F.lit(2))))
+
+
+def projection_matrix(f: Column, r: Column, t: Column) -> Column:
+    """P = K [R | t], row by row."""
+    row = lambda i, s: [s * F.get(r, F.lit(3 * i + j)) for j in range(3)] + [s * F.get(t, F.lit(i))]
+    return F.array(*row(0, f), *row(1, f), *row(2, F.lit(1.0)))
+
+
+def project_guarded(p: Column, f: Column, k1: Column, k2: Column, at: list) -> tuple[Column, Column, Column]:
+    """(x, y, ok) of a point by P. Radial terms are left out where they extrapolate badly: beyond a squared
+    radius of 8 or with a negative factor. ok: in front. All null in the camera plane."""
+    v = [sum(F.get(p, F.lit(4 * i + j)) * at[j] for j in range(3)) + F.get(p, F.lit(4 * i + 3)) for i in range(3)]
+    x, y = -v[0] / F.nullif(v[2], F.lit(0.0)), -v[1] / F.nullif(v[2], F.lit(0.0))
+    r2 = (x * x + y * y) / (f * f)
+    factor = 1.0 + k1 * r2 + k2 * r2 * r2
+    plain = (k1 == 0) & (k2 == 0)
+    bad = ~plain & ((r2 > 8.0) | (factor < 0.0))
+    s = F.when(plain | bad, 1.0).otherwise(factor)
+    return x * s, y * s, F.when(x.isNotNull(), v[2] < 0)
+
+
 def angle(ax: list[Column], bx: list[Column]) -> Column:
     """Angle in degrees of two rays."""
     dot = sum(p * q for p, q in zip(ax, bx, strict=True))

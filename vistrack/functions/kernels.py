@@ -263,7 +263,7 @@ def refine_camera(xy: np.ndarray, x: np.ndarray, r: np.ndarray, t: np.ndarray, f
     return _rodrigues(p[:3]) @ r, t + p[3:6], f + p[6] * f, k1 + p[7], k2 + p[8], keep
 
 
-def register(xy: np.ndarray, x: np.ndarray, seed: int, rounds: int = 1024, threshold: float = 4.0, least: int = 12) -> dict | None:
+def register(xy: np.ndarray, x: np.ndarray, seed: int, rounds: int = 4096, threshold: float = 4.0, least: int = 12) -> dict | None:
     """Camera of one image from 2D-3D correspondences, None if fewer than half or ``least`` agree, focal
     lengths differ by 1.4 or more, or a tenth of the points lies behind."""
     if len(xy) < 9:
@@ -296,6 +296,23 @@ def register(xy: np.ndarray, x: np.ndarray, seed: int, rounds: int = 1024, thres
     return {"f": float(f), "k1": float(k1), "k2": float(k2), "r": r.ravel().tolist(), "t": t.tolist(), "inliers": int(keep.sum())}
 
 
+def verify_camera(p: np.ndarray, xy: np.ndarray, x: np.ndarray, threshold: float = 16.0, least: int = 12) -> dict | None:
+    """A given projection matrix (y down, +z ahead) held against correspondences: camera and mask of the points
+    within the threshold, None if fewer than ``least`` or half agree, the focal lengths differ by 1.4 or more,
+    or a tenth of the points lies behind."""
+    k, r, t = decompose(np.asarray(p, float).reshape(3, 4))
+    if not np.isfinite(k).all() or max(k[0, 0] / k[1, 1], k[1, 1] / k[0, 0]) >= 1.4:
+        return None
+    f = (k[0, 0] + k[1, 1]) / 2
+    n = len(x)
+    err = np.linalg.norm(project(np.repeat(r[None], n, 0), np.repeat(t[None], n, 0), f, 0.0, 0.0, x) - xy, axis=1)
+    keep = err < threshold
+    front = ((x[keep] @ r.T + t)[:, 2] <= 0).mean() if keep.any() else 0.0
+    if keep.sum() < least or keep.sum() < 0.5 * n or front < 0.9:
+        return None
+    return {"f": float(f), "r": r.ravel().tolist(), "t": t.tolist(), "inliers": int(keep.sum()), "keep": keep}
+
+
 def register_images(corr: DataFrame, **options) -> DataFrame:
     """Cameras (view, f, k1, k2, r, t, inliers) of images from corr (view, x, y, px, py, pz)."""
 

@@ -33,6 +33,18 @@ def pad4(n: Column) -> Column:
     return F.lpad(n.cast("string"), 4, "0")
 
 
+def option_value(s: Column) -> tuple[Column, Column]:
+    """Name and value of --name=value; the value is null without an equals sign, all null for what is no option."""
+    good = F.trim(s).rlike(r"^--?[A-Za-z][A-Za-z0-9_-]*(=.*)?$")
+    bare = F.regexp_replace(F.trim(s), "^--?", "")
+    return F.when(good, F.substring_index(bare, "=", 1)), F.when(good & bare.contains("="), F.trim(F.regexp_replace(bare, "^[^=]*=", "")))
+
+
+def unknown_option(name: Column, known: list[str]) -> Column:
+    """Whether a name is none of the known options."""
+    return name.isNull() | ~name.isin(*known)
+
+
 def expand_ranges(s: Column) -> Column:
     """Numbers of a list such as 1,3-5,25-20 (ranges run both ways); null if a part is no range."""
     parts = F.transform(F.split(s, ","), lambda p: F.trim(p))

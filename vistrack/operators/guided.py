@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vistrack.functions.geometry import epipolar_line, line_distance
+from vistrack.functions.geometry import clip_line, epipolar_line, line_distance
 
 
 def lattice_cells(x: Column, y: Column, cell: int) -> list[tuple[Column, Column, Column]]:
@@ -18,9 +18,10 @@ def lattice_cells(x: Column, y: Column, cell: int) -> list[tuple[Column, Column,
     return out
 
 
-def grid(keys: DataFrame, cell: int, width: int, height: int, x: str = "x", y: str = "y") -> DataFrame:
-    """keys with (g, cx, cy) once in each grid; keys within one cell of the border are left out."""
-    inside = F.col(x).between(cell, width - cell) & F.col(y).between(cell, height - cell)
+def grid(keys: DataFrame, cell: int, width: int, height: int, x: str = "x", y: str = "y", border: int | None = None) -> DataFrame:
+    """keys with (g, cx, cy) once in each grid; keys nearer to the border than ``border`` (one cell) are left out."""
+    border = cell if border is None else border
+    inside = F.col(x).between(border, width - border) & F.col(y).between(border, height - border)
     cells = F.array(*[F.struct(F.lit(g).alias("g"), cx.alias("cx"), cy.alias("cy")) for g, (cx, cy, _) in enumerate(lattice_cells(F.col(x), F.col(y), cell))])
     return keys.where(inside).withColumn("_c", F.explode(cells)).select(*keys.columns, "_c.g", "_c.cx", "_c.cy")
 
@@ -35,8 +36,20 @@ def nearest_cell(x: Column, y: Column, cell: int) -> tuple[Column, Column, Colum
     return gx + 2 * gy, shifted(x, gx), shifted(y, gy)
 
 
-def buckets(gridded: DataFrame, *by: str) -> DataFrame:
-    return gridded.groupBy(*by, "g", "cx", "cy").agg(F.count("*").alias("n"))
+def cells_of(x: Column, y: Column, cell: int) -> Column:
+    """All four cells of a point as an array of struct(g, cx, cy)."""
+    return F.array(*[F.struct(F.lit(g).alias("g"), cx.alias("cx"), cy.alias("cy")) for g, (cx, cy, _) in enumerate(lattice_cells(x, y, cell))])
+
+
+def buckets(gridded: DataFrame, *by: str, key: str | None = None) -> DataFrame:
+    """Number of keys of each cell, and the first of them by the column ``key``, if one is named."""
+    first = [F.min(key).alias("first")] if key else []
+    return gridded.groupBy(*by, "g", "cx", "cy").agg(F.count("*").alias("n"), *first)
+
+
+def fullest(counted: DataFrame, *by: str) -> DataFrame:
+    """The largest number of keys in a cell."""
+    return counted.groupBy(*by).agg(F.max("n").alias("most"))
 
 
 def lines(queries: DataFrame, f: list[float], x: str = "x", y: str = "y") -> DataFrame:
@@ -46,18 +59,43 @@ def lines(queries: DataFrame, f: list[float], x: str = "x", y: str = "y") -> Dat
 
 
 def band_candidates(lined: DataFrame, gridded: DataFrame, cell: int, step: int, width: int, height: int, band: float, query: list[str], target: list[str]) -> DataFrame:
-    """(query columns, target columns, dist) of keys of view ``target_view`` within ``band`` of the line.
-
-    The line is sampled every ``step`` in x; each sample looks into its nearest cell.
+    """(query columns, target columns, dist): all keys of view ``target_view`` within ``band`` of the line.
+
+    The line is clipped to the image and sampled along its length at most ``step`` apart, its ends among the
+    samples. A key's way to its nearest sample is at most the hypotenuse of step / 2 and band. A sample is
+    within a quarter of a cell of the center of its nearest cell, so that cell holds all keys up to a quarter of
+    a cell away; the four cells of a sample together hold those up to half a cell away. The sample looks
+    into the one or the four, as the way demands; beyond that an error is raised. Keys are taken to be
+    further than band from the border, as grid() leaves them.
     """
-    s = lined.withColumn("sx", F.explode(F.sequence(F.lit(0), F.lit(width - 1), F.lit(step)))).withColumn("sy", -(F.col("la") * F.col("sx") + F.col("lc")) / F.col("lb")).where(F.col("sy").between(0, height - 1))
-    g, cx, cy = nearest_cell(F.col("sx").cast("double"), F.col("sy"), cell)
-    cells = s.select(*query, "target_view", "la", "lb", "lc", g.alias("g"), cx.alias("cx"), cy.alias("cy")).distinct()
+    way = ((step / 2) ** 2 + band**2) ** 0.5
+    if way > cell / 2:
+        raise ValueError(f"cells of {cell} with samples {step} apart do not cover a band of {band}")
+    s = lined.withColumn("_e", clip_line(F.col("la"), F.col("lb"), F.col("lc"), width, height)).where("_e IS NOT NULL")
+    length = F.sqrt((F.col("_e.x1") - F.col("_e.x0")) ** 2 + (F.col("_e.y1") - F.col("_e.y0")) ** 2)
+    n = F.greatest(F.lit(1), F.ceil(length / step)).cast("int")
+    s = s.select("*", n.alias("_n"), F.explode(F.sequence(F.lit(0), n)).alias("_i"))
+    at = lambda a, b: F.col(f"_e.{a}") + (F.col(f"_e.{b}") - F.col(f"_e.{a}")) * F.col("_i") / F.col("_n")
+    if way <= cell / 4:
+        g, cx, cy = nearest_cell(at("x0", "x1"), at("y0", "y1"), cell)
+        cells = s.select(*query, "target_view", "la", "lb", "lc", g.alias("g"), cx.alias("cx"), cy.alias("cy")).distinct()
+    else:
+        cells = s.select(*query, "target_view", "la", "lb", "lc", F.explode(cells_of(at("x0", "x1"), at("y0", "y1"), cell)).alias("_c")).select(*query, "target_view", "la", "lb", "lc", "_c.g", "_c.cx", "_c.cy").distinct()
     keys = gridded.select(F.col("view").alias("target_view"), "g", "cx", "cy", *[F.col(c).alias(f"t_{c}") for c in target])
     hit = cells.join(keys, ["target_view", "g", "cx", "cy"]).withColumn("dist", line_distance(F.col("la"), F.col("lb"), F.col("lc"), F.col("t_x"), F.col("t_y")))
     return hit.where(F.col("dist") < band).select(*query, "target_view", *[f"t_{c}" for c in target], "dist").distinct()
 
 
+def padded(candidates: DataFrame, keys: DataFrame, least: int, seed: int = 0) -> DataFrame:
+    """candidates (a, ka, b, kb) of queries that have some but fewer than ``least``, filled up with further keys
+    (image, key) of the target image in the order of a seeded hash: the same ones in every run."""
+    some = candidates.groupBy("a", "ka", "b").agg(F.count("*").alias("n")).where(F.col("n") < least)
+    more = some.join(keys.select(F.col("image").alias("b"), F.col("key").alias("kb")), "b").join(candidates.select("a", "ka", "b", "kb"), ["a", "ka", "b", "kb"], "left_anti")
+    w = Window.partitionBy("a", "ka", "b").orderBy(F.xxhash64(F.lit(seed), "a", "b", "ka", "kb"), "kb")
+    more = more.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= least - F.col("n"))
+    return candidates.select("a", "ka", "b", "kb").union(more.select("a", "ka", "b", "kb"))
+
+
 def pack4(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Four numbers of 16 bits as one long."""
     out = F.lit(0).cast("long")
@@ -101,9 +139,46 @@ def anchor_clusters(rows: DataFrame, by: str, ends: list[str], limit: int = 4) -
     return rows.groupBy(by).applyInPandas(run, T.StructType([*rows.schema.fields, T.StructField("cluster", T.LongType())]))
 
 
-def guided_match(candidates: DataFrame, ratio: float = 0.6, least: int = 2) -> DataFrame:
-    """Best candidate of a query by descriptor distance d if d1 <= ratio^2 d2 among its candidates
-    (query, target, d); fewer than ``least`` candidates give none."""
-    w = Window.partitionBy("query").orderBy("d", "target")
-    two = candidates.distinct().withColumn("rn", F.row_number().over(w)).withColumn("d2", F.lead("d").over(w)).withColumn("n", F.count("*").over(Window.partitionBy("query")))
-    return two.where((F.col("rn") == 1) & (F.col("n") >= least) & (F.col("d") <= ratio * ratio * F.col("d2"))).select("query", "target", "d", "d2")
+def first_group_clusters(rows: DataFrame, by: str, ends: list[str], limit: int = 4) -> DataFrame:
+    """Like anchor_clusters, but a row joins the first of all groups so far whose first line is near enough, in
+    the order of the column ``seq``. An ordered fold; a group is one image pair."""
+
+    def run(pdf):
+        pdf, anchors, out = pdf.sort_values("seq"), [], []
+        for r in pdf[ends].itertuples(index=False):
+            n = next((i for i, a in enumerate(anchors) if abs(r[0] - a[0]) + abs(r[1] - a[1]) < limit and abs(r[2] - a[2]) + abs(r[3] - a[3]) < limit), len(anchors))
+            if n == len(anchors):
+                anchors.append(r)
+            out.append(n + 1)
+        return pdf.assign(cluster=out)
+
+    from pyspark.sql import types as T
+
+    return rows.groupBy(by).applyInPandas(run, T.StructType([*rows.schema.fields, T.StructField("cluster", T.LongType())]))
+
+
+def guided_match(keys: DataFrame, pairs: DataFrame, f: list[float], dim: int, cell: int, step: int, width: int, height: int, band: float, ratio: float = 0.6, least: int = 2, pad: int = 0, reverse: bool = True, border: int | None = None) -> DataFrame:
+    """(a, b, ka, kb, d1, d2): matches of keys (image, key, x, y, v) of image pairs (a, b).
+
+    Candidates of a key are the keys of b in the band of its epipolar line, padded to ``pad`` if it has fewer.
+    The nearest by descriptor is a match if it passes the ratio test among at least ``least`` candidates and
+    (reverse) the key in turn is within the band of the epipolar line of the match.
+    """
+    from vistrack.operators.matching import nearest_two, ratio_test, squared
+
+    own = pairs.select("a", "b").join(keys.select(F.col("image").alias("a"), F.col("key").alias("ka"), "x", "y"), "a")
+    lined = lines(own, f).withColumn("target_view", F.col("b"))
+    gridded = grid(keys.select(F.col("image").alias("view"), "key", "x", "y"), cell, width, height, border=border)
+    hit = band_candidates(lined, gridded, cell, step, width, height, band, ["a", "b", "ka"], ["key", "x", "y"]).select("a", "ka", "b", F.col("t_key").alias("kb"))
+    if pad:
+        hit = padded(hit, keys, pad)
+    side = lambda image, key, v, x, y: keys.select(F.col("image").alias(image), F.col("key").alias(key), F.col("v").alias(v), F.col("x").alias(x), F.col("y").alias(y))
+    left, right = side("a", "ka", "va", "xa", "ya"), side("b", "kb", "vb", "xb", "yb")
+    cand = hit.join(left.select("a", "ka", "va"), ["a", "ka"]).join(right.select("b", "kb", "vb"), ["b", "kb"]).select("a", "b", "ka", "kb", squared("va", "vb", dim).alias("d"))
+    n = cand.groupBy("a", "b", "ka").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    best = ratio_test(nearest_two(cand), ratio).join(n.select("a", "b", "ka"), ["a", "b", "ka"], "left_semi")
+    if reverse:
+        placed = best.join(left.drop("va"), ["a", "ka"]).join(right.drop("vb"), ["b", "kb"])
+        back = epipolar_line(f, F.col("xb").cast("double"), F.col("yb").cast("double"), transposed=True)
+        best = placed.where(line_distance(*back, F.col("xa"), F.col("ya")) < band)
+    return best.select("a", "b", "ka", "kb", "d1", "d2")

@@ -84,8 +84,8 @@ def unique_target(matches: DataFrame) -> DataFrame:
 
 def enough(matches: DataFrame, least: int = 16) -> DataFrame:
     """Matches of pairs with at least ``least`` of them."""
-    n = F.count("*").over(Window.partitionBy("a", "b"))
-    return matches.withColumn("n", n).where(F.col("n") >= least)
+    n = matches.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return matches.join(n, ["a", "b"])
 
 
 def scale_rank(keys: DataFrame) -> DataFrame:
@@ -130,8 +130,48 @@ def rank_edges(matches: DataFrame) -> DataFrame:
     return n.select(F.col("a").alias("src"), F.col("b").alias("dst"), "n").union(n.select(F.col("b").alias("src"), F.col("a").alias("dst"), "n"))
 
 
-def visual_words(keys: DataFrame, centers: DataFrame, dim: int) -> DataFrame:
-    """(image, key, word, d): nearest center; centers are a vocabulary of bounded size."""
-    c = centers.select("word", F.col("v").alias("vc"))
-    near = keys.join(c, F.lit(True)).select("image", "key", "word", squared("v", "vc", dim).alias("d"))
-    return near.groupBy("image", "key").agg(F.min(F.struct("d", "word")).alias("m")).select("image", "key", "m.word", "m.d")
+#: Centers of a vocabulary that keys meet at once; a larger one is met block by block.
+WORDS = 20_000
+
+
+def visual_words(keys: DataFrame, centers: DataFrame, dim: int, k: int = 1, block: int | None = None) -> DataFrame:
+    """(image, key, rank, word, d): the k nearest centers (word, v), ties by word.
+
+    Every key meets every center, by nature. Centers are counted and broadcast in blocks of at most about
+    ``block``; of each block only a key's k nearest go on.
+    """
+    block = block or WORDS
+    c, blocks = centers.select("word", F.col("v").alias("vc")), max(1, -(-centers.count() // block))
+    w = Window.partitionBy("image", "key").orderBy("d", "word")
+    best = None
+    for i in range(blocks):
+        part = c.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == i) if blocks > 1 else c
+        near = keys.join(F.broadcast(part), F.lit(True)).select("image", "key", "word", squared("v", "vc", dim).alias("d"))
+        # the nearest k before any shuffle: the plan limits groups ahead of the window
+        near = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        best = near if best is None else best.union(near)
+    if blocks > 1:
+        best = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.select("image", "key", "rank", "word", "d")
+
+
+def parent_words(assigned: DataFrame, parents: DataFrame) -> DataFrame:
+    """Assigned words with their parent at a level of the vocabulary tree (parents: word, parent)."""
+    return assigned.join(parents, "word", "left")
+
+
+def batch_size(n: Column, other_side: bool = False, least: int = 200) -> Column:
+    """Keys of an image that a prefix match takes: a tenth (a fifth of the reference side), but at least
+    ``least`` where there are so many, else all."""
+    return F.least(n, F.greatest(F.floor(n / (5 if other_side else 10)), F.lit(least)))
+
+
+def smallest_cap(matches: DataFrame, first: int, least: int = 16, doublings: int = 8) -> DataFrame:
+    """(a, b, cap, n) of matches with the positions pa, pb of their keys in the order of scale: the first of the
+    caps first, 2 first, 4 first ... on both sides with which a pair has at least ``least`` matches."""
+    top = F.greatest("pa", "pb") + 1
+    steps = F.transform(F.sequence(F.lit(0), F.lit(doublings)), lambda i: (F.lit(first) * F.pow(F.lit(2.0), i)).cast("long"))
+    per = matches.select("a", "b", top.alias("top")).groupBy("a", "b", "top").agg(F.count("*").alias("m"))
+    caps = per.select("a", "b", "m", F.explode(F.filter(steps, lambda c: c >= F.col("top"))).alias("cap"))
+    enough = caps.groupBy("a", "b", "cap").agg(F.sum("m").alias("n")).where(F.col("n") >= least)
+    return enough.groupBy("a", "b").agg(F.min("cap").alias("cap"), F.min_by("n", "cap").alias("n"))

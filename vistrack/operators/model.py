@@ -40,10 +40,14 @@ def splice_radial(cameras: DataFrame, other: DataFrame) -> DataFrame:
 
 def valid_views(obs: DataFrame, cameras: DataFrame) -> DataFrame:
     """Observations in valid views of points that keep more than one."""
-    from pyspark.sql import Window
-
     kept = obs.join(cameras.where("valid").select("view"), "view", "left_semi")
-    return kept.withColumn("n", F.count("*").over(Window.partitionBy("point"))).where("n > 1").select("view", "point")
+    many = kept.groupBy("point").agg(F.count("*").alias("n")).where("n > 1").select("point")
+    return kept.join(many, "point", "left_semi").select("view", "point")
+
+
+def with_intrinsics(cameras: DataFrame) -> DataFrame:
+    """Cameras whose focal length and radial terms are not all zero (the rule of the cover)."""
+    return cameras.where((F.coalesce("f", F.lit(0.0)) != 0) | (F.coalesce("k1", F.lit(0.0)) != 0) | (F.coalesce("k2", F.lit(0.0)) != 0))
 
 
 def nearby_budget(n_images: int) -> int:

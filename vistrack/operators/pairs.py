@@ -78,7 +78,7 @@ def shard_floor(pairs: DataFrame, shards: int, *order: str) -> DataFrame:
 
 def one_to_one(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """Pairs whose left has one right and whose right then has one left."""
-    good = pairs.groupBy(left).agg(F.count_distinct(right).alias("k")).where("k = 1").select(left)
+    good = pairs.groupBy(left).agg(F.count_distinct(right).alias("_n")).where("_n = 1").select(left)
     p = pairs.distinct().join(good, left, "left_semi")
-    good = p.groupBy(right).agg(F.count_distinct(left).alias("k")).where("k = 1").select(right)
+    good = p.groupBy(right).agg(F.count_distinct(left).alias("_n")).where("_n = 1").select(right)
     return p.join(good, right, "left_semi").select(left, right)

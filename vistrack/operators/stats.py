@@ -32,6 +32,14 @@ def error_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count(value).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.sqrt(F.sum(v * v) / F.count(value)), 6).alias("rms"), F.min(v).alias("lo"), F.max(v).alias("hi"))
 
 
+def run_lengths(rows: DataFrame, by: list[str], order: list, value: str) -> DataFrame:
+    """Runs of equal values in the order of each group: (by, run, value, n); run counts from 1."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    new = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.row_number().over(w) > 1), 0).otherwise(1)
+    run = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_new", new).withColumn("run", run).groupBy(*by, "run", value).agg(F.count("*").alias("n"))
+
+
 def latest_per_group(rows: DataFrame, by: list[str], order: list) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*order)
     return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")

@@ -39,8 +39,21 @@ def match_components(matches: DataFrame) -> DataFrame:
 def merged_tracks(components: DataFrame) -> DataFrame:
     """A view that occurs twice in a component is dropped from it; tracks keep more than one view."""
     per = components.groupBy("component", "view").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
-    size = F.count("*").over(Window.partitionBy("component"))
-    return per.withColumn("size", size).where("size > 1").select("component", "view", "key")
+    large = per.groupBy("component").agg(F.count("*").alias("size")).where("size > 1").select("component")
+    return per.join(large, "component", "left_semi").select("component", "view", "key")
+
+
+def with_parents(merged: DataFrame, members: DataFrame) -> DataFrame:
+    """Merged tracks (component, view, key) with the sorted ids of the tracks (members: track, view, key)
+    that their keypoints come from: (component, parents)."""
+    return merged.join(members, ["view", "key"]).groupBy("component").agg(F.sort_array(F.collect_set("track")).alias("parents"))
+
+
+def matches_of(matches: DataFrame, image: int) -> DataFrame:
+    """One image's matches (a, ka, b, kb), the image first, whichever side it was on."""
+    one = matches.select("a", "ka", "b", "kb")
+    swapped = one.where(F.col("b") == image).select(F.col("b").alias("a"), F.col("kb").alias("ka"), F.col("a").alias("b"), F.col("ka").alias("kb"))
+    return one.where(F.col("a") == image).union(swapped)
 
 
 def star_edges(tracks: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The multistage loop over DataFrames: initial matching, localisation, densification."""
+"""Stages of the multistage loop over DataFrames: initial matching, localisation, densification."""
 
 from __future__ import annotations
 
@@ -26,7 +26,5 @@ def densify(matches: DataFrame, coordinates: DataFrame, cameras: DataFrame, min_
 
 def localize(correspondences: DataFrame, least: int = 16) -> DataFrame:
     """Cameras of images with enough correspondences (view, x, y, px, py, pz)."""
-    from pyspark.sql import Window
-
-    n = F.count("*").over(Window.partitionBy("view"))
-    return kernels.register_images(correspondences.withColumn("n", n).where(F.col("n") >= least).drop("n"))
+    enough = correspondences.groupBy("view").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("view")
+    return kernels.register_images(correspondences.join(enough, "view", "left_semi"))

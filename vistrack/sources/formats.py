@@ -198,6 +198,72 @@ def model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFra
     return cameras, points, obs
 
 
+def pose_files(spark: SparkSession, path: str) -> DataFrame:
+    """Pose parameter files: (path, corr array of (key, point), p, k, r, c): the number of correspondences and
+    their lines, then P (3 x 4), K, R (3 x 3) and the center, by blanks and line ends."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = []
+            for name, content in zip(b.column(0), b.column(1), strict=True):
+                v = _text(content.as_py()).split()
+                n = int(v[0])
+                corr = [{"key": int(v[i]), "point": int(v[i + 1])} for i in range(1, 1 + 2 * n, 2)]
+                x = list(map(float, v[1 + 2 * n :]))
+                if len(x) != 33:
+                    raise ValueError(f"{name}: {len(x)} numbers after {n} correspondences, not 33")
+                rows.append({"path": name.as_py(), "corr": corr, "p": x[:12], "k": x[12:21], "r": x[21:30], "c": x[30:]})
+            yield pa.RecordBatch.from_pylist(rows, schema=shape)
+
+    import pyarrow as pa
+
+    numbers = pa.list_(pa.float64())
+    shape = pa.schema([("path", pa.string()), ("corr", pa.list_(pa.struct([("key", pa.int32()), ("point", pa.int32())]))), *((c, numbers) for c in "pkrc")])
+    return _whole(spark, path).mapInArrow(run, "path string, corr array<struct<key:int,point:int>>, p array<double>, k array<double>, r array<double>, c array<double>")
+
+
+def image_number(path) -> F:
+    """The image id in a file name of four or more digits and a dash, as 0012-cam.txt."""
+    return F.regexp_extract(path, r"(\d{4,})-[^/]*$", 1).cast("long")
+
+
+def camera_files(spark: SparkSession, path: str) -> DataFrame:
+    """One camera a file: (view, f, k1, k2, r, t), the view from the file's name."""
+    v = F.transform(F.filter(F.split("value", r"\s+"), lambda x: x != ""), lambda x: x.cast("double"))
+    rows = spark.read.text(path, wholetext=True).select(image_number(F.col("_metadata.file_path")).alias("view"), v.alias("v"))
+    return rows.select("view", *[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(("f", "k1", "k2"))], F.slice("v", 4, 9).alias("r"), F.slice("v", 13, 3).alias("t"))
+
+
+def correspondence_files(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of point, view, key, x, y."""
+    v = F.split(F.trim("value"), r"\s+")
+    kinds = (("point", "long"), ("view", "long"), ("key", "long"), ("x", "double"), ("y", "double"))
+    return spark.read.text(path).where(F.length(F.trim("value")) > 0).select(*[F.get(v, F.lit(i)).cast(t).alias(c) for i, (c, t) in enumerate(kinds)])
+
+
+def vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """Centers of a vocabulary, one line each, by order: (word, v). Words are numbered over all files in name order."""
+    from vistrack.plans.ranking import global_rank
+
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value").where(F.length(F.trim("value")) > 0)
+    ranked, _ = global_rank(lines, "file", "block", "at", name="word")
+    return ranked.select((F.col("word") - 1).alias("word"), F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("double")).alias("v"))
+
+
+def assignments(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of image, key, word."""
+    v = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).where(F.length(F.trim("value")) > 0).select(*[F.get(v, F.lit(i)).cast("long").alias(c) for i, c in enumerate(("image", "key", "word"))])
+
+
+def log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, numbers): the lines of run logs and all numbers in each."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+    return rows.withColumn("numbers", F.transform(F.regexp_extract_all("line", F.lit(r"(?<![\w.])-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"), F.lit(0)), lambda x: x.cast("double")))
+
+
 # ---- writers ----------------------------------------------------------------------------------
 
 
@@ -241,3 +307,23 @@ def write_model(cameras: DataFrame, points: DataFrame, obs: DataFrame, path: str
     p = points.join(o, "point", "left").select(F.lit(2).alias("o"), F.col("point").alias("i"), F.concat_ws("\n", F.array_join(F.col("pos").cast("array<string>"), " "), F.array_join(F.transform("rgb", lambda v: F.round(v * 255).cast("int").cast("string")), " "), F.concat_ws(" ", F.coalesce("n", F.lit(0)).cast("string"), F.coalesce("text", F.lit("")))).alias("value"))
     head = cameras.sparkSession.createDataFrame([(0, 0, f"# model\n{cameras.count()} {points.count()}")], "o int, i long, value string")
     head.union(c).union(p).repartitionByRange("o", "i").sortWithinPartitions("o", "i").select("value").write.text(path)
+
+
+def write_cameras(cameras: DataFrame, path: str) -> None:
+    """One camera a record of five lines, in a folder for each view (view=...)."""
+    n = lambda c: F.format_string("%.8e", c)
+    rows = [F.concat_ws(" ", n(F.col("f")), n(F.col("k1")), n(F.col("k2"))), *[F.concat_ws(" ", *[n(F.get("r", F.lit(s + i))) for i in range(3)]) for s in (0, 3, 6)], F.concat_ws(" ", *[n(F.get("t", F.lit(i))) for i in range(3)])]
+    cameras.where("valid" if "valid" in cameras.columns else "true").select("view", F.concat_ws("\n", *rows).alias("value")).write.partitionBy("view").text(path)
+
+
+def write_correspondences(rows: DataFrame, path: str) -> None:
+    """Lines of point, view, key, x, y."""
+    rows.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in ("point", "view", "key")], F.format_string("%f", F.col("x")), F.format_string("%f", F.col("y"))).alias("value")).write.text(path)
+
+
+def write_point_matches(rows: DataFrame, path: str) -> None:
+    """3D-2D correspondences of queries (query, key, point, x, y, px, py, pz): two lines each, key point x y
+    and the coordinates of the point, in a folder for each query."""
+    n = lambda *c: F.concat_ws(" ", *[F.format_string("%f", F.col(x)) for x in c])
+    first = F.concat_ws(" ", F.col("key").cast("string"), F.col("point").cast("string"), n("x", "y"))
+    rows.select("query", F.concat(first, F.lit("\n"), n("px", "py", "pz")).alias("value")).repartition("query").write.partitionBy("query").text(path)
