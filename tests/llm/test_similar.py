@@ -59,6 +59,16 @@ def test_large_bucket_in_blocks(spark):
     assert simhash.peak_links(rows, block=1000).count() < 90 * simhash.TABLES
 
 
+def test_links_do_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(500)]
+    base = rng.choices(vocabulary, k=120)
+    docs = spark.createDataFrame([(i, " ".join(edited(base, 0.03, rng, vocabulary))) for i in range(150)], "doc_id long, text string")
+    rows = simhash.wide_fingerprints(docs.withColumn("key", simhash.text_key(docs.text)), ["key"], "text").distinct()
+    links = [sorted(map(tuple, simhash.peak_links(simhash.stored(r, "rows")).collect())) for r in (rows, rows.repartition(5, "fp1"), rows.orderBy("fp2"))]
+    assert links[0] == links[1] == links[2] and links[0]
+
+
 def test_rows_not_ids_are_removed(spark):
     a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
     rows = [(5, a, "x"), (7, a, "y"), (5, b, "x"), (3, b, "z"), (None, "c c c c c c", "n"), (None, "c c c c c c", "n"), (9, None, "e"), (8, "", "f")]

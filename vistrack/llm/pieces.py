@@ -11,7 +11,8 @@ White space becomes U+2581 and no piece goes on from another character into U+25
 converge before each word: words are encoded one by one and remembered (at most CACHE of them).
 Characters that are in no piece become byte pieces.
 
-decode(encode(text)) gives the text back.
+decode(encode(text)) gives the text back, but for U+2581 itself: the model has no other sign for a blank, so
+that character comes back as one, as it does from the library.
 
 Edge cases: null and empty texts have no ids; any other text starts with the dummy blank; repeated
 rows and null ids are kept; an empty table gives no rows.

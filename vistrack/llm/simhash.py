@@ -260,7 +260,8 @@ def peak_links(classes: DataFrame, distance: int = WIDE_DISTANCE, block: int = B
         if rest is not None:
             yield found(rest[:, 0], rest[:, WORDS + 1 :], rest[:, 1 : WORDS + 1].view(np.uint64))
 
-    together = dealt.repartition("peak", "i", "j").sortWithinPartitions("peak", "i", "j")
+    # in the order of the keys, so that equal distances are decided alike in every run
+    together = dealt.repartition("peak", "i", "j").sortWithinPartitions("peak", "i", "j", "key")
     return together.mapInArrow(run, "a long, b long").distinct()
 
 
