@@ -741,10 +741,10 @@ def run_lengths(s, d):
     return stats.run_lengths(t, ["g"], ["i"], "v")
 
 
-@register("options", r"""WITH t AS (SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN '--' || replace(lower(n_name), ' ', '-') || '= ' || n_nationkey WHEN 1 THEN ' -' || replace(lower(n_name), ' ', '-') WHEN 2 THEN n_name ELSE '--depth=a=b' END AS s FROM nation),
+@register("command_options", r"""WITH t AS (SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN '--' || replace(lower(n_name), ' ', '-') || '= ' || n_nationkey WHEN 1 THEN ' -' || replace(lower(n_name), ' ', '-') WHEN 2 THEN n_name ELSE '--depth=a=b' END AS s FROM nation),
 o AS (SELECT n_nationkey, CASE WHEN regexp_matches(trim(s), '^--?[A-Za-z][A-Za-z0-9_-]*(=.*)?$') THEN regexp_replace(trim(s), '^--?', '') END AS bare FROM t)
 SELECT n_nationkey::BIGINT AS k, string_split(bare, '=')[1] AS name, CASE WHEN contains(bare, '=') THEN trim(regexp_replace(bare, '^[^=]*=', '')) END AS value, coalesce(string_split(bare, '=')[1] NOT IN ('depth', 'algeria', 'egypt'), true) AS unknown FROM o""")
-def options(s, d):
+def command_options(s, d):
     name = F.regexp_replace(F.lower("n_name"), " ", "-")
     k = F.col("n_nationkey")
     text = F.when(k % 4 == 0, F.concat(F.lit("--"), name, F.lit("= "), k.cast("string"))).when(k % 4 == 1, F.concat(F.lit(" -"), name)).when(k % 4 == 2, F.col("n_name")).otherwise("--depth=a=b")
