@@ -71,7 +71,8 @@ def band_candidates(lined: DataFrame, gridded: DataFrame, cell: int, step: int,
     way = ((step / 2) ** 2 + band**2) ** 0.5
     if way > cell / 2:
         raise ValueError(f"cells of {cell} with samples {step} apart do not cover a band of {band}")
-    s = lined.withColumn("_e", clip_line(F.col("la"), F.col("lb"), F.col("lc"), width, height)).where("_e IS NOT NULL")
+    # the explode of one value keeps the plan from writing the clipped line out at each of its uses
+    s = lined.withColumn("_e", F.explode(F.array(clip_line(F.col("la"), F.col("lb"), F.col("lc"), width, height)))).where("_e IS NOT NULL")
     length = F.sqrt((F.col("_e.x1") - F.col("_e.x0")) ** 2 + (F.col("_e.y1") - F.col("_e.y0")) ** 2)
     n = F.greatest(F.lit(1), F.ceil(length / step)).cast("int")
     s = s.select("*", n.alias("_n"), F.explode(F.sequence(F.lit(0), n)).alias("_i"))
