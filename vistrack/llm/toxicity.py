@@ -46,6 +46,8 @@ PREFIXES = (3, 4, 5, 6, 7)
 MIN_RATIO = 20.0
 LETTERS = re.compile(r"[^\W\d_]+")
 FOLDS = 5
+#: Rows whose features are listed at once.
+SLICE = 64
 GENERAL, PATTERNS = ("no word", "one word", "several words"), ("capitals", "exclamation marks", "symbols")
 #: Accuracy that lexicon voters are taken to have (patterns: that of chance), and the weight of that against their own votes.
 ASSUMED, TRUST = 0.9, 0.5
@@ -202,13 +204,14 @@ def telling(rows: DataFrame) -> list[str]:
     def explode(batches):
         import pyarrow as pa
 
-        for b in batches:
-            q, f = [], []
-            for t, v in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                own = features_of(t.as_py())
-                f += own
-                q += [v] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(q, pa.float64())], names=["f", "q"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b, q, f = whole.slice(at, SLICE), [], []
+                for t, v in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                    own = features_of(t.as_py())
+                    f += own
+                    q += [v] * len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(q, pa.float64())], names=["f", "q"])
 
     n1, n = rows.agg(F.coalesce(F.sum("q"), F.lit(0.0)), F.count("*")).first()
     n0 = n - n1
