@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vistrack.llm import licenses, lm, media, merkle, packing, pieces, pii, quality, simhash, toxicity, warc
+from vistrack.llm import fim, licenses, lm, media, merkle, packing, pieces, pii, quality, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,9 +17,10 @@ def queries() -> dict:
         "op8_toxicity": toxicity.query,
         "op9_pieces": pieces.query,
         "op10_media": media.query,
+        "op11_fill_in_middle": fim.query,
         "op13_merkle": merkle.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc.SQL, "op7_quality": quality.SQL, "op13_merkle": merkle.SQL}
+    return {"op5_warc": warc.SQL, "op7_quality": quality.SQL, "op11_fill_in_middle": fim.SQL, "op13_merkle": merkle.SQL}
