@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vistrack.llm import fim, licenses, lm, media, merkle, packing, pieces, pii, quality, simhash, toxicity, warc
+from vistrack.llm import fim, html, licenses, lm, media, merkle, packing, pieces, pii, quality, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_pieces": pieces.query,
         "op10_media": media.query,
         "op11_fill_in_middle": fim.query,
+        "op12_html": html.query,
         "op13_merkle": merkle.query,
     }
 
