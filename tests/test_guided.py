@@ -122,7 +122,7 @@ def test_loop_of_initial_matches_and_tracks(spark, small):
     from vistrack.plans import reconstruct
 
     keys, images = roles.keys(spark, small), roles.images(spark, small)
-    got = {tuple(r) for r in reconstruct.initial_matches(keys, images, 64, 100, 0.95, 1).collect()}
+    got = {tuple(r) for r in reconstruct.initial_matches(keys, images, 100, 0.95, 1).collect()}
     near = matching.nearest_two(matching.candidates(keys, pairs.all_pairs(images), 64))
     want = {tuple(r) for r in matching.unique_target(matching.ratio_test(near, 0.95)).select("a", "b", "ka", "kb").collect()}
     assert got == want and got

@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from vistrack import roles
 from vistrack.functions import geometry, kernels, strings
-from vistrack.operators import guided, localize, matching, model, pairs, stats, tracks
+from vistrack.operators import guided, localize, matching, model, pairs, search, stats, tracks
+from vistrack.plans import reconstruct
 from vistrack.roles import CAMERAS, KEYS, OBS, OBS_XY
-from vistrack.session import table
+from vistrack.session import stored, table
 
 DIM, JOIN_RATIO, GRAPH_RATIO = 64, 0.95, 0.90
 SHARDS, TOP, COVER, CELL, STEP, BAND = 7, 5, 5, 64, 30, 4.0
 WIDTH, HEIGHT = 1024, 768
 #: Lines of all slopes, level and upright ones among them; keys at (500, 300) have none.
 FUND = [1.0, 0.0, -500.0, 0.0, 1.0, -300.0, -400.0, -300.0, 250000.0]
-#: Guided matches: cells, samples, band and border in pixels.
-G_CELL, G_STEP, G_BAND, G_BORDER = 288, 65, 64.0, 65
+#: Guided matches: band and border in pixels.
+G_BAND, G_BORDER = 64.0, 65
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -153,11 +154,8 @@ def ok_sql(r: float) -> str:
 
 def forward(s, d, ratio, source=None, target=None):
     k = roles.keys(s, d)
-    p = pairs.all_pairs(roles.images(s, d))
-    left = (source if source is not None else k).select(F.col("image").alias("a"), F.col("key").alias("ka"), F.col("v").alias("va"))
-    right = (target if target is not None else k).select(F.col("image").alias("b"), F.col("key").alias("kb"), F.col("v").alias("vb"))
-    cand = p.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ka", "kb", matching.squared("va", "vb", DIM).alias("d"))
-    return matching.ratio_test(matching.nearest_two(cand), ratio)
+    near = search.nearest_two_tiled(pairs.all_pairs(roles.images(s, d)), source if source is not None else k, target if target is not None else k)
+    return matching.ratio_test(near, ratio)
 
 
 @register("knn_ratio", f"WITH {knn_sql()} SELECT a, b, ka, kb, round(d1, 9) AS d1, round(d2, 9) AS d2 FROM two WHERE {ok_sql(JOIN_RATIO)}")
@@ -168,9 +166,10 @@ def knn_ratio(s, d):
 @register("knn_mutual", f"""WITH {knn_sql(both=True)}, m AS (SELECT * FROM two WHERE {ok_sql(JOIN_RATIO)})
 SELECT x.a, x.b, x.ka, x.kb FROM m x JOIN m y ON x.a = y.b AND x.b = y.a AND x.ka = y.kb AND x.kb = y.ka JOIN ap ON ap.a = x.a AND ap.b = x.b""")
 def knn_mutual(s, d):
+    """Both directions from the same distances."""
     k, p = roles.keys(s, d), pairs.all_pairs(roles.images(s, d))
-    back = matching.ratio_test(matching.nearest_two(matching.candidates(k, p.select(F.col("b").alias("a"), F.col("a").alias("b")), DIM)), JOIN_RATIO)
-    return matching.mutual(forward(s, d, JOIN_RATIO), back)
+    both = stored(matching.ratio_test(search.nearest_two_tiled(p, k, k, both=True), JOIN_RATIO), "mutual")
+    return matching.mutual(both.join(p, ["a", "b"], "left_semi"), both)
 
 
 @register("knn_unique_target", f"""WITH {knn_sql()}, m AS (SELECT *, row_number() OVER (PARTITION BY a, b, kb ORDER BY ka) AS r FROM two WHERE {ok_sql(JOIN_RATIO)})
@@ -214,7 +213,7 @@ hit AS (SELECT a, b, ka, kb, part, row_number() OVER (PARTITION BY a, b, ka ORDE
 SELECT a, b, ka, kb, part::BIGINT AS part FROM hit WHERE r = 1""")
 def knn_partitioned(s, d):
     k, p = roles.keys(s, d), pairs.all_pairs(roles.images(s, d))
-    return matching.partitioned_nearest(k, p, DIM, 3, GRAPH_RATIO).select("a", "b", "ka", "kb", F.col("part").cast("long").alias("part"))
+    return search.partitioned_nearest(k, p, 3, GRAPH_RATIO)[0].select("a", "b", "ka", "kb", F.col("part").cast("long").alias("part"))
 
 
 RANKS = f"""{knn_sql()}, e AS (SELECT a, b, count(*)::BIGINT AS n FROM two WHERE {ok_sql(JOIN_RATIO)} GROUP BY a, b),
@@ -261,13 +260,35 @@ def prefix_sizes(s, d):
     return roles.images(s, d).select("image", matching.batch_size(n, least=20).cast("long").alias("own"), matching.batch_size(n, True, 20).cast("long").alias("other"))
 
 
-@register("smallest_caps", f"""WITH {knn_sql()}, m AS (SELECT two.a, two.b, greatest(p.pos, q.pos) + 1 AS top FROM two JOIN ranked0 p ON p.image = a AND p.key = ka JOIN ranked0 q ON q.image = b AND q.key = kb WHERE {ok_sql(JOIN_RATIO)}),
-c AS (SELECT a, b, cap, count(*)::BIGINT AS n FROM m JOIN (SELECT (5 * 2 ** i)::BIGINT AS cap FROM (SELECT unnest(range(0, 9)) AS i)) ON top <= cap GROUP BY a, b, cap HAVING count(*) >= 8),
-r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY cap) AS rn FROM c) SELECT a, b, cap, n FROM r WHERE rn = 1""")
+#: Caps of both sides, each with a search of its own; round is the first of them that gives enough matches.
+CAPS = f"""{KEYS}, {ALL}, ranked0 AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY key) - 1 AS pos FROM keys),
+caps AS (SELECT (5 * 2 ** i)::BIGINT AS cap FROM (SELECT unnest(range(0, 9)) AS i)),
+cand AS (SELECT a, b, cap, p.key AS ka, q.key AS kb, {dist_sql('p.v', 'q.v')} AS d FROM ap JOIN ranked0 p ON p.image = a JOIN ranked0 q ON q.image = b JOIN caps ON greatest(p.pos, q.pos) < cap),
+rk AS (SELECT *, row_number() OVER (PARTITION BY a, b, cap, ka ORDER BY d, kb) AS rn, lead(d) OVER (PARTITION BY a, b, cap, ka ORDER BY d, kb) AS d2 FROM cand),
+c AS (SELECT a, b, cap, count(*)::BIGINT AS n FROM (SELECT a, b, cap, d AS d1, d2 FROM rk WHERE rn = 1) WHERE {ok_sql(JOIN_RATIO)} GROUP BY a, b, cap HAVING count(*) >= 8),
+r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY cap) AS rn FROM c)"""
+
+
+@register("smallest_caps", f"WITH {CAPS} SELECT a, b, cap, n FROM r WHERE rn = 1")
 def smallest_caps(s, d):
-    k = matching.scale_rank(roles.keys(s, d)).select("image", "key", "pos")
-    m = forward(s, d, JOIN_RATIO).join(k.select(F.col("image").alias("a"), F.col("key").alias("ka"), F.col("pos").alias("pa")), ["a", "ka"]).join(k.select(F.col("image").alias("b"), F.col("key").alias("kb"), F.col("pos").alias("pb")), ["b", "kb"])
-    return matching.smallest_cap(m, 5, 8)
+    return search.smallest_caps(roles.keys(s, d), pairs.all_pairs(roles.images(s, d)), JOIN_RATIO, 5, 8)
+
+
+def prefix_sql(number: int, own: str, other: str, source: str) -> str:
+    return f"""c{number} AS (SELECT a, b, p.key AS ka, q.key AS kb, {dist_sql('p.v', 'q.v')} AS d FROM {source} JOIN rk0 p ON p.image = a AND p.pos < p.{own} JOIN rk0 q ON q.image = b AND q.pos < q.{other}),
+k{number} AS (SELECT *, row_number() OVER (PARTITION BY a, b, ka ORDER BY d, kb) AS rn, lead(d) OVER (PARTITION BY a, b, ka ORDER BY d, kb) AS d2 FROM c{number}),
+m{number} AS (SELECT a, b, ka, kb FROM (SELECT *, d AS d1 FROM k{number} WHERE rn = 1) WHERE {ok_sql(JOIN_RATIO)}), n{number} AS (SELECT a, b, count(*) AS n FROM m{number} GROUP BY a, b)"""
+
+
+@register("knn_prefix_rounds", f"""WITH {KEYS}, {ALL}, rk1 AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY key) - 1 AS pos, count(*) OVER (PARTITION BY image) AS n FROM keys),
+rk0 AS (SELECT *, CASE WHEN n / 10 < 5 THEN n ELSE greatest(n // 10, 8) END AS tenth, CASE WHEN n / 5 < 5 THEN n ELSE greatest(n // 5, 8) END AS fifth,
+        least(2 * CASE WHEN n / 10 < 5 THEN n ELSE greatest(n // 10, 8) END, greatest(CASE WHEN n / 10 < 5 THEN n ELSE greatest(n // 10, 8) END, CASE WHEN n / 5 < 5 THEN n ELSE greatest(n // 5, 8) END)) AS twice FROM rk1),
+{prefix_sql(1, 'tenth', 'fifth', 'ap')}, open_ AS (SELECT a, b FROM n1 WHERE n BETWEEN 2 AND 5), {prefix_sql(2, 'twice', 'fifth', 'open_')}
+SELECT a, b, ka, kb, 1::BIGINT AS round FROM m1 SEMI JOIN (SELECT a, b FROM n1 WHERE n >= 6) USING (a, b)
+UNION ALL SELECT a, b, ka, kb, 2 FROM m2 SEMI JOIN (SELECT a, b FROM n2 WHERE n >= 6) USING (a, b)""")
+def knn_prefix_rounds(s, d):
+    got = search.prefix_rounds(roles.keys(s, d), pairs.all_pairs(roles.images(s, d)), JOIN_RATIO, least=8, small=5, skip=2, enough=6)
+    return got.select("a", "b", "ka", "kb", F.col("round").cast("long").alias("round"))
 
 
 # ---- tracks --------------------------------------------------------------------------------------
@@ -362,7 +383,7 @@ def hits(s, d):
     seen, query = k.where("image % 2 = 0"), k.where("image % 2 = 1").withColumnRenamed("image", "query")
     obs = seen.select((F.col("key") % 50).alias("point"), F.col("image").alias("view"), "key")
     visible = query.select("query").distinct().join(obs.select("point").distinct(), (F.col("point") + F.col("query")) % 3 != 0)
-    return localize.point_hits(visible, obs, seen.select(F.col("image").alias("view"), "key", "v"), query, DIM, JOIN_RATIO)
+    return localize.point_hits(visible, obs, seen.select(F.col("image").alias("view"), "key", "v"), query, JOIN_RATIO)
 
 
 @register("point_hits", f"WITH {VOTE} SELECT query, point, key, round(d, 9) AS d FROM hits")
@@ -525,7 +546,36 @@ rk AS (SELECT *, row_number() OVER w AS rn, lead(d) OVER w AS d2 FROM near WINDO
 m AS (SELECT *, xb - 400.0::DOUBLE AS ra, yb - 300.0::DOUBLE AS rb, -500.0::DOUBLE*xb - 300.0::DOUBLE*yb + 250000.0::DOUBLE AS rc FROM rk WHERE rn = 1 AND d2 IS NOT NULL AND d <= {JOIN_RATIO * JOIN_RATIO!r}::DOUBLE * d2)
 SELECT a, b, ka, kb, round(d, 9) AS d1, round(d2, 9) AS d2 FROM m WHERE abs(ra*xa + rb*ya + rc) < {G_BAND} * sqrt(ra*ra + rb*rb)""")
 def guided_match(s, d):
-    got = guided.guided_match(keys_xy(s, d), pairs.all_pairs(roles.images(s, d)), FUND, DIM, G_CELL, G_STEP, WIDTH, HEIGHT, G_BAND, JOIN_RATIO, border=G_BORDER)
+    p = pairs.all_pairs(roles.images(s, d)).select("a", "b", F.array(*map(F.lit, FUND)).alias("f"))
+    got = guided.guided_match(keys_xy(s, d), p, WIDTH, HEIGHT, G_BAND, JOIN_RATIO, border=G_BORDER)
+    return got.select("a", "b", "ka", "kb", F.round("d1", 9).alias("d1"), F.round("d2", 9).alias("d2"))
+
+
+#: Views as images: their observations as keys with descriptors, cameras that stand apart, unturned.
+KEYS_OF_VIEWS = f"""kv AS (SELECT image, key, x, y, embedding AS v FROM (SELECT view AS image, point AS key, min(x) + 0.37::DOUBLE AS x, min(y) + 0.61::DOUBLE AS y FROM obs GROUP BY view, point)
+  JOIN embeddings ON vec_id = (image * 31 + key) % (SELECT count(*) FROM embeddings))"""
+
+
+def keys_of_views(s, d):
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").alias("v"))
+    k = roles.observations_xy(s, d).groupBy(F.col("view").alias("image"), F.col("point").alias("key")).agg((F.min("x") + 0.37).alias("x"), (F.min("y") + 0.61).alias("y"))
+    return k.join(e, F.col("i") == (F.col("image") * 31 + F.col("key")) % e.count()).drop("i")
+
+
+@register("guided_match_cameras", f"""WITH {UNIQUE.replace(OBS, OBS_XY)}, {KEYS_OF_VIEWS}, ce AS (SELECT s_suppkey AS view, (s_suppkey % 41) * 10.0::DOUBLE AS cx, (s_suppkey % 31) * 10.0::DOUBLE AS cy, (s_suppkey % 7) * 1.0::DOUBLE AS cz FROM supplier),
+kn AS (SELECT *, x - {WIDTH} / 2.0::DOUBLE AS nx, {HEIGHT} / 2.0::DOUBLE - y AS ny FROM kv),
+pr AS (SELECT a, b, p.cx - q.cx AS tx, p.cy - q.cy AS ty, p.cz - q.cz AS tz, -1.0::DOUBLE / (500 + a) AS u, -1.0::DOUBLE / (500 + b) AS w FROM up JOIN ce p ON p.view = a JOIN ce q ON q.view = b),
+ln AS (SELECT a, b, key AS ka, nx, ny, v, tx, ty, tz, u, w, w * ty - u * w * tz * ny AS la, u * w * tz * nx - w * tx AS lb, u * (tx * ny - ty * nx) AS lc FROM pr JOIN kn ON image = a),
+near AS (SELECT ln.*, q.key AS kb, q.nx AS mx, q.ny AS my, q.v AS qv FROM ln JOIN kn q ON q.image = b AND q.x BETWEEN 8 AND {WIDTH - 8} AND q.y BETWEEN 8 AND {HEIGHT - 8} AND abs(la * q.nx + lb * q.ny + lc) < {BAND} * sqrt(la * la + lb * lb)),
+c AS (SELECT *, {dist_sql('v', 'qv')} AS d FROM near),
+rk AS (SELECT *, row_number() OVER g AS rn, lead(d) OVER g AS d2 FROM c WINDOW g AS (PARTITION BY a, b, ka ORDER BY d, kb)),
+m AS (SELECT *, u * w * tz * my - u * ty AS ra, u * tx - u * w * tz * mx AS rb, w * (ty * mx - tx * my) AS rc FROM (SELECT *, d AS d1 FROM rk WHERE rn = 1) WHERE {ok_sql(JOIN_RATIO)})
+SELECT a, b, ka, kb, round(d1, 9) AS d1, round(d2, 9) AS d2 FROM m WHERE abs(ra * nx + rb * ny + rc) < {BAND} * sqrt(ra * ra + rb * rb)""")
+def guided_match_cameras(s, d):
+    """A fundamental matrix for each pair, from its cameras."""
+    _, cams, _ = synthetic(s, d)
+    p = stored(reconstruct.with_fundamental(unique_pairs(s, d), cams, (WIDTH, HEIGHT)), "pairs-f")
+    got = guided.guided_match(keys_of_views(s, d), p, WIDTH, HEIGHT, BAND, JOIN_RATIO, border=8)
     return got.select("a", "b", "ka", "kb", F.round("d1", 9).alias("d1"), F.round("d2", 9).alias("d2"))
 
 
@@ -811,7 +861,9 @@ def estimate_fundamental(s, d):
 
 @register("knn_blocked", f"WITH {knn_sql()} SELECT a, b, ka, kb, round(d1, 6) AS d1, round(d2, 6) AS d2 FROM two WHERE {ok_sql(JOIN_RATIO)}")
 def knn_blocked(s, d):
-    got = matching.ratio_test(matching.nearest_two_blocked(roles.keys(s, d), pairs.all_pairs(roles.images(s, d))), JOIN_RATIO)
+    """In tiles of 16 keys."""
+    k = roles.keys(s, d)
+    got = matching.ratio_test(search.nearest_two_tiled(pairs.all_pairs(roles.images(s, d)), k, k, tile=16), JOIN_RATIO)
     return got.select("a", "b", "ka", "kb", F.round("d1", 6).alias("d1"), F.round("d2", 6).alias("d2"))
 
 

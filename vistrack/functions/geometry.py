@@ -7,7 +7,7 @@ in ``to_norm``/``to_image``; angles use 3.1416 for pi.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PI = 3.1416
@@ -29,12 +29,50 @@ def to_image(nx: Column, ny: Column, w: Column, h: Column) -> tuple[Column, Colu
     return nx + w / 2.0, h / 2.0 - ny
 
 
-def epipolar_line(f: list[float], x: Column, y: Column, transposed: bool = False) -> tuple[Column, Column, Column]:
-    """Coefficients of F (x, y, 1), or of the transposed matrix."""
-    at = (lambda r, c: F.lit(f[3 * c + r])) if transposed else (lambda r, c: F.lit(f[3 * r + c]))
+def epipolar_line(f: list[float] | Column, x: Column, y: Column, transposed: bool = False) -> tuple[Column, Column, Column]:
+    """Coefficients of F (x, y, 1), or of the transposed matrix; F row by row, as numbers or as an array column."""
+    entry = (lambda i: F.get(f, F.lit(i))) if isinstance(f, Column) else (lambda i: F.lit(f[i]))
+    at = (lambda r, c: entry(3 * c + r)) if transposed else (lambda r, c: entry(3 * r + c))
     return tuple(at(r, 0) * x + at(r, 1) * y + at(r, 2) for r in range(3))
 
 
+def product(a: Column, b: Column, transposed: bool = False) -> Column:
+    """a b of 3x3 matrices as arrays row by row; transposed: a b'."""
+    at = (lambda k, j: F.get(b, F.lit(3 * j + k))) if transposed else (lambda k, j: F.get(b, F.lit(3 * k + j)))
+    return F.array(*[sum(F.get(a, F.lit(3 * i + k)) * at(k, j) for k in range(3)) for i in range(3) for j in range(3)])
+
+
+def fundamental(pairs: DataFrame, one: tuple[str, str, str], two: tuple[str, str, str], size: tuple[float, float] | None = None, name: str = "f") -> DataFrame:
+    """pairs with the fundamental matrix of two cameras, x2' F x1 = 0, as an array of nine of unit length.
+
+    one and two name the columns focal length, rotation (nine) and translation (three) of the cameras. Coordinates are
+    normalised ones (center, y up), or pixels of images of a size (width, height), the same for both. Null if the
+    cameras stand in the same place, or a value is missing.
+    """
+    (f1, r1, t1), (f2, r2, t2) = one, two
+    # each step is the explode of one value, which keeps the plan from writing products out at each of their uses
+    step = lambda df, c, value: df.select("*", F.explode(F.array(value)).alias(c))
+    p = step(pairs, "_r", product(F.col(r2), F.col(r1), transposed=True))
+    turned = [sum(F.get("_r", F.lit(3 * i + k)) * F.get(F.col(t1), F.lit(k)) for k in range(3)) for i in range(3)]
+    p = step(p, "_t", F.array(*[F.get(F.col(t2), F.lit(i)) - turned[i] for i in range(3)]))
+    x, y, z = (F.get("_t", F.lit(i)) for i in range(3))
+    o = F.lit(0.0)
+    p = step(p, "_e", product(F.array(o, -z, y, z, o, -x, -y, x, o), F.col("_r")))
+    # the camera looks down -z: K = diag(-f, -f, 1)
+    k = lambda f, i: F.lit(1.0) if i == 2 else -1.0 / F.col(f)
+    p, last = step(p, "_n", F.array(*[k(f2, i) * k(f1, j) * F.get("_e", F.lit(3 * i + j)) for i in range(3) for j in range(3)])), "_n"
+    if size:
+        w, h = size
+        shift = F.array(*map(F.lit, (1.0, 0.0, -w / 2, 0.0, -1.0, h / 2, 0.0, 0.0, 1.0)))
+        back = F.array(*map(F.lit, (1.0, 0.0, 0.0, 0.0, -1.0, 0.0, -w / 2, h / 2, 1.0)))
+        p, last = step(step(p, "_s", product(F.col("_n"), shift)), "_p", product(back, F.col("_s"))), "_p"
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v))
+    apart = norm("_t") > 1e-9 * (1.0 + norm(t1) + norm(t2))
+    p = step(p, "_l", norm(last))
+    p = step(p, name, F.when(apart & (F.col("_l") > 0), F.transform(last, lambda v: v / F.col("_l"))))
+    return p.drop("_r", "_t", "_e", "_n", "_s", "_p", "_l")
+
+
 def line_distance(a: Column, b: Column, c: Column, x: Column, y: Column) -> Column:
     """Null for a line without direction."""
     return F.abs(a * x + b * y + c) / F.nullif(F.sqrt(a * a + b * b), F.lit(0.0))

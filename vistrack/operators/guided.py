@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistrack.functions.geometry import clip_line, epipolar_line, line_distance
+from vistrack.session import stored
 
 
 def lattice_cells(x: Column, y: Column, cell: int) -> list[tuple[Column, Column, Column]]:
@@ -52,7 +53,7 @@ def fullest(counted: DataFrame, *by: str) -> DataFrame:
     return counted.groupBy(*by).agg(F.max("n").alias("most"))
 
 
-def lines(queries: DataFrame, f: list[float], x: str = "x", y: str = "y") -> DataFrame:
+def lines(queries: DataFrame, f: list[float] | Column, x: str = "x", y: str = "y") -> DataFrame:
     """queries with the coefficients (la, lb, lc) of their epipolar lines."""
     a, b, c = epipolar_line(f, F.col(x).cast("double"), F.col(y).cast("double"))
     return queries.select("*", a.alias("la"), b.alias("lb"), c.alias("lc"))
@@ -158,28 +159,37 @@ def first_group_clusters(rows: DataFrame, by: str, ends: list[str], limit: int =
     return rows.groupBy(by).applyInPandas(run, T.StructType([*rows.schema.fields, T.StructField("cluster", T.LongType())]))
 
 
-def guided_match(keys: DataFrame, pairs: DataFrame, f: list[float], dim: int, cell: int, step: int, width: int, height: int, band: float, ratio: float = 0.6, least: int = 2, pad: int = 0, reverse: bool = True, border: int | None = None) -> DataFrame:
-    """(a, b, ka, kb, d1, d2): matches of keys (image, key, x, y, v) of image pairs (a, b).
+def guided_match(keys: DataFrame, pairs: DataFrame, width: int, height: int, band: float, ratio: float = 0.6, least: int = 2, reverse: bool = True, border: int = 16, strict: bool = False) -> DataFrame:
+    """(a, b, ka, kb, d1, d2): matches of keys (image, key, x, y, v) of image pairs (a, b, f).
 
-    Candidates of a key are the keys of b in the band of its epipolar line, padded to ``pad`` if it has fewer.
-    The nearest by descriptor is a match if it passes the ratio test among at least ``least`` candidates and
-    (reverse) the key in turn is within the band of the epipolar line of the match.
+    f is the fundamental matrix of the pair (nine numbers, row by row, in the keys' coordinates); a pair without one
+    has no matches. Candidates of a key are the keys of b, further than ``border`` from the border, in the band of
+    its epipolar line. The nearest by descriptor is a match if it passes the ratio test among at least ``least``
+    candidates and (reverse) the key in turn is within the band of the epipolar line of the match.
+
+    Lines meet the keys of b tile by tile, in whole arrays: of a pair's candidates no row is ever made. Sorted cells
+    would leave about a tenth of the distances, at a hundred times the price of each (``band_candidates``).
     """
-    from vistrack.operators.matching import nearest_two, ratio_test, squared
-
-    own = pairs.select("a", "b").join(keys.select(F.col("image").alias("a"), F.col("key").alias("ka"), "x", "y"), "a")
-    lined = lines(own, f).withColumn("target_view", F.col("b"))
-    gridded = grid(keys.select(F.col("image").alias("view"), "key", "x", "y"), cell, width, height, border=border)
-    hit = band_candidates(lined, gridded, cell, step, width, height, band, ["a", "b", "ka"], ["key", "x", "y"]).select("a", "ka", "b", F.col("t_key").alias("kb"))
-    if pad:
-        hit = padded(hit, keys, pad)
-    side = lambda image, key, v, x, y: keys.select(F.col("image").alias(image), F.col("key").alias(key), F.col("v").alias(v), F.col("x").alias(x), F.col("y").alias(y))
-    left, right = side("a", "ka", "va", "xa", "ya"), side("b", "kb", "vb", "xb", "yb")
-    cand = hit.join(left.select("a", "ka", "va"), ["a", "ka"]).join(right.select("b", "kb", "vb"), ["b", "kb"]).select("a", "b", "ka", "kb", squared("va", "vb", dim).alias("d"))
-    n = cand.groupBy("a", "b", "ka").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    best = ratio_test(nearest_two(cand), ratio).join(n.select("a", "b", "ka"), ["a", "b", "ka"], "left_semi")
+    from vistrack.operators.matching import ratio_test
+    from vistrack.operators.search import nearest_two_tiled
+
+    known = pairs.where("f IS NOT NULL").select("a", "b", "f").dropDuplicates(["a", "b"])
+    inside = F.col("x").between(border, width - border) & F.col("y").between(border, height - border)
+    best = ratio_test(nearest_two_tiled(known, keys, keys.where(inside), band=band), ratio, strict).where(F.col("n") >= least)
     if reverse:
-        placed = best.join(left.drop("va"), ["a", "ka"]).join(right.drop("vb"), ["b", "kb"])
-        back = epipolar_line(f, F.col("xb").cast("double"), F.col("yb").cast("double"), transposed=True)
+        side = lambda image, key, x, y: keys.select(F.col("image").alias(image), F.col("key").alias(key), F.col("x").cast("double").alias(x), F.col("y").cast("double").alias(y))
+        placed = best.join(known, ["a", "b"]).join(side("a", "ka", "xa", "ya"), ["a", "ka"]).join(side("b", "kb", "xb", "yb"), ["b", "kb"])
+        back = epipolar_line(F.col("f"), F.col("xb"), F.col("yb"), transposed=True)
         best = placed.where(line_distance(*back, F.col("xa"), F.col("ya")) < band)
     return best.select("a", "b", "ka", "kb", "d1", "d2")
+
+
+def match_candidates(keys: DataFrame, candidates: DataFrame, ratio: float = 0.6, least: int = 2, strict: bool = False) -> DataFrame:
+    """(a, b, ka, kb, d1, d2): the ratio test among given candidates (a, ka, b, kb), such as ``padded`` makes of those
+    of ``band_candidates``, of at least ``least``. With strict, a ratio of 0.6 and least = 10 this is the rule of
+    searches on graphics cards."""
+    from vistrack.operators.matching import ratio_test
+    from vistrack.operators.search import nearest_two_tiled
+
+    given = stored(candidates.select("a", "ka", "b", "kb").distinct(), "guided-candidates")
+    return ratio_test(nearest_two_tiled(given, keys, keys, only=given), ratio, strict).where(F.col("n") >= least).drop("n")

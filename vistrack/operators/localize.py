@@ -35,14 +35,16 @@ def enough_correspondences(pairs: DataFrame, least: int = 16) -> DataFrame:
     return pairs.join(n, "query")
 
 
-def point_hits(visible: DataFrame, obs: DataFrame, descriptors: DataFrame, queries: DataFrame, dim: int, ratio: float = 0.6) -> DataFrame:
+def point_hits(visible: DataFrame, obs: DataFrame, descriptors: DataFrame, queries: DataFrame, ratio: float = 0.6) -> DataFrame:
     """Hits (query, point, key, d) for vote(): the descriptor of each observation (point, view, key) of a point
     that a query may see (query, point), matched to the query's keys (query, key, v) with the ratio test.
     descriptors: (view, key, v)."""
-    from vistrack.operators.matching import nearest_two, ratio_test, squared
-
-    seen = obs.join(descriptors, ["view", "key"]).select("point", "view", F.col("key").alias("k"), F.col("v").alias("vp"))
-    cand = visible.select("query", "point").distinct().join(seen, "point").join(queries.select("query", F.col("key").alias("kb"), F.col("v").alias("vq")), "query")
-    # one search for each observation of a point: a view's keypoint is the source, the query the target
-    cand = cand.select(F.col("query").alias("a"), F.col("point").alias("b"), F.struct("view", "k").alias("ka"), "kb", squared("vp", "vq", dim).alias("d"))
-    return ratio_test(nearest_two(cand), ratio).select(F.col("a").alias("query"), F.col("b").alias("point"), F.col("kb").alias("key"), F.col("d1").alias("d"))
+    from vistrack.operators.matching import ratio_test
+    from vistrack.operators.search import nearest_two_tiled
+
+    seen = visible.select("query", "point").distinct().join(obs.select("point", F.col("view").alias("a"), F.col("key").alias("ka")), "point")
+    wanted = seen.select("a", F.col("query").alias("b"), "ka").distinct()
+    # a keypoint is looked for once in a query, whatever number of points it observes
+    near = nearest_two_tiled(wanted, descriptors.withColumnRenamed("view", "image"), queries.select(F.col("query").alias("image"), "key", "v"), queries=wanted)
+    got = ratio_test(near, ratio).select("a", F.col("b").alias("query"), "ka", F.col("kb").alias("key"), F.col("d1").alias("d"))
+    return seen.join(got, ["a", "query", "ka"]).select("query", "point", "key", "d")

@@ -1,8 +1,7 @@
 """Nearest-neighbor matching of keypoint descriptors inside image pairs.
 
-Distances are exact squared L2 in double precision. ``nearest_two`` writes the sum out, so it stays in
-generated code; ``nearest_two_blocked`` does one matrix product a pair of images and suits wide or many
-descriptors. Every pair of images is a task's work of its own, never the whole key table.
+Distances are exact squared L2 in double precision. ``nearest_two`` takes candidates that a join has found, with
+their distances; whole images are searched by tiles (vistrack.operators.search).
 """
 
 from __future__ import annotations
@@ -10,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vistrack.operators.search import two_smallest
+
 RATIO = 0.6
 
 
@@ -29,39 +30,8 @@ def candidates(keys: DataFrame, pairs: DataFrame, dim: int) -> DataFrame:
 
 
 def nearest_two(cand: DataFrame) -> DataFrame:
-    """(a, b, ka, kb, d1, d2): nearest key, its distance and the second distance; ties by key."""
-    w = Window.partitionBy("a", "b", "ka").orderBy("d", "kb")
-    two = cand.withColumn("rn", F.row_number().over(w)).where("rn <= 2")
-    return two.groupBy("a", "b", "ka").agg(F.min(F.when(F.col("rn") == 1, F.col("kb"))).alias("kb"), F.min(F.when(F.col("rn") == 1, F.col("d"))).alias("d1"), F.min(F.when(F.col("rn") == 2, F.col("d"))).alias("d2"))
-
-
-def nearest_two_blocked(keys: DataFrame, pairs: DataFrame) -> DataFrame:
-    """nearest_two with one matrix product an image pair; a pair is as large as its two images."""
-    left = pairs.select("a", "b").join(keys.select(F.col("image").alias("a"), F.col("key").alias("ka"), F.col("v").alias("va")), "a")
-    right = pairs.select(F.col("a").alias("a2"), F.col("b").alias("b2")).join(keys.select(F.col("image").alias("b2"), F.col("key").alias("kb"), F.col("v").alias("vb")), "b2")
-
-    def match(x, y):
-        import numpy as np
-        import pyarrow as pa
-
-        names = ["a", "b", "ka", "kb", "d1", "d2"]
-        kinds = [pa.int64()] * 4 + [pa.float64()] * 2
-        if not x.num_rows or not y.num_rows:
-            return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
-        order = np.argsort(y["kb"].to_numpy(), kind="stable")
-        kb = y["kb"].to_numpy()[order]
-        p, q = np.array(x["va"].to_pylist(), float), np.array(y["vb"].to_pylist(), float)[order]
-        out = []
-        for i in range(0, len(p), 1024):
-            d = np.maximum((p[i : i + 1024] ** 2).sum(1)[:, None] + (q**2).sum(1) - 2 * p[i : i + 1024] @ q.T, 0)
-            best = d.argmin(1)
-            d1 = d[np.arange(len(d)), best]
-            d[np.arange(len(d)), best] = np.inf
-            out.append((kb[best], d1, d.min(1)))
-        k, d1, d2 = (np.concatenate(z) for z in zip(*out, strict=True))
-        return pa.Table.from_arrays([x["a"], x["b"], x["ka"], pa.array(k), pa.array(d1), pa.array(d2, mask=np.isinf(d2))], names=names)
-
-    return left.groupBy("a", "b").cogroup(right.groupBy("a2", "b2")).applyInArrow(match, "a long, b long, ka long, kb long, d1 double, d2 double")
+    """(a, b, ka, kb, d1, d2): nearest key, its distance and the second distance; ties by key. Ids are whole numbers."""
+    return two_smallest(cand, "a", "b", "ka")
 
 
 def ratio_test(two: DataFrame, ratio: float = RATIO, strict: bool = False) -> DataFrame:
@@ -106,24 +76,6 @@ def two_batches(first: DataFrame, second: DataFrame, gate: int = 4) -> DataFrame
     return first.union(second.join(ok, ["a", "b"], "left_semi"))
 
 
-def partitioned_nearest(keys: DataFrame, pairs: DataFrame, dim: int, parts: int, ratio: float) -> DataFrame:
-    """Search scale partitions of the reference image in order with a running best and second; stop at
-    the first partition after which the ratio test holds. One fold over at most ``parts`` entries."""
-    k = scale_rank(keys)
-    ref = k.select("image", "key", "v", F.least(F.expr(f"pos * {parts} div n"), F.lit(parts - 1)).alias("part"))
-    left = keys.select(F.col("image").alias("a"), F.col("key").alias("ka"), F.col("v").alias("va"))
-    right = ref.select(F.col("image").alias("b"), F.col("key").alias("kb"), F.col("v").alias("vb"), "part")
-    cand = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ka", "part", "kb", squared("va", "vb", dim).alias("d"))
-    w = Window.partitionBy("a", "b", "ka", "part").orderBy("d", "kb")
-    two = cand.withColumn("rn", F.row_number().over(w)).where("rn <= 2")
-    by = two.groupBy("a", "b", "ka", "part").agg(F.min(F.when(F.col("rn") == 1, F.struct("d", "kb"))).alias("one"), F.min(F.when(F.col("rn") == 2, F.struct("d", "kb"))).alias("two"))
-    w = Window.partitionBy("a", "b", "ka").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
-    run = by.withColumn("seen", F.flatten(F.collect_list(F.filter(F.array("one", "two"), lambda x: x.isNotNull())).over(w))).withColumn("best", F.slice(F.sort_array("seen"), 1, 2))
-    run = run.select("a", "b", "ka", "part", F.get("best", F.lit(0))["kb"].alias("kb"), F.get("best", F.lit(0))["d"].alias("d1"), F.get("best", F.lit(1))["d"].alias("d2"))
-    hit = ratio_test(run, ratio)
-    return hit.groupBy("a", "b", "ka").agg(F.min(F.struct("part", "kb")).alias("m")).select("a", "b", "ka", "m.kb", "m.part")
-
-
 def rank_edges(matches: DataFrame) -> DataFrame:
     """(src, dst, n) in both directions."""
     n = matches.groupBy("a", "b").agg(F.count("*").alias("n"))
@@ -164,14 +116,3 @@ def batch_size(n: Column, other_side: bool = False, least: int = 200) -> Column:
     """Keys of an image that a prefix match takes: a tenth (a fifth of the reference side), but at least
     ``least`` where there are so many, else all."""
     return F.least(n, F.greatest(F.floor(n / (5 if other_side else 10)), F.lit(least)))
-
-
-def smallest_cap(matches: DataFrame, first: int, least: int = 16, doublings: int = 8) -> DataFrame:
-    """(a, b, cap, n) of matches with the positions pa, pb of their keys in the order of scale: the first of the
-    caps first, 2 first, 4 first ... on both sides with which a pair has at least ``least`` matches."""
-    top = F.greatest("pa", "pb") + 1
-    steps = F.transform(F.sequence(F.lit(0), F.lit(doublings)), lambda i: (F.lit(first) * F.pow(F.lit(2.0), i)).cast("long"))
-    per = matches.select("a", "b", top.alias("top")).groupBy("a", "b", "top").agg(F.count("*").alias("m"))
-    caps = per.select("a", "b", "m", F.explode(F.filter(steps, lambda c: c >= F.col("top"))).alias("cap"))
-    enough = caps.groupBy("a", "b", "cap").agg(F.sum("m").alias("n")).where(F.col("n") >= least)
-    return enough.groupBy("a", "b").agg(F.min("cap").alias("cap"), F.min_by("n", "cap").alias("n"))
