@@ -3,7 +3,7 @@ import random
 import numpy as np
 from rows import plain
 
-from vistrack.functions import geometry, kernels, strings
+from vistrack.functions import geometry, kernels, robust, strings
 from vistrack.operators import guided, localize, matching, model, pairs, tracks
 from vistrack.plans.components import connected_components
 from vistrack.plans.ranking import global_rank
@@ -212,7 +212,7 @@ def test_fundamental_matrix():
     _, _, _, _, xy = scene(2)
     a, b = xy[0], xy[3].copy()
     b[:6] += 60
-    f, own = kernels.ransac_fundamental(a, b, 3)
+    f, own = robust.fundamental_of(a, b, 3)
     assert own[6:].sum() >= 30 and own[:6].sum() <= 2
     p1, p2 = np.hstack([np.eye(3), np.zeros((3, 1))]), np.hstack([np.eye(3), np.array([[1.0], [2], [3]])])
     g = kernels.fundamental(p1, p2)

@@ -1,8 +1,8 @@
 """Numeric kernels on numpy arrays, and their grouped DataFrame forms.
 
 Written from the published methods: direct linear transform and Gauss-Newton for triangulation and
-resection, normalised eight-point algorithm and random sampling (seeded by the group's id) for
-fundamental matrices and poses. Groups are one track, one pair or one image, never larger.
+resection, robust estimation (vistrack.functions.robust, seeded by the group's id) for fundamental
+matrices and poses. Groups are one track, one pair or one image, never larger.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vistrack.functions import robust
+
 MAX_ERROR, MIN_ANGLE, PI = 5.0, 2.0, 3.1416
 
 
@@ -148,63 +150,28 @@ def triangulate_tracks(obs: DataFrame, cameras: DataFrame, max_error: float = MA
     return found if min_angle is None else found.where(f"angle >= {min_angle}")
 
 
-def eight_point(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    def norm(p):
-        c = p.mean(0)
-        s = np.sqrt(2) / max(1e-12, np.linalg.norm(p - c, axis=1).mean())
-        t = np.array([[s, 0, -s * c[0]], [0, s, -s * c[1]], [0, 0, 1]])
-        return np.hstack([p, np.ones((len(p), 1))]) @ t.T, t
-
-    (x, ta), (y, tb) = norm(a), norm(b)
-    f = np.linalg.svd(np.einsum("ni,nj->nij", y, x).reshape(len(a), 9))[2][-1].reshape(3, 3)
-    u, s, v = np.linalg.svd(f)
-    f = tb.T @ (u @ np.diag([s[0], s[1], 0]) @ v) @ ta
-    return f / np.linalg.norm(f)
-
-
-def epipolar_error(f: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Larger of the two point-line distances."""
-    x, y = np.hstack([a, np.ones((len(a), 1))]), np.hstack([b, np.ones((len(b), 1))])
-    l2, l1 = x @ f.T, y @ f
-    d = np.abs((y * l2).sum(1))
-    return np.maximum(d / np.maximum(1e-12, np.linalg.norm(l2[:, :2], axis=1)), d / np.maximum(1e-12, np.linalg.norm(l1[:, :2], axis=1)))
-
-
-def ransac_fundamental(a: np.ndarray, b: np.ndarray, seed: int, rounds: int = 1024, threshold: float = 4.0, least: int = 27) -> tuple[np.ndarray | None, np.ndarray]:
-    """(F, inliers), F None with fewer than ``least`` inliers."""
-    rng, best = np.random.default_rng(seed), np.zeros(len(a), bool)
-    if len(a) < max(8, least):
-        return None, best
-    for _ in range(rounds):
-        pick = rng.choice(len(a), 8, replace=False)
-        own = epipolar_error(eight_point(a[pick], b[pick]), a, b) < threshold
-        if own.sum() > best.sum():
-            best = own
-    for _ in range(3):
-        if best.sum() >= 8:
-            best = epipolar_error(eight_point(a[best], b[best]), a, b) < threshold
-    return (eight_point(a[best], b[best]), best) if best.sum() >= least else (None, best)
-
-
 def estimate_fundamental(matches: DataFrame, **options) -> DataFrame:
-    """(a, b, f[9], inliers) per pair of matches (a, b, xa, ya, xb, yb); pairs without an F drop out."""
+    """(a, b, f[9], inliers) per pair of matches (a, b, xa, ya, xb, yb); pairs without an F drop out. Matches with a
+    coordinate that is not finite do not count. A pair is estimated whole (vistrack.functions.robust)."""
 
-    def run(pdf):
-        import pandas as pd
+    def run(table):
+        import pyarrow as pa
 
-        pdf = pdf.sort_values(["xa", "ya", "xb", "yb"])
-        a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
-        f, own = ransac_fundamental(pdf[["xa", "ya"]].to_numpy(float), pdf[["xb", "yb"]].to_numpy(float), a * 1_000_003 + b, **options)
-        return pd.DataFrame({"a": [a], "b": [b], "f": [f.ravel().tolist()], "inliers": [int(own.sum())]} if f is not None else {"a": [], "b": [], "f": [], "inliers": []})
+        a, b = table["a"][0].as_py(), table["b"][0].as_py()
+        m = np.stack([table[c].to_numpy(zero_copy_only=False) for c in ("xa", "ya", "xb", "yb")], 1)
+        m = m[np.isfinite(m).all(1)]
+        m = m[np.lexsort(m.T[::-1])]
+        f, own = robust.fundamental_of(m[:, :2], m[:, 2:], a * 1_000_003 + b, **options)
+        rows = [{"a": a, "b": b, "f": f.ravel().tolist(), "inliers": int(own.sum())}] if f is not None else []
+        return pa.Table.from_pylist(rows, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("f", pa.list_(pa.float64())), ("inliers", pa.int64())]))
 
-    return matches.groupBy("a", "b").applyInPandas(run, "a long, b long, f array<double>, inliers long")
+    at = [F.col(c).cast("double").alias(c) for c in ("xa", "ya", "xb", "yb")]
+    some = matches.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), *at)
+    return some.groupBy("a", "b").applyInArrow(run, "a long, b long, f array<double>, inliers long")
 
 
 def projection_dlt(xy: np.ndarray, x: np.ndarray) -> np.ndarray:
-    h = np.hstack([x, np.ones((len(x), 1))])
-    z = np.zeros_like(h)
-    rows = np.vstack([np.hstack([h, z, -xy[:, :1] * h]), np.hstack([z, h, -xy[:, 1:] * h])])
-    return np.linalg.svd(rows)[2][-1].reshape(3, 4)
+    return robust.projections(xy[None], x[None])[0]
 
 
 def decompose(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -268,21 +235,8 @@ def register(xy: np.ndarray, x: np.ndarray, seed: int, rounds: int = 4096, thres
     lengths differ by 1.4 or more, or a tenth of the points lies behind."""
     if len(xy) < 9:
         return None
-    rng, best = np.random.default_rng(seed), np.zeros(len(xy), bool)
     flip = xy * np.array([1.0, -1.0])  # y down for the linear camera
-    h = np.hstack([x, np.ones((len(x), 1))])
-
-    def near(p):
-        q = h @ p.T
-        return np.linalg.norm(q[:, :2] / np.where(np.abs(q[:, 2:]) < 1e-12, 1e-12, q[:, 2:]) - flip, axis=1) < threshold
-
-    for _ in range(rounds):
-        pick = rng.choice(len(xy), 6, replace=False)
-        own = near(projection_dlt(flip[pick], x[pick]))
-        if own.sum() > best.sum():
-            best = own
-            if best.mean() > 0.95:
-                break
+    _, best = robust.projection_of(flip, x, seed, rounds, threshold)
     if best.sum() < max(6, least):
         return None
     k, r, t = decompose(projection_dlt(flip[best], x[best]))
