@@ -84,3 +84,39 @@ def test_odd_rows(spark, odd_docs):
     assert got.columns == odd_docs.columns
     # one of the two equal rows and one of the three wordless texts stay
     assert sorted(r.doc_id or 0 for r in got.collect()) == [0, 1, 2, 5, 7, 8]
+
+
+def groups_of_edits(seed, groups=12, size=40):
+    """Texts of groups in which similarities lie on both sides of 0.8."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
+    out = []
+    for g in range(groups):
+        base = rng.choices(vocabulary, k=rng.randint(100, 300))
+        out += [(g, " ".join(edited(base, rng.choice([0.008, 0.015, 0.02, 0.03]), rng, vocabulary))) for _ in range(size)]
+    return out
+
+
+def test_no_link_of_a_group_is_split(spark):
+    """A pair below 0.8 in a forest does not part those that others at 0.8 or more join."""
+    texts = groups_of_edits(3)
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    roots = {r["node"]: r["root"] for r in simhash.similar_classes(docs).collect()}
+    keys = [r[0] for r in docs.orderBy("doc_id").select(simhash.text_key(docs.text)).collect()]
+    wide = {r.key: r for r in simhash.wide_fingerprints(docs.withColumn("key", simhash.text_key(docs.text)), ["key"], "text").collect()}
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if texts[i][0] == texts[j][0] and jaccard(texts[i][1], texts[j][1]) >= 0.8]
+    split = [(wide[keys[i]], wide[keys[j]]) for i, j in links if roots.get(keys[i], keys[i]) != roots.get(keys[j], keys[j])]
+    bits = lambda a, b: sum(((a[f"fp{k}"] ^ b[f"fp{k}"]) & (1 << 64) - 1).bit_count() for k in range(simhash.WORDS))
+    # the search may miss a pair, but of what it finds nothing is lost
+    assert not [1 for a, b in split if set(a.peaks) & set(b.peaks) and bits(a, b) <= simhash.WIDE_DISTANCE]
+    assert len(links) > 800 and len(split) <= 0.02 * len(links)
+
+
+def test_parts_of_large_buckets_are_bounded(spark):
+    """A bucket of 20,000 members: each part holds a block and the leaders; all members hang together."""
+    listed = spark.range(20_000).selectExpr("id * 7919 AS key", "id AS label", "id AS fp0", "id AS fp1", "id AS fp2", "id AS fp3", "5L AS peak")
+    parts = simhash.dealt_buckets(listed, 1024, True).groupBy("i").count().collect()
+    assert len(parts) == 20 and max(r["count"] for r in parts) < 1300
+    near = listed.selectExpr("key", "1L << cast(label % 60 AS int) AS fp0", "label % 16 AS fp1", "0L AS fp2", "0L AS fp3", "array(5L) AS peaks")
+    got = simhash.peak_links(near)
+    assert got.count() < 21_000 + 20 * 64 and simhash.connected_components(got).select("root").distinct().count() == 1

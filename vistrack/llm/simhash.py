@@ -45,8 +45,8 @@ MAX_DISTANCE = 3
 WIDE_SHINGLE, SIMILARITY, WORDS = 5, 0.8, 4
 #: Keys of a text, peaks of a key, directions a peak is chosen from; differing bits of 256 looked at.
 TABLES, PEAKS, SPAN, WIDE_DISTANCE = 24, 3, 64, 64
-#: Members of a bucket compared at once.
-BLOCK = 2048
+#: Members of a bucket compared at once, members that stand for many, pairs of a member looked at again at once.
+BLOCK, LEADERS, NEAREST = 1024, 32, 4
 
 
 def fingerprint(text: str | None) -> int:
@@ -214,51 +214,109 @@ def _forest(a, b, d):
     return out
 
 
-def peak_links(classes: DataFrame, distance: int = WIDE_DISTANCE, block: int = BLOCK) -> DataFrame:
+def _thin(n):
+    """About LEADERS of n members, by a hash of the key."""
+    return F.pmod(F.xxhash64(F.lit(7), "key"), F.greatest(F.lit(1), F.floor(n / LEADERS)).cast("long")) == 0
+
+
+def dealt_buckets(listed: DataFrame, block: int, leaders: bool) -> DataFrame:
+    """Rows with (i, j), the part of its bucket (peak) that each is compared in. Buckets of at most ``block`` members
+    are one part. Others have one for each block with about LEADERS of all members (leaders), or one for each
+    pair of blocks."""
+    large = cut(listed.groupBy("peak").agg(F.count("*").alias("n")).where(F.col("n") > block))
+    both = join_checked(listed, large, "peak", "left")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    mine, every = F.pmod(F.xxhash64("key"), blocks).cast("int"), F.sequence(F.lit(0), blocks - 1)
+    part = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    if leaders:
+        places = F.when(_thin(F.col("n")), F.transform(every, lambda i: part(i, F.lit(0)))).otherwise(F.array(part(mine, F.lit(0))))
+    else:
+        places = F.transform(every, lambda o: part(F.least(mine, o), F.greatest(mine, o)))
+    places = F.when(F.col("n").isNull(), F.array(part(F.lit(0), F.lit(0)))).otherwise(places)
+    return both.withColumn("p", F.explode(places)).select(*listed.columns, "p.i", "p.j")
+
+
+def peak_links(classes: DataFrame, labels: DataFrame | None = None, distance: int = WIDE_DISTANCE, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of classes (column key) that share a key of peaks and differ in at most ``distance``
-    bits of the wide fingerprint: of each bucket a minimum spanning forest of such pairs, which joins all
-    that they join and has fewer rows than the bucket has members. A bucket of more than ``block``
-    members is compared in pairs of blocks; the forests of all pairs of its blocks hold that of the whole."""
+    bits of the wide fingerprint.
+
+    Without labels: of each bucket a minimum spanning forest of such pairs. A bucket of more than ``block`` members
+    is dealt out in blocks, to each of which about LEADERS of its members are added: a template of any number of
+    copies costs a task one block, and its blocks hang together by the leaders.
+
+    With labels (node, root) of what is joined so far: pairs of different labels, for each member the NEAREST of
+    them. Of a label's members in a bucket about LEADERS stand for all. Buckets of one label are passed over.
+    """
     fps = [f"fp{k}" for k in range(WORDS)]
     listed = classes.select("key", *fps, F.explode("peaks").alias("peak"))
-    large = cut(listed.groupBy("peak").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"))
-    listed = join_checked(listed, large, "peak", "left")
-    mine = F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
-    dealt = listed.select("key", *fps, "peak", F.explode(pair).alias("p")).select("key", *fps, "peak", "p.i", "p.j")
+    if labels is None:
+        listed = listed.withColumn("label", F.col("key"))
+    else:
+        listed = stored(listed.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root"), "simhash-listed")
+        mixed = listed.groupBy("peak").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("peak")
+        per = listed.groupBy("peak", "label").agg(F.count("*").alias("n")).where(F.col("n") > LEADERS)
+        listed = listed.join(stored(mixed, "simhash-mixed"), "peak", "left_semi").join(stored(per, "simhash-per"), ["peak", "label"], "left")
+        listed = stored(listed.where(F.col("n").isNull() | _thin(F.col("n"))).drop("n"), "simhash-thinned")
+    dealt = dealt_buckets(listed.select("key", "label", *fps, "peak"), block, labels is None)
+    forest = labels is None
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def found(key, group, fp):
-            """Forest edges of the runs of equal groups."""
-            left, step, hits = np.arange(len(key)), 0, []
+        def near(x):
+            """Rows (first, second, distance) of the near pairs of x, which holds whole groups."""
+            group, fp, label = x[:, WORDS + 2 :], x[:, 2 : WORDS + 2].view(np.uint64), x[:, 1]
+            left, step, hits = np.arange(len(x)), 0, []
             while len(left):
                 step += 1
-                left = left[left + step < len(key)]
+                left = left[left + step < len(x)]
                 left = left[(group[left] == group[left + step]).all(1)]
-                d = np.bitwise_count(fp[left] ^ fp[left + step]).sum(1).astype(np.int64)
-                near = d <= distance
-                hits.append(np.stack([left[near], left[near] + step, d[near]], 1))
-            hits = np.concatenate(hits) if hits else np.zeros((0, 3), int)
-            hits = hits[np.argsort(hits[:, 0], kind="stable")]
-            starts = np.concatenate([[True], (group[1:] != group[:-1]).any(1)]).cumsum()[hits[:, 0]] if len(hits) else hits[:, 0]
-            edges = [e for part in np.split(hits, np.flatnonzero(np.diff(starts)) + 1) if len(part) for e in _forest(*part.T)]
-            a, b = (key[[e[s] for e in edges]] if edges else key[:0] for s in (0, 1))
+                pairs = left[label[left] != label[left + step]]
+                d = np.bitwise_count(fp[pairs] ^ fp[pairs + step]).sum(1).astype(np.int32)
+                ok = d <= distance
+                hits.append(np.stack([pairs[ok], pairs[ok] + step, d[ok]], 1).astype(np.int32))
+            return np.concatenate(hits) if hits else np.zeros((0, 3), np.int32)
+
+        def found(x):
+            hits, key = near(x), x[:, 0]
+            if not len(hits):
+                pairs = hits[:, :2]
+            elif forest:
+                hits = hits[np.argsort(hits[:, 0], kind="stable")]
+                group = x[:, WORDS + 2 :]
+                starts = np.concatenate([[True], (group[1:] != group[:-1]).any(1)]).cumsum()[hits[:, 0]]
+                pairs = np.array([e for part in np.split(hits, np.flatnonzero(np.diff(starts)) + 1) for e in _forest(*part.T)], int).reshape(-1, 2)
+            else:
+                both = np.concatenate([hits, hits[:, [1, 0, 2]]])
+                both = both[np.lexsort((key[both[:, 1]], both[:, 2], both[:, 0]))]
+                first = np.flatnonzero(np.append(True, both[1:, 0] != both[:-1, 0]))
+                rank = np.arange(len(both)) - np.repeat(first, np.diff(np.append(first, len(both))))
+                pairs = both[rank < NEAREST, :2]
+            a, b = key[pairs[:, 0]], key[pairs[:, 1]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
+        def pieces(x):
+            """x in runs of whole groups of about ``block`` rows; a group is never longer than two blocks."""
+            ends = np.flatnonzero(np.append((x[1:, WORDS + 2 :] != x[:-1, WORDS + 2 :]).any(1), True)) + 1
+            at = 0
+            while at < len(x):
+                stop = int(ends[min(len(ends) - 1, np.searchsorted(ends, at + block))])
+                yield x[at:stop]
+                at = stop
+
         rest = None
         for b in batches:
             x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], 1)
             x = x if rest is None else np.concatenate([rest, x])
             if not len(x):
                 continue
-            same = (x[:, WORDS + 1 :] == x[-1, WORDS + 1 :]).all(1)  # the last run may go on
-            yield found(x[~same, 0], x[~same, WORDS + 1 :], x[~same, 1 : WORDS + 1].view(np.uint64))
+            same = (x[:, WORDS + 2 :] == x[-1, WORDS + 2 :]).all(1)  # the last run may go on
+            for piece in pieces(x[~same]):
+                yield found(piece)
             rest = x[same]
         if rest is not None:
-            yield found(rest[:, 0], rest[:, WORDS + 1 :], rest[:, 1 : WORDS + 1].view(np.uint64))
+            yield found(rest)
 
     # in the order of the keys, so that equal distances are decided alike in every run
     together = dealt.repartition("peak", "i", "j").sortWithinPartitions("peak", "i", "j", "key")
@@ -290,9 +348,13 @@ def verified(edges: DataFrame, texts: DataFrame, similarity: float, n: int) -> D
 
 
 def similar_classes(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, n: int = WIDE_SHINGLE) -> DataFrame:
-    """Rows (key, root) of the texts that are similar to a different one: key is text_key(text), root the
+    """Rows (node, root) of the texts that are similar to a different one: node is text_key(text), root the
     least key of the component. Candidates come from the grid range-join of the fingerprints (links) and
-    from the peaks of the same sums; each is verified by the Jaccard similarity of the sets of shingles."""
+    from the peaks of the same sums; each is verified by the Jaccard similarity of the sets of shingles.
+
+    A forest of near pairs may hold one that is not similar enough where another way round would be. So what the
+    verified pairs leave apart is looked at again: near pairs of different components, in rounds, until a round
+    joins nothing."""
     texts = docs.select(text_key(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     classes = stored(wide_fingerprints(texts, ["key"], "text", n).distinct(), "simhash-wide")
     nodes = classes.select(F.col("fp0").alias("fp"), "key")
@@ -300,7 +362,15 @@ def similar_classes(docs: DataFrame, text_col: str = "text", similarity: float =
     rep = stored(nodes.groupBy("fp").agg(F.min("key").alias("rep")), "simhash-nodes")
     grid = near.join(rep.select(F.col("fp").alias("a"), F.col("rep").alias("ka")), "a").join(rep.select(F.col("fp").alias("b"), F.col("rep").alias("kb")), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
     equal = nodes.join(rep, "fp").where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
-    return connected_components(verified(grid.union(equal).union(peak_links(classes)).distinct(), texts, similarity, n))
+    tried = stored(grid.union(equal).union(peak_links(classes)).distinct(), "simhash-tried")
+    edges = stored(verified(tried, texts, similarity, n), "simhash-edges")
+    while True:
+        roots = connected_components(edges)
+        more = stored(peak_links(classes, roots).join(tried, ["a", "b"], "left_anti"), "simhash-more")
+        joined = stored(verified(more, texts, similarity, n), "simhash-joined")
+        if not joined.head(1):
+            return roots
+        tried, edges = tried.union(more), edges.union(joined)
 
 
 def text_key(text):
