@@ -86,6 +86,20 @@ def two_hop(s, d):
     return pairs.two_hop(direct, 2 * TOP).select("v1", "view", F.col("level").cast("long").alias("level"), F.col("rn").cast("long").alias("rn"))
 
 
+@register("two_hop_quota", f"""WITH RECURSIVE {TOPN}, l2 AS (SELECT v1 AS v2, list(v2 ORDER BY n DESC, v2) AS c FROM covis WHERE n >= 4 GROUP BY v1),
+src AS (SELECT t.v1, list(t.v2 ORDER BY rn) AS s, list(t.n ORDER BY rn) AS w, list(c ORDER BY rn) AS c FROM top t JOIN l2 USING (v2) GROUP BY t.v1),
+go AS (SELECT v1, 1 AS i, {2 * TOP} - len(s) AS rest, s AS taken, list_transform(s, lambda x: 0::BIGINT) AS used FROM src UNION ALL
+  SELECT v1, i % k + 1, rest - len(pos), taken || list_transform(pos, lambda p: ci[p]),
+    list_transform(range(1, k + 1), lambda j: CASE WHEN j <> i OR share <= 0 THEN used[j] WHEN len(pos) = share THEN pos[share] ELSE len(ci)::BIGINT END)
+  FROM (SELECT *, list_filter(range(used[i] + 1, len(ci) + 1), lambda p: ci[p] <> v1 AND NOT list_contains(taken, ci[p]))[1:greatest(share, 0)] AS pos
+        FROM (SELECT go.*, src.c[i] AS ci, len(src.s) AS k, ((src.w[i] * rest + list_sum(src.w)::BIGINT - 1) // list_sum(src.w)::BIGINT) AS share, src.c AS c FROM go JOIN src USING (v1))
+        WHERE rest > 0 AND NOT (i = 1 AND len(list_filter(range(1, k + 1), lambda j: used[j] < len(c[j]))) = 0))),
+last AS (SELECT v1, max_by(taken, len(taken)) AS taken FROM go GROUP BY v1)
+SELECT v1, unnest(taken) AS view, unnest(range(1, len(taken) + 1)) AS rn FROM last""")
+def two_hop_quota(s, d):
+    return pairs.two_hop_quota(pairs.covisibility(roles.observations(s, d), least=4), TOP, 2 * TOP)
+
+
 MATRIX = f"""{OBS}, m AS (SELECT a.view AS v1, b.view AS v2, count(*)::BIGINT AS n FROM obs a JOIN obs b USING (point) GROUP BY ALL)"""
 
 
@@ -745,11 +759,11 @@ def tokenize(s, d):
     return table(s, d, "part").select("p_partkey", w.alias("w")).select("p_partkey", F.size("w").cast("long").alias("n"), F.get("w", F.lit(0)).alias("first"), F.try_element_at("w", F.lit(-1)).alias("last"))
 
 
-@register("basename_pad", r"""SELECT page_id, string_split(url, '/')[-1] AS segment, regexp_replace(string_split(url, '/')[-1], '\.[^.]*$', '') AS base, substr(lpad(page_id::VARCHAR, greatest(4, length(page_id::VARCHAR))::INTEGER, '0'), 1, 4) AS padded,
+@register("basename_pad", r"""SELECT page_id, string_split(url, '/')[-1] AS segment, regexp_replace(string_split(url, '/')[-1], '\.[^.]*$', '') AS base, lpad((page_id * 37)::VARCHAR, greatest(4, length((page_id * 37)::VARCHAR))::INTEGER, '0') AS padded,
 regexp_replace(url || '.jpg', '(?i)\.jpe?g$', '.key') AS key_path FROM pages""")
 def basename_pad(s, d):
     u = F.col("url")
-    return table(s, d, "pages").select("page_id", strings.last_segment(u).alias("segment"), strings.base_name(u).alias("base"), strings.pad4(F.col("page_id")).alias("padded"), strings.key_path(F.concat(u, F.lit(".jpg"))).alias("key_path"))
+    return table(s, d, "pages").select("page_id", strings.last_segment(u).alias("segment"), strings.base_name(u).alias("base"), strings.pad4(F.col("page_id") * 37).alias("padded"), strings.key_path(F.concat(u, F.lit(".jpg"))).alias("key_path"))
 
 
 @register("user_and_id", r"""SELECT s_suppkey, string_split(replace(s_name, '#', '_'), '_')[1] AS user, regexp_extract(replace(s_name, '#', '_'), '^[^_]*_(.*)$', 1) AS id FROM supplier""")
@@ -851,6 +865,30 @@ def register_images(s, d):
     return kernels.register_images(obs.withColumnRenamed("track", "point").join(pt, "point").select("view", "x", "y", "px", "py", "pz"))
 
 
+@register("triangulate_moved", f"WITH {SEEN} SELECT point AS track, n, px AS x, py AS y, pz AS z FROM n JOIN pt USING (point) WHERE point % 5 <> 0 OR n < 4")
+def triangulate_moved(s, d):
+    """One observation of every fifth point of four views or more is moved by 150 pixels: its error excludes the point."""
+    _, cams, obs = synthetic(s, d)
+    first = obs.groupBy("track").agg(F.min("view").alias("first"), F.count("*").alias("m"))
+    moved = (F.col("track") % 5 == 0) & (F.col("m") >= 4) & (F.col("view") == F.col("first"))
+    obs = obs.join(first, "track").select("track", "view", F.when(moved, F.col("x") + 150).otherwise(F.col("x")).alias("x"), "y")
+    near = lambda c: (F.round(c, 3) + F.lit(0.0)).alias(c)
+    return kernels.triangulate_tracks(obs, cams, min_angle=None).select("track", F.col("n").cast("long").alias("n"), near("x"), near("y"), near("z"))
+
+
+@register("point_errors", f"""WITH {OBS}, {POINT}, {CENTER}, q AS (SELECT DISTINCT view, point, px, py, pz, cx, cy, cz, 500.0::DOUBLE + view AS f FROM obs JOIN pt USING (point) JOIN ce USING (view)),
+r AS (SELECT *, -(px - cx) / (pz - cz) AS u, -(py - cy) / (pz - cz) AS v, -(px + 0.25::DOUBLE * (point % 3) - cx) / (pz - cz) AS u2 FROM q),
+e AS (SELECT point, f * (1 - 0.01::DOUBLE*(u2*u2+v*v) + 0.001::DOUBLE*(u2*u2+v*v)*(u2*u2+v*v)) * u2 - f * (1 - 0.01::DOUBLE*(u*u+v*v) + 0.001::DOUBLE*(u*u+v*v)*(u*u+v*v)) * u - ((point + view) % 7 - 3) AS dx,
+      f * (1 - 0.01::DOUBLE*(u2*u2+v*v) + 0.001::DOUBLE*(u2*u2+v*v)*(u2*u2+v*v)) * v - f * (1 - 0.01::DOUBLE*(u*u+v*v) + 0.001::DOUBLE*(u*u+v*v)*(u*u+v*v)) * v - ((point + 2 * view) % 5 - 2) AS dy, pz - cz <= 0 AS front FROM r)
+SELECT point AS track, count(*)::BIGINT AS n, round(sqrt(avg(dx * dx + dy * dy)), 3) AS err, bool_and(front) AS front FROM e GROUP BY point""")
+def point_errors(s, d):
+    """Points a quarter or half a unit off, observations off by some pixels."""
+    pt, cams, obs = synthetic(s, d)
+    noisy = obs.select("track", "view", (F.col("x") + (F.col("track") + F.col("view")) % 7 - 3).alias("x"), (F.col("y") + (F.col("track") + 2 * F.col("view")) % 5 - 2).alias("y"))
+    off = pt.select(F.col("point").alias("track"), (F.col("px") + 0.25 * (F.col("point") % 3)).alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"))
+    return kernels.point_errors(off, noisy, cams).select("track", "n", F.round("err", 3).alias("err"), "front")
+
+
 def planted_matches(s, d):
     """Matches of all pairs of views: pinhole images of the common points, a quarter of them moved."""
     _, cams, _ = synthetic(s, d)

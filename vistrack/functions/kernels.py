@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistrack.functions import robust
+from vistrack.functions import geometry, robust
 
 MAX_ERROR, MIN_ANGLE, PI = 5.0, 2.0, 3.1416
 
@@ -150,6 +150,18 @@ def triangulate_tracks(obs: DataFrame, cameras: DataFrame, max_error: float = MA
     return found if min_angle is None else found.where(f"angle >= {min_angle}")
 
 
+def point_errors(points: DataFrame, obs: DataFrame, cameras: DataFrame) -> DataFrame:
+    """(track, n, err, front) of given points (track, x, y, z): RMS distance in the image of their observations
+    (track, view, x, y) to the projections by the cameras, as column expressions; front: in front of all. Null errors
+    for points in a camera plane."""
+    p = points.select("track", *[F.col(c).cast("double").alias(f"p{c}") for c in "xyz"])
+    seen = obs.join(p, "track").join(cameras.where("r IS NOT NULL AND t IS NOT NULL").select("view", "f", "k1", "k2", "r", "t"), "view")
+    at = lambda c, n: [F.get(c, F.lit(i)) for i in range(n)]
+    x, y, front = geometry.project(at("r", 9), at("t", 3), F.col("f"), F.col("k1"), F.col("k2"), [F.col("px"), F.col("py"), F.col("pz")])
+    d = seen.select("track", front.alias("front"), ((x - F.col("x")) ** 2 + (y - F.col("y")) ** 2).alias("d"))
+    return d.groupBy("track").agg(F.count("*").alias("n"), F.when(F.count("d") == F.count("*"), F.sqrt(F.avg("d"))).alias("err"), F.bool_and("front").alias("front"))
+
+
 def estimate_fundamental(matches: DataFrame, **options) -> DataFrame:
     """(a, b, f[9], inliers) per pair of matches (a, b, xa, ya, xb, yb); pairs without an F drop out. Matches with a
     coordinate that is not finite do not count. A pair is estimated whole (vistrack.functions.robust)."""

@@ -30,7 +30,8 @@ def key_path(path: Column) -> Column:
 
 
 def pad4(n: Column) -> Column:
-    return F.lpad(n.cast("string"), 4, "0")
+    """At least four digits; longer numbers stay as they are."""
+    return F.lpad(n.cast("string"), F.greatest(F.lit(4), F.length(n.cast("string"))), F.lit("0"))
 
 
 def option_value(s: Column) -> tuple[Column, Column]:

@@ -53,6 +53,42 @@ def two_hop(covis: DataFrame, n: int, least: int = 4) -> DataFrame:
     return both.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).select("v1", "view", "level", "rn")
 
 
+def two_hop_quota(covis: DataFrame, direct: int, n: int, least: int = 4) -> DataFrame:
+    """(v1, view, rn): the ``direct`` best neighbors of each view, filled up to n with their neighbors by weight.
+
+    Sources are the direct neighbors in their order, weighted by the points they share with v1. In turn each gives
+    the next views of its own list (by common points) that are neither v1 nor taken, as many as its share of what is
+    still to be filled, rounded up; rounds go on until nothing is left to fill or to give. Shares are exact. Of each
+    list the first n + 1 views suffice, as no more than n are taken, so a group has at most direct x (n + 1) rows.
+    """
+    hop1 = top_neighbors(covis, direct, least).select("v1", "v2", "n", F.col("rn").alias("r1"))
+    hop2 = top_neighbors(covis, n + 1, least).select(F.col("v1").alias("v2"), F.col("v2").alias("v3"), F.col("rn").alias("r2"))
+
+    def fill(table):
+        import pyarrow as pa
+
+        rows = sorted(table.to_pylist(), key=lambda r: (r["r1"], r["r2"] or 0))
+        v1, weight, lists = rows[0]["v1"], {}, {}
+        for r in rows:
+            weight[r["v2"]] = r["n"]
+            lists.setdefault(r["v2"], []).extend([r["v3"]] if r["v3"] is not None else [])
+        out, at, total = list(weight), dict.fromkeys(weight, 0), sum(weight.values())
+        left = n - len(out)
+        while left > 0 and any(at[s] < len(lists[s]) for s in weight):
+            for s in weight:
+                share = -(-weight[s] * left // total)
+                while share > 0 and at[s] < len(lists[s]):
+                    view = lists[s][at[s]]
+                    at[s] += 1
+                    if view != v1 and view not in out:
+                        out.append(view)
+                        share, left = share - 1, left - 1
+        return pa.table({"v1": pa.array([v1] * len(out), pa.int64()), "view": pa.array(out, pa.int64()), "rn": pa.array(range(1, len(out) + 1), pa.int64())})
+
+    rows = hop1.join(hop2, "v2", "left").select(*[F.col(c).cast("long").alias(c) for c in ("v1", "v2", "n", "r1", "v3", "r2")])
+    return rows.groupBy("v1").applyInArrow(fill, "v1 long, view long, rn long")
+
+
 def all_pairs(images: DataFrame) -> DataFrame:
     """All i < j, the side with fewer features first (ties: lower id first). The image table is the
     small side of the model: one row an image, so the theta join is broadcast."""
