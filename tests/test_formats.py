@@ -62,6 +62,45 @@ def test_model_round_trip(spark, tmp_path):
     assert [sorted(map(str, a.collect())) for a in (cams, points, obs)] == [sorted(map(str, a.collect())) for a in again]
 
 
+def test_model_in_blocks(spark, tmp_path):
+    """A model of 20,000 points is read by many tasks, sections apart, and a written folder comes back as it is."""
+    n, out = 20_000, ["# v", "3 20000"]
+    for c in range(3):
+        out += [f"{500 + c} 0.1 0.01", "1 0 0", "0 1 0", "0 0 1", f"0 0 -{c}"] if c != 1 else ["0 0 0"] * 5
+    for p in range(n):
+        out += [f"{p} {p + 0.5} -1", f"{p % 256} 0 51", "0" if p % 7 == 0 else f"2 0 {p} 1.5 2.5 2 {p + 1} 3.5 {p}.25"]
+    (tmp_path / "m.out").write_text("\n".join(out) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cams, points, obs = formats.model(spark, str(tmp_path / "m.out"))
+        assert obs.rdd.getNumPartitions() > 8
+        plan = obs._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan
+        want = formats.free_model(spark, str(tmp_path / "m.out"))
+        for got, free in zip((cams, points, obs), want, strict=True):
+            assert sorted(map(str, got.collect())) == sorted(map(str, free.select(got.columns).collect()))
+        assert obs.count() == 2 * (n - len(range(0, n, 7)))
+        formats.write_model(cams, points, obs, str(tmp_path / "out"))
+        assert len(list((tmp_path / "out").glob("part-*"))) > 1
+        again = formats.model(spark, str(tmp_path / "out"))
+        assert [sorted(map(str, a.collect())) for a in (cams, points, obs)] == [sorted(map(str, a.collect())) for a in again]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_models_without_lines_of_their_own(spark, tmp_path):
+    (tmp_path / "f.out").write_text("1 1 500 0 0 1 0 0 0 1 0 0 0 1 0 0 -5\n1 2 3 255 0\n0 1 0 7 1.5 2.5")
+    cams, points, obs = formats.model(spark, str(tmp_path / "f.out"))
+    assert cams.first().f == 500.0 and points.first().n_vis == 1 and obs.first().x == 1.5
+    (tmp_path / "empty.out").write_text("0 0\n")
+    assert [d.count() for d in formats.model(spark, str(tmp_path / "empty.out"))] == [0, 0, 0]
+
+
 def test_jpeg_headers(spark, tmp_path):
     tiff = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 2) + struct.pack("<HHII", 0x0112, 3, 1, 6) + struct.pack("<HHII", 0x920A, 5, 1, 38) + struct.pack("<I", 0) + struct.pack("<II", 355, 10)
     seg = b"Exif\0\0" + tiff

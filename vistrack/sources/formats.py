@@ -6,9 +6,13 @@ one file a row and parsed in Arrow batches; many files make many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vistrack.session import join_checked, stored
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("p"))
@@ -160,10 +164,62 @@ def key_files(spark: SparkSession, path: str, header_only: bool = False) -> Data
 MODEL = "kind string, id long, f double, k1 double, k2 double, r array<double>, t array<double>, valid boolean, pos array<double>, rgb array<int>, obs array<struct<view:int,key:int,x:double,y:double>>"
 
 
+def ordered_lines(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """(no, value) of the lines of a file, or of the files of a folder in name order as one, and their number. Blank
+    lines and those that start with # are left out. A file is read in as many tasks as it has blocks; only one row a
+    block is gathered, to tell where its lines begin."""
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    kept = spark.read.text(path).select("value", *at).where((F.trim("value") != "") & ~F.col("value").startswith("#"))
+    lines = kept.withColumn("at", F.monotonically_increasing_id())
+    w = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    blocks = stored(blocks.withColumn("start", F.sum("n").over(w) - F.col("n")), "blocks")
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    return join_checked(lines, blocks, ["file", "block"], "inner").select((F.col("start") + F.col("at") - F.col("first")).alias("no"), "value"), total
+
+
+def _numbers(c, kind: str = "double"):
+    return F.transform(F.split(F.trim(c), r"\s+"), lambda x: x.cast(kind))
+
+
+def _records(lines: DataFrame, first: int, last: int, size: int) -> DataFrame:
+    """(id, l0, l1, ...) of records of ``size`` lines that stand in the lines first to last - 1."""
+    own = lines.where(F.col("no").between(first, last - 1)).withColumn("k", F.col("no") - first)
+    return own.groupBy(F.expr(f"k div {size}").alias("id")).agg(*[F.max(F.when(F.col("k") % size == i, F.col("value"))).alias(f"l{i}") for i in range(size)])
+
+
 def model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """cameras (view, f, k1, k2, r, t, valid), points (point, pos, rgb, n_vis), observations (point, pos,
-    view, key, x, y) of a model file. Header lines start with # and are optional; a camera of zeros is
-    not valid and has NULL fields; colors become shares of 255."""
+    view, key, x, y) of a model: a file, or a folder of parts in name order as write_model leaves it. Header lines
+    start with # and are optional; a camera of zeros is not valid and has NULL fields; colors become shares of 255.
+
+    Files whose records stand in lines of their own (five a camera, three a point), as usual, are read in blocks, and of
+    a section only its own lines: observations need no shuffle at all. Files with other line ends are read whole, one
+    file a task (free_model)."""
+    lines, total = ordered_lines(spark, path)
+    head = lines.where("no = 0").first()
+    counts = [int(x) for x in head["value"].split()] if head and re.fullmatch(r"\s*\d+\s+\d+\s*", head["value"]) else None
+    if not counts or total != 1 + 5 * counts[0] + 3 * counts[1]:
+        return free_model(spark, path)
+    base = 1 + 5 * counts[0]
+    c = _records(lines, 1, base, 5)
+    f, r, t = _numbers("l0"), F.concat(*[_numbers(f"l{i}") for i in (1, 2, 3)]), _numbers("l4")
+    valid = F.exists(r, lambda x: x != 0)
+    mine = lambda v, name: F.when(valid, v).alias(name)
+    cameras = c.select(F.col("id").alias("view"), *[mine(F.get(f, F.lit(i)), n) for i, n in enumerate(("f", "k1", "k2"))], mine(r, "r"), mine(t, "t"), valid.alias("valid"))
+    p = _records(lines, base, total, 3)
+    points = p.select(F.col("id").alias("point"), _numbers("l0").alias("pos"), F.transform(_numbers("l1", "int"), lambda x: x / 255.0).alias("rgb"), F.get(F.split(F.trim("l2"), r"\s+"), F.lit(0)).cast("int").alias("n_vis"))
+    seen = lines.where((F.col("no") >= base) & ((F.col("no") - base) % 3 == 2)).select(F.expr(f"(no - {base}) div 3").alias("point"), F.split(F.trim("value"), r"\s+").alias("v"))
+    n = F.get("v", F.lit(0)).try_cast("int")  # the filter may come to see lines of other sections
+    at = F.sequence(F.lit(0), n - 1)
+    seen = seen.where(n > 0).select("point", "v", F.explode(at).alias("pos"))
+    part = lambda i, kind: F.get("v", 1 + 4 * F.col("pos") + i).cast(kind)
+    obs = seen.select("point", "pos", part(0, "int").alias("view"), part(1, "int").alias("key"), part(2, "double").alias("x"), part(3, "double").alias("y"))
+    return cameras, points, obs
+
+
+def free_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """model() of files in which values are parted by any white space; each file is a model, read by one task."""
 
     def run(batches):
         import pyarrow as pa
@@ -300,8 +356,9 @@ def write_tracks(df: DataFrame, path: str) -> None:
 
 
 def write_model(cameras: DataFrame, points: DataFrame, obs: DataFrame, path: str) -> None:
-    """A model as sorted text records (header, cameras, points) in one ordered folder; reading needs the
-    files in name order. Cameras that are not valid become five lines of zeros."""
+    """A model as sorted text records (header, cameras, points) in one ordered folder, which model() reads back as it
+    is. Cameras that are not valid become five lines of zeros. Cameras and points are numbered by their order: ids with
+    gaps come back without them (remap_ids)."""
     c = cameras.select(F.lit(1).alias("o"), F.col("view").alias("i"), F.when(F.col("valid"), F.concat_ws("\n", F.concat_ws(" ", F.col("f").cast("string"), F.col("k1").cast("string"), F.col("k2").cast("string")), *[F.array_join(F.slice("r", s, 3).cast("array<string>"), " ") for s in (1, 4, 7)], F.array_join(F.col("t").cast("array<string>"), " "))).otherwise("\n".join(["0 0 0"] * 5)).alias("value"))
     o = obs.groupBy("point").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "view", "key", "x", "y"))), lambda x: F.concat_ws(" ", x["view"].cast("string"), x["key"].cast("string"), x["x"].cast("string"), x["y"].cast("string"))), " ").alias("text"))
     p = points.join(o, "point", "left").select(F.lit(2).alias("o"), F.col("point").alias("i"), F.concat_ws("\n", F.array_join(F.col("pos").cast("array<string>"), " "), F.array_join(F.transform("rgb", lambda v: F.round(v * 255).cast("int").cast("string")), " "), F.concat_ws(" ", F.coalesce("n", F.lit(0)).cast("string"), F.coalesce("text", F.lit("")))).alias("value"))
