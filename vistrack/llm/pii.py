@@ -1,10 +1,11 @@
 """PII surrogates in DataFrame functions only: keyed, type-consistent, distinct and coreferent.
 
 Detection is one regular expression over whole texts: e-mail and IPv4 addresses, phone, card and
-social security numbers (16 digits that fail the Luhn test are an account number, and stay so; other such digits are nothing), access keys, values after token/password/secret/api key, and names after a
-title. A mention is reduced to one or two entities (type, canonical form): an e-mail in lower case,
+social security numbers (16 digits that fail the Luhn test are an account number, and stay so; other such digits are nothing), access keys, values after token/password/secret/api key, and names after one or more
+titles. A person named once with a title is hidden in the whole text: every other word of it that is one of its own
+surnames or given names, written with a capital, gets the same surrogate. A mention is reduced to one or two entities (type, canonical form): an e-mail in lower case,
 the last ten digits of a phone number, all digits of a card, the surname and, apart, the given name
-with the gender that the title tells. Equal entities get equal surrogates in the whole table, however
+with the gender that the titles tell (some tell none). Equal entities get equal surrogates in the whole table, however
 they are written.
 
 A surrogate comes from SHA-512 of (key, type, canonical form, attempt): digits for digits, letters of
@@ -13,7 +14,8 @@ of the same script and given names of the same gender. Collision check: within a
 entities may share a surrogate and no surrogate may equal an entity that occurs; offenders go to the
 next attempt until none is left. All but the least canonical form of a clash move. Names get longer
 with each attempt, all other surrogates from attempt WIDEN on, so that the rounds end however small the
-space of a form is.
+space of a form is. Letters keep to the Latin, Cyrillic, Greek, Hebrew, Arabic and Devanagari scripts, names to the
+first three; letters of others become Latin.
 
 Only texts with mentions go through the shuffles of the entity tables; all others pass unchanged.
 
@@ -24,6 +26,8 @@ of type bigint, follows a changed text; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,15 +36,30 @@ from vistrack.session import cut, stored
 #: Titles that tell a gender; kept in the text as they are.
 MALE = ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "г-н")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа")
-TITLE = "|".join(sorted(MALE + FEMALE, key=len, reverse=True))
+#: Titles that tell none.
+NEUTRAL = ("Dr", "Prof", "Doctor", "Professor", "Dra")
+TITLE = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
+TITLES = rf"(?:(?:{TITLE})\.? )+"
 #: Given names for surrogates by gender and script.
 GIVEN = {
     ("m", "latin"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Lukas Martin Nils Oskar Paul".split(),
     ("f", "latin"): "Anna Berta Clara Diana Elena Flora Greta Helen Irene Julia Karla Laura Maria Nina Olga Paula".split(),
     ("m", "cyrillic"): "Андрей Борис Виктор Глеб Денис Егор Захар Игорь Кирилл Лев Максим Никита Олег Павел Роман Степан".split(),
     ("f", "cyrillic"): "Анна Вера Галина Дарья Елена Жанна Зоя Инна Ксения Лидия Мария Нина Ольга Полина Раиса Софья".split(),
+    ("m", "greek"): "Αντώνης Βασίλης Γιάννης Δημήτρης Ηλίας Θωμάς Κώστας Λευτέρης Μάρκος Νίκος Πέτρος Ρήγας Σπύρος Στέλιος Τάσος Χρήστος".split(),
+    ("f", "greek"): "Άννα Βασιλική Γεωργία Δήμητρα Ελένη Ζωή Θεοδώρα Ιωάννα Κατερίνα Μαρία Νίκη Ξένια Ράνια Σοφία Φωτεινή Χριστίνα".split(),
+    ("n", "latin"): "Alex Andy Charlie Chris Dana Eden Jamie Jules Kim Lou Max Nico Pat Robin Sam Toni".split(),
+}
+#: Without a gender, the other scripts take the first list.
+GIVEN |= {("n", s): GIVEN["m", s] for s in ("cyrillic", "greek")}
+SYLLABLES = {"latin": "bar den fos gal hel jor kam lin mor nes pal ros sel tor ven wil".split(), "cyrillic": "бар вен гор дол зар кам лен мор нев пол рос сел тор фен хар шел".split(), "greek": "βαρ δεν φος γαλ κελ τζορ καμ λιν μορ νες παλ ρος σελ τορ βεν φιλ".split()}
+#: Letters that stand for letters of a script.
+ALPHABETS = {
+    "Cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "Greek": "αβγδεζηθικλμνξοπρστυφχψω", "Hebrew": "אבגדהוזחטיכלמנסעפצקרשת",
+    "Arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "Devanagari": "कखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह", "Latin": "abcdefghijklmnopqrstuvwxyz",
 }
-SYLLABLES = {"latin": "bar den fos gal hel jor kam lin mor nes pal ros sel tor ven wil".split(), "cyrillic": "бар вен гор дол зар кам лен мор нев пол рос сел тор фен хар шел".split()}
+#: Words of a text: what names can stand in, and the ends of such words.
+WORD_ENDS = r"(?<=[\p{L}\p{M}'-])(?=[^\p{L}\p{M}'-])|(?<=[^\p{L}\p{M}'-])(?=[\p{L}\p{M}'-])"
 
 #: The key of tests and checks.
 TEST_KEY = "public-test-key"
@@ -60,7 +79,7 @@ PATTERN = "|".join((
     rf"(?<![\d+])(?:{PHONES[0]})(?!\d)",
     rf"(?<!\d)(?:{PHONES[1]})(?!\d)",
     r"(?<![\d.])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?![\d])",
-    rf"\b(?:{TITLE})\.? (?:\p{{Lu}}[\p{{L}}'-]+ )?\p{{Lu}}[\p{{L}}'-]+",
+    rf"\b{TITLES}(?:\p{{Lu}}[\p{{L}}\p{{M}}'-]+ )?\p{{Lu}}[\p{{L}}\p{{M}}'-]+",
 ))
 #: A text without any of these has no mention.
 HINT = rf"[0-9@]|(?i:token|passw|pwd|secret|api)|(?:{TITLE})\.? "
@@ -73,7 +92,7 @@ def kind_of(m: Column, secret: Column | None = None) -> Column:
     card = F.when(_sound(_digits(m)), "card").when(F.coalesce(secret, F.lit(False)) if secret is not None else F.lit(False), "secret").when(F.length(_digits(m)) == 16, "account").otherwise("none")
     return (F.when(m.contains("@"), "email").when(m.rlike(r"^AKIA[0-9A-Z]{16}$"), "access_key").when(m.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip")
             .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(m.rlike(r"^\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}$|^\d{13,19}$"), card)
-            .when(m.rlike(rf"^(?:{PHONE})$"), "phone").when(m.rlike(rf"^(?:{TITLE})\.? \p{{Lu}}"), "name").otherwise("secret"))
+            .when(m.rlike(rf"^(?:{PHONE})$"), "phone").when(m.rlike(rf"^{TITLES}\p{{Lu}}"), "name").otherwise("secret"))
 
 
 def _digits(m: Column) -> Column:
@@ -84,14 +103,19 @@ def _surname(m: Column) -> Column:
     return F.lower(F.substring_index(m, " ", -1))
 
 
+def _titles(m: Column) -> Column:
+    return F.regexp_extract(m, f"^{TITLES}", 0)
+
+
 def _given_kind(m: Column) -> Column:
-    return F.concat(F.lit("given_"), F.when(m.rlike(rf"^(?:{'|'.join(FEMALE)})\.? "), "f").otherwise("m"))
+    tells = lambda titles: F.concat(F.lit(" "), _titles(m)).rlike(rf" (?:{'|'.join(titles)})\.? ")
+    return F.concat(F.lit("given_"), F.when(tells(FEMALE), "f").when(tells(MALE), "m").otherwise("n"))
 
 
 def _given(m: Column) -> Column:
-    """The given name of a mention with title, given name and surname, else null."""
-    parts = F.split(m, " ")
-    return F.when(F.size(parts) > 2, F.lower(F.get(parts, F.lit(1))))
+    """The given name of a mention with titles, given name and surname, else null."""
+    parts = F.split(F.substr(m, F.length(_titles(m)) + 1), " ")
+    return F.when((_titles(m) != "") & (F.size(parts) > 1), F.lower(F.get(parts, F.lit(0))))
 
 
 def entities_of(m: Column, secret: Column | None = None) -> Column:
@@ -109,14 +133,20 @@ def _pick(h: Column, at: int, values: list[str]) -> Column:
 
 
 def _fit(canon: Column, h: Column) -> Column:
-    """Same class at each place: digit, lower or upper letter (Cyrillic stays so); the rest stays."""
+    """Same class at each place: digit, lower or upper letter of the same script; the rest stays."""
     deep = F.concat(h, F.sha2(h, 512))
 
     def place(c: Column, i: Column) -> Column:
         at = F.conv(F.substring(deep, i % 126 * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        latin, cyr = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), at % 26 + 1, F.lit(1)), F.substring(F.lit("абвгдежзийклмнопрстуфхцчшщъыьэюя"), at % 32 + 1, F.lit(1))
-        return (F.when(c.rlike("[0-9]"), (at % 10).cast("string")).when(c.rlike(r"\p{IsCyrillic}"), F.when(c == F.lower(c), cyr).otherwise(F.upper(cyr)))
-                .when(c.rlike(r"\p{L}"), F.when(c == F.lower(c), latin).otherwise(F.upper(latin))).otherwise(c))
+        new = None
+        for script, letters in ALPHABETS.items():
+            one = F.substring(F.lit(letters), at % len(letters) + 1, F.lit(1))
+            if script == "Latin":
+                new = new.otherwise(one)
+            else:
+                is_ = c.rlike(rf"\p{{Is{script}}}")
+                new = F.when(is_, one) if new is None else new.when(is_, one)
+        return F.when(c.rlike("[0-9]"), (at % 10).cast("string")).when(c.rlike(r"\p{L}"), F.when(c == F.lower(c), new).otherwise(F.upper(new))).otherwise(c)
 
     return F.array_join(F.transform(F.split(canon, ""), place), "")
 
@@ -148,13 +178,14 @@ def surrogate_of(kind: Column, canon: Column, attempt: Column, key: str) -> Colu
     more_digits, more_hex = F.translate(more_letters, "abcdefghijklmnop", "0123456789012345"), F.translate(more_letters, "ghijklmnop", "0123456789")
     email = F.concat(_fit(F.substring_index(canon, "@", 1), h), more_letters, F.lit("@"), host, F.lit(".example"))
     secret = F.concat(secret, F.when(canon.rlike("^[0-9a-f]+$"), more_hex).otherwise(more_letters))
-    cyr = canon.rlike(r"\p{IsCyrillic}")
+    by_script = lambda of: F.when(canon.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(canon.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
     syllables = lambda s: F.array_join(F.transform(F.sequence(F.lit(1), attempt + 3), lambda i: F.element_at(F.array(*map(F.lit, SYLLABLES[s])), F.conv(F.substring(h, i % 128 + 1, F.lit(1)), 16, 10).cast("int") + 1)), "")
-    given = {g: F.when(cyr, _pick(h, 1, GIVEN[g, "cyrillic"])).otherwise(_pick(h, 1, GIVEN[g, "latin"])) for g in "mf"}
-    more = F.when(attempt == 0, "").otherwise(F.concat(F.lit("-"), F.initcap(F.when(cyr, syllables("cyrillic")).otherwise(syllables("latin")))))
+    family = F.initcap(by_script(syllables))
+    more = F.when(attempt == 0, "").otherwise(F.concat(F.lit("-"), family))
+    given = lambda g: F.concat(by_script(lambda s: _pick(h, 1, GIVEN[g, s])), more)
     return (F.when(kind == "email", email).when(kind == "ip", F.concat(octets, F.when(more_digits != "", F.concat(F.lit("."), more_digits)).otherwise(""))).when(kind == "card", F.concat(_card(canon, h), more_digits)).when(kind == "account", F.concat(_card(canon, h, 1), more_digits)).when(kind == "access_key", F.concat(F.lit("AKIA"), F.substr(_fit(canon, h), F.lit(5)), F.upper(more_letters)))
             .when(kind == "phone", F.concat((F.conv(F.substring(h, 120, 1), 16, 10).cast("int") % 8 + 2).cast("string"), F.substr(_fit(canon, h), F.lit(2)), more_digits)).when(kind == "ssn", F.concat(_fit(canon, h), more_digits))
-            .when(kind == "surname", F.initcap(F.when(cyr, syllables("cyrillic")).otherwise(syllables("latin")))).when(kind == "given_m", F.concat(given["m"], more)).when(kind == "given_f", F.concat(given["f"], more)).otherwise(secret))
+            .when(kind == "surname", family).when(kind == "given_m", given("m")).when(kind == "given_f", given("f")).when(kind == "given_n", given("n")).otherwise(secret))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -198,23 +229,48 @@ def render(m: Column, known: Column, secret: Column | None = None) -> Column:
     canon = F.get(entities_of(m, secret), F.lit(0))["canon"]
     own = at(kind, canon)
     placed = F.concat(_place_digits(m, F.left(own, F.length(canon))), F.substr(own, F.length(canon) + 1))  # what a late attempt adds comes last
-    head, rest = F.substring_index(m, " ", 1), F.substr(m, F.length(F.substring_index(m, " ", 1)) + 2)
-    name = F.concat_ws(" ", head, F.when(_given(m).isNotNull(), _as(F.substring_index(rest, " ", 1), at(_given_kind(m), _given(m)))), _as(F.substring_index(m, " ", -1), at(F.lit("surname"), _surname(m))))
+    rest = F.substr(m, F.length(_titles(m)) + 1)
+    name = F.concat(_titles(m), F.concat_ws(" ", F.when(_given(m).isNotNull(), _as(F.substring_index(rest, " ", 1), at(_given_kind(m), _given(m)))), _as(F.substring_index(m, " ", -1), at(F.lit("surname"), _surname(m)))))
     return F.when(kind == "none", m).when(kind == "name", name).when(kind.isin("phone", "card", "account", "ssn"), placed).when(kind == "email", _as(m, own)).otherwise(own)
 
 
+def bare(token: Column) -> Column:
+    """A word without quotes and hyphens around it and the ending of the possessive."""
+    return F.regexp_replace(F.regexp_replace(token, "^['-]+|['-]+$", ""), "'s$", "")
+
+
+def repeats(gap: Column, known: Column) -> Column:
+    """A stretch between mentions with the names of known (kind and canonical form to surrogate) replaced wherever
+    they stand as words of their own, as struct(text, n). A word that is a surname and a given name is the surname."""
+
+    def one(token: Column) -> Column:
+        word = bare(token)
+        at = lambda k: F.element_at(known, F.concat_ws("\x1f", F.lit(k), F.lower(word)))
+        new = F.when(word.rlike(r"^\p{Lu}"), F.coalesce(*map(at, ("surname", "given_m", "given_f", "given_n"))))
+        start = F.position(word, token)
+        whole = F.concat(F.left(token, start - 1), F.when((F.length(word) > 1) & (word == F.upper(word)), F.upper(new)).otherwise(new), F.substr(token, start + F.length(word)))
+        return F.struct(F.coalesce(whole, token).alias("t"), F.when(new.isNotNull(), 1).otherwise(0).alias("n"))
+
+    words = F.transform(F.split(gap, WORD_ENDS), one)
+    return F.struct(F.array_join(F.transform(words, lambda w: w["t"]), "").alias("text"), F.aggregate(words, F.lit(0), lambda a, w: a + w["n"]).alias("n"))
+
+
 def mentions_of(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def secret_key(spark) -> str:
-    """The key of the session (spark.vistrack.pii.key). Without one the known test key, which hides nothing
-    from those who know it: set a key of your own wherever surrogates are to protect anybody."""
-    return spark.conf.get("spark.vistrack.pii.key", None) or spark.sparkContext.getConf().get("spark.vistrack.pii.key", TEST_KEY)
+    """The key of the session (spark.vistrack.pii.key). Without one the known test key, with a warning: it hides nothing
+    from those who know it, so set a key of your own wherever surrogates are to protect anybody."""
+    key = spark.conf.get("spark.vistrack.pii.key", None) or spark.sparkContext.getConf().get("spark.vistrack.pii.key", None)
+    if not key:
+        warnings.warn("spark.vistrack.pii.key is not set: surrogates are made with the public test key", stacklevel=2)
+    return key or TEST_KEY
 
 
 def replace_pii(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """docs with every mention replaced; count_col, if named, is added with the mentions of a row. The same
+    """docs with every mention replaced; count_col, if named, is added with the mentions of a row, repeated names
+    among them. The same
     key gives the same surrogates; keep it secret."""
     if not key:
         raise ValueError("replace_pii needs a key")
@@ -230,13 +286,17 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text", count_col: st
     known = entity.join(names, ["kind", "canon"]).groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "canon"), "surrogate"))).alias("known"))
     # collect_list is bounded by the mentions of one text
     gaps, new = F.split(text, PATTERN, -1), F.zip_with("mentions", "secrets", lambda m, s: render(m, F.col("known"), s))
-    pieces = F.transform(F.arrays_zip(gaps.alias("g"), new.alias("n")), lambda z: F.concat(z["g"], F.coalesce(z["n"], F.lit(""))))
-    whole = F.array_join(pieces, "")
-    done = some.join(known, "uid", "left").withColumn("_text", whole)
+    named = F.exists(F.map_keys("known"), lambda k: k.startswith("surname"))
+    told = F.transform(gaps, lambda g: F.when(named, repeats(g, F.col("known"))).otherwise(F.struct(g.alias("text"), F.lit(0).alias("n"))))
+    # the explode of one value keeps the plan from looking for names at each of their uses
+    done = some.join(known, "uid", "left").withColumn("_told", F.explode(F.array(told)))
+    pieces = F.transform(F.arrays_zip(F.col("_told").alias("g"), new.alias("n")), lambda z: F.concat(z["g"]["text"], F.coalesce(z["n"], F.lit(""))))
+    done = done.withColumn("_text", F.array_join(pieces, ""))
     numbered = dict(docs.dtypes).get("n_chars") == "bigint" and text_col == "text"
     put = lambda c: F.col("_text").alias(c) if c == text_col else F.length("_text").cast("long").alias(c) if c == "n_chars" and numbered else F.col("row")[c].alias(c)
     count = lambda x: [x.cast("long").alias(count_col)] if count_col else []
-    changed = done.select(*[put(c) for c in own], *count(F.size(F.filter(F.zip_with("mentions", "secrets", kind_of), lambda k: k != "none"))))
+    found = F.size(F.filter(F.zip_with("mentions", "secrets", kind_of), lambda k: k != "none")) + F.aggregate("_told", F.lit(0), lambda a, g: a + g["n"])
+    changed = done.select(*[put(c) for c in own], *count(found))
     same = marked.where(F.coalesce(F.size("mentions"), F.lit(0)) <= 0).select(*[F.col("row")[c].alias(c) for c in own], *count(F.lit(0)))
     return same.unionByName(changed) if len(set(own)) == len(own) else same.union(changed)
 
