@@ -19,7 +19,7 @@ def grams(w, n):
 
 def template_grams(t):
     w = words(t)
-    return set(grams(w, 3)) or set(w)
+    return set(grams(w, 3)) or {" ".join(w)}
 
 
 def test_no_template_can_be_confirmed_without_a_word_of_the_gate():
@@ -103,3 +103,20 @@ def test_repeated_rows_and_ties(spark, model):
     docs = spark.createDataFrame([row, row, (None, row[1], "y")], "doc_id long, text string, hits string")
     got = licenses.scan(docs, model).collect()
     assert len(got) == 3 and {r.families for r in got} == {"BSD,MIT"} and len({(r.family, r.probability) for r in got}) == 1
+
+
+IDENTIFIERS = {
+    "GPL-3.0-only": "GPL-3.0", "GPL-3.0-or-later": "GPL-3.0", "GPL-2.0-only": "GPL-2.0", "GPL-2.0-or-later": "GPL-2.0", "LGPL-2.1-only": "LGPL", "LGPL-2.1-or-later": "LGPL", "LGPL-3.0-only": "LGPL", "AGPL-3.0-only": "AGPL-3.0", "AGPL-3.0-or-later": "AGPL-3.0",
+    "MIT": "MIT", "Apache-2.0": "Apache-2.0", "BSD-2-Clause": "BSD", "BSD-3-Clause": "BSD", "MPL-2.0": "MPL-2.0", "ISC": "ISC", "CC0-1.0": "CC0", "CC-BY-4.0": "CC-BY", "CC-BY-SA-4.0": "CC-BY-SA", "CC-BY-NC-4.0": "CC-BY-NC", "Unlicense": "Unlicense", "BSL-1.0": "BSL-1.0", "EPL-2.0": "EPL-2.0",
+}
+SHORT = {
+    "Licensed under GPLv3": "GPL-3.0", "License: MIT": "MIT", "The code is MIT licensed.": "MIT", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0", "Licensed under the Eclipse Public License, version 2.0.": "EPL-2.0", "Released under the BSD 2-Clause License.": "BSD",
+    "This is free and unencumbered software released into the public domain.": "Unlicense", "He studied at MIT and has a license.": "unknown", "The eclipse was seen by the public.": "unknown", "A boost to the software business": "unknown",
+}
+
+
+def test_identifiers_and_short_forms(spark, model):
+    texts = {f"// SPDX-License-Identifier: {i}\nint main() {{}}": f for i, f in IDENTIFIERS.items()} | {f"Some words first.\n{s}\nand more": f for s, f in SHORT.items()}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.family for r in licenses.scan(docs, model).collect()}
+    assert {t: got[i] for i, t in enumerate(texts)} == texts

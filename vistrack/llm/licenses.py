@@ -6,7 +6,8 @@ lines, and on negatives: lines of a bounded corpus sample, with and without lice
 that merely sound like licences. Folds hold whole templates and whole negatives. A held-out fold
 calibrates: a temperature that minimises the log loss, and the least probability at which no held-out
 negative passes; the weights are then fitted on all folds. A prediction is confirmed if the paragraph
-holds at least CONFIRM of the word trigrams of one template of the family.
+holds at least CONFIRM of the word trigrams of one template of the family (of a template of two words, both, in
+order).
 
 Every line of every text is looked at, and so is every block of non-blank lines, joined, as notices
 come hard-wrapped: a block of more than WINDOW lines by windows of WINDOW lines that overlap by half.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from vistrack.session import stored
 
-ANCHOR = r"(?i)licen[cs]|copyright|spdx|permission|redistribut|warrant|public domain|creative commons|\bcc0?[ -]|\bgnu\b|\b[al]?gpl|mozilla|apache|\bmit\b|\bbsd\b|\bisc\b|unencumbered"
+ANCHOR = r"(?i)licen[cs]|copyright|eclipse|boost software|spdx|permission|redistribut|warrant|public domain|creative commons|\bcc0?[ -]|\bgnu\b|\b[al]?gpl|mozilla|apache|\bmit\b|\bbsd\b|\bisc\b|unencumbered"
 #: Words one of which is in any paragraph that can be confirmed (a test counts the trigrams without).
 GATE = ANCHOR + r"|software|hereby|granted|purpose|waived|documentation|compliance|modif|binary|permitted|foundation|source"
 #: Corpus lines in the training set at most, without and with an anchor word; documents they come from, about.
@@ -44,19 +45,22 @@ UNKNOWN = "unknown"
 
 #: Usual wording of public licence notices by family.
 TEMPLATES = {
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT license.", "This project is licensed under the terms of the MIT license.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache License 2.0.", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later", "Released under the GPL v3.", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only", "Released under the GPL v2.", "it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
-    "LGPL": ("Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-3.0-or-later", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
-    "BSD": ("Released under the BSD 3-Clause License.", "Licensed under the BSD license.", "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
-    "CC-BY": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"),
-    "CC-BY-SA": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
-    "CC-BY-NC": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
-    "CC0": ("To the extent possible under law, the author has waived all copyright under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0", "This is free and unencumbered software released into the public domain."),
-    "ISC": ("Released under the ISC License.", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    "MIT": ("Released under the MIT License.", "Licensed under the MIT license.", "This project is licensed under the terms of the MIT license.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "License: MIT", "MIT licensed", "Distributed under the MIT license.", "SPDX-License-Identifier: MIT-0", "SPDX-License-Identifier: X11"),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache License 2.0.", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "License: Apache-2.0", "Licensed under Apache 2.0", "Apache License, Version 2.0"),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later", "Released under the GPL v3.", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0", "SPDX-License-Identifier: GPL-3.0+", "Licensed under GPLv3", "License: GPL-3.0", "Licensed under the GNU GPL version 3", "GNU General Public License v3.0"),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only", "Released under the GPL v2.", "it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", "SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-License-Identifier: GPL-2.0", "SPDX-License-Identifier: GPL-2.0+", "Licensed under GPLv2", "License: GPL-2.0", "Licensed under the GNU GPL version 2", "GNU General Public License v2.0"),
+    "LGPL": ("Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-3.0-or-later", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-2.1", "SPDX-License-Identifier: LGPL-3.0", "SPDX-License-Identifier: LGPL-2.0-only", "SPDX-License-Identifier: LGPL-2.0-or-later", "Licensed under LGPLv3", "Licensed under LGPLv2.1", "License: LGPL-2.1", "License: LGPL-3.0"),
+    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-or-later", "SPDX-License-Identifier: AGPL-3.0", "Licensed under AGPLv3", "License: AGPL-3.0"),
+    "BSD": ("Released under the BSD 3-Clause License.", "Licensed under the BSD license.", "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-2-Clause", "SPDX-License-Identifier: 0BSD", "SPDX-License-Identifier: BSD-4-Clause", "Released under the BSD 2-Clause License.", "License: BSD", "License: BSD-3-Clause", "License: BSD-2-Clause", "BSD licensed"),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0", "Licensed under the Mozilla Public License, version 2.0.", "License: MPL-2.0", "Licensed under MPL 2.0", "SPDX-License-Identifier: MPL-1.1"),
+    "CC-BY": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0", "License: CC-BY-4.0", "SPDX-License-Identifier: CC-BY-3.0"),
+    "CC-BY-SA": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0", "License: CC-BY-SA-4.0", "SPDX-License-Identifier: CC-BY-SA-3.0"),
+    "CC-BY-NC": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0", "License: CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-3.0"),
+    "CC0": ("To the extent possible under law, the author has waived all copyright under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense", "License: Unlicense", "Released under the Unlicense license."),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0", "License: BSL-1.0", "Licensed under the Boost Software License 1.0"),
+    "EPL-2.0": ("made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0", "SPDX-License-Identifier: EPL-1.0", "License: EPL-2.0", "Licensed under the Eclipse Public License, version 2.0."),
+    "ISC": ("Released under the ISC License.", "SPDX-License-Identifier: ISC", "License: ISC", "Licensed under the ISC license.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
 }
 #: Sentences with licence words that name no licence.
 SOUNDS_LIKE = (
@@ -105,12 +109,27 @@ def corpus_lines(docs: DataFrame, text_col: str = "text") -> tuple[list[str], li
     return first(lines.where(~F.col("p").rlike(ANCHOR))), first(anchored.where(~F.arrays_overlap(grams_of(words_of(F.col("p")), 3), F.array(*map(F.lit, own)))))
 
 
+def folds_of(templates: dict) -> dict:
+    """The fold of each template text; one that is part of another (an identifier with and without -only) shares its fold."""
+    fold, roots = {}, {}
+    texts = [(t, k) for own in templates.values() for k, t in enumerate(own)]
+    for t, _ in texts:
+        roots[t] = t
+    for t, _ in texts:
+        for u, _ in texts:
+            if t != u and t in u and roots[t] != roots[u]:
+                roots |= {x: roots[t] for x, r in roots.items() if r == roots[u]}
+    for t, k in texts:
+        fold[t] = next(j for u, j in texts if u == roots[t]) % FOLDS
+    return fold
+
+
 def training_set(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (fold, text, family): a few hundred templates with variations, and at most 2 x NEGATIVES corpus
     lines. All variations of a template, and all rows with the same sentence, are in one fold."""
     plain, near = corpus_lines(docs, text_col)
     plain = plain or ["lorem ipsum dolor sit amet"]
-    rows = []
+    rows, fold = [], folds_of(TEMPLATES)
     for family, texts in TEMPLATES.items():
         for k, t in enumerate(texts):
             words = t.split()
@@ -120,7 +139,7 @@ def training_set(spark: SparkSession, docs: DataFrame, text_col: str = "text") -
                 if v >= 4 and len(own) > 6:
                     own.pop((v * 5 + k) % len(own))
                 before, after = (pad[: v * 3], []) if v % 2 else ([], pad[: v * 3])
-                rows.append((k % FOLDS, " ".join([*before, *own, *after]), family))
+                rows.append((fold[t], " ".join([*before, *own, *after]), family))
     for i, x in enumerate(SOUNDS_LIKE):
         rows += [(i % FOLDS, x, UNKNOWN), (i % FOLDS, " ".join([x, *plain[i % len(plain)].split()[:6]]), UNKNOWN)]
     rows += [(i % FOLDS, p, UNKNOWN) for i, p in enumerate([*plain, *near]) if not any(x in p for x in SOUNDS_LIKE)]
@@ -163,7 +182,7 @@ def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
     text = F.col(f"`{text_col}`").cast("string")
     known = spark.createDataFrame([(f, k, t) for f, texts in TEMPLATES.items() for k, t in enumerate(texts)], "family string, template int, t string")
     known = known.select("family", "template", F.array_distinct(grams_of(words_of(F.col("t")), 3)).alias("g"), words_of(F.col("t")).alias("w"))
-    known = known.select("family", "template", F.when(F.size("g") > 0, F.col("g")).otherwise(F.array_distinct("w")).alias("g")).select("family", "template", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    known = known.select("family", "template", F.when(F.size("g") > 0, F.col("g")).otherwise(F.array(F.array_join("w", " "))).alias("g")).select("family", "template", F.size("g").alias("n"), F.explode("g").alias("gram"))
     known = [tuple(r) for r in known.collect()]  # the templates' own grams
     vocabulary = sorted({g for g, _, _ in model["weights"]} | {r[3] for r in known})
     some = lambda a: F.when(text.rlike(GATE), F.filter(a, lambda p: p.rlike(GATE))).otherwise(F.array().cast("array<string>"))
