@@ -114,8 +114,8 @@ def test_no_link_of_a_group_is_split(spark):
 
 def test_parts_of_large_buckets_are_bounded(spark):
     """A bucket of 20,000 members: each part holds a block and the leaders; all members hang together."""
-    listed = spark.range(20_000).selectExpr("id * 7919 AS key", "id AS label", "id AS fp0", "id AS fp1", "id AS fp2", "id AS fp3", "5L AS peak")
-    parts = simhash.dealt_buckets(listed, 1024, True).groupBy("i").count().collect()
+    listed = spark.range(20_000).selectExpr("id * 7919 AS key", "id AS label", "id AS fp0", "id AS fp1", "id AS fp2", "id AS fp3", "5L AS peak", "20000L AS size")
+    parts = simhash.dealt_buckets(listed, 1024).groupBy("i").count().collect()
     assert len(parts) == 20 and max(r["count"] for r in parts) < 1300
     near = listed.selectExpr("key", "1L << cast(label % 60 AS int) AS fp0", "label % 16 AS fp1", "0L AS fp2", "0L AS fp3", "array(5L) AS peaks")
     got = simhash.peak_links(near)

@@ -214,51 +214,43 @@ def _forest(a, b, d):
     return out
 
 
-def _thin(n):
+def _thin(n, salt: int):
     """About LEADERS of n members, by a hash of the key."""
-    return F.pmod(F.xxhash64(F.lit(7), "key"), F.greatest(F.lit(1), F.floor(n / LEADERS)).cast("long")) == 0
-
-
-def dealt_buckets(listed: DataFrame, block: int, leaders: bool) -> DataFrame:
-    """Rows with (i, j), the part of its bucket (peak) that each is compared in. Buckets of at most ``block`` members
-    are one part. Others have one for each block with about LEADERS of all members (leaders), or one for each
-    pair of blocks."""
-    large = cut(listed.groupBy("peak").agg(F.count("*").alias("n")).where(F.col("n") > block))
-    both = join_checked(listed, large, "peak", "left")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    mine, every = F.pmod(F.xxhash64("key"), blocks).cast("int"), F.sequence(F.lit(0), blocks - 1)
-    part = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
-    if leaders:
-        places = F.when(_thin(F.col("n")), F.transform(every, lambda i: part(i, F.lit(0)))).otherwise(F.array(part(mine, F.lit(0))))
-    else:
-        places = F.transform(every, lambda o: part(F.least(mine, o), F.greatest(mine, o)))
-    places = F.when(F.col("n").isNull(), F.array(part(F.lit(0), F.lit(0)))).otherwise(places)
-    return both.withColumn("p", F.explode(places)).select(*listed.columns, "p.i", "p.j")
+    return F.pmod(F.xxhash64(F.lit(7 + salt), "key"), F.greatest(F.lit(1), F.floor(n / LEADERS)).cast("long")) == 0
+
+
+def dealt_buckets(listed: DataFrame, block: int, salt: int = 0) -> DataFrame:
+    """Rows with i, the part of its bucket (peak) that each is compared in. A bucket whose ``size`` is within
+    ``block`` (or null) is one part. Others have a part for each block of members, by a hash with a salt, and about
+    LEADERS of all members are in every part: rows grow with the members, however large a bucket is."""
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    mine = F.pmod(F.xxhash64(F.lit(salt), "key"), blocks).cast("int")
+    places = F.when(F.col("size").isNull() | (F.col("size") <= block), F.array(F.lit(0))).when(_thin(F.col("size"), salt), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(mine))
+    return listed.withColumn("i", F.explode(places)).drop("size")
 
 
 def peak_links(classes: DataFrame, labels: DataFrame | None = None, distance: int = WIDE_DISTANCE, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of classes (column key) that share a key of peaks and differ in at most ``distance``
-    bits of the wide fingerprint.
-
-    Without labels: of each bucket a minimum spanning forest of such pairs. A bucket of more than ``block`` members
-    is dealt out in blocks, to each of which about LEADERS of its members are added: a template of any number of
-    copies costs a task one block, and its blocks hang together by the leaders.
+    bits of the wide fingerprint. Large buckets are compared in parts (dealt_buckets): a template of any number of
+    copies costs a task about one block, and the parts hang together by their leaders.
 
-    With labels (node, root) of what is joined so far: pairs of different labels, for each member the NEAREST of
-    them. Of a label's members in a bucket about LEADERS stand for all. Buckets of one label are passed over.
+    Without labels: of each part a minimum spanning forest of such pairs. With labels (node, root) of what is joined so
+    far: pairs of different labels, for each member the NEAREST of them. Of a label's members in a bucket about LEADERS
+    stand for all. Buckets of one label are passed over.
     """
     fps = [f"fp{k}" for k in range(WORDS)]
     listed = classes.select("key", *fps, F.explode("peaks").alias("peak"))
     if labels is None:
-        listed = listed.withColumn("label", F.col("key"))
+        large = cut(listed.groupBy("peak").agg(F.count("*").alias("size")).where(F.col("size") > block))
+        listed = join_checked(listed.withColumn("label", F.col("key")), large, "peak", "left")
     else:
-        listed = stored(listed.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root"), "simhash-listed")
-        mixed = listed.groupBy("peak").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("peak")
-        per = listed.groupBy("peak", "label").agg(F.count("*").alias("n")).where(F.col("n") > LEADERS)
-        listed = listed.join(stored(mixed, "simhash-mixed"), "peak", "left_semi").join(stored(per, "simhash-per"), ["peak", "label"], "left")
-        listed = stored(listed.where(F.col("n").isNull() | _thin(F.col("n"))).drop("n"), "simhash-thinned")
-    dealt = dealt_buckets(listed.select("key", "label", *fps, "peak"), block, labels is None)
+        listed = listed.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("root", "key"))
+        per = listed.groupBy("peak", "label").agg(F.count("*").alias("n"))
+        mixed = per.groupBy("peak").agg(F.count("*").alias("m"), F.sum(F.least("n", F.lit(LEADERS))).alias("size")).where("m > 1")
+        per = stored(per.join(mixed, "peak").select("peak", "label", "n", "size"), "simhash-mixed")
+        listed = listed.join(per, ["peak", "label"]).where((F.col("n") <= LEADERS) | _thin(F.col("n"), 1))
     forest = labels is None
+    dealt = dealt_buckets(listed.select("key", "label", *fps, "peak", "size"), block, 0 if forest else 1)
 
     def run(batches):
         import numpy as np
@@ -319,7 +311,7 @@ def peak_links(classes: DataFrame, labels: DataFrame | None = None, distance: in
             yield found(rest)
 
     # in the order of the keys, so that equal distances are decided alike in every run
-    together = dealt.repartition("peak", "i", "j").sortWithinPartitions("peak", "i", "j", "key")
+    together = dealt.repartition("peak", "i").sortWithinPartitions("peak", "i", "key")
     return together.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -353,8 +345,7 @@ def similar_classes(docs: DataFrame, text_col: str = "text", similarity: float =
     from the peaks of the same sums; each is verified by the Jaccard similarity of the sets of shingles.
 
     A forest of near pairs may hold one that is not similar enough where another way round would be. So what the
-    verified pairs leave apart is looked at again: near pairs of different components, in rounds, until a round
-    joins nothing."""
+    verified pairs leave apart is looked at once more: near pairs of different components."""
     texts = docs.select(text_key(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     classes = stored(wide_fingerprints(texts, ["key"], "text", n).distinct(), "simhash-wide")
     nodes = classes.select(F.col("fp0").alias("fp"), "key")
@@ -364,13 +355,10 @@ def similar_classes(docs: DataFrame, text_col: str = "text", similarity: float =
     equal = nodes.join(rep, "fp").where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
     tried = stored(grid.union(equal).union(peak_links(classes)).distinct(), "simhash-tried")
     edges = stored(verified(tried, texts, similarity, n), "simhash-edges")
-    while True:
-        roots = connected_components(edges)
-        more = stored(peak_links(classes, roots).join(tried, ["a", "b"], "left_anti"), "simhash-more")
-        joined = stored(verified(more, texts, similarity, n), "simhash-joined")
-        if not joined.head(1):
-            return roots
-        tried, edges = tried.union(more), edges.union(joined)
+    roots = connected_components(edges)
+    more = stored(peak_links(classes, roots).join(tried, ["a", "b"], "left_anti"), "simhash-more")
+    joined = stored(verified(more, texts, similarity, n), "simhash-joined")
+    return connected_components(edges.union(joined)) if joined.head(1) else roots
 
 
 def text_key(text):
