@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Sampled pages (by hash, about), leaves taken of each and characters of a leaf; generated pages; passes over them; seed.
-SAMPLE, MATERIAL, LAYOUTS, EPOCHS, SEED = 200, 300, 900, 12, 42
+SAMPLE, MATERIAL, LAYOUTS, EPOCHS, SEED = 200, 300, 1200, 14, 42
 #: Hashed dimensions of tag paths and of words, numbers of a leaf, cells of each direction.
 PATHS, WORDS, NUMBERS, CELLS = 256, 96, 16, 24
 #: Leaves that one call of the network holds (a longer page is taken alone), leaves whose vectors are held at once.
@@ -501,10 +501,10 @@ class Layout:
             elif x < 0.9:
                 k = rng.choice(["blockquote", "pre", "div", "figcaption"])
                 parts.append(f"<{k}>{m}{self.prose()}</{k}>" if k != "blockquote" else f"<blockquote><p>{m}{self.prose()}</p></blockquote>")
-            elif x < 0.94:
+            elif x < 0.92:
                 parts.append("<table>" + "".join("<tr>" + "".join(f"<td>{m}{self.sentence(1, 3)}</td>" for _ in range(3)) + "</tr>" for _ in range(rng.randint(1, 4))) + "</table>")
             else:
-                parts.append(self.part(rng.choice(["ad", "ad", "side", "form", "share", "notice"])))
+                parts.append(self.part(rng.choice(["ad", "ad", "ad", "side", "form", "share", "notice"])))
         if rng.random() < 0.08:  # the same line again and again
             parts += [f"<p>{m}{self.sentence(1, 5)}</p>"] * rng.randint(3, 30)
         body = "".join(parts)
