@@ -167,7 +167,7 @@ def guided_match(keys: DataFrame, pairs: DataFrame, width: int, height: int, ban
     its epipolar line. The nearest by descriptor is a match if it passes the ratio test among at least ``least``
     candidates and (reverse) the key in turn is within the band of the epipolar line of the match.
 
-    Lines meet the keys of b tile by tile, in whole arrays: of a pair's candidates no row is ever made. Sorted cells
+    Lines meet the keys of b block by block, in whole arrays: of a pair's candidates no row is ever made. Sorted cells
     would leave about a tenth of the distances, at a hundred times the price of each (``band_candidates``).
     """
     from vistrack.operators.matching import ratio_test

@@ -3,10 +3,10 @@
 The state of a search is (d1, id, d2, n): the nearest target, its distance, the second distance, the number of targets
 met. States of parts of
 the targets merge into that of the whole, so each task reduces what it sees to states before anything is shuffled;
-no distance is sorted by the plan or sent whole. A search of images cuts both into tiles of about TILE keys: a task
-holds two tiles, whatever the size of an image. Inside a pair of tiles one matrix product finds what may be among
+no distance is sorted by the plan or sent whole. A search of images cuts both into blocks of about BLOCK keys: a task
+holds few blocks, whatever the size of an image. Matrix products find what may be among
 the two nearest, and these few distances are computed anew in the order of the dimensions, so results are exact
-and do not depend on the tiles; equal distances fall to the smallest id.
+and do not depend on the blocks; equal distances fall to the smallest id.
 
 Searches that stop early go in rounds: each round joins only what is unresolved with the next part of the targets,
 and leaves a stored table.
@@ -14,14 +14,14 @@ and leaves a stored table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vistrack.functions.geometry import epipolar_line
 from vistrack.session import stored
 
-#: Keys of a tile (about: keys are dealt by hash), candidates reduced at once in a task.
-TILE, ROWS = 1024, 1 << 18
+#: Keys of a tile, keys of a block (about: keys are dealt by hash), keys of a tile that meet a block at once, candidates
+#: reduced at once in a task.
+TILE, BLOCK, STEP, ROWS = 1024, 8192, 256, 1 << 18
 TWO = "a long, b long, ka long, kb long, d1 double, d2 double, n long"
 
 
@@ -80,65 +80,112 @@ def _tile(key: str, of: str) -> Column:
     return F.pmod(F.xxhash64(key), F.col(of)).cast("int")
 
 
-def nearest_two_tiled(pairs: DataFrame, left: DataFrame, right: DataFrame, both: bool = False, only: DataFrame | None = None, queries: DataFrame | None = None, band: float | None = None, tile: int = TILE) -> DataFrame:
+def nearest_two_tiled(pairs: DataFrame, left: DataFrame, right: DataFrame, both: bool = False, only: DataFrame | None = None, queries: DataFrame | None = None, band: float | None = None, tile: int = TILE, block: int | None = None) -> DataFrame:
     """(a, b, ka, kb, d1, d2, n): of each key of image a of each pair (a, b) the nearest key of image b.
 
     left and right are tables (image, key, v) of the keys that take part; keys without descriptor do not. both:
     also the states of the keys of b in image a, as rows (b, a, kb, ka, d1, d2, n), from the same distances. only:
     candidates (a, b, ka, kb), all others are left out. queries: (a, b, ka), the keys of a pair that are looked for.
     band: pairs have a matrix f and keys have x, y; only keys within that distance of the line f (x, y, 1) count.
+
+    Images are cut into blocks of about ``block`` keys (never less than a tile). A task holds one block of an image a
+    and blocks of its partners with about as many keys, one more at most: a key of a is sent once for so many keys of
+    partners, one of b once for each block of its partners. Descriptors travel in the type they have. tile: keys of a
+    that numpy takes at once; it decides nothing about what is sent.
     """
+    block = max(tile, block or BLOCK)
     p = pairs.select("a", "b", *(["f"] if band is not None else [])).dropDuplicates(["a", "b"])
     xy = [F.col(c).cast("double").alias(c) for c in ("x", "y")] if band is not None else []
-    sides = [k.where("v IS NOT NULL").select("image", "key", F.col("v").cast("array<double>").alias("v"), *xy) for k in (left, right)]
-    na, nb = (tiles(k.groupBy("image").agg(F.count("*").alias("n")), tile) for k in sides)
-    p = p.join(na.select(F.col("image").alias("a"), F.col("tiles").alias("na")), "a").join(nb.select(F.col("image").alias("b"), F.col("tiles").alias("nb")), "b")
+    kind = "array<float>" if all(k.schema["v"].dataType.simpleString() == "array<float>" for k in (left, right)) else "array<double>"
+    sides = [k.where("v IS NOT NULL").select("image", "key", F.col("v").cast(kind).alias("v"), *xy) for k in (left, right)]
+    counts = [stored(k.groupBy("image").agg(F.count("*").alias("n")), "search-counts") for k in (sides[:1] if left is right else sides)]
+    counts = [counts[0], counts[-1]]
+    # images within a block have one state a key, which needs no merging
+    whole = (counts[0].union(counts[1]).agg(F.max("n")).first()[0] or 0) <= block
+    na, nb = (tiles(c, block) for c in counts)
+    per = nb.join(counts[1], "image").select(F.col("image").alias("b"), F.col("tiles").alias("nb"), (F.col("n") / F.col("tiles")).alias("size"))
+    p = p.join(na.select(F.col("image").alias("a"), F.col("tiles").alias("na")), "a").join(per, "b")
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
-    la = p.join(sides[0].select(F.col("image").alias("a"), F.col("key").alias("ka"), F.col("v").alias("va"), *[c for c in ("x", "y") if xy]), "a")
+    so_far = F.sum("size").over(Window.partitionBy("a").orderBy("b", "tb").rowsBetween(Window.unboundedPreceding, -1))
+    items = p.select("*", every("nb", "tb")).withColumn("g", F.floor(F.coalesce(so_far, F.lit(0.0)) / block).cast("int"))
+    items = stored(items.select("a", "b", "na", "nb", "tb", "g", *(["f"] if xy else [])), "search-items")
+    placed = lambda k, n: k.join(n, "image").withColumn("t", _tile("key", "tiles"))
+    own = placed(sides[0], na).select(F.col("image").alias("a"), F.col("t").alias("ta"), F.col("key").alias("ka"), F.col("v").alias("va"), *[c for c in ("x", "y") if xy])
+    if queries is not None:
+        own = own.join(queries.select("a", "ka").distinct(), ["a", "ka"], "left_semi")
+    null = lambda c, k: F.lit(None).cast(k).alias(c)
+    more = [c for c in ("x", "y") if xy]
+    la = items.select("a", "g").distinct().join(own, "a").select("a", "g", "ta", null("b", "long"), "ka", null("kb", "long"), "va", *more)
+    # rows without a descriptor tell which keys of a, or which candidates, count for a partner
+    marks = [null("va", kind), *(null(c, "double") for c in more)]
     if queries is not None:
-        la = la.join(queries.select("a", "b", "ka").distinct(), ["a", "b", "ka"], "left_semi")
-    line = [c.alias(n) for c, n in zip(epipolar_line(F.col("f"), F.col("x"), F.col("y")), ("l0", "l1", "l2"), strict=True)] if xy else []
-    la = la.select("a", "b", _tile("ka", "na").alias("ta"), every("nb", "tb"), "ka", F.lit(None).cast("long").alias("kb"), "va", *line)
+        asked = queries.select("a", "b", "ka").distinct().join(items.select("a", "b", "na", "g").distinct(), ["a", "b"])
+        la = la.union(asked.select("a", "g", _tile("ka", "na"), "b", "ka", null("kb", "long"), *marks))
     if only is not None:
-        marks = p.join(only.select("a", "b", "ka", "kb").distinct(), ["a", "b"])
-        la = la.union(marks.select("a", "b", _tile("ka", "na"), _tile("kb", "nb"), "ka", "kb", F.lit(None).cast("array<double>")))
-    lb = p.join(sides[1].select(F.col("image").alias("b"), F.col("key").alias("kb"), F.col("v").alias("vb"), *[c for c in ("x", "y") if xy]), "b")
-    lb = lb.select(F.col("a").alias("a2"), F.col("b").alias("b2"), every("na", "ta2"), _tile("kb", "nb").alias("tb2"), "kb", "vb", *[c for c in ("x", "y") if xy])
-    marked, lined = only is not None, band is not None
+        given = only.select("a", "b", "ka", "kb").distinct().join(p.select("a", "b", "na", "nb"), ["a", "b"]).withColumn("tb", _tile("kb", "nb"))
+        given = given.join(items.select("a", "b", "tb", "g"), ["a", "b", "tb"])
+        la = la.union(given.select("a", "g", _tile("ka", "na"), "b", "ka", "kb", *marks))
+    other = placed(sides[1], nb).select(F.col("image").alias("b"), F.col("t").alias("tb"), F.col("key").alias("kb"), F.col("v").alias("vb"), *[F.col(c).alias(f"{c}b") for c in more])
+    spread = items.select("a", "g", "b", "tb", every("na", "ta2"))
+    lb = spread.join(other, ["b", "tb"]).select(F.col("a").alias("a2"), F.col("g").alias("g2"), "ta2", "b", "kb", "vb", *([*(f"{c}b" for c in more), null("f", "array<double>")] if xy else []))
+    if xy:  # the matrix of a pair, once for each task
+        lb = lb.union(items.select("a", "g", "b", "na", "f").dropDuplicates(["a", "b", "g"]).select("a", "g", every("na", "ta2"), "b", null("kb", "long"), null("vb", kind), null("xb", "double"), null("yb", "double"), F.col("f").cast("array<double>")))
+    marked, lined, asked_for, step = only is not None, band is not None, queries is not None, min(tile, STEP)
 
     def match(x, y):
         import numpy as np
         import pyarrow as pa
 
         names, kinds = ["a", "b", "ka", "kb", "d1", "d2", "n"], [*[pa.int64()] * 4, pa.float64(), pa.float64(), pa.int64()]
-        own = x.filter(x["va"].is_valid())
-        if not own.num_rows or not y.num_rows:
+        own, keys = x.filter(x["va"].is_valid()), y.filter(y["vb"].is_valid())
+        if not own.num_rows or not keys.num_rows:
+            return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
+        a = own["a"][0].as_py()
+
+        def columns(t, by, *more):
+            """Columns of t as arrays, in the order of ``by``; descriptors as rows."""
+            order = np.lexsort([t[c].to_numpy() for c in reversed(by)])
+            flat = {c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for c in more if c[0] == "v"}
+            return {c: (flat[c] if c in flat else t[c].to_numpy())[order] for c in (*by, *more)}
+
+        def pick(t, b, c):
+            return t[c][slice(*np.searchsorted(t["b"], [b, b + 1]))]
+
+        own, keys = columns(own, ["ka"], "va", *(("x", "y") if lined else ())), columns(keys, ["b", "kb"], "vb", *(("xb", "yb") if lined else ()))
+        ka, p, at_a = own["ka"], own["va"].astype(float), [own[c] for c in ("x", "y") if lined]
+        told = x.filter(x["b"].is_valid())
+        asked_keys, told = (columns(told.filter(some), ["b", "ka"], *more) for some, more in ((told["kb"].is_null(), ()), (told["kb"].is_valid(), ("kb",))))
+        matrices = dict(zip(*(y.filter(y["f"].is_valid())[c].to_pylist() for c in ("b", "f")), strict=True)) if lined else {}
+        states = []
+        for b in np.unique(keys["b"]).tolist():
+            kb, q, at_b = pick(keys, b, "kb"), pick(keys, b, "vb").astype(float), [pick(keys, b, c) for c in ("xb", "yb") if lined]
+            k, v, place = ka, p, at_a
+            if asked_for:
+                looked = np.isin(ka, pick(asked_keys, b, "ka"))
+                k, v, place = ka[looked], p[looked], [c[looked] for c in at_a]
+                if not len(k):
+                    continue
+            if lined:
+                states.append(_search(a, b, k, v, kb, q, step, _bands(matrices[b], place, at_b, band)))
+            elif marked:
+                ma, mb = pick(told, b, "ka"), pick(told, b, "kb")
+                mi, mj = np.searchsorted(k, ma), np.searchsorted(kb, mb)
+                sound = (mi < len(k)) & (mj < len(kb))
+                mi, mj, ma, mb = mi[sound], mj[sound], ma[sound], mb[sound]
+                sound = (k[mi] == ma) & (kb[mj] == mb)
+                mi, mj = mi[sound], mj[sound]
+                states.append(_states(a, b, k, kb, mi, mj, _exact(v, q, mi, mj)))
+            else:
+                states.append(_search(a, b, k, v, kb, q, step))
+                if both:
+                    states.append(_search(b, a, kb, q, k, v, step))
+        if not states:
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
-        a, b = x["a"][0].as_py(), x["b"][0].as_py()
-
-        def side(t, key, v, more):
-            k = t[key].to_numpy()
-            order = np.argsort(k, kind="stable")
-            flat = t[v].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            return k[order], flat.reshape(len(k), -1)[order], [t[c].to_numpy()[order] for c in more]
-
-        (ka, p, lines), (kb, q, at) = side(own, "ka", "va", ("l0", "l1", "l2") if lined else ()), side(y, "kb", "vb", ("x", "y") if lined else ())
-        if lined:
-            states = [_along(a, b, ka, p, lines, kb, q, at, band)]
-        elif marked:
-            m = x.filter(x["kb"].is_valid())
-            mi, mj = np.searchsorted(ka, m["ka"].to_numpy()), np.searchsorted(kb, m["kb"].to_numpy())
-            sound = (mi < len(ka)) & (mj < len(kb))
-            mi, mj = mi[sound], mj[sound]
-            sound = (ka[mi] == m["ka"].to_numpy()[sound]) & (kb[mj] == m["kb"].to_numpy()[sound])
-            states = [_states(a, b, ka, kb, mi[sound], mj[sound], _exact(p, q, mi[sound], mj[sound]))]
-        else:
-            states = [_search(a, b, ka, p, kb, q)] + ([_search(b, a, kb, q, ka, p)] if both else [])
         cols = [np.concatenate(c) for c in zip(*states, strict=True)]
         return pa.Table.from_arrays([pa.array(c, k, mask=np.isinf(c) if n == "d2" else None) for c, k, n in zip(cols, kinds, names, strict=True)], names=names)
 
-    found = la.groupBy("a", "b", "ta", "tb").cogroup(lb.groupBy("a2", "b2", "ta2", "tb2")).applyInArrow(match, TWO)
-    return merged_two(found, "a", "b", "ka")
+    found = la.groupBy("a", "g", "ta").cogroup(lb.groupBy("a2", "g2", "ta2")).applyInArrow(match, TWO)
+    return found if whole else merged_two(found, "a", "b", "ka")
 
 
 def _exact(p, q, i, j):
@@ -153,46 +200,79 @@ def _exact(p, q, i, j):
 
 
 def _states(a, b, ka, kb, i, j, d, n=None):
-    """Columns a, b, ka, kb, d1, d2 (infinite if none), n from the pairs (i, j) of rows at distances d; n where the
-    pairs are not all that was met."""
+    """Columns a, b, ka, kb, d1, d2 (infinite if none), n from the pairs (i, j) of rows at distances d; n: the number of
+    targets of each row, where the pairs are not all that was met. Rows of the same key have one state."""
     import numpy as np
 
-    order = np.lexsort((kb[j], d, i))
+    order = np.lexsort((kb[j], d, ka[i]))
     i, j, d = i[order], j[order], d[order]
-    first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, int)
+    first = np.flatnonzero(np.append(True, ka[i[1:]] != ka[i[:-1]])) if len(i) else np.zeros(0, int)
     size = np.diff(np.append(first, len(i)))
     d2 = np.where(size > 1, d[np.minimum(first + 1, max(0, len(i) - 1))], np.inf) if len(i) else np.zeros(0)
-    count = size if n is None else np.full(len(first), n)
+    count = size
+    if n is not None and len(i):
+        own = np.unique(i)  # sorted like the keys
+        count = np.add.reduceat(n[own], np.flatnonzero(np.append(True, ka[own[1:]] != ka[own[:-1]])))
     return np.full(len(first), a), np.full(len(first), b), ka[i[first]], kb[j[first]], d[first], d2, count
 
 
-def _search(a, b, ka, p, kb, q, rows: int = 512):
-    """States of all rows of p among the rows of q."""
+def _bands(f, at_a, at_b, band):
+    """A function of a slice of keys: which keys at_b lie within the band of their lines f (x, y, 1), as (keys, targets)."""
     import numpy as np
 
-    out, q2 = [], (q * q).sum(1)
-    for at in range(0, len(p), rows):
-        x = p[at : at + rows]
-        x2 = (x * x).sum(1)
-        d = x2[:, None] + q2 - 2 * (x @ q.T)
-        second = np.partition(d, 1, axis=1)[:, 1] if len(q) > 1 else d[:, 0]
-        # rounding of the product is far below this share of the squared lengths
-        i, j = np.nonzero(d <= second[:, None] + 1e-11 * (x2[:, None] + q2.max() + 1e-300))
-        out.append(_states(a, b, ka, kb, i + at, j, _exact(p, q, i + at, j), len(q)))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    l0, l1, l2 = (f[3 * r] * at_a[0] + f[3 * r + 1] * at_a[1] + f[3 * r + 2] for r in range(3))
+    length = np.sqrt(l0 * l0 + l1 * l1)
 
+    def inside(own):
+        d = l0[own, None] * at_b[0]
+        d += l1[own, None] * at_b[1]
+        d += l2[own, None]
+        with np.errstate(all="ignore"):
+            np.abs(d, out=d)
+            d /= length[own, None]
+            return (d < band) & (length[own, None] > 0)
+
+    return inside
 
-def _along(a, b, ka, p, lines, kb, q, at, band, rows: int = 512):
-    """States of the rows of p among the rows of q that lie within the band of their lines."""
+
+def _search(a, b, ka, p, kb, q, rows: int = STEP, inside=None):
+    """States of all rows of p among the rows of q, or of those that inside(slice) allows; ka is sorted."""
     import numpy as np
 
-    out = []
-    for i0 in range(0, len(p), rows):
-        l0, l1, l2 = (v[i0 : i0 + rows, None] for v in lines)
-        length = np.sqrt(l0 * l0 + l1 * l1)
-        with np.errstate(all="ignore"):
-            i, j = np.nonzero((np.abs(l0 * at[0] + l1 * at[1] + l2) / length < band) & (length > 0))
-        out.append(_states(a, b, ka, kb, i + i0, j, _exact(p, q, i + i0, j)))
+    out, q2 = [], (q * q).sum(1)
+    finite = np.isfinite(q2)
+    most = q2[finite].max(initial=1e-300)
+    odd = not (finite.all() and np.isfinite(p).all())
+    # a step ends where a key does, so that rows of the same key are met together
+    ends = np.flatnonzero(np.append(ka[1:] != ka[:-1], True)) + 1
+    at = 0
+    while at < len(p):
+        stop = int(ends[min(len(ends) - 1, np.searchsorted(ends, at + rows))])
+        x = p[at:stop]
+        x2 = (x * x).sum(1)
+        d = x @ q.T
+        d *= -2
+        d += x2[:, None]
+        d += q2
+        if odd:
+            d[~np.isfinite(d)] = np.inf
+        n = np.full(len(x), len(q))
+        if inside is not None:
+            allowed = inside(slice(at, stop))
+            n = allowed.sum(1)
+            d[~allowed] = np.inf
+        every = np.arange(len(x))
+        top = d.argmin(1)
+        least = d[every, top]
+        d[every, top] = np.inf
+        second = d.min(1) if len(q) > 1 else least
+        d[every, top] = least
+        second = np.where(np.isinf(second), least, second)
+        # rounding of the product is far below this share of the squared lengths
+        with np.errstate(invalid="ignore"):
+            i, j = np.nonzero((d <= (second + 1e-11 * (x2 + most))[:, None]) & (d < np.inf))
+        out.append(_states(a, b, ka, kb, i + at, j, _exact(p, q, i + at, j), np.concatenate([np.zeros(at, int), n])))
+        at = stop
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
