@@ -49,3 +49,13 @@ def test_small_tiles_send_no_more(spark):
     keys.count()
     pairs = spark.createDataFrame([(1, 2)], "a long, b long")
     assert sent(spark, lambda: search.nearest_two_tiled(pairs, keys, keys, tile=8).count()) < 4 * 640
+
+
+def test_track_parents_searches_once(spark, small, monkeypatch):
+    """The matches were searched for the stars and for the components."""
+    from vistrack import catalog
+
+    calls, plain = [], search.nearest_two_tiled
+    monkeypatch.setattr(search, "nearest_two_tiled", lambda *args, **options: calls.append(1) or plain(*args, **options))
+    catalog.queries()["track_parents"](spark, small).count()
+    assert len(calls) == 1
