@@ -6,17 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistrack.plans.ranking import global_rank
+from vistrack.session import parts_for
+
+#: Observations for each task that counts pairs.
+TASK_ROWS = 500_000
 
 
 def covisibility(obs: DataFrame, diagonal: bool = False, least: int = 1) -> DataFrame:
     """(v1, v2, n): shared points of two views as a bag join, in both directions.
 
     Repeated (view, point) rows are counted once and multiplied, which gives the bag join's number
-    from fewer rows. Each unordered pair is joined once and mirrored after the aggregation.
+    from fewer rows. Each unordered pair is counted once and mirrored after the aggregation.
+
+    The views of a point are listed in order, and each is sent once with the list of those behind it to the task of the
+    view, where pairs are counted: a pair costs an entry of a list, not a row, and is met in one task only. Tasks get
+    more with the rows, so that none has to hold more pairs.
     """
-    one = obs.groupBy("point", "view").agg(F.count("*").alias("c"))
-    a, b = one.select("point", F.col("view").alias("v1"), F.col("c").alias("c1")), one.select("point", F.col("view").alias("v2"), F.col("c").alias("c2"))
-    half = a.join(b, "point").where("v1 <= v2" if diagonal else "v1 < v2").groupBy("v1", "v2").agg(F.sum(F.col("c1") * F.col("c2")).alias("n")).where(F.col("n") >= least)
+    known = obs.where("view IS NOT NULL AND point IS NOT NULL")
+    one = known.groupBy("point", "view").agg(F.count("*").alias("c"))
+    lists = one.groupBy("point").agg(F.sort_array(F.collect_list(F.struct("view", "c"))).alias("l"))
+    lists = lists.select(F.col("l.view").alias("w"), F.col("l.c").alias("k"))
+    behind = lambda c: F.slice(c, F.col("at") + (1 if diagonal else 2), F.size(c)).alias(c)
+    sent = lists.select("w", "k", F.posexplode("w").alias("at", "v1")).select("v1", F.get("k", F.col("at")).alias("c1"), behind("w"), behind("k")).where(F.size("w") > 0)
+    met = sent.repartition(parts_for(obs.sparkSession, obs.count(), TASK_ROWS), "v1").select("v1", "c1", "k", F.posexplode("w").alias("at", "v2"))
+    half = met.groupBy("v1", "v2").agg(F.sum(F.col("c1") * F.get("k", F.col("at"))).alias("n")).where(F.col("n") >= least)
     both = F.when(F.col("v1") == F.col("v2"), F.array(F.struct("v1", "v2"))).otherwise(F.array(F.struct("v1", "v2"), F.struct(F.col("v2").alias("v1"), F.col("v1").alias("v2"))))
     return half.select(F.explode(both).alias("p"), "n").select("p.v1", "p.v2", "n")
 
