@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vistrack.session import parts_for
+
+#: Points of neighbors for each task that counts them.
+SEEN_ROWS = 500_000
+
 
 def top_ranked(ranks: DataFrame, n: int = 50) -> DataFrame:
     """The n best neighbors of each image, ties by descending id."""
@@ -15,7 +20,9 @@ def top_ranked(ranks: DataFrame, n: int = 50) -> DataFrame:
 def visible_points(ranks: DataFrame, obs: DataFrame, n: int = 50, min_obs: int = 2) -> DataFrame:
     """(src, point, n_obs): points that at least min_obs of an image's ranked neighbors see."""
     near = top_ranked(ranks, n).select("src", F.col("dst").alias("view"))
-    return near.join(obs, "view").groupBy("src", "point").agg(F.count("*").alias("n_obs")).where(F.col("n_obs") >= min_obs)
+    # dealt by image before any counting: neighbors rarely lie in one task, so that partial counts would save nothing
+    seen = near.join(obs, "view").select("src", "point").repartition(parts_for(obs.sparkSession, n * obs.count(), SEEN_ROWS), "src")
+    return seen.groupBy("src", "point").agg(F.count("*").alias("n_obs")).where(F.col("n_obs") >= min_obs)
 
 
 def vote(hits: DataFrame) -> DataFrame:
