@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vistrack.functions import geometry, robust
+from vistrack.session import join_checked, stored
 
 MAX_ERROR, MIN_ANGLE, PI = 5.0, 2.0, 3.1416
 
@@ -162,9 +163,14 @@ def point_errors(points: DataFrame, obs: DataFrame, cameras: DataFrame) -> DataF
     return d.groupBy("track").agg(F.count("*").alias("n"), F.when(F.count("d") == F.count("*"), F.sqrt(F.avg("d"))).alias("err"), F.bool_and("front").alias("front"))
 
 
+#: Pairs with enough matches that are broadcast at most (two ids each).
+PAIRS = 1_000_000
+
+
 def estimate_fundamental(matches: DataFrame, **options) -> DataFrame:
-    """(a, b, f[9], inliers) per pair of matches (a, b, xa, ya, xb, yb); pairs without an F drop out. Matches with a
-    coordinate that is not finite do not count. A pair is estimated whole (vistrack.functions.robust)."""
+    """(a, b, n, f[9], inliers) per pair of n matches (a, b, xa, ya, xb, yb); pairs without an F drop out. Matches with a
+    coordinate that is not finite do not count as inliers. A pair is estimated whole (vistrack.functions.robust); pairs
+    that cannot have as many inliers as an F needs are told by a count and never gathered."""
 
     def run(table):
         import pyarrow as pa
@@ -179,7 +185,12 @@ def estimate_fundamental(matches: DataFrame, **options) -> DataFrame:
 
     at = [F.col(c).cast("double").alias(c) for c in ("xa", "ya", "xb", "yb")]
     some = matches.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), *at)
-    return some.groupBy("a", "b").applyInArrow(run, "a long, b long, f array<double>, inliers long")
+    sound = ~F.greatest(*(F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(True)) for c in ("xa", "ya", "xb", "yb")))
+    counts = some.groupBy("a", "b").agg(F.count("*").alias("n"), F.count_if(sound).alias("sound"))
+    counts = stored(counts.where(F.col("sound") >= max(8, options.get("least", robust.LEAST))).select("a", "b", "n"), "fundamental-pairs")
+    large = join_checked(some, counts.select("a", "b"), ["a", "b"], "left_semi", limit=PAIRS)
+    found = large.groupBy("a", "b").applyInArrow(run, "a long, b long, f array<double>, inliers long")
+    return found.join(counts, ["a", "b"]).select("a", "b", "n", "f", "inliers")
 
 
 def projection_dlt(xy: np.ndarray, x: np.ndarray) -> np.ndarray:

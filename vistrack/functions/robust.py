@@ -16,6 +16,8 @@ import numpy as np
 #: Odds against a hypothesis at which it is dropped, share of points that fit a bad one, least share of inliers
 #: looked for, certainty of the end, hypotheses of the first and of later blocks, points of the parts.
 ODDS, CHANCE, SHARE, SURE, FIRST, BLOCK, PART = 1000.0, 0.05, 0.2, 0.9999, 12, 96, 48
+#: Inliers of a fundamental matrix at least.
+LEAST = 27
 
 
 def picks(rng: np.random.Generator, n: int, size: int, count: int) -> np.ndarray:
@@ -108,7 +110,7 @@ def epipolar_errors(f: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d / np.maximum(1e-12, np.hypot(l2[..., 0], l2[..., 1])), d / np.maximum(1e-12, np.hypot(l1[..., 0], l1[..., 1])))
 
 
-def fundamental_of(a: np.ndarray, b: np.ndarray, seed: int, rounds: int = 1024, threshold: float = 4.0, least: int = 27, tested: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
+def fundamental_of(a: np.ndarray, b: np.ndarray, seed: int, rounds: int = 1024, threshold: float = 4.0, least: int = LEAST, tested: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
     """(F, inliers) of matches a, b (n, 2), F None with fewer than ``least`` inliers."""
     if len(a) < max(8, least):
         return None, np.zeros(len(a), bool)
