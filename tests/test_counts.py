@@ -36,3 +36,27 @@ def test_dealt_join_of_few_values(spark):
         got = dealt_join(large, small, "m", limit)
         assert {(r.p, r.v) for r in got.select("p", "v").collect()} == want
     assert dealt_join(large.repartition(1), small, "m").rdd.getNumPartitions() == 3
+
+
+def test_band_counts_make_a_row_a_query(spark):
+    """Against all lines and keys; keys that several lines of a query meet count once; the candidates were rows."""
+    import random
+
+    from vistrack.operators import guided
+
+    rng = random.Random(4)
+    keys = [(1, i % 90, float(rng.randint(0, 300)), float(rng.randint(0, 200))) for i in range(300)] + [(1, 0, 5.0, 5.0)] * 2 + [(9, 1, 1.0, 1.0)]
+    lines = [(1, q % 40, rng.uniform(-1, 1), rng.uniform(-1, 1), rng.uniform(-90, 90)) for q in range(100)] + [(1, 77, 0.0, 0.0, 1.0), (1, 78, 1.0, 0.0, 500.0), (5, 79, 1.0, 0.0, 1.0)]
+    lined = spark.createDataFrame(lines, "target_view long, q long, la double, lb double, lc double").repartition(4).cache()
+    placed = spark.createDataFrame(keys, "view long, key long, x double, y double").repartition(4).cache()
+    lined.count(), placed.count()
+    want = {}
+    for v, q, a, b, c in lines:
+        for w, k, x, y in keys:
+            if v == w and (a or b) and (d := abs(a * x + b * y + c) / (a * a + b * b) ** 0.5) < 4.0:
+                want.setdefault(q, {}).setdefault((k, x, y), []).append(d)
+    for block in (16, 8192):
+        got = {}
+        n = sent(spark, lambda block=block, got=got: got.update({r.q: (r.n, r.first, round(r.nearest, 9)) for r in guided.band_counts(lined, placed, 4.0, ["q"], ["key", "x", "y"], block).collect()}))
+        assert got == {q: (len(m), min(m)[0], round(min(map(min, m.values())), 9)) for q, m in want.items()} and len(want) > 30
+    assert n < 4 * (len(keys) + len(lines))

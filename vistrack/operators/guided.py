@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from vistrack.functions.geometry import clip_line, epipolar_line, line_distance
 from vistrack.session import stored
 
+#: Lines, and keys, of a task of band_counts; lines that meet its keys at once.
+BLOCK, ROWS = 8192, 256
+
 
 def lattice_cells(x: Column, y: Column, cell: int) -> list[tuple[Column, Column, Column]]:
     """(cx, cy, squared distance to the cell center) in four grids shifted by half a cell."""
@@ -88,6 +91,62 @@ def band_candidates(lined: DataFrame, gridded: DataFrame, cell: int, step: int,
     return hit.where(F.col("dist") < band).select(*query, "target_view", *[f"t_{c}" for c in target], "dist").distinct()
 
 
+def band_counts(lined: DataFrame, keys: DataFrame, band: float, query: list[str], target: list[str], block: int = BLOCK) -> DataFrame:
+    """(query columns, n, first, nearest): of the different keys (target columns, all numbers, x and y among them) of view
+    ``target_view`` within ``band`` of one of the lines of a query, their number, the least first target column and
+    the least distance. The query columns are whole numbers. Queries without such a key drop out.
+
+    Lines meet keys in whole arrays: a task holds about ``block`` lines of a view, all of a query among them, and
+    about ``block`` keys, whatever their number in the view, and makes one row a query.
+    """
+    lines_ = lined.where("la IS NOT NULL AND lb IS NOT NULL AND lc IS NOT NULL").select("target_view", *query, "la", "lb", "lc").distinct()
+    keys = keys.select(F.col("view").alias("target_view"), *[F.col(c).alias(f"t_{c}") for c in target]).distinct()
+    parts = lambda df, name: df.groupBy("target_view").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias(name))
+    n = stored(parts(lines_, "nl").join(parts(keys, "nk"), "target_view"), "band-parts")
+    every = lambda c, name: F.explode(F.sequence(F.lit(0), F.col(c) - 1)).alias(name)
+    dealt = lambda c, of: F.pmod(F.xxhash64(*c), F.col(of)).cast("int")
+    own = lines_.join(n, "target_view").select("target_view", dealt(query, "nl").alias("i"), every("nk", "j"), *query, "la", "lb", "lc")
+    other = keys.join(n, "target_view").select("target_view", every("nl", "i"), dealt([f"t_{c}" for c in target], "nk").alias("j"), *[f"t_{c}" for c in target])
+    kinds = {f.name: f.dataType.simpleString() for f in keys.schema.fields}
+    schema = ", ".join([*(f"`{c}` {lines_.schema[c].dataType.simpleString()}" for c in query), "n long", f"first {kinds[f't_{target[0]}']}", "nearest double"])
+
+    def run(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        asked = [left[c].to_numpy() for c in query]
+        order = np.lexsort(asked[::-1])
+        asked = [c[order] for c in asked]
+        la, lb, lc = (left[c].to_numpy()[order] for c in ("la", "lb", "lc"))
+        first, x, y = (right[f"t_{c}"].to_numpy() for c in (target[0], "x", "y"))
+        by = np.argsort(first, kind="stable")
+        first, x, y = first[by], x[by], y[by]
+        starts = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in asked], axis=0))) if len(la) else np.zeros(0, int)
+        ends, out, at = np.append(starts[1:], len(la)), [], 0
+        while at < len(starts):
+            stop = min(len(starts), max(at + 1, int(np.searchsorted(ends, starts[at] + ROWS, "right"))))
+            some = slice(int(starts[at]), int(ends[stop - 1]))
+            length = np.sqrt(la[some] * la[some] + lb[some] * lb[some])
+            d = la[some, None] * x
+            d += lb[some, None] * y
+            d += lc[some, None]
+            with np.errstate(all="ignore"):
+                np.abs(d, out=d)
+                d /= length[:, None]
+                d[~(d < band)] = np.inf
+            d = np.minimum.reduceat(d, starts[at:stop] - starts[at], axis=0)
+            inside = np.isfinite(d)
+            hit = inside.any(1)
+            own = starts[at:stop][hit]
+            out.append([*(c[own] for c in asked), inside[hit].sum(1), first[inside[hit].argmax(1)], d[hit].min(1)])
+            at = stop
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [c[:0] for c in (*asked, starts, first, la)]
+        return pa.Table.from_arrays([pa.array(c) for c in cols], names=[*query, "n", "first", "nearest"])
+
+    found = own.groupBy("target_view", "i", "j").cogroup(other.groupBy("target_view", "i", "j")).applyInArrow(run, schema)
+    return found.groupBy(*query).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.min("nearest").alias("nearest"))
+
+
 def padded(candidates: DataFrame, keys: DataFrame, least: int, seed: int = 0) -> DataFrame:
     """candidates (a, ka, b, kb) of queries that have some but fewer than ``least``, filled up with further keys
     (image, key) of the target image in the order of a seeded hash: the same ones in every run."""
