@@ -22,6 +22,8 @@ from vistrack.session import stored
 #: Keys of a tile, keys of a block (about: keys are dealt by hash), keys of a tile that meet a block at once, candidates
 #: reduced at once in a task.
 TILE, BLOCK, STEP, ROWS = 1024, 8192, 256, 1 << 18
+#: One of so many keys in a band, or fewer: their distances are computed without a product.
+SPARSE = 20
 TWO = "a long, b long, ka long, kb long, d1 double, d2 double, n long"
 
 
@@ -248,7 +250,15 @@ def _search(a, b, ka, p, kb, q, rows: int = STEP, inside=None):
     at = 0
     while at < len(p):
         stop = int(ends[min(len(ends) - 1, np.searchsorted(ends, at + rows))])
-        x = p[at:stop]
+        x, n = p[at:stop], np.full(stop - at, len(q))
+        if inside is not None:
+            allowed = inside(slice(at, stop))
+            n = allowed.sum(1)
+            if n.sum() * SPARSE <= allowed.size:  # fewer distances than a product is worth
+                i, j = np.nonzero(allowed)
+                out.append(_states(a, b, ka, kb, i + at, j, _exact(p, q, i + at, j)))
+                at = stop
+                continue
         x2 = (x * x).sum(1)
         d = x @ q.T
         d *= -2
@@ -256,10 +266,7 @@ def _search(a, b, ka, p, kb, q, rows: int = STEP, inside=None):
         d += q2
         if odd:
             d[~np.isfinite(d)] = np.inf
-        n = np.full(len(x), len(q))
         if inside is not None:
-            allowed = inside(slice(at, stop))
-            n = allowed.sum(1)
             d[~allowed] = np.inf
         every = np.arange(len(x))
         top = d.argmin(1)
