@@ -35,3 +35,14 @@ def test_late_attempts_are_wider_and_rendered_whole(spark):
     assert all(late[k] >= early[k] + (9 if k != "ip" else 2) for k in early)
     m = spark.createDataFrame([("123-45-6789",)], "m string").select(pii.render(F.col("m"), F.create_map(F.lit("ssn\x1f123456789"), F.lit("98765432155"))))
     assert m.head()[0] == "987-65-432155"
+
+
+def test_expressions_of_mentions_stay_small(spark):
+    """What the driver keeps of a plan: values that a mention uses again and again are written once."""
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(["a"], [True], "a", "b", 1, {"a": "b"})], "mentions array<string>, secrets array<boolean>, kind string, canon string, attempt int, known map<string,string>")
+    size = lambda c: len(d.select(c)._jdf.queryExecution().optimizedPlan().toString())
+    assert size(F.zip_with("mentions", "secrets", pii.entities_of)) < 10_000
+    assert size(F.zip_with("mentions", "secrets", lambda m, s: pii.render(m, F.col("known"), s))) < 20_000
+    assert size(pii.surrogate_of(F.col("kind"), F.col("canon"), F.col("attempt"), "k")) < 30_000

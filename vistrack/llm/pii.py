@@ -95,6 +95,11 @@ def kind_of(m: Column, secret: Column | None = None) -> Column:
             .when(m.rlike(rf"^(?:{PHONE})$"), "phone").when(m.rlike(rf"^{TITLES}\p{{Lu}}"), "name").otherwise("secret"))
 
 
+def _bind(value: Column, use) -> Column:
+    """use(value) with value written once, however often it is used: plans of nested mentions stay small."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -118,13 +123,20 @@ def _given(m: Column) -> Column:
     return F.when((_titles(m) != "") & (F.size(parts) > 1), F.lower(F.get(parts, F.lit(0))))
 
 
+def _canon(m: Column, kind: Column) -> Column:
+    """Canonical form of a mention of a kind; of a name, that of its surname."""
+    return F.when(kind == "email", F.lower(m)).when(kind.isin("ssn", "card", "account"), _digits(m)).when(kind == "phone", F.right(_digits(m), F.lit(10))).when(kind == "name", _surname(m)).otherwise(m)
+
+
 def entities_of(m: Column, secret: Column | None = None) -> Column:
     """Entities of one mention as an array of struct(kind, canon)."""
-    kind = kind_of(m, secret)
-    canon = F.when(kind == "email", F.lower(m)).when(kind.isin("ssn", "card", "account"), _digits(m)).when(kind == "phone", F.right(_digits(m), F.lit(10))).when(kind == "name", _surname(m)).otherwise(m)
-    one = F.struct(F.when(kind == "name", "surname").otherwise(kind).alias("kind"), canon.alias("canon"))
-    given = F.struct(_given_kind(m).alias("kind"), _given(m).alias("canon"))
-    return F.when(kind == "none", F.slice(F.array(one), 1, 0)).when((kind == "name") & _given(m).isNotNull(), F.array(one, given)).otherwise(F.array(one))
+
+    def told(kind: Column) -> Column:
+        one = F.struct(F.when(kind == "name", "surname").otherwise(kind).alias("kind"), _canon(m, kind).alias("canon"))
+        given = F.struct(_given_kind(m).alias("kind"), _given(m).alias("canon"))
+        return F.filter(F.array(one, given), lambda e: (kind != "none") & ((e["kind"] == one["kind"]) | (kind == "name") & e["canon"].isNotNull()))
+
+    return _bind(kind_of(m, secret), told)
 
 
 def _pick(h: Column, at: int, values: list[str]) -> Column:
@@ -163,28 +175,34 @@ def _sound(digits: Column) -> Column:
     return F.pmod(_luhn(F.left(digits, n - 1)) + F.right(digits, F.lit(1)).cast("int"), F.lit(10)) == 0
 
 
-def _card(canon: Column, h: Column, off: int = 0) -> Column:
-    body = F.concat(F.left(canon, F.lit(1)), F.substr(_fit(canon, h), F.lit(2), F.length(canon) - 2))
+def _card(canon: Column, fit: Column, off: int = 0) -> Column:
+    body = F.concat(F.left(canon, F.lit(1)), F.substr(fit, F.lit(2), F.length(canon) - 2))
     return F.concat(body, F.pmod(-_luhn(body) + F.lit(off), F.lit(10)).cast("string"))
 
 
 def surrogate_of(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     h = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string")), 512)
+    formed = F.when(kind == "email", F.substring_index(canon, "@", 1)).when(~kind.isin("ip", "surname", "given_m", "given_f", "given_n"), canon)
+    return _bind(h, lambda h: _bind(_fit(formed, h), lambda fit: _surrogate(kind, canon, attempt, key, h, fit)))
+
+
+def _surrogate(kind: Column, canon: Column, attempt: Column, key: str, h: Column, fit: Column) -> Column:
+    """The surrogate from the hash and from what has the form of canon (of an email, of its local part)."""
     octets = F.concat_ws(".", *[(F.conv(F.substring(h, 1 + 4 * i, 4), 16, 10).cast("long") % (223 if i == 0 else 254) + 1).cast("string") for i in range(4)])
     domain = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.substring_index(canon, "@", -1)), 512)
     host = F.translate(F.substring(domain, 1, 12), "0123456789", "ghijklmnop")
-    secret = F.when(canon.rlike("^[0-9a-f]+$"), F.left(F.repeat(F.concat(h, F.sha2(h, 512)), F.ceil(F.length(canon) / 256).cast("int")), F.length(canon))).otherwise(_fit(canon, h))
+    secret = F.when(canon.rlike("^[0-9a-f]+$"), F.left(F.repeat(F.concat(h, F.sha2(h, 512)), F.ceil(F.length(canon) / 256).cast("int")), F.length(canon))).otherwise(fit)
     more_letters = F.left(F.translate(F.sha2(h, 512), "0123456789", "ghijklmnop"), F.greatest(attempt - (WIDEN - 1), F.lit(0)))
     more_digits, more_hex = F.translate(more_letters, "abcdefghijklmnop", "0123456789012345"), F.translate(more_letters, "ghijklmnop", "0123456789")
-    email = F.concat(_fit(F.substring_index(canon, "@", 1), h), more_letters, F.lit("@"), host, F.lit(".example"))
+    email = F.concat(fit, more_letters, F.lit("@"), host, F.lit(".example"))
     secret = F.concat(secret, F.when(canon.rlike("^[0-9a-f]+$"), more_hex).otherwise(more_letters))
     by_script = lambda of: F.when(canon.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(canon.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
     syllables = lambda s: F.array_join(F.transform(F.sequence(F.lit(1), attempt + 3), lambda i: F.element_at(F.array(*map(F.lit, SYLLABLES[s])), F.conv(F.substring(h, i % 128 + 1, F.lit(1)), 16, 10).cast("int") + 1)), "")
     family = F.initcap(by_script(syllables))
     more = F.when(attempt == 0, "").otherwise(F.concat(F.lit("-"), family))
     given = lambda g: F.concat(by_script(lambda s: _pick(h, 1, GIVEN[g, s])), more)
-    return (F.when(kind == "email", email).when(kind == "ip", F.concat(octets, F.when(more_digits != "", F.concat(F.lit("."), more_digits)).otherwise(""))).when(kind == "card", F.concat(_card(canon, h), more_digits)).when(kind == "account", F.concat(_card(canon, h, 1), more_digits)).when(kind == "access_key", F.concat(F.lit("AKIA"), F.substr(_fit(canon, h), F.lit(5)), F.upper(more_letters)))
-            .when(kind == "phone", F.concat((F.conv(F.substring(h, 120, 1), 16, 10).cast("int") % 8 + 2).cast("string"), F.substr(_fit(canon, h), F.lit(2)), more_digits)).when(kind == "ssn", F.concat(_fit(canon, h), more_digits))
+    return (F.when(kind == "email", email).when(kind == "ip", F.concat(octets, F.when(more_digits != "", F.concat(F.lit("."), more_digits)).otherwise(""))).when(kind == "card", F.concat(_card(canon, fit), more_digits)).when(kind == "account", F.concat(_card(canon, fit, 1), more_digits)).when(kind == "access_key", F.concat(F.lit("AKIA"), F.substr(fit, F.lit(5)), F.upper(more_letters)))
+            .when(kind == "phone", F.concat((F.conv(F.substring(h, 120, 1), 16, 10).cast("int") % 8 + 2).cast("string"), F.substr(fit, F.lit(2)), more_digits)).when(kind == "ssn", F.concat(fit, more_digits))
             .when(kind == "surname", family).when(kind == "given_m", given("m")).when(kind == "given_f", given("f")).when(kind == "given_n", given("n")).otherwise(secret))
 
 
@@ -224,14 +242,16 @@ def _as(m: Column, s: Column) -> Column:
 
 def render(m: Column, known: Column, secret: Column | None = None) -> Column:
     """The mention with the surrogates of its entities, in its own format."""
-    kind = kind_of(m, secret)
     at = lambda k, c: F.element_at(known, F.concat_ws("\x1f", k, c))
-    canon = F.get(entities_of(m, secret), F.lit(0))["canon"]
-    own = at(kind, canon)
-    placed = F.concat(_place_digits(m, F.left(own, F.length(canon))), F.substr(own, F.length(canon) + 1))  # what a late attempt adds comes last
-    rest = F.substr(m, F.length(_titles(m)) + 1)
-    name = F.concat(_titles(m), F.concat_ws(" ", F.when(_given(m).isNotNull(), _as(F.substring_index(rest, " ", 1), at(_given_kind(m), _given(m)))), _as(F.substring_index(m, " ", -1), at(F.lit("surname"), _surname(m)))))
-    return F.when(kind == "none", m).when(kind == "name", name).when(kind.isin("phone", "card", "account", "ssn"), placed).when(kind == "email", _as(m, own)).otherwise(own)
+
+    def told(kind: Column, canon: Column, own: Column) -> Column:
+        placed = F.concat(_place_digits(m, F.left(own, F.length(canon))), F.substr(own, F.length(canon) + 1))  # what a late attempt adds comes last
+        rest = F.substr(m, F.length(_titles(m)) + 1)
+        given = _bind(_given(m), lambda g: F.when(g.isNotNull(), _as(F.substring_index(rest, " ", 1), at(_given_kind(m), g))))
+        name = F.concat(_titles(m), F.concat_ws(" ", given, _as(F.substring_index(m, " ", -1), at(F.lit("surname"), canon))))
+        return F.when(kind == "none", m).when(kind == "name", name).when(kind.isin("phone", "card", "account", "ssn"), placed).when(kind == "email", _as(m, own)).otherwise(own)
+
+    return _bind(kind_of(m, secret), lambda kind: _bind(_canon(m, kind), lambda canon: _bind(at(kind, canon), lambda own: told(kind, canon, own))))
 
 
 def bare(token: Column) -> Column:
