@@ -120,3 +120,39 @@ def test_parts_of_large_buckets_are_bounded(spark):
     near = listed.selectExpr("key", "1L << cast(label % 60 AS int) AS fp0", "label % 16 AS fp1", "0L AS fp2", "0L AS fp3", "array(5L) AS peaks")
     got = simhash.peak_links(near)
     assert got.count() < 21_000 + 20 * 64 and simhash.connected_components(got).select("root").distinct().count() == 1
+
+
+def test_large_buckets_lose_no_pair_of_the_second_search(spark):
+    """Buckets of far more members than a block: every pair of different components within the distance comes out."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(500)]
+    base = rng.choices(vocabulary, k=150)
+    docs = spark.createDataFrame([(i, " ".join(edited(base, 0.02, rng, vocabulary))) for i in range(120)], "doc_id long, text string")
+    wide = simhash.stored(simhash.wide_fingerprints(docs.withColumn("key", simhash.text_key(docs.text)), ["key"], "text").distinct(), "rows")
+    rows = sorted(wide.collect(), key=lambda r: r.key)
+    bits = lambda a, b: sum(((a[f"fp{k}"] ^ b[f"fp{k}"]) & (1 << 64) - 1).bit_count() for k in range(simhash.WORDS))
+    near = {(a.key, b.key) for i, a in enumerate(rows) for b in rows[i + 1 :] if set(a.peaks) & set(b.peaks) and bits(a, b) <= simhash.WIDE_DISTANCE}
+    half = {r.key: rows[0].key for r in rows[:60]}  # a large component beside single texts
+    for label in ({}, half):
+        labels = spark.createDataFrame(list(label.items()), "node long, root long")
+        got = [tuple(r) for r in simhash.peak_links(wide, labels, block=8).collect()]
+        want = {(a, b) for a, b in near if label.get(a, a) != label.get(b, b)}
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
+
+
+def test_parts_of_the_second_search_are_bounded(spark):
+    """10,000 members of which 9,000 hang together: no part above two blocks, rows by members and others."""
+    listed = spark.range(10_000).selectExpr("id AS key", "CASE WHEN id < 9000 THEN 0L ELSE id END AS label", "5L AS peak", "10000L AS size", "9000L AS most", "0L AS hub")
+    parts = [r["count"] for r in simhash.dealt_grid(listed, 512).groupBy("i").count().collect()]
+    assert len(parts) == 40 and max(parts) < 1150 and sum(parts) <= 10_000 * 2 + 1000 * 20
+
+
+def test_marks_never_hide_a_similar_pair(spark):
+    rng = random.Random(10)
+    sets = [(set(x), set(y)) for n in (0, 1, 5, 200, 5000) for s in (0, 0.1, 0.3) for x in [[rng.randrange(-(2**62), 2**62) for _ in range(n)]] for y in [[v if rng.random() >= s else rng.randrange(2**62) for v in x]]]
+    import numpy as np
+
+    marks = lambda v: simhash.marks_of(np.array(sorted(v), np.int64)).tolist()
+    rows = spark.createDataFrame([(len(x), marks(x), len(y), marks(y), len(x & y)) for x, y in sets], "na int, ma array<long>, nb int, mb array<long>, c int")
+    got = rows.withColumn("most", simhash.most_common(rows.na, rows.ma, rows.nb, rows.mb)).collect()
+    assert all(r.c <= r.most <= min(r.na, r.nb) for r in got) and any(r.most < 0.7 * r.na for r in got)

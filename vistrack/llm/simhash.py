@@ -45,8 +45,10 @@ MAX_DISTANCE = 3
 WIDE_SHINGLE, SIMILARITY, WORDS = 5, 0.8, 4
 #: Keys of a text, peaks of a key, directions a peak is chosen from; differing bits of 256 looked at.
 TABLES, PEAKS, SPAN, WIDE_DISTANCE = 24, 3, 64, 64
-#: Members of a bucket compared at once, members that stand for many, pairs of a member looked at again at once.
-BLOCK, LEADERS, NEAREST = 1024, 32, 4
+#: Members of a bucket compared at once; in the first search, members of a large bucket that every part has.
+BLOCK, LEADERS = 1024, 32
+#: Words of 64 bits in which a set of shingles marks its members.
+MARKS = 16
 
 
 def fingerprint(text: str | None) -> int:
@@ -214,29 +216,43 @@ def _forest(a, b, d):
     return out
 
 
-def _thin(n, salt: int):
+def _thin(n):
     """About LEADERS of n members, by a hash of the key."""
-    return F.pmod(F.xxhash64(F.lit(7 + salt), "key"), F.greatest(F.lit(1), F.floor(n / LEADERS)).cast("long")) == 0
+    return F.pmod(F.xxhash64(F.lit(7), "key"), F.greatest(F.lit(1), F.floor(n / LEADERS)).cast("long")) == 0
 
 
-def dealt_buckets(listed: DataFrame, block: int, salt: int = 0) -> DataFrame:
+def dealt_buckets(listed: DataFrame, block: int) -> DataFrame:
     """Rows with i, the part of its bucket (peak) that each is compared in. A bucket whose ``size`` is within
-    ``block`` (or null) is one part. Others have a part for each block of members, by a hash with a salt, and about
+    ``block`` (or null) is one part. Others have a part for each block of members, by a hash, and about
     LEADERS of all members are in every part: rows grow with the members, however large a bucket is."""
     blocks = F.ceil(F.col("size") / block).cast("int")
-    mine = F.pmod(F.xxhash64(F.lit(salt), "key"), blocks).cast("int")
-    places = F.when(F.col("size").isNull() | (F.col("size") <= block), F.array(F.lit(0))).when(_thin(F.col("size"), salt), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(mine))
+    mine = F.pmod(F.xxhash64(F.lit(0), "key"), blocks).cast("int")
+    places = F.when(F.col("size").isNull() | (F.col("size") <= block), F.array(F.lit(0))).when(_thin(F.col("size")), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(mine))
     return listed.withColumn("i", F.explode(places)).drop("size")
 
 
+def dealt_grid(listed: DataFrame, block: int) -> DataFrame:
+    """Rows with i, all the parts of its bucket (peak) that each is compared in, so that any two members of different
+    labels meet. ``size`` and ``most`` are the members of the bucket and of its largest label, ``hub``. Of such a pair one is
+    not of the hub: blocks of all members meet blocks of those others, two blocks a part at most. Rows grow as
+    size x others / block, which is the size for a bucket that hangs together but for a block."""
+    across, down = F.ceil(F.col("size") / block).cast("int"), F.ceil((F.col("size") - F.col("most")) / block).cast("int")
+    x, y = F.pmod(F.xxhash64(F.lit(1), "key"), F.col("_across")).cast("int"), F.pmod(F.xxhash64(F.lit(2), "key"), F.col("_down")).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.col("_down") - 1), lambda k: F.col("_x") * F.col("_down") + k)
+    asks = F.transform(F.sequence(F.lit(0), F.col("_across") - 1), lambda k: k * F.col("_down") + F.col("_y"))
+    places = F.when(F.col("label") == F.col("hub"), met).otherwise(F.array_union(met, asks))
+    placed = listed.withColumns({"_across": across, "_down": down}).withColumns({"_x": x, "_y": y}).withColumn("i", F.explode(places))
+    return placed.drop("size", "most", "hub", "_across", "_down", "_x", "_y")
+
+
 def peak_links(classes: DataFrame, labels: DataFrame | None = None, distance: int = WIDE_DISTANCE, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of classes (column key) that share a key of peaks and differ in at most ``distance``
-    bits of the wide fingerprint. Large buckets are compared in parts (dealt_buckets): a template of any number of
-    copies costs a task about one block, and the parts hang together by their leaders.
+    bits of the wide fingerprint.
 
-    Without labels: of each part a minimum spanning forest of such pairs. With labels (node, root) of what is joined so
-    far: pairs of different labels, for each member the NEAREST of them. Of a label's members in a bucket about LEADERS
-    stand for all. Buckets of one label are passed over.
+    Without labels: a minimum spanning forest of such pairs, of large buckets of each part (dealt_buckets): a template of any
+    number of copies costs a task about one block, and the parts hang together by their leaders. That is a short way and may
+    leave some apart. With labels (node, root) of what is joined so far: all such pairs of different labels, whatever
+    the size of a bucket (dealt_grid); what one label has in a bucket hangs together and needs no pairs.
     """
     fps = [f"fp{k}" for k in range(WORDS)]
     listed = classes.select("key", *fps, F.explode("peaks").alias("peak"))
@@ -246,11 +262,12 @@ def peak_links(classes: DataFrame, labels: DataFrame | None = None, distance: in
     else:
         listed = listed.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("root", "key"))
         per = listed.groupBy("peak", "label").agg(F.count("*").alias("n"))
-        mixed = per.groupBy("peak").agg(F.count("*").alias("m"), F.sum(F.least("n", F.lit(LEADERS))).alias("size")).where("m > 1")
-        per = stored(per.join(mixed, "peak").select("peak", "label", "n", "size"), "simhash-mixed")
-        listed = listed.join(per, ["peak", "label"]).where((F.col("n") <= LEADERS) | _thin(F.col("n"), 1))
+        hub = F.max(F.struct("n", "label"))
+        mixed = per.groupBy("peak").agg(F.count("*").alias("m"), F.sum("n").alias("size"), hub["n"].alias("most"), hub["label"].alias("hub")).where("m > 1").drop("m")
+        listed = listed.join(stored(mixed, "simhash-mixed"), "peak")
     forest = labels is None
-    dealt = dealt_buckets(listed.select("key", "label", *fps, "peak", "size"), block, 0 if forest else 1)
+    columns = ["key", "label", *fps, "peak"]
+    dealt = dealt_buckets(listed.select(*columns, "size"), block) if forest else dealt_grid(listed.select(*columns, "size", "most", "hub"), block)
 
     def run(batches):
         import numpy as np
@@ -280,11 +297,7 @@ def peak_links(classes: DataFrame, labels: DataFrame | None = None, distance: in
                 starts = np.concatenate([[True], (group[1:] != group[:-1]).any(1)]).cumsum()[hits[:, 0]]
                 pairs = np.array([e for part in np.split(hits, np.flatnonzero(np.diff(starts)) + 1) for e in _forest(*part.T)], int).reshape(-1, 2)
             else:
-                both = np.concatenate([hits, hits[:, [1, 0, 2]]])
-                both = both[np.lexsort((key[both[:, 1]], both[:, 2], both[:, 0]))]
-                first = np.flatnonzero(np.append(True, both[1:, 0] != both[:-1, 0]))
-                rank = np.arange(len(both)) - np.repeat(first, np.diff(np.append(first, len(both))))
-                pairs = both[rank < NEAREST, :2]
+                pairs = hits[:, :2]
             a, b = key[pairs[:, 0]], key[pairs[:, 1]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -315,8 +328,24 @@ def peak_links(classes: DataFrame, labels: DataFrame | None = None, distance: in
     return together.mapInArrow(run, "a long, b long").distinct()
 
 
+def marks_of(hashes):
+    """MARKS words of 64 bits: the bit of each hash is set."""
+    import numpy as np
+
+    bits = np.zeros(64 * MARKS, np.uint8)
+    bits[hashes.view(np.uint64) % np.uint64(64 * MARKS)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def most_common(na, ma, nb, mb):
+    """Members that two sets share at most, from their sizes and marks: a mark of one only stands for a member of one only."""
+    alone = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, k: n + k)
+    return F.least(na - alone(ma, mb), nb - alone(mb, ma))
+
+
 def verified(edges: DataFrame, texts: DataFrame, similarity: float, n: int) -> DataFrame:
-    """The edges (a, b) of texts (key, text) whose sets of shingles have at least this Jaccard similarity."""
+    """The edges (a, b) of texts (key, text) whose sets of shingles have at least this Jaccard similarity.
+    Sets meet only where their sizes and marks leave that open, so a candidate costs little."""
     edges = stored(edges, "simhash-candidates")
     wanted = stored(edges.select(F.col("a").alias("key")).union(edges.select("b")).distinct(), "simhash-involved")
     one = join_checked(texts, wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
@@ -330,9 +359,14 @@ def verified(edges: DataFrame, texts: DataFrame, similarity: float, n: int) -> D
                 b = whole.slice(at, 64)
                 own = [np.unique(shingle_hashes(t.as_py(), n)).view(np.int64) for t in b.column(1)]
                 ends = pa.array(np.cumsum([0, *map(len, own)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(own)))], names=["key", "s"])
-
-    sets = stored(one.mapInArrow(run, "key long, s array<long>"), "simhash-shingles")
+                marks = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * MARKS), pa.array(np.concatenate([marks_of(h) for h in own])))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, own), pa.int32()), marks, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(own)))], names=["key", "n", "m", "s"])
+
+    sets = stored(one.mapInArrow(run, "key long, n int, m array<long>, s array<long>"), "simhash-shingles")
+    side = lambda c: sets.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("m").alias(f"m{c}"))
+    most = most_common(F.col("na"), F.col("ma"), F.col("nb"), F.col("mb"))
+    likely = edges.join(side("a"), "a").join(side("b"), "b").withColumn("most", most).where(F.col("most") >= F.lit(similarity) * (F.col("na") + F.col("nb") - F.col("most")))
+    edges = stored(likely.select("a", "b"), "simhash-likely")
     both = edges.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
@@ -345,7 +379,8 @@ def similar_classes(docs: DataFrame, text_col: str = "text", similarity: float =
     from the peaks of the same sums; each is verified by the Jaccard similarity of the sets of shingles.
 
     A forest of near pairs may hold one that is not similar enough where another way round would be. So what the
-    verified pairs leave apart is looked at once more: near pairs of different components."""
+    verified pairs leave apart is looked at once more: all near pairs of different components, so that nothing of what
+    shares a bucket is lost."""
     texts = docs.select(text_key(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     classes = stored(wide_fingerprints(texts, ["key"], "text", n).distinct(), "simhash-wide")
     nodes = classes.select(F.col("fp0").alias("fp"), "key")
