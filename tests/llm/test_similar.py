@@ -157,3 +157,38 @@ def test_marks_never_hide_a_similar_pair(spark):
     rows = spark.createDataFrame([(len(x), marks(x), len(y), marks(y), len(x & y)) for x, y in sets], "na int, ma array<long>, nb int, mb array<long>, c int")
     got = rows.withColumn("most", simhash.most_common(*map(F.col, ("na", "ma", "nb", "mb")))).collect()
     assert all(r.c <= r.most <= min(r.na, r.nb) for r in got) and any(r.most < 0.8 * r.na for r in got)
+
+
+def test_pairs_of_a_template_below_the_similarity_are_no_rows(spark):
+    """300 copies of a text, each with edits of its own: nearly all pairs are near by their bits and below 0.8."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
+    base = rng.choices(vocabulary, k=150)
+    texts = [" ".join(rng.choice(vocabulary) if k in own else w for k, w in enumerate(base)) for _ in range(300) for own in [set(rng.sample(range(150), rng.choice([1, 3, 3, 3, 4])))]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wide = simhash.stored(simhash.wide_fingerprints(docs.withColumn("key", simhash.text_key(docs.text)), ["key"], "text").distinct(), "rows")
+    text = {r.key: r.text for r in docs.select(simhash.text_key(docs.text).alias("key"), "text").collect()}
+    labels = spark.createDataFrame([], "node long, root long")
+    whole = {tuple(r) for r in simhash.peak_links(wide, labels, block=64).collect()}
+    for block in (64, 1024):
+        got = [tuple(r) for r in simhash.peak_links(wide, labels, block=block, similarity=0.8).collect()]
+        links = {p for p in whole if jaccard(text[p[0]], text[p[1]]) >= 0.8}
+        assert len(got) == len(set(got)) and links <= set(got) <= whole and len(links) > 1000
+        assert len(whole) > 20_000 and len(set(got) - links) < 0.05 * len(whole)
+
+
+def test_folded_marks_never_hide_a_similar_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(13)
+    for n in (0, 1, 120, 128, 130, 250, 260, 5000, 30_000):
+        base = rng.integers(-(2**62), 2**62, n)
+        sets = [np.unique(np.concatenate([base[k:], rng.integers(-(2**62), 2**62, k + e)])) for k in (0, n // 20, n // 5) for e in (0, n // 30)]
+        sizes, marks = np.array([len(s) for s in sets]), [simhash.marks_of(s, simhash.mark_words(len(s))) for s in sets]
+        a, b = (i.ravel() for i in np.meshgrid(range(6), range(6)))
+        told = simhash.likely_pairs(sizes, marks, 0.8)(a, b)
+        for i, j, ok in zip(a, b, told, strict=True):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            similar = common >= 0.8 * (len(sets[i]) + len(sets[j]) - common)
+            assert ok or not similar
+    assert {simhash.mark_words(n) for n in (0, 127, 128, 256, 10**6)} == {16, 32, 64, 512}

@@ -49,6 +49,8 @@ TABLES, PEAKS, SPAN, WIDE_DISTANCE = 24, 3, 64, 64
 BLOCK, LEADERS = 1024, 32
 #: Words of 64 bits in which a set of shingles marks its members.
 MARKS = 16
+#: Marks that grow with the set: bits for each member at least, and words at most.
+SPARSE, MOST_MARKS = 8, 512
 
 
 def fingerprint(text: str | None) -> int:
@@ -143,11 +145,11 @@ def shingle_hashes(text: str | None, n: int):
     return np.array(out, np.uint64)
 
 
-def wide_sums(text: str | None, n: int = WIDE_SHINGLE):
+def wide_sums(hashes):
     """Of 4 x 64 bits of each shingle's hash: how many more shingles have a bit set than not."""
     import numpy as np
 
-    hashes, total = shingle_hashes(text, n), np.zeros(64 * WORDS, np.int64)
+    total = np.zeros(64 * WORDS, np.int64)
     for i in range(0, len(hashes), CHUNK // WORDS):
         h = hashes[i : i + CHUNK // WORDS]
         bits = np.stack([h, *(_mixed(h, k) for k in range(1, WORDS))], 1).astype(">u8").view(np.uint8)
@@ -156,9 +158,10 @@ def wide_sums(text: str | None, n: int = WIDE_SHINGLE):
 
 
 def wide_fingerprints(docs: DataFrame, own: list[str], text_col: str, n: int = WIDE_SHINGLE) -> DataFrame:
-    """The columns named by own, fp0 to fp3 (the wide fingerprint) and peaks: TABLES keys of a text. A key has the
-    number of its table and, for each of PEAKS sets of SPAN directions, which direction the sums of the
-    bits point to most, and with which sign. Directions come from Hadamard transforms after random flips."""
+    """The columns named by own, fp0 to fp3 (the wide fingerprint), n and m (size and marks of the set of shingles) and
+    peaks: TABLES keys of a text. A key has the number of its table and, for each of PEAKS sets of SPAN directions,
+    which direction the sums of the bits point to most, and with which sign. Directions come from Hadamard transforms
+    after random flips."""
 
     def run(batches):
         import numpy as np
@@ -170,7 +173,11 @@ def wide_fingerprints(docs: DataFrame, own: list[str], text_col: str, n: int = W
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
-                sums = np.stack([wide_sums(t.as_py(), n) for t in b.column(len(own))])
+                hashes = [shingle_hashes(t.as_py(), n) for t in b.column(len(own))]
+                sums = np.stack([wide_sums(h) for h in hashes])
+                sets = [np.unique(h) for h in hashes]
+                marks = [marks_of(h, mark_words(len(h))) for h in sets]
+                marks = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, marks)]), pa.int32()), pa.array(np.concatenate(marks)))
                 fps = np.packbits(sums > 0, axis=1).view(">u8").astype(np.int64)
                 z = sums[:, None, :].astype(np.float32) * flips
                 for k in range(width.bit_length() - 1):  # Hadamard transforms: each a turn of all directions
@@ -183,9 +190,11 @@ def wide_fingerprints(docs: DataFrame, own: list[str], text_col: str, n: int = W
                 for k in range(PEAKS):
                     keys = keys * (2 * SPAN) + place[:, :, k]
                 peaks = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * TABLES), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], *(pa.array(fps[:, k]) for k in range(WORDS)), peaks], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], *(pa.array(fps[:, k]) for k in range(WORDS)), pa.array(map(len, sets), pa.int64()), marks, peaks], names=schema.names)
 
-    schema = T.StructType([*(docs.schema[c] for c in own), *(T.StructField(f"fp{k}", T.LongType()) for k in range(WORDS)), T.StructField("peaks", T.ArrayType(T.LongType()))])
+    longs = T.ArrayType(T.LongType())
+    added = [*(T.StructField(f"fp{k}", T.LongType()) for k in range(WORDS)), T.StructField("n", T.LongType()), T.StructField("m", longs), T.StructField("peaks", longs)]
+    schema = T.StructType([*(docs.schema[c] for c in own), *added])
     return docs.select(*own, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
@@ -245,14 +254,46 @@ def dealt_grid(listed: DataFrame, block: int) -> DataFrame:
     return placed.drop("size", "most", "hub", "_across", "_down", "_x", "_y")
 
 
-def peak_links(classes: DataFrame, labels: DataFrame | None = None, distance: int = WIDE_DISTANCE, block: int = BLOCK) -> DataFrame:
+def likely_pairs(sizes, marks, similarity: float):
+    """A function of pairs of rows (first, second) that tells which may have this Jaccard similarity, by the sizes of
+    their sets and their marks (of mark_words words). The wider marks of a pair are folded to the width of the others."""
+    import numpy as np
+
+    words, levels = np.array([len(m) for m in marks]), {}
+
+    def level(w: int):
+        """Marks of all rows that have so many words or more, folded to w."""
+        if w not in levels:
+            levels[w] = np.zeros((len(marks), w), np.int64)
+            for v in np.unique(words[words >= w]):
+                rows = np.flatnonzero(words == v)
+                levels[w][rows] = np.bitwise_or.reduce(np.stack([marks[i] for i in rows]).reshape(len(rows), -1, w), 1)
+        return levels[w]
+
+    def likely(first, second):
+        na, nb, narrow = sizes[first], sizes[second], np.minimum(words[first], words[second])
+        ok = np.minimum(na, nb) >= similarity * np.maximum(na, nb)
+        for w in np.unique(narrow[ok]).tolist():
+            for at in np.array_split(own := np.flatnonzero(ok & (narrow == w)), -(-len(own) * w // (BLOCK * BLOCK))):
+                x, y = level(w)[first[at]], level(w)[second[at]]
+                alone = lambda p, q: np.bitwise_count((p & ~q).view(np.uint64)).sum(1, dtype=np.int64)
+                most = np.minimum(na[at] - alone(x, y), nb[at] - alone(y, x))
+                ok[at] = most >= similarity * (na[at] + nb[at] - most)
+        return ok
+
+    return likely
+
+
+def peak_links(classes: DataFrame, labels: DataFrame | None = None, distance: int = WIDE_DISTANCE, block: int = BLOCK, similarity: float | None = None) -> DataFrame:
     """Pairs (a, b) of classes (column key) that share a key of peaks and differ in at most ``distance``
     bits of the wide fingerprint.
 
     Without labels: a minimum spanning forest of such pairs, of large buckets of each part (dealt_buckets): a template of any
     number of copies costs a task about one block, and the parts hang together by their leaders. That is a short way and may
     leave some apart. With labels (node, root) of what is joined so far: all such pairs of different labels, whatever
-    the size of a bucket (dealt_grid); what one label has in a bucket hangs together and needs no pairs.
+    the size of a bucket (dealt_grid); what one label has in a bucket hangs together and needs no pairs. With a similarity
+    (labels only; classes have n and m too): those of them that may reach it by sizes and marks, told where they meet, so
+    that the pairs of a template whose copies are all below it never become rows.
     """
     fps = [f"fp{k}" for k in range(WORDS)]
     listed = classes.select("key", *fps, F.explode("peaks").alias("peak"))
@@ -268,15 +309,20 @@ def peak_links(classes: DataFrame, labels: DataFrame | None = None, distance: in
     forest = labels is None
     columns = ["key", "label", *fps, "peak"]
     dealt = dealt_buckets(listed.select(*columns, "size"), block) if forest else dealt_grid(listed.select(*columns, "size", "most", "hub"), block)
+    dealt = dealt.select(*columns, "i")
+    if similarity is not None:  # joined last: the marks are wider than the rest of a row
+        dealt = dealt.join(classes.select("key", "n", "m"), "key").select(*columns, "i", "n", "m")
+    one = slice(WORDS + 2, WORDS + 4)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def near(x):
+        def near(x, marks):
             """Rows (first, second, distance) of the near pairs of x, which holds whole groups."""
-            group, fp, label = x[:, WORDS + 2 :], x[:, 2 : WORDS + 2].view(np.uint64), x[:, 1]
+            group, fp, label = x[:, one], x[:, 2 : WORDS + 2].view(np.uint64), x[:, 1]
             left, step, hits = np.arange(len(x)), 0, []
+            likely = likely_pairs(x[:, -1], marks, similarity) if similarity is not None else None
             while len(left):
                 step += 1
                 left = left[left + step < len(x)]
@@ -284,16 +330,18 @@ def peak_links(classes: DataFrame, labels: DataFrame | None = None, distance: in
                 pairs = left[label[left] != label[left + step]]
                 d = np.bitwise_count(fp[pairs] ^ fp[pairs + step]).sum(1).astype(np.int32)
                 ok = d <= distance
+                if likely:
+                    ok[ok] = likely(pairs[ok], pairs[ok] + step)
                 hits.append(np.stack([pairs[ok], pairs[ok] + step, d[ok]], 1).astype(np.int32))
             return np.concatenate(hits) if hits else np.zeros((0, 3), np.int32)
 
-        def found(x):
-            hits, key = near(x), x[:, 0]
+        def found(x, marks):
+            hits, key = near(x, marks), x[:, 0]
             if not len(hits):
                 pairs = hits[:, :2]
             elif forest:
                 hits = hits[np.argsort(hits[:, 0], kind="stable")]
-                group = x[:, WORDS + 2 :]
+                group = x[:, one]
                 starts = np.concatenate([[True], (group[1:] != group[:-1]).any(1)]).cumsum()[hits[:, 0]]
                 pairs = np.array([e for part in np.split(hits, np.flatnonzero(np.diff(starts)) + 1) for e in _forest(*part.T)], int).reshape(-1, 2)
             else:
@@ -302,38 +350,46 @@ def peak_links(classes: DataFrame, labels: DataFrame | None = None, distance: in
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         def pieces(x):
-            """x in runs of whole groups of about ``block`` rows; a group is never longer than two blocks."""
-            ends = np.flatnonzero(np.append((x[1:, WORDS + 2 :] != x[:-1, WORDS + 2 :]).any(1), True)) + 1
+            """Bounds of runs of whole groups of about ``block`` rows; a group is never longer than two blocks."""
+            ends = np.flatnonzero(np.append((x[1:, one] != x[:-1, one]).any(1), True)) + 1
             at = 0
             while at < len(x):
                 stop = int(ends[min(len(ends) - 1, np.searchsorted(ends, at + block))])
-                yield x[at:stop]
+                yield at, stop
                 at = stop
 
-        rest = None
+        rest, marks = None, []
         for b in batches:
-            x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], 1)
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns if not pa.types.is_list(c.type)], 1)
+            if similarity is not None:
+                m = b.column(b.num_columns - 1)
+                marks += np.split(m.flatten().to_numpy(zero_copy_only=False), np.cumsum(m.value_lengths().to_numpy())[:-1]) if len(m) else []
             x = x if rest is None else np.concatenate([rest, x])
             if not len(x):
                 continue
-            same = (x[:, WORDS + 2 :] == x[-1, WORDS + 2 :]).all(1)  # the last run may go on
-            for piece in pieces(x[~same]):
-                yield found(piece)
-            rest = x[same]
+            last = len(x) - int((x[:, one] == x[-1, one]).all(1).sum())  # the last run may go on
+            for at, stop in pieces(x[:last]):
+                yield found(x[at:stop], marks[at:stop])
+            rest, marks = x[last:], marks[last:]
         if rest is not None:
-            yield found(rest)
+            yield found(rest, marks)
 
     # in the order of the keys, so that equal distances are decided alike in every run
     together = dealt.repartition("peak", "i").sortWithinPartitions("peak", "i", "key")
     return together.mapInArrow(run, "a long, b long").distinct()
 
 
-def marks_of(hashes):
-    """MARKS words of 64 bits: the bit of each hash is set."""
+def mark_words(n: int) -> int:
+    """Words for the marks of a set of n: a power of two, so that wider marks fold to narrower ones."""
+    return min(MOST_MARKS, max(MARKS, 1 << (n * SPARSE // 64).bit_length()))
+
+
+def marks_of(hashes, words: int = MARKS):
+    """Words of 64 bits: the bit of each hash is set."""
     import numpy as np
 
-    bits = np.zeros(64 * MARKS, np.uint8)
-    bits[hashes.view(np.uint64) % np.uint64(64 * MARKS)] = 1
+    bits = np.zeros(64 * words, np.uint8)
+    bits[hashes.view(np.uint64) % np.uint64(64 * words)] = 1
     return np.packbits(bits).view(np.int64)
 
 
@@ -379,8 +435,8 @@ def similar_classes(docs: DataFrame, text_col: str = "text", similarity: float =
     from the peaks of the same sums; each is verified by the Jaccard similarity of the sets of shingles.
 
     A forest of near pairs may hold one that is not similar enough where another way round would be. So what the
-    verified pairs leave apart is looked at once more: all near pairs of different components, so that nothing of what
-    shares a bucket is lost."""
+    verified pairs leave apart is looked at once more: all near pairs of different components that sizes and marks of the
+    sets do not rule out, so that nothing of what shares a bucket is lost."""
     texts = docs.select(text_key(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     classes = stored(wide_fingerprints(texts, ["key"], "text", n).distinct(), "simhash-wide")
     nodes = classes.select(F.col("fp0").alias("fp"), "key")
@@ -391,7 +447,7 @@ def similar_classes(docs: DataFrame, text_col: str = "text", similarity: float =
     tried = stored(grid.union(equal).union(peak_links(classes)).distinct(), "simhash-tried")
     edges = stored(verified(tried, texts, similarity, n), "simhash-edges")
     roots = connected_components(edges)
-    more = stored(peak_links(classes, roots).join(tried, ["a", "b"], "left_anti"), "simhash-more")
+    more = stored(peak_links(classes, roots, similarity=similarity).join(tried, ["a", "b"], "left_anti"), "simhash-more")
     joined = stored(verified(more, texts, similarity, n), "simhash-joined")
     return connected_components(edges.union(joined)) if joined.head(1) else roots
 
