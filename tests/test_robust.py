@@ -86,3 +86,41 @@ def test_pairs_in_a_table(spark):
     for n in (1, 5):
         got = {(r.a, r.b): r.inliers for r in kernels.estimate_fundamental(df.repartition(n)).collect()}
         assert set(got) == {(1, 2), (1, 3)} and got[1, 2] == 60 and 40 <= got[1, 3] <= 44
+
+
+def bent(f, seed, n=300):
+    """Points and their images by a camera far to the side whose distortion no straight camera follows."""
+    rng = np.random.default_rng(seed)
+    x = rng.uniform(0, 90, (n, 3)) - [0, 0, 150]
+    at = np.array([280.0, 210.0, 3.0])
+    return x, kernels.project(np.repeat(np.eye(3)[None], n, 0), np.repeat(-at[None], n, 0), f, -0.01, 0.001, x)
+
+
+def test_hopeless_samples_are_not_solved(monkeypatch):
+    """Of 4096 hypotheses few are decomposed where no camera fits; inliers and draws are those of the search without a screen."""
+    solved, whole = [], robust.projections
+    monkeypatch.setattr(robust, "projections", lambda xy, x: (solved.append(len(xy)), whole(xy, x))[1])
+    for f, seed in ((900.0, 1), (20_000.0, 2), (60_000.0, 3), (300_000.0, 4)):
+        x, xy = bent(f, seed)
+        for wrong in (0, 60):
+            xy = xy.copy()
+            xy[:wrong] += 300
+            h = np.hstack([x, np.ones((len(x), 1))])
+            call = lambda screen: robust.consensus(len(x), 6, lambda s: robust.projections(xy[s], x[s]), lambda m, at: robust.projection_errors(m, xy[at], h[at]), lambda own: robust.projections(xy[own][None], x[own][None])[0], 7, 4096, 4.0, True, screen)  # noqa: E731, B023
+            _, want, drawn = call(None)
+            solved.clear()
+            _, got, n = call(robust.Screen(xy, x, 4.0))
+            assert (got == want).all() and n == drawn
+            assert f < 60_000 or sum(solved) < 0.1 * 4096 == 0.1 * n
+
+
+def test_hopeless_images_are_told_and_no_others():
+    for seed in range(20):
+        x, a, _ = views(120, 0, 100 + seed, noise=1.0)
+        a[60:] = np.random.default_rng(seed).uniform(-400, 400, (60, 2))  # half of the points fit
+        best = int(robust.projection_of(a, x, seed)[1].sum())
+        assert best >= 55 and not robust.hopeless(a, x, best, seed, 4.0)
+        assert robust.hopeless(np.random.default_rng(seed).uniform(-4e4, 4e4, (120, 2)), x, 60, seed, 4.0)
+        assert not robust.hopeless(a[:9], x[:9], 12, seed, 4.0) and not robust.hopeless(np.zeros((40, 2)), np.zeros((40, 3)), 20, seed, 4.0)
+    x, xy = bent(300_000.0, 5)
+    assert kernels.register(xy, x, 5) is None and robust.hopeless(xy, x, 150, 5, 4.0)

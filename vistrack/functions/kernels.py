@@ -259,6 +259,8 @@ def register(xy: np.ndarray, x: np.ndarray, seed: int, rounds: int = 4096, thres
     if len(xy) < 9:
         return None
     flip = xy * np.array([1.0, -1.0])  # y down for the linear camera
+    if robust.hopeless(flip, x, max(6, least, -(-len(xy) // 2)), seed, threshold):
+        return None
     _, best = robust.projection_of(flip, x, seed, rounds, threshold)
     if best.sum() < max(6, least):
         return None
