@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vistrack.functions import kernels, robust
 
@@ -124,3 +125,14 @@ def test_hopeless_images_are_told_and_no_others():
         assert not robust.hopeless(a[:9], x[:9], 12, seed, 4.0) and not robust.hopeless(np.zeros((40, 2)), np.zeros((40, 3)), 20, seed, 4.0)
     x, xy = bent(300_000.0, 5)
     assert kernels.register(xy, x, 5) is None and robust.hopeless(xy, x, 150, 5, 4.0)
+
+
+def test_few_bytes_are_many_tasks(spark):
+    """A dozen images of little data are not joined into one task."""
+    rows = []
+    for v in range(12):
+        x, a, _ = views(40, 0, v)
+        rows += [(v, *map(float, (*p, *q))) for p, q in zip(a, x, strict=True)]
+    df = spark.createDataFrame(rows, "view long, x double, y double, px double, py double, pz double")
+    got = kernels.register_images(df).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 12 and len({r.task for r in got}) == len({r.task for r in df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "view").withColumn("task", F.spark_partition_id()).collect()})

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vistrack.functions import geometry, robust
-from vistrack.session import join_checked, stored
+from vistrack.session import join_checked, parts_for, stored
 
 MAX_ERROR, MIN_ANGLE, PI = 5.0, 2.0, 3.1416
 
@@ -303,4 +303,6 @@ def register_images(corr: DataFrame, **options) -> DataFrame:
         cols = ["view", "f", "k1", "k2", "r", "t", "inliers"]
         return pd.DataFrame([{"view": pdf["view"].iloc[0], **got}] if got else [], columns=cols)
 
-    return corr.groupBy("view").applyInPandas(run, "view long, f double, k1 double, k2 double, r array<double>, t array<double>, inliers long")
+    # dealt to a stated number of tasks: an image's points are few bytes and much work, which joining small partitions would not see
+    dealt = corr.repartition(parts_for(corr.sparkSession, 0, 1), "view")
+    return dealt.groupBy("view").applyInPandas(run, "view long, f double, k1 double, k2 double, r array<double>, t array<double>, inliers long")
