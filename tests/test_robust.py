@@ -115,7 +115,7 @@ def test_hopeless_samples_are_not_solved(monkeypatch):
             assert f < 60_000 or sum(solved) < 0.1 * 4096 == 0.1 * n
 
 
-def test_hopeless_images_are_told_and_no_others():
+def test_hopeless_images_are_told_and_no_others(monkeypatch):
     for seed in range(20):
         x, a, _ = views(120, 0, 100 + seed, noise=1.0)
         a[60:] = np.random.default_rng(seed).uniform(-400, 400, (60, 2))  # half of the points fit
@@ -123,6 +123,10 @@ def test_hopeless_images_are_told_and_no_others():
         assert best >= 55 and not robust.hopeless(a, x, best, seed, 4.0)
         assert robust.hopeless(np.random.default_rng(seed).uniform(-4e4, 4e4, (120, 2)), x, 60, seed, 4.0)
         assert not robust.hopeless(a[:9], x[:9], 12, seed, 4.0) and not robust.hopeless(np.zeros((40, 2)), np.zeros((40, 3)), 20, seed, 4.0)
+    drawn, few = [], np.random.default_rng(0).uniform(-4e4, 4e4, (24, 2))  # a share of 1/1500 would take 60,000 samples
+    monkeypatch.setattr(robust, "picks", lambda rng, n, size, count: drawn.append(count))
+    assert not robust.hopeless(few, x[:24], 12, 1, 4.0) and not drawn
+    monkeypatch.undo()
     x, xy = bent(300_000.0, 5)
     assert kernels.register(xy, x, 5) is None and robust.hopeless(xy, x, 150, 5, 4.0)
 

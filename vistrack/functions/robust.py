@@ -20,8 +20,8 @@ ODDS, CHANCE, SHARE, SURE, FIRST, BLOCK, PART = 1000.0, 0.05, 0.2, 0.9999, 12, 9
 #: the threshold it is held against, as a multiple.
 TOGETHER, STEPS, CLOSE, WIDER = 6, 16, 1e-9, 1.1
 #: Points of a sample that is held against all cameras, samples drawn together, chance of a wrong verdict at each look,
-#: the squared threshold it is held against, as a multiple.
-HELD, LOOK, RARE, SLACK = 8, 512, 1e-9, 1.5
+#: the squared threshold it is held against, as a multiple, the share of samples below which too many would be needed.
+HELD, LOOK, RARE, SLACK, SCARCE = 8, 512, 1e-9, 1.5, 1 / 512
 #: Inliers of a fundamental matrix at least.
 LEAST = 27
 
@@ -188,10 +188,11 @@ def hopeless(xy: np.ndarray, x: np.ndarray, least: int, seed: int, threshold: fl
     A camera with so many would hold a known share of all samples of HELD points. Some camera may hold a sample only if, the
     first two rows of the matrix eliminated, the algebraic residual can be as small for some third row as points within
     the threshold allow: where residual less allowance is positive definite no camera does. Samples
-    are drawn until far fewer can be held than the share demands (Chernoff's bound), or not."""
+    are drawn until far fewer can be held than the share demands (Chernoff's bound), or not. Not told for images of few points,
+    of which the share is small."""
     n = len(x)
     share = float(np.prod([(least - i) / (n - i) for i in range(HELD)])) if HELD <= least <= n else 0.0
-    if share <= 0:
+    if share < SCARCE:
         return False
     rng, drawn, fit, i = np.random.default_rng(seed), 0, 0, np.arange(4)
     z = np.hstack([(x - x.mean(0)) / max(1e-12, x.std()), np.ones((n, 1))]).T
