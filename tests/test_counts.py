@@ -1,5 +1,6 @@
 """Plans of counts over pairs: what is sent, and what is never made."""
 
+import pytest
 from pyspark.sql import functions as F
 from test_blocks import sent
 
@@ -38,6 +39,21 @@ def test_dealt_join_of_few_values(spark):
     assert dealt_join(large.repartition(1), small, "m").rdd.getNumPartitions() == 3
 
 
+@pytest.mark.parametrize("limit", [10_000, 0])
+def test_dealt_join_comes_in_runs(spark, limit):
+    """Rows of the small side come with runs of the other, in order, and are not sent for each part of it; some have no partner."""
+    large = spark.range(18_000).select(F.col("id").alias("p"), (F.col("id") * 7 % 101).alias("z"), F.expr("nullif(id % 4, 3)").alias("m"))
+    small = spark.range(2000).select(F.col("id").alias("v"), F.expr("nullif(id % 5, 4) + 1").alias("m"))
+    got = []
+    n = sent(spark, lambda: got.append(dealt_join(large, small, "m", limit, near=("z",)).select("v", "p", "z").toArrow().to_pandas()))
+    rows = got[0]
+    pairs = {(v, p) for v in range(2000) for p in range(0, 18_000, 999) if v % 5 != 4 and v % 5 + 1 == p % 4 != 3}
+    assert len(rows) == 2 * 400 * 4500 == len(rows.drop_duplicates(["v", "p"])) and pairs == set(map(tuple, rows[rows.p % 999 == 0][["v", "p"]].itertuples(index=False)))
+    assert (rows.v.diff() != 0).sum() < len(rows) / 32
+    assert ((rows.z.diff() < 0) & (rows.v.diff() == 0)).sum() < len(rows) / 32
+    assert n < 21_000 + 2000
+
+
 def test_band_counts_make_a_row_a_query(spark):
     """Against all lines and keys; keys that several lines of a query meet count once; the candidates were rows."""
     import random
