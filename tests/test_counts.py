@@ -19,6 +19,28 @@ def test_covisibility_sends_no_pairs(spark):
     assert n <= 3 * 2401 + 16 + 8
 
 
+@pytest.mark.parametrize("ends", [(), (-(2**63), 2**63 - 1)])
+def test_covisibility_sends_a_list_to_a_group(spark, ends):
+    """Points seen by 20 neighbouring views each, some twice: a list went to each view of a point. Two views with numbers
+    far from all others leave the others in one step, which is dealt by hash."""
+    seen = [(v % 400 - 50, p) for p in range(1500) for v in range(p * 7 % 380, p * 7 % 380 + 20)] + [(v, p) for v in ends for p in range(3)]
+    seen += seen[::50]
+    obs = spark.createDataFrame(seen, "view long, point long").repartition(4).cache()
+    obs.count()
+    got, want, by = [], {}, {}
+    n = sent(spark, lambda: got.extend(pairs.covisibility(obs, diagonal=True).collect()))
+    for v, p in seen:
+        by.setdefault(p, []).append(v)
+    for views in by.values():
+        for a in views:
+            for b in views:
+                want[a, b] = want.get((a, b), 0) + 1
+    assert {(r.v1, r.v2): r.n for r in got} == want and len(got) == len(want)
+    assert {(r.v1, r.v2): r.n for r in pairs.covisibility(obs, least=3).collect()} == {(a, b): c for (a, b), c in want.items() if a != b and c >= 3}
+    assert n < len(seen) + 1500 * (4 if ends else 2) + 1000
+    assert pairs.covisibility(obs.where("view > 1000 and view < 1000")).count() == 0
+
+
 def test_pairs_with_few_matches_are_not_gathered(spark):
     """400 pairs of 20 matches each cannot have 27 inliers; one pair has 30 matches and two that are not finite."""
     few = spark.range(400 * 20).select((F.col("id") % 400).alias("a"), F.lit(1000).cast("long").alias("b"), *[F.rand(i).alias(c) for i, c in enumerate(("xa", "ya", "xb", "yb"))])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistrack.plans.ranking import global_rank
@@ -12,24 +12,56 @@ from vistrack.session import parts_for
 TASK_ROWS = 500_000
 
 
+def view_ranges(known: DataFrame, tasks: int) -> tuple[Column, int, bool]:
+    """(g, their number, whether views are ints): groups of views near in number with about equal rows. Equal steps of
+    numbers are counted and put together in order; a step with more rows than a task should have is dealt by hash."""
+    dtype = dict(known.dtypes)["view"]
+    number = F.col("view").cast("long") if dtype in ("tinyint", "smallint", "int", "bigint") else F.xxhash64("view")
+    lo, hi, rows = known.agg(F.min(number), F.max(number), F.count("*")).first()
+    if not rows:
+        return F.lit(0), 1, False
+    shift = next(s for s in range(64) if (hi >> s) - (lo >> s) < 16 * tasks)
+    step = F.shiftright(number, shift) - F.lit(lo >> shift).cast("long")
+    first, dealt, groups, held = [0] * (16 * tasks), [1] * (16 * tasks), 0, 0
+    for at, n in sorted(known.groupBy(step.alias("at")).count().collect()):
+        own = -(-n * tasks // rows)
+        if held and (own > 1 or (held + n) * tasks > rows):
+            groups, held = groups + 1, 0
+        first[at], dealt[at], held = groups, own, held + n
+        groups, held = (groups + own, 0) if own > 1 else (groups, held)
+    of = lambda numbers: F.get(F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>"), step.cast("int"))
+    return (of(first) + F.pmod(F.xxhash64("view"), of(dealt)).cast("int")).cast("int"), groups + 1, dtype != "string" and -(2**31) <= lo and hi < 2**31
+
+
 def covisibility(obs: DataFrame, diagonal: bool = False, least: int = 1) -> DataFrame:
     """(v1, v2, n): shared points of two views as a bag join, in both directions.
 
     Repeated (view, point) rows are counted once and multiplied, which gives the bag join's number
     from fewer rows. Each unordered pair is counted once and mirrored after the aggregation.
 
-    The views of a point are listed in order, and each is sent once with the list of those behind it to the task of the
-    view, where pairs are counted: a pair costs an entry of a list, not a row, and is met in one task only. Tasks get
-    more with the rows, so that none has to hold more pairs.
+    Views are grouped by ranges of their numbers, a group a task. The views of a point are listed by group, and the list is
+    sent once to each group that it meets, from there on; there all pairs of a view of the group and one behind it are
+    counted. So a pair costs at most an entry of a list, and much less where the views of a point are near in number; it
+    is met in one task only. Groups get more with the rows, so that none has to hold more pairs.
     """
     known = obs.where("view IS NOT NULL AND point IS NOT NULL")
-    one = known.groupBy("point", "view").agg(F.count("*").alias("c"))
-    lists = one.groupBy("point").agg(F.sort_array(F.collect_list(F.struct("view", "c"))).alias("l"))
-    lists = lists.select(F.col("l.view").alias("w"), F.col("l.c").alias("k"))
-    behind = lambda c: F.slice(c, F.col("at") + (1 if diagonal else 2), F.size(c)).alias(c)
-    sent = lists.select("w", "k", F.posexplode("w").alias("at", "v1")).select("v1", F.get("k", F.col("at")).alias("c1"), behind("w"), behind("k")).where(F.size("w") > 0)
-    met = sent.repartition(parts_for(obs.sparkSession, obs.count(), TASK_ROWS), "v1").select("v1", "c1", "k", F.posexplode("w").alias("at", "v2"))
-    half = met.groupBy("v1", "v2").agg(F.sum(F.col("c1") * F.get("k", F.col("at"))).alias("n")).where(F.col("n") >= least)
+    dtype = dict(obs.dtypes)["view"]
+    tasks = parts_for(obs.sparkSession, known.count(), TASK_ROWS)
+    group, groups, ints = view_ranges(known, tasks)
+    one = known.repartition(tasks, "point").groupBy("point", "view").agg(F.count("*").alias("c"))
+    view = F.col("view").cast("int") if ints else F.col("view")
+    lists = one.groupBy("point").agg(F.sort_array(F.collect_list(F.struct(group.alias("g"), view.alias("w"), F.col("c").alias("k")))).alias("l"))
+    g = lambda i: F.get("l", i).getField("g")
+    starts = lists.select("l", F.exists("l", lambda e: e.getField("k") > 1).alias("many"), F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: (i == 0) | (g(i) != g(i - 1))).alias("s"))
+    each = starts.select("l", "many", "s", F.posexplode("s").alias("i", "at"))
+    each = each.select("l", "many", "at", F.coalesce(F.get("s", F.col("i") + 1), F.size("l")).alias("end")).where(F.size("l") - F.col("at") > (0 if diagonal else 1))
+    behind = lambda c: F.slice(F.col("l").getField(c), F.col("at") + 1, F.size("l"))
+    sent = each.select(g(F.col("at")).alias("g"), behind("w").alias("w"), F.when(F.col("many"), behind("k")).alias("k"), (F.col("end") - F.col("at")).alias("own"))
+    dealt = sent.repartitionById(groups, "g")
+    met = dealt.select("g", "w", "k", "own", F.posexplode("w").alias("i", "v1")).where("i < own").select("g", "k", "i", "v1", F.posexplode("w").alias("j", "v2"))
+    met = met.where(F.col("j") >= F.col("i") if diagonal else F.col("j") > F.col("i"))
+    half = met.groupBy("g", "v1", "v2").agg(F.sum(F.coalesce(F.get("k", F.col("i")) * F.get("k", F.col("j")), F.lit(1).cast("long"))).alias("n")).where(F.col("n") >= least)
+    half = half.select(F.col("v1").cast(dtype).alias("v1"), F.col("v2").cast(dtype).alias("v2"), "n")
     both = F.when(F.col("v1") == F.col("v2"), F.array(F.struct("v1", "v2"))).otherwise(F.array(F.struct("v1", "v2"), F.struct(F.col("v2").alias("v1"), F.col("v1").alias("v2"))))
     return half.select(F.explode(both).alias("p"), "n").select("p.v1", "p.v2", "n")
 
